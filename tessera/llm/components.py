@@ -1,0 +1,36 @@
+"""Connected components of an edge table, by alternating large-star and small-star steps."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from .common import cut
+
+
+def _star(pairs: DataFrame) -> DataFrame:
+    """pairs (u, v) with m, the least of u and all its v."""
+    least = pairs.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("w"), F.least("u", "m").alias("m"))
+    return pairs.join(least, F.col("u") == F.col("w")).select("u", "v", "m")
+
+
+def components(edges: DataFrame, name: str = "components") -> DataFrame:
+    """(node, component) for every node of edges (a long, b long): component is the least node that a path reaches.
+
+    Edges with a null end or both ends alike say nothing and are left out; an empty table gives no
+    rows. Each round is written to the shared folder; the number of rounds grows with the logarithm of the longest path.
+    """
+    e = edges.where("a IS NOT NULL AND b IS NOT NULL AND a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
+    e, before = cut(e, name), None
+    while True:
+        both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        large = _star(both).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        s = _star(large)  # here v < u, so m < u
+        small = s.select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct(F.col("u").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.*")
+        e = cut(small.where("u <> v").distinct(), name)
+        now = e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)"))).first()
+        if now == before:
+            break
+        before = now
+    roots = e.select(F.col("v").alias("node")).distinct().select("node", F.col("node").alias("component"))
+    return e.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(roots)
