@@ -4,17 +4,29 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm.common import cut
+from tessera.llm.common import cut, read_table
+from tessera.llm.decontaminate import decontaminated
 from tessera.llm.mixing import mixed_documents
 from tessera.llm.near_dup import deduplicated
+from tessera.llm.quality import good_documents
 from tessera.llm.tokens import tokenized
 
 
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality classifier does not reject stay."""
+    return good_documents(docs, read_table(spark, sf_dir, "labels"))
+
+
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates (five-word shingles, similarity 0.8 or more) stays: the one of least id."""
     return deduplicated(docs, words=5)
 
 
+def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold no passage of the benchmark stay."""
+    return decontaminated(docs, read_table(spark, sf_dir, "benchmark"))
+
+
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as the mix takes them: a document taken twice has two rows."""
     return mixed_documents(docs)
@@ -26,7 +38,9 @@ def token_files(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 STAGES = [
+    ("quality", quality),
     ("near_dedup", near_dedup),
+    ("decontaminate", decontaminate),
     ("mix_sources", mix_sources),
     ("token_files", token_files),
 ]

@@ -6,16 +6,27 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .decontaminate import ORACLE as DECONTAMINATION_SQL
+from .decontaminate import op7_decontamination
+from .html_text import op5_html_text
+from .language import op3_language
 from .mixing import ORACLE as MIXING_SQL
 from .mixing import op10_mixing
 from .near_dup import op2_near_dup
+from .neighbours import op4_neighbours
+from .quality import op6_quality
 from .sharding import op1_sharding
 from .tokens import op8_token_files
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_sharding": op1_sharding,
     "op2_near_dup": op2_near_dup,
+    "op3_language": op3_language,
+    "op4_neighbours": op4_neighbours,
+    "op5_html_text": op5_html_text,
+    "op6_quality": op6_quality,
+    "op7_decontamination": op7_decontamination,
     "op8_token_files": op8_token_files,
     "op10_mixing": op10_mixing,
 }
-ORACLES: dict[str, str] = {"op10_mixing": MIXING_SQL}
+ORACLES: dict[str, str] = {"op7_decontamination": DECONTAMINATION_SQL, "op10_mixing": MIXING_SQL}
