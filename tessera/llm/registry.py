@@ -14,6 +14,7 @@ from .mixing import ORACLE as MIXING_SQL
 from .mixing import op10_mixing
 from .near_dup import op2_near_dup
 from .neighbours import op4_neighbours
+from .pii import op9_personal_data
 from .quality import op6_quality
 from .sharding import op1_sharding
 from .tokens import op8_token_files
@@ -27,6 +28,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_quality": op6_quality,
     "op7_decontamination": op7_decontamination,
     "op8_token_files": op8_token_files,
+    "op9_personal_data": op9_personal_data,
     "op10_mixing": op10_mixing,
 }
 ORACLES: dict[str, str] = {"op7_decontamination": DECONTAMINATION_SQL, "op10_mixing": MIXING_SQL}
