@@ -25,7 +25,9 @@ from .common import cut, fresh_path, read_table
 
 END_ID = 2
 #: Words whose ids a task remembers before it starts afresh; bounds memory, not results.
-REMEMBERED = 250_000
+REMEMBERED = 600_000
+#: Texts that go to the library together.
+TOGETHER = 256
 MANIFEST = "part long, path string, docs long, ids long, bits long, null_docs long"
 
 
@@ -55,22 +57,30 @@ class WordwiseEncoder:
         self.uneven = re.compile(r"\s | \s|^ | $").search
         self.single = re.compile(r"(?<=\S) (?=\S)").split
         self.known: dict[str, bytes] = {}
+        self.mark = re.compile(r"(?<=[^\W\d_])[.,;:!?\n]").search
 
-    def _ids(self, pieces: list[str]) -> Iterator[bytes]:
-        for e in self.tokenizer.encode_batch_fast(pieces, add_special_tokens=False):
-            yield np.asarray(e.ids, self.type).tobytes()
+    def _piece(self, w: str) -> str:
+        return w[1:] if w[:1] == " " else " " + w if w else ""
 
-    def encode(self, text: str) -> bytes:
-        """The ids of text, packed."""
-        first, *rest = self.single(text) if self.uneven(text) else text.split(" ")
+    def _each(self, words: list[str]) -> list[bytes]:
+        found = self.tokenizer.encode_batch_fast([self._piece(w) for w in words], add_special_tokens=False)
+        return [np.asarray(e.ids, self.type).tobytes() for e in found]
+
+    def encode(self, texts: list[str]) -> list[bytes]:
+        """The packed ids of each text. The library is called once for all pieces not met before."""
         known = self.known
-        if new := [w for w in set(rest) if w not in known]:
-            if len(known) > REMEMBERED:
-                known.clear()
-                new = list(set(rest))
-            known.update(zip(new, self._ids([" " + w for w in new]), strict=True))
-        head = next(self._ids([first])) if first else b""
-        return head + b"".join(map(known.__getitem__, rest))
+        if len(known) > REMEMBERED:
+            known.clear()
+        cut = [self.single(t) if self.uneven(t) else t.split(" ") for t in texts]
+        # A text's first piece has no space before it; it is kept under a key that no other piece has.
+        cut = [[" " + c[0] if c[0] else "", *c[1:]] for c in cut]
+        new = {w for c in cut for w in c}.difference(known)
+        # A word and the marks after it are tokenized apart in any case: each part is a piece of its own.
+        parted = [(w, w[: m.start()], " " + w[m.start() :]) for w in new if (m := self.mark(w))]
+        pieces = (new.difference(w for w, _, _ in parted) | {x for p in parted for x in p[1:]}).difference(known)
+        known.update(zip(pieces, self._each(list(pieces)), strict=True))
+        known.update((w, known[stem] + known[tail]) for w, stem, tail in parted)
+        return [b"".join(map(known.__getitem__, c)) for c in cut]
 
 
 def _store(path: str) -> tuple[pafs.FileSystem, str]:
@@ -112,12 +122,13 @@ def write_token_files(docs: DataFrame, path: str, vocabulary: str | None = None,
         for batch in batches:
             encoder = encoder or WordwiseEncoder(vocabulary)
             end, width = np.asarray([end_id], encoder.type).tobytes(), encoder.type.itemsize
-            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                packed = encoder.encode(text.as_py() or "") + end
-                ids.append(packed)
-                sizes.append(len(packed) // width)
-                nulls += doc is None
-                names.append(0 if doc is None else doc)
+            docs_here = batch.column(0).to_pylist()
+            nulls += docs_here.count(None)
+            names += [doc or 0 for doc in docs_here]
+            for lo in range(0, batch.num_rows, TOGETHER):
+                for packed in encoder.encode([t.as_py() or "" for t in batch.column(1).slice(lo, TOGETHER)]):
+                    ids.append(packed + end)
+                    sizes.append(len(ids[-1]) // width)
         if encoder is None:
             return
         offsets = np.zeros(len(sizes) + 1, "<u8")
