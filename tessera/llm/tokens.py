@@ -28,6 +28,8 @@ END_ID = 2
 REMEMBERED = 600_000
 #: Texts that go to the library together.
 TOGETHER = 256
+#: Marks at which a word is cut when they follow a letter.
+MARKS = ".,;:!?$&*%#"
 MANIFEST = "part long, path string, docs long, ids long, bits long, null_docs long"
 
 
@@ -41,9 +43,11 @@ class WordwiseEncoder:
     """Encodes texts with a byte-level tokenizer of the tokenizers library, remembering words.
 
     Such a tokenizer never joins what a single space between two visible characters parts, so a text's ids are
-    the ids of its words, each with the space before it. Text where white space meets white space is
-    cut at the other spaces only. Each distinct piece goes through the library once in a while
-    instead of at each place; the ids are the same as for whole texts (see the tests).
+    the ids of its words, each with the space before it. Nor does it join a letter and the mark after it, or
+    anything with a single line end between visible characters: words are cut there too. Each distinct piece goes
+    through the library once in a while instead of at each place, all new ones in one text; the bytes that each
+    token stands for tell where pieces end. Text where white space meets white space is cut at the other spaces
+    only. The ids are the same as for whole texts (see the tests).
     """
 
     def __init__(self, vocabulary: str):
@@ -54,33 +58,87 @@ class WordwiseEncoder:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks are the parallelism
         self.tokenizer = Tokenizer.from_file(vocabulary)
         self.type = np.dtype("<u2") if self.tokenizer.get_vocab_size() <= 1 << 16 else np.dtype("<u4")
-        self.uneven = re.compile(r"\s | \s|^ | $").search
         self.single = re.compile(r"(?<=\S) (?=\S)").split
-        self.known: dict[str, bytes] = {}
-        self.mark = re.compile(r"(?<=[^\W\d_])[.,;:!?\n]").search
-
-    def _piece(self, w: str) -> str:
-        return w[1:] if w[:1] == " " else " " + w if w else ""
-
-    def _each(self, words: list[str]) -> list[bytes]:
-        found = self.tokenizer.encode_batch_fast([self._piece(w) for w in words], add_special_tokens=False)
+        self.parts = re.compile(rf"(?<=[^\W\d_])(?=[{MARKS}])|(?<=\S)(?=\n\S)|(?<=\S\n)(?=\S)").split
+        # In a byte-level vocabulary each character stands for one byte; added tokens are plain text.
+        self.width = np.zeros(self.tokenizer.get_vocab_size(), np.int64)
+        for token, i in self.tokenizer.get_vocab(with_added_tokens=False).items():
+            self.width[i] = len(token)
+        for i, token in self.tokenizer.get_added_tokens_decoder().items():
+            self.width[i] = len(token.content.encode())
+        self.known: dict[str, bytes | None] = {}
+
+    def _each(self, pieces: list[str]) -> list[bytes]:
+        """The packed ids of each piece, a call for each. A piece stands for itself after a space; with a space before it, without one."""
+        found = self.tokenizer.encode_batch_fast([w[1:] if w[:1] == " " else " " + w for w in pieces], add_special_tokens=False)
         return [np.asarray(e.ids, self.type).tobytes() for e in found]
 
+    def _streamed(self, pieces: list[str]) -> list[bytes]:
+        """As _each(), in one call: a line end, a token of its own, stands before what has no space before it."""
+        if not pieces:
+            return []
+        text = ["\n" + w[1:] if w[0] == " " else " " + w for w in pieces]
+        ids = np.asarray(self.tokenizer.encode_batch_fast(["".join(text)], add_special_tokens=False)[0].ids, self.type)
+        reached, ends = np.cumsum(self.width[ids]), np.cumsum([len(w.encode()) for w in text])
+        starts = np.concatenate(([0], ends[:-1])) + np.array([w[0] == " " for w in pieces])
+        lo, hi = np.searchsorted(reached, starts, "right"), np.searchsorted(reached, ends, "right")
+        whole = np.concatenate(([0], reached))
+        if (whole[lo] != starts).any() or (whole[hi] != ends).any():
+            return self._each(pieces)
+        packed, n = ids.tobytes(), self.type.itemsize
+        return [packed[a:b] for a, b in zip((lo * n).tolist(), (hi * n).tolist(), strict=True)]
+
+    def _learn(self, words: set[str]) -> None:
+        """Takes up words; None stands for one that white space borders. A text's first word has a space before it."""
+        known, parted, pieces = self.known, [], set()
+        for w in words:
+            if w.isalpha():
+                pieces.add(w)
+                continue
+            stem = w.rstrip(MARKS)
+            if stem.isalpha():
+                parted.append((w, (stem, " " + w[len(stem) :])))
+                continue
+            first = w[:1] == " "
+            bare = w[1:] if first else w
+            if not bare or bare[0].isspace() or bare[-1].isspace():
+                known[w] = None
+                continue
+            keys = self.parts(bare)
+            keys = [" " + keys[0] if first else keys[0], *(" " + k for k in keys[1:])]
+            if len(keys) > 1:
+                parted.append((w, keys))
+            else:
+                pieces.add(w)
+        if " \n" not in known:
+            known[" \n"] = self._each([" \n"])[0]
+        pieces.update(*(keys for _, keys in parted))
+        new = list(pieces.difference(known))
+        known.update(zip(new, self._streamed(new), strict=True))
+        known.update((w, b"".join(map(known.__getitem__, keys))) for w, keys in parted)
+
+    def _uneven(self, text: str) -> bytes:
+        first, *rest = self.single(text)
+        pieces = [" " + first, *rest]
+        new = [w for w in dict.fromkeys(pieces) if self.known.get(w) is None]
+        found = dict(zip(new, self._each(new), strict=True))
+        return b"".join(found[w] if w in found else self.known[w] for w in pieces)
+
     def encode(self, texts: list[str]) -> list[bytes]:
         """The packed ids of each text. The library is called once for all pieces not met before."""
-        known = self.known
+        known, out = self.known, []
         if len(known) > REMEMBERED:
             known.clear()
-        cut = [self.single(t) if self.uneven(t) else t.split(" ") for t in texts]
-        # A text's first piece has no space before it; it is kept under a key that no other piece has.
-        cut = [[" " + c[0] if c[0] else "", *c[1:]] for c in cut]
-        new = {w for c in cut for w in c}.difference(known)
-        # A word and the marks after it are tokenized apart in any case: each part is a piece of its own.
-        parted = [(w, w[: m.start()], " " + w[m.start() :]) for w in new if (m := self.mark(w))]
-        pieces = (new.difference(w for w, _, _ in parted) | {x for p in parted for x in p[1:]}).difference(known)
-        known.update(zip(pieces, self._each(list(pieces)), strict=True))
-        known.update((w, known[stem] + known[tail]) for w, stem, tail in parted)
-        return [b"".join(map(known.__getitem__, c)) for c in cut]
+        cut = [t.split(" ") for t in texts]
+        for c in cut:
+            c[0] = " " + c[0]
+        self._learn(set().union(*cut).difference(known))
+        for t, c in zip(texts, cut, strict=True):
+            try:
+                out.append(b"".join(map(known.__getitem__, c)))
+            except TypeError:  # a None among them
+                out.append(self._uneven(t) if t else b"")
+        return out
 
 
 def _store(path: str) -> tuple[pafs.FileSystem, str]:
