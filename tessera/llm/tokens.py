@@ -30,6 +30,8 @@ REMEMBERED = 600_000
 TOGETHER = 256
 #: Marks at which a word is cut when they follow a letter.
 MARKS = ".,;:!?$&*%#"
+#: The key of a line end inside a word: no text, so no word or piece has it.
+LINE_END = None
 MANIFEST = "part long, path string, docs long, ids long, bits long, null_docs long"
 
 
@@ -66,7 +68,7 @@ class WordwiseEncoder:
             self.width[i] = len(token)
         for i, token in self.tokenizer.get_added_tokens_decoder().items():
             self.width[i] = len(token.content.encode())
-        self.known: dict[str, bytes | None] = {}
+        self.known: dict[str | None, bytes | None] = {}
 
     def _each(self, pieces: list[str]) -> list[bytes]:
         """The packed ids of each piece, a call for each. A piece stands for itself after a space; with a space before it, without one."""
@@ -105,13 +107,13 @@ class WordwiseEncoder:
                 known[w] = None
                 continue
             keys = self.parts(bare)
-            keys = [" " + keys[0] if first else keys[0], *(" " + k for k in keys[1:])]
+            keys = [" " + keys[0] if first else keys[0], *(LINE_END if k == "\n" else " " + k for k in keys[1:])]
             if len(keys) > 1:
                 parted.append((w, keys))
             else:
                 pieces.add(w)
-        if " \n" not in known:
-            known[" \n"] = self._each([" \n"])[0]
+        if LINE_END not in known:
+            known[LINE_END] = self._each([" \n"])[0]
         pieces.update(*(keys for _, keys in parted))
         new = list(pieces.difference(known))
         known.update(zip(new, self._streamed(new), strict=True))

@@ -111,7 +111,8 @@ def test_tokens(spark, docs, none):
 
     path = tokens.vocabulary_path()
     plain, fast = Tokenizer.from_file(path), tokens.WordwiseEncoder(path)
-    odd = ["", " ", "  ", " a", "a ", "a  b", "x\n y", "x \n\n  y z", "don't  it's <|endoftext|> ok", "é  b  c", "a\tb c", "12 345 6.7,8", "\n", "a b\n", "e.f, g.\nH i.", "日本 語。 x", "\x1c a"]
+    odd = ["", " ", "  ", " a", "a ", "a  b", "x\n y", "x \n\n  y z", "don't  it's <|endoftext|> ok", "é  b  c", "a\tb c", "12 345 6.7,8", "\n", "a b\n", "e.f, g.\nH i.", "日本 語。 x", "\x1c a", "\nx a\nb", "a.\nb,\nc a\n\nb c.\n"]
+    odd += ["".join(np.random.default_rng(i).choice(["a", "don't", "x.", "\n", " ", " ", "\t", "1", "é", "$$", "'s", "<|endoftext|>"], 9)) for i in range(2000)]
     for text, packed in zip(odd, fast.encode(odd), strict=True):
         assert np.frombuffer(packed, fast.type).tolist() == plain.encode(text, add_special_tokens=False).ids, text
     got = tokens.tokenized(docs, parts=3).collect()
