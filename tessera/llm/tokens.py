@@ -11,6 +11,8 @@ whole part. Readers map the files into memory.
 from __future__ import annotations
 
 import os
+import sys
+import types
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -24,7 +26,7 @@ from pyspark.sql import functions as F
 from .common import cut, fresh_path, read_table
 
 END_ID = 2
-#: Words whose ids a task remembers before it starts afresh; bounds memory, not results.
+#: Words whose ids a Python worker remembers before it starts afresh; bounds memory, not results.
 REMEMBERED = 600_000
 #: Texts that go to the library together.
 TOGETHER = 256
@@ -92,14 +94,12 @@ class WordwiseEncoder:
 
     def _learn(self, words: set[str]) -> None:
         """Takes up words; None stands for one that white space borders. A text's first word has a space before it."""
-        known, parted, pieces = self.known, [], set()
-        for w in words:
-            if w.isalpha():
-                pieces.add(w)
-                continue
+        known, parted, pieces = self.known, [], set(filter(str.isalpha, words))
+        marked = []  # (word, its letters, the marks after them)
+        for w in words - pieces:
             stem = w.rstrip(MARKS)
             if stem.isalpha():
-                parted.append((w, (stem, " " + w[len(stem) :])))
+                marked.append((w, stem, " " + w[len(stem) :]))
                 continue
             first = w[:1] == " "
             bare = w[1:] if first else w
@@ -115,9 +115,13 @@ class WordwiseEncoder:
         if LINE_END not in known:
             known[LINE_END] = self._each([" \n"])[0]
         pieces.update(*(keys for _, keys in parted))
+        for _, stem, marks in marked:
+            pieces.add(stem)
+            pieces.add(marks)
         new = list(pieces.difference(known))
         known.update(zip(new, self._streamed(new), strict=True))
         known.update((w, b"".join(map(known.__getitem__, keys))) for w, keys in parted)
+        known.update((w, known[stem] + known[marks]) for w, stem, marks in marked)
 
     def _uneven(self, text: str) -> bytes:
         first, *rest = self.single(text)
@@ -143,6 +147,20 @@ class WordwiseEncoder:
         return out
 
 
+def worker_encoder(vocabulary: str, job: str) -> WordwiseEncoder:
+    """This Python worker's encoder. Spark gives a worker task after task: the vocabulary is read once, and a job's words stay known until another job.
+
+    Functions that are sent by value get their module's names anew in each task, so a module of the worker's own holds it.
+    """
+    held = vars(sys.modules.setdefault("_token_encoders", types.ModuleType("_token_encoders")))
+    if vocabulary not in held:
+        held[vocabulary] = WordwiseEncoder(vocabulary)
+    if held.get("job") != job:
+        held["job"] = job
+        held[vocabulary].known.clear()
+    return held[vocabulary]
+
+
 def _store(path: str) -> tuple[pafs.FileSystem, str]:
     return pafs.FileSystem.from_uri(path)
 
@@ -180,7 +198,7 @@ def write_token_files(docs: DataFrame, path: str, vocabulary: str | None = None,
         part, encoder = TaskContext.get().partitionId(), None
         ids, sizes, names, nulls = [], [], [], 0
         for batch in batches:
-            encoder = encoder or WordwiseEncoder(vocabulary)
+            encoder = encoder or worker_encoder(vocabulary, path)
             end, width = np.asarray([end_id], encoder.type).tobytes(), encoder.type.itemsize
             docs_here = batch.column(0).to_pylist()
             nulls += docs_here.count(None)
