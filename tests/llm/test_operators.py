@@ -115,6 +115,10 @@ def test_tokens(spark, docs, none):
     odd += ["".join(np.random.default_rng(i).choice(["a", "don't", "x.", "\n", " ", " ", "\t", "1", "é", "$$", "'s", "<|endoftext|>"], 9)) for i in range(2000)]
     for text, packed in zip(odd, fast.encode(odd), strict=True):
         assert np.frombuffer(packed, fast.type).tolist() == plain.encode(text, add_special_tokens=False).ids, text
+    for job, known in (("first", False), ("first", True), ("second", False)):
+        held = tokens.worker_encoder(path, job)
+        assert bool(held.known) == known
+        assert np.frombuffer(held.encode(["one, two."])[0], held.type).tolist() == plain.encode("one, two.", add_special_tokens=False).ids
     got = tokens.tokenized(docs, parts=3).collect()
     start = 0
     order = sorted(ROWS, key=lambda r: (r[0] is not None, r[0] or 0, r[1] or ""))
