@@ -3,8 +3,9 @@
 A document's set of word shingles gets registers: truncated logarithms of minima, to a base near 1, so registers of a
 union are the larger ones and similar sets agree in many. Documents that agree in a whole band of
 registers share a bucket. Each bucket ties its members to its least one; ties whose joint
-likelihood estimate is far too low are cut, and what is still tied forms clusters. Inside a cluster,
-blocks of at most a few hundred documents meet block by block: registers rule most pairs out, the
+likelihood estimate is far too low are cut. Members of a bucket that were cut form a bucket of their own, and what
+is left after some rounds meets block by block, so that all likely pairs of a bucket are tied, if by way of
+others. What is tied forms clusters. Inside a cluster, blocks of at most a few hundred documents meet block by block: registers rule most pairs out, the
 full shingle sets decide on the rest. Only links come out of a task, never pairs.
 """
 
@@ -30,7 +31,9 @@ BASE, RATE, TOP = 1.1, 20.0, 255
 #: A pair is ruled out if its estimate is this much below the threshold: five standard errors of 480 registers, or,
 #: for the ties of buckets, enough to cut chance meetings only.
 MARGIN, LOOSE = 0.10, 0.30
-#: Documents of a cluster that meet at once.
+#: Rounds of ties to the least member; what the last one cuts meets pair by pair.
+STARS = 2
+#: Documents of a cluster, or of a bucket, that meet at once.
 BLOCK = 256
 #: Ids that are broadcast at most (8 bytes each and some); beyond, the texts are shuffled to them.
 BROADCAST_IDS = 1_000_000
@@ -183,26 +186,59 @@ def signatures(docs: DataFrame, words: int, id_col: str, text_col: str) -> DataF
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(make, "doc_id long, key binary, n long, registers binary")
 
 
-def _likely(pairs: DataFrame, least: float) -> DataFrame:
-    """(a, b) of the pairs (a, b, n_a, n_b, r_a, r_b) whose estimate is at least `least`."""
+def _judged(ties: DataFrame, least: float) -> DataFrame:
+    """(a, b, bands, ok) of the ties (a, b, bands, n_a, n_b, r_a, r_b): ok if the estimate is at least `least`."""
 
-    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if not batch.num_rows:
                 continue
-            r = [np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(batch.num_rows, -1) for c in (4, 5)]
-            n = [np.asarray(batch.column(c)) for c in (2, 3)]
+            r = [np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(batch.num_rows, -1) for c in (5, 6)]
+            n = [np.asarray(batch.column(c)) for c in (3, 4)]
             ok = estimate((r[0] == r[1]).sum(1), (r[0] > r[1]).sum(1), *n) >= least
-            yield batch.select([0, 1]).filter(pa.array(ok))
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(ok)], ["a", "b", "bands", "ok"])
 
-    return pairs.select("a", "b", "n_a", "n_b", "r_a", "r_b").mapInArrow(keep, "a long, b long")
+    return ties.select("a", "b", "bands", "n_a", "n_b", "r_a", "r_b").mapInArrow(judge, "a long, b long, bands long, ok boolean")
 
 
-def _links_in_block(rep: np.ndarray, side: np.ndarray, n: np.ndarray, regs: np.ndarray, sets: list[np.ndarray], threshold: int, alone: bool) -> list[tuple[int, int]]:
+def _ties(reps: DataFrame, threshold: int) -> DataFrame:
+    """(a, b): ties between rows of reps (node, n, registers). Two that share a band and may be similar are tied, if by way of others.
+
+    A bucket's least node names it, with the band: of a band, a node has one value.
+    """
+    side = lambda end: reps.select(F.col("node").alias(end), F.col("n").alias(f"n_{end}"), F.col("registers").alias(f"r_{end}"))
+    bands = F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda i: F.substring(F.col("registers"), i * ROWS + 1, F.lit(ROWS)))
+    posts, keys, kept = reps.select("node", F.posexplode(bands).alias("band", "value")), ["band", "value"], None
+    for _ in range(STARS):
+        buckets = posts.groupBy(*keys).agg(F.min("node").alias("a"), F.max("node").alias("z")).where("a <> z").drop("z")
+        ties = posts.join(buckets, keys).where("node <> a").groupBy("a", F.col("node").alias("b")).agg(F.expr("bit_or(shiftleft(1L, band))").alias("bands"))
+        judged = cut(_judged(cut(ties, "ties").join(side("a"), "a").join(side("b"), "b"), threshold / 100 - LOOSE), "judged")
+        found = judged.where("ok").select("a", "b")
+        kept = found if kept is None else kept.unionByName(found)
+        at = F.explode(F.filter(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda i: F.col("bands").bitwiseAND(F.call_function("shiftleft", F.lit(1).cast("long"), i)) != 0))
+        # Those that a bucket's least member does not hold are a bucket of their own.
+        posts = judged.where("NOT ok").select(F.col("a").alias("value"), at.alias("band"), F.col("b").alias("node"))
+    left = posts.join(posts.groupBy(*keys).agg(F.count("*").alias("many")).where("many > 1"), keys)
+    left = cut(left.select("band", "value", "node", F.ceil(F.col("many") / BLOCK).cast("int").alias("chunks")), "cut")
+    blocks = _dealt(left.join(reps.select("node", "n", "registers"), "node"), "node", keys).withColumnRenamed("node", "rep")
+    return kept.unionByName(_block_links(blocks, threshold, keys))
+
+
+def _similar(a: np.ndarray, b: np.ndarray, threshold: int) -> bool:
+    if len(a) > len(b):
+        a, b = b, a
+    place = np.searchsorted(b, a)
+    place[place == len(b)] = 0
+    both = int((b[place] == a).sum())
+    return 100 * both >= threshold * (len(a) + len(b) - both)
+
+
+def _links_in_block(rep: np.ndarray, side: np.ndarray, n: np.ndarray, regs: np.ndarray, sets: list[np.ndarray] | None, threshold: int, alone: bool) -> list[tuple[int, int]]:
     """Links that join what is similar in a block. alone: members meet each other; else side 0 meets side 1.
 
     Rows that links already join are not compared again, so the links are enough for the
-    components, no more. 100 * intersection >= threshold * union decides, on whole sets.
+    components, no more. 100 * intersection >= threshold * union decides, on whole sets; without sets,
+    all that registers do not rule out is linked.
     """
     group, links = np.arange(len(rep)), []
     regs16 = regs.astype(np.int16)
@@ -226,27 +262,21 @@ def _links_in_block(rep: np.ndarray, side: np.ndarray, n: np.ndarray, regs: np.n
         for k in at:
             if group[k] == group[i]:
                 continue
-            a, b = sets[i], sets[k]
-            if len(a) > len(b):
-                a, b = b, a
-            place = np.searchsorted(b, a)
-            place[place == len(b)] = 0
-            both = int((b[place] == a).sum())
-            if 100 * both >= threshold * (len(a) + len(b) - both):
+            if sets is None or _similar(sets[i], sets[k], threshold):
                 links.append((int(rep[i]), int(rep[k])))
                 group[group == group[k]] = group[i]
     return links
 
 
-def _block_links(blocks: DataFrame, threshold: int) -> DataFrame:
-    """(a, b): the links of every block. Rows come in order of block; a block's rows are held, no more."""
+def _block_links(blocks: DataFrame, threshold: int, group: list[str]) -> DataFrame:
+    """(a, b): the links of every block of a group. Rows come in order of block; a block's rows are held, no more. Without hashes, registers decide."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: pa.Table | None = None
 
         def solve(t: pa.Table) -> list[tuple[int, int]]:
             regs = np.frombuffer(b"".join(t["registers"].to_pylist()), np.uint8).reshape(t.num_rows, -1)
-            sets = [np.frombuffer(x, np.uint64) for x in t["hashes"].to_pylist()]
+            sets = [np.frombuffer(x, np.uint64) for x in t["hashes"].to_pylist()] if "hashes" in t.column_names else None
             chunk = np.asarray(t["chunk"])
             return _links_in_block(np.asarray(t["rep"]), (chunk != chunk.min()).astype(np.int8), np.asarray(t["n"]), regs, sets, threshold, t["i"][0].as_py() == t["j"][0].as_py())
 
@@ -254,7 +284,7 @@ def _block_links(blocks: DataFrame, threshold: int) -> DataFrame:
             return pa.RecordBatch.from_arrays([pa.array([x[0] for x in found], pa.int64()), pa.array([x[1] for x in found], pa.int64())], ["a", "b"])
 
         def split(t: pa.Table) -> list[int]:
-            keys = [np.asarray(t[c]) for c in ("cluster", "i", "j")]
+            keys = [np.asarray(t[c]) for c in (*group, "i", "j")]
             return [0, *(np.flatnonzero(np.any([k[1:] != k[:-1] for k in keys], axis=0)) + 1).tolist(), t.num_rows]
 
         for batch in batches:
@@ -287,18 +317,13 @@ def linked(docs: DataFrame, words: int = 2, threshold: int = 80, id_col: str = "
     # Equal word sequences are one class; its least id stands for it.
     classes = named.groupBy("key").agg(F.min("doc_id").alias("rep"))
     reps = named.groupBy("key").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("registers").alias("registers"))
-    reps = cut(reps.groupBy("rep", "key").agg(F.first("n").alias("n"), F.first("registers").alias("registers")), "representatives")
+    reps = reps.groupBy("rep", "key").agg(F.first("n").alias("n"), F.first("registers").alias("registers"))
+    # An id may stand for several texts; each has a number of its own.
+    reps = cut(reps.withColumn("node", F.monotonically_increasing_id()), "representatives")
+    clusters = components(_ties(reps, threshold), "clusters").withColumnRenamed("node", "member")
 
-    bands = F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda i: F.substring(F.col("registers"), i * ROWS + 1, F.lit(ROWS)))
-    posts = reps.select("rep", F.posexplode(bands).alias("band", "value"))
-    buckets = posts.groupBy("band", "value").agg(F.min("rep").alias("a"), F.max("rep").alias("z")).where("a <> z").drop("z")
-    ties = cut(posts.join(buckets, ["band", "value"]).where("rep <> a").groupBy("a", F.col("rep").alias("b")).agg(F.lit(1).alias("one")).select("a", "b"), "ties")
-    one = reps.groupBy("rep").agg(F.first("n").alias("n"), F.first("registers").alias("registers"))
-    side = lambda end: one.select(F.col("rep").alias(end), F.col("n").alias(f"n_{end}"), F.col("registers").alias(f"r_{end}"))
-    clusters = components(_likely(ties.join(side("a"), "a").join(side("b"), "b"), threshold / 100 - LOOSE), "clusters")
-
-    clusters = cut(clusters.join(reps, F.col("node") == F.col("rep")).select("rep", "key", "n", "registers", F.col("component").alias("cluster")), "clustered")
-    links = _block_links(_blocks(docs, clusters, words, id_col, text_col), threshold)
+    clusters = cut(clusters.join(reps, F.col("member") == F.col("node")).select("rep", "key", "n", "registers", F.col("component").alias("cluster")), "clustered")
+    links = _block_links(_blocks(docs, clusters, words, id_col, text_col), threshold, ["cluster"])
 
     # Texts of one id are one document too.
     twice = named.groupBy("doc_id").agg(F.min("key").alias("k"), F.max("key").alias("z")).where("k <> z")
@@ -327,11 +352,17 @@ def _blocks(docs: DataFrame, clusters: DataFrame, words: int, id_col: str, text_
     hashes = wanted.mapInArrow(make, "doc_id long, key binary, hashes binary")
     full = clusters.join(hashes.withColumnRenamed("key", "k"), (F.col("rep") == F.col("doc_id")) & (F.col("key") == F.col("k"))).dropDuplicates(["rep", "key"])
     sizes = clusters.groupBy("cluster").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("chunks")).withColumnRenamed("cluster", "c")
-    dealt = full.join(sizes, F.col("cluster") == F.col("c")).withColumn("chunk", F.pmod(F.xxhash64("rep"), F.col("chunks")).cast("int"))
+    dealt = _dealt(full.join(sizes, F.col("cluster") == F.col("c")), "rep", ["cluster"])
+    return dealt.select("cluster", "i", "j", "chunk", "rep", "n", "registers", "hashes")
+
+
+def _dealt(rows: DataFrame, member: str, group: list[str]) -> DataFrame:
+    """rows, dealt into pairs (i, j) of their group's chunks and sorted by them; each goes to as many pairs as there are chunks."""
+    dealt = rows.withColumn("chunk", F.pmod(F.xxhash64(member), F.col("chunks")).cast("int"))
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
-    dealt = dealt.select("cluster", F.least("chunk", "other").alias("i"), F.greatest("chunk", "other").alias("j"), "chunk", "rep", "n", "registers", "hashes")
-    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return dealt.repartition(parts, "cluster", "i", "j").sortWithinPartitions("cluster", "i", "j", "rep")
+    dealt = dealt.withColumn("i", F.least("chunk", "other")).withColumn("j", F.greatest("chunk", "other"))
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return dealt.repartition(parts, *group, "i", "j").sortWithinPartitions(*group, "i", "j", member)
 
 
 def deduplicated(docs: DataFrame, words: int = 2, threshold: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -146,6 +146,38 @@ def test_mixing_hits_targets(spark, sf):
     assert all(abs(t - taken) <= most for t, taken, most in by.values())
 
 
+def test_near_dup_behind_other_members_of_a_bucket(spark):
+    rng, hasher = np.random.default_rng(5), near_dup.Hasher()
+    words = [f"w{rng.integers(1 << 40):x}" for _ in range(400)]
+    pair = [" ".join(words), " ".join([*words[:365], *(f"x{i}" for i in range(35))])]
+    b, c = (hasher.registers(h).reshape(near_dup.BANDS, -1) for h in hasher.shingles([x.encode() for x in pair]))
+    grams = [f"{u} {v}" for u, v in zip(words[:365], words[1:365], strict=False)]
+    each = np.array([hasher.registers(h) for h in hasher.shingles([g.encode() for g in grams])]).reshape(len(grams), near_dup.BANDS, -1)
+    rows = []
+    # In each band that the pair shares, four texts of lower id, of a few of its shingles, have the same registers.
+    for band in np.flatnonzero((b == c).all(1)):
+        need = [grams[int(np.argmax(each[:, band, r] == b[band, r]))] for r in range(near_dup.ROWS)]
+        end = len(rows) + 4
+        while len(rows) < end:
+            text = " ".join(rng.permutation([*need, *(f"y{rng.integers(1 << 40):x}" for _ in range(2))]))
+            if (hasher.registers(hasher.shingles([text.encode()])[0]).reshape(near_dup.BANDS, -1)[band] == b[band]).all():
+                rows.append((len(rows), text))
+    assert len(rows) >= 8
+    df = spark.createDataFrame([*rows, (9000, pair[0]), (9001, pair[1])], "doc_id long, text string")
+    got = {r["doc_id"]: r["component_id"] for r in near_dup.linked(df).collect()}
+    assert got[9001] == got[9000] == 9000
+    ties = near_dup._ties(near_dup.signatures(df, 2, "doc_id", "text").withColumnRenamed("doc_id", "node"), 80)
+    assert {tuple(sorted(r)) for r in ties.where("b >= 9000").collect()} == {(9000, 9001)}
+
+
+def test_near_dup_each_text_of_an_id(spark):
+    rng = np.random.default_rng(6)
+    texts = [" ".join(f"w{rng.integers(1 << 40):x}" for _ in range(200)) for _ in range(3)]
+    rows = [(1, x) for x in texts] + [(2 + i, f"{x} more") for i, x in enumerate(texts)]
+    got = near_dup.linked(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {r["component_id"] for r in got} == {1}
+
+
 @pytest.mark.parametrize("name", ["op7_decontamination", "op10_mixing"])
 def test_sql(spark, sf, name):
     import duckdb
