@@ -4,7 +4,9 @@ A document's windows are as long, in words, as the benchmark items. A window tha
 item of its length has similarity 0 to all, so windows are laid where a shingle of the document
 is a shingle of an item, and in line with it. Windows and items get 64-bit SimHash fingerprints of their
 words. Fingerprints are cut into one block more than the radius: two within the radius agree in a whole
-block, so joins on blocks find all of them. The weighted similarity of the whole shingle sets decides.
+block, so joins on blocks find all of them. Some similar windows are further apart than the radius, so windows that
+hold one of an item's rarest shingles, of which a similar one can't lack all, are candidates too. The weighted similarity
+of the whole shingle sets decides.
 All of it is DataFrame code.
 """
 
@@ -17,7 +19,7 @@ from .common import cut, read_table
 
 #: Words of a shingle; the least similarity; a shingle's weight is how often it occurs.
 SHINGLE, THRESHOLD = 5, 80
-#: Bits by which fingerprints may differ. At the threshold, one or two words of an item differ, some five bits.
+#: Bits by which fingerprints may differ. It proves nothing about similarity: what is further apart comes by rare shingles.
 RADIUS = 15
 BLOCK_BITS = 64 // (RADIUS + 1)
 #: Rows of benchmark shingles, or of ids, that are broadcast at most; a larger table is shuffled.
@@ -74,6 +76,20 @@ def benchmark_items(benchmark: DataFrame, id_col: str = "item_id", text_col: str
     return h.select("item_id", "length", _shingles_of_item(F.col("length"), F.col("hashes")).alias("shingles"), fingerprint(F.col("hashes")).alias("fingerprint"))
 
 
+def rare_shingles(items: DataFrame, threshold: int) -> DataFrame:
+    """(item_id, length, h): an item's rarest shingles, so many that a window of the threshold's similarity has one of them.
+
+    Such a window shares a weight of threshold percent of the item's at least, so it lacks fewer of the item's
+    shingles than are listed here. Rare: in few items of that length.
+    """
+    each = items.select("item_id", "length", "shingles", F.posexplode("shingles").alias("offset", "h"))
+    often = items.select("length", F.explode(F.array_distinct("shingles")).alias("h")).groupBy("length", "h").agg(F.count("*").alias("items"))
+    ranked = each.join(often, ["length", "h"]).groupBy("item_id", "length", "shingles").agg(F.array_sort(F.collect_list(F.struct("items", "h", "offset"))).alias("r"))
+    n = F.size("shingles")
+    most = n - F.ceil(n * threshold / 100).cast("int") + 1
+    return ranked.select("item_id", "length", F.explode(F.slice("r", F.lit(1), F.greatest(F.lit(1), most))).alias("e")).select("item_id", "length", "e.h").distinct()
+
+
 def contaminations(docs: DataFrame, benchmark: DataFrame, threshold: int = THRESHOLD, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id") -> DataFrame:
     """(doc_id, text_hash, item_id, contaminated, similarity, start, length): one row for each document and item that match.
 
@@ -115,7 +131,11 @@ def contaminations(docs: DataFrame, benchmark: DataFrame, threshold: int = THRES
     left = laid.select("doc_id", "text_hash", "start", "length", F.col("f"), _blocks("f")).select("*", "b.block", "b.bits").drop("b")
     right = items.select("item_id", "length", F.col("fingerprint").alias("g"), _blocks("fingerprint")).select("*", "b.block", "b.bits").drop("b")
     near = left.join(F.broadcast(right) if n_seeds <= BROADCAST_ROWS else right, ["length", "block", "bits"])
-    near = near.where(F.bit_count(F.col("f").bitwiseXOR(F.col("g"))) <= RADIUS).select("doc_id", "text_hash", "start", "length", "item_id").distinct()
+    near = near.where(F.bit_count(F.col("f").bitwiseXOR(F.col("g"))) <= RADIUS).select("doc_id", "text_hash", "start", "length", "item_id")
+    held = laid.select("doc_id", "text_hash", "start", "length", F.explode(F.array_distinct("w")).alias("h"))
+    rare = rare_shingles(items, threshold)
+    by_rare = held.join(F.broadcast(rare) if small else rare, ["length", "h"]).select("doc_id", "text_hash", "start", "length", "item_id")
+    near = near.unionByName(by_rare).distinct()
 
     weights = items.select(F.col("item_id").alias("i"), F.col("shingles").alias("v"))
     pairs = near.join(F.broadcast(weights) if small else weights, F.col("item_id").eqNullSafe(F.col("i"))).alias("p")

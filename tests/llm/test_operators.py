@@ -258,6 +258,15 @@ def test_decontamination(spark, docs, none):
     assert [(r["doc_id"], r["item_id"]) for r in contaminations(short, bench).collect()] == [(1, 4)]
 
 
+def test_decontamination_at_the_threshold(spark):
+    rng = np.random.default_rng(7)
+    items = [[f"w{rng.integers(1 << 40):x}" for _ in range(40)] for _ in range(600)]
+    bench = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(items)], "item_id long, text string")
+    docs = spark.createDataFrame([(i, " ".join([*w[:36], *(f"x{i}y{j}" for j in range(4))])) for i, w in enumerate(items)], "doc_id long, text string")
+    got = contaminations(docs, bench).collect()
+    assert {(r["doc_id"], r["item_id"], r["similarity"]) for r in got} == {(i, i, 0.8) for i in range(600)}
+
+
 PATTERNS = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
 
 
