@@ -11,7 +11,7 @@ from .operators.reorder import edges, greedy_order, reordered
 from .operators.sketch import SketchParams, mean_size, sketch
 from .sources import index as I  # noqa: E741
 from .sources.results import write_lines
-from .sources.sequences import read_file_list, read_records
+from .sources.sequences import count_listed, read_file_list, read_records
 
 
 def parser() -> argparse.ArgumentParser:
@@ -48,7 +48,7 @@ def _index(spark: SparkSession, a: argparse.Namespace, fof: str | None, fasta: s
     e = a.e_size or (mean_size(docs).first()["e"] if a.sketch_mode == "perfect" else 5_000_000)
     params = SketchParams(a.k_size, a.s_size, a.w_size, e, a.sketch_mode)
     sk = sketch(docs, params)
-    return I.build(docs, sk, params), sk
+    return I.build(docs, sk, params, count_listed(spark, fof) if fof else None), sk
 
 
 def main(args: list[str] | None = None, spark: SparkSession | None = None) -> None:
@@ -60,7 +60,7 @@ def main(args: list[str] | None = None, spark: SparkSession | None = None) -> No
             cells, s = C.first_positions(sk, found.params.s, a.reorder_sample)
             docs = sk.select("gid").distinct()
             order = greedy_order(docs, edges(C.compare_self(cells, s, a.reorder_threshold), a.reorder_threshold))
-            found = I.Index(I.postings(reordered(sk, order)), found.params, found.n_docs, found.n_empty, order)
+            found = I.Index(I.postings(reordered(sk, order)), found.params, found.n_docs, found.n_empty, order, found.n_ids)
         I.save(found, a.output)
         return
     sides = {}
@@ -75,13 +75,12 @@ def main(args: list[str] | None = None, spark: SparkSession | None = None) -> No
     if a.print_stats:
         ref.stats().show()
     s = ref.params.s
-    names = lambda x: spark.range(x.n_docs).withColumnRenamed("id", "gid")
     if a.matrix:
         hits = C.compare(query.sketch(), ref.sketch(), s, a.threshold)
-        lines = C.matrix_lines(C.matrix(hits, names(query), names(ref), a.threshold))
+        lines = C.matrix_lines(C.matrix(hits, query.ids(), ref.ids(), a.threshold))
     else:
         hits = C.compare(query.sketch(), ref.sketch(), s, a.threshold) if "query" in sides else C.compare_self(ref.sketch(), s, a.threshold)
-        lines = C.sparse_lines(hits, names(query))
+        lines = C.sparse_lines(hits, query.ids())
     write_lines(lines, a.output, "zstd" if a.zstd_level else "none")
 
 

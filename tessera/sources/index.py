@@ -19,6 +19,12 @@ class Index:
     n_docs: int
     n_empty: int
     order: DataFrame | None = None
+    #: Ids are below it: lines of a list count, even those without a document. None: n_docs.
+    n_ids: int | None = None
+
+    def ids(self) -> DataFrame:
+        """(gid): every id, with or without rows."""
+        return self.postings.sparkSession.range(self.n_docs if self.n_ids is None else self.n_ids).withColumnRenamed("id", "gid")
 
     def sketch(self) -> DataFrame:
         """(gid, pos, fp), as it was indexed."""
@@ -49,15 +55,15 @@ def undeltas(p: DataFrame) -> DataFrame:
     return p.select("pos", "fp", "n", F.aggregate("deltas", F.array().cast("array<bigint>"), grow).alias("gids"))
 
 
-def build(docs: DataFrame, sk: DataFrame, params: SketchParams) -> Index:
+def build(docs: DataFrame, sk: DataFrame, params: SketchParams, n_ids: int | None = None) -> Index:
     n = docs.select("gid").distinct().count()
-    return Index(postings(sk), params, n, n - sk.select("gid").distinct().count())
+    return Index(postings(sk), params, n, n - sk.select("gid").distinct().count(), n_ids=n_ids)
 
 
 def save(index: Index, path: str) -> None:
     """path/meta, path/postings (dealt and sorted by position, so that a filter on it skips row groups) and, if reordered, path/order."""
     spark = index.postings.sparkSession
-    meta = asdict(index.params) | {"n_docs": index.n_docs, "n_empty": index.n_empty}
+    meta = asdict(index.params) | {"n_docs": index.n_docs, "n_empty": index.n_empty, "n_ids": index.n_docs if index.n_ids is None else index.n_ids}
     spark.createDataFrame([meta]).coalesce(1).write.json(f"{path}/meta")
     index.postings.repartitionByRange("pos", "fp").sortWithinPartitions("pos", "fp").write.option("compression", "zstd").parquet(f"{path}/postings")
     if index.order is not None:
@@ -69,4 +75,4 @@ def load(spark: SparkSession, path: str, has_order: bool = False) -> Index:
     m = spark.read.json(f"{path}/meta").first().asDict()
     params = SketchParams(**{k: m[k] for k in ("k", "ls", "w", "e", "mode", "densify")})
     order = spark.read.parquet(f"{path}/order") if has_order else None
-    return Index(spark.read.parquet(f"{path}/postings"), params, m["n_docs"], m["n_empty"], order)
+    return Index(spark.read.parquet(f"{path}/postings"), params, m["n_docs"], m["n_empty"], order, m.get("n_ids"))

@@ -67,12 +67,21 @@ def read_records(spark: SparkSession, path: str) -> DataFrame:
     return _files(spark, [path]).select("content").mapInArrow(parse, "gid long, name string, seq string")
 
 
+def _listed(spark: SparkSession, path: str) -> list[str]:
+    return plain(bytes(_files(spark, [path]).first()["content"])).decode().splitlines()
+
+
+def count_listed(spark: SparkSession, path: str) -> int:
+    """Lines of a list of files; each takes an id."""
+    return len(_listed(spark, path))
+
+
 def read_file_list(spark: SparkSession, path: str) -> DataFrame:
     """(gid, rec, seq): each line of a list names a file, which is one document; its records keep apart.
 
     The list may be compressed. A blank line or a path that can't be read takes its id and has no rows.
     """
-    listed = plain(bytes(_files(spark, [path]).first()["content"])).decode().splitlines()
+    listed = _listed(spark, path)
     named = spark.createDataFrame([(i, p.strip()) for i, p in enumerate(listed)] or [(0, "")], "gid long, file string").where("file <> ''")
     there = [r["file"] for r in named.collect() if _exists(spark, r["file"])]
     if not there:

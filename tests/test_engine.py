@@ -196,3 +196,16 @@ def test_command_line(spark, tmp_path):
     assert [r["value"] for r in spark.read.text(str(tmp_path / "o")).orderBy("value").collect()] == LINES
     with pytest.raises(ValueError):
         cli.main(["compare", "--ref-sketch", str(tmp_path / "i"), "--query-fasta", str(tmp_path / "x.fa"), "-k", "6", "-s", "3", "-w", "8", "-o", str(tmp_path / "p")], spark)
+
+
+def test_command_line_keeps_ids_behind_missing_files(spark, tmp_path):
+    for i in (0, 3):
+        (tmp_path / f"{i}.fa").write_text(f">x\n{SEQS[0]}\n")
+    (tmp_path / "list").write_text(f"{tmp_path}/0.fa\n\n{tmp_path}/missing\n{tmp_path}/3.fa\n")
+    size = ["-k", "5", "-s", "3", "-w", "8"]
+    cli.main(["sketch", "--input-fof", str(tmp_path / "list"), "-o", str(tmp_path / "i"), *size], spark)
+    for name, side, more in (("stored", ["--query-sketch", str(tmp_path / "i")], []), ("direct", ["--query-fof", str(tmp_path / "list")], []), ("matrix", ["--query-sketch", str(tmp_path / "i")], ["--matrix"])):
+        cli.main(["compare", "--ref-sketch", str(tmp_path / "i"), *side, *size, *more, "-o", str(tmp_path / name), "--zstd-level", "0"], spark)
+    read = lambda name: [r["value"] for r in spark.read.text(str(tmp_path / name)).orderBy("value").collect()]
+    assert read("stored") == read("direct") == ["query_0\t0:1.0000,3:1.0000", "query_1\t", "query_2\t", "query_3\t0:1.0000,3:1.0000"]
+    assert read("matrix")[3] == "query_3\t1.0000,0.0000,0.0000,1.0000" and len(read("matrix")) == 4
