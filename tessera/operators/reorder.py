@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Edges that the chain, a walk of one step a document, takes to the driver at most.
-MOST_EDGES = 5_000_000
+from ..sources.work import cut, numbered
+from .components import components
+
+#: Edges of one component, whose walk is one task's, at most.
+MOST_EDGES = 50_000_000
 
 
 def edges(hits: DataFrame, least: float) -> DataFrame:
@@ -33,30 +38,52 @@ def best_neighbours(e: DataFrame) -> DataFrame:
     return m.select("idx", F.col("m.dst").alias("best"), (-F.col("m.s")).alias("sim4"))
 
 
+def _walk(src: np.ndarray, dst: np.ndarray, sim: np.ndarray, idx: np.ndarray, weight: np.ndarray) -> pd.DataFrame:
+    """(weight4, start, place, node): the walk of one component, cut into segments at its jumps; a segment has its start's weight."""
+    by = np.lexsort((dst, -sim, src))
+    src, dst = src[by], dst[by]
+    names, first = np.unique(src, return_index=True)
+    span = dict(zip(names.tolist(), zip(first.tolist(), [*first[1:].tolist(), len(src)], strict=True), strict=True))
+    near, heavy = dst.tolist(), idx[np.lexsort((idx, weight))[::-1]].tolist()
+    weigh, seen, out = dict(zip(idx.tolist(), weight.tolist(), strict=True)), set(), []
+    for start in heavy:
+        at, place = start if start not in seen else None, 0
+        while at is not None:
+            seen.add(at)
+            out.append((weigh[start], start, place, at))
+            place += 1
+            lo, hi = span.get(at, (0, 0))
+            at = next((near[k] for k in range(lo, hi) if near[k] not in seen), None)
+    return pd.DataFrame(out, columns=["weight4", "start", "place", "node"])
+
+
 def greedy_order(docs: DataFrame, e: DataFrame, most_edges: int = MOST_EDGES) -> DataFrame:
     """(new_gid, old_gid): start at the heaviest document, go to the best unvisited neighbour, else jump to the heaviest unvisited one.
 
-    One step follows from the one before, so the thresholded edges go to the driver; more than
-    most_edges of them are an error, not a cut.
+    A walk only jumps out of a component, and what it does in one depends on no other. So each component is walked in a task of its own, and the
+    segments between jumps, sorted by their start's weight and id, highest first, are the whole walk. A component of more than most_edges
+    edges is an error, not a cut.
     """
-    best = e.groupBy("src", "dst").agg(F.max("sim4").alias("sim4"))
-    if best.count() > most_edges:
-        raise ValueError("too many edges for a greedy order; raise the least similarity")
-    near: dict[int, list[tuple[int, int]]] = {}
-    for r in best.collect():
-        near.setdefault(r["src"], []).append((-r["sim4"], r["dst"]))
-    for x in near.values():
-        x.sort()
-    heavy = sorted(((r["weight4"], r["idx"]) for r in node_weights(docs, e).collect()), reverse=True)
-    seen: set[int] = set()
-    order, at, jump = [], None, iter(heavy)
-    while len(order) < len(heavy):
-        if at is None:
-            at = next(i for _, i in jump if i not in seen)
-        seen.add(at)
-        order.append(at)
-        at = next((d for _, d in near.get(at, ()) if d not in seen), None)
-    return docs.sparkSession.createDataFrame(list(enumerate(order)), "new_gid long, old_gid long")
+    best = cut(e.groupBy("src", "dst").agg(F.max("sim4").alias("sim4")), "edges")
+    part = cut(components(best.select(F.col("src").alias("a"), F.col("dst").alias("b")), "parts"), "parts")
+    weights = cut(node_weights(docs, e).join(part, F.col("idx") == F.col("node"), "left").select("idx", "weight4", "component"), "weights")
+    owned = best.join(part, F.col("src") == F.col("node")).select("component", "src", "dst", "sim4")
+    largest = owned.groupBy("component").count().agg(F.max("count")).first()[0] or 0
+    if largest > most_edges:
+        raise ValueError(f"a component has {largest} edges, {most_edges} at most can be walked; raise the least similarity")
+
+    def walk(x: pd.DataFrame, w: pd.DataFrame) -> pd.DataFrame:
+        return _walk(x["src"].to_numpy(), x["dst"].to_numpy(), x["sim4"].to_numpy(), w["idx"].to_numpy(), w["weight4"].to_numpy())
+
+    inside = weights.where("component IS NOT NULL")
+    walked = owned.groupBy("component").cogroup(inside.groupBy("component")).applyInPandas(walk, "weight4 long, start long, place long, node long")
+    alone = weights.where("component IS NULL").select("weight4", F.col("idx").alias("start"), F.lit(0).cast("long").alias("place"), F.col("idx").alias("node"))
+    return numbered(walked.unionByName(alone), F.desc("weight4"), F.desc("start"), "place", name="new_gid").select("new_gid", F.col("node").alias("old_gid"))
+
+
+def preview(order: DataFrame, n: int = 8) -> DataFrame:
+    """The first n rows of an order."""
+    return order.orderBy("new_gid").limit(n)
 
 
 def reordered(sk: DataFrame, order: DataFrame) -> DataFrame:
