@@ -9,10 +9,10 @@ import numpy as np
 # The published ntHash seeds of A, C, G, T.
 SEEDS = {"A": 0x3C8BFBB395C60474, "C": 0x3193C18562A02B4C, "G": 0x20323ED082572324, "T": 0x295549F54BE24456}
 
-_RUN = re.compile("[ACGT]+")
+_RUN = re.compile("[ACGTacgt]+")
 _OF, _COMP = np.zeros(256, np.uint64), np.zeros(256, np.uint64)
-for _base, _other in zip("ACGT", "TGCA", strict=True):
-    _OF[ord(_base)], _COMP[ord(_base)] = SEEDS[_base], SEEDS[_other]
+for _base, _other in zip("ACGTacgt", "TGCAtgca", strict=True):
+    _OF[ord(_base)], _COMP[ord(_base)] = SEEDS[_base.upper()], SEEDS[_other.upper()]
 
 
 def rol(x: np.ndarray, n: np.ndarray) -> np.ndarray:
@@ -22,7 +22,7 @@ def rol(x: np.ndarray, n: np.ndarray) -> np.ndarray:
 
 def runs(seq: str | None) -> list[str]:
     """Maximal runs of A, C, G, T in either case, upper-cased."""
-    return _RUN.findall((seq or "").upper())
+    return [r.upper() for r in _RUN.findall(seq or "")]
 
 
 def run_hashes(run: str, k: int) -> np.ndarray:
@@ -42,3 +42,22 @@ def kmer_hashes(seq: str | None, k: int) -> np.ndarray:
     """Of all runs; k-mers never span two."""
     parts = [run_hashes(r, k) for r in runs(seq)]
     return np.concatenate(parts) if parts else np.empty(0, np.uint64)
+
+
+def many_kmer_hashes(seqs: list[str | None], k: int) -> tuple[np.ndarray, np.ndarray]:
+    """(owner, hash) of all k-mers of many sequences, in order, in one pass: owner is the number of the sequence. The same hashes as kmer_hashes()."""
+    parts = [(s or "").encode("utf-8", "surrogatepass") for s in seqs]
+    codes = np.frombuffer(b"\n".join(parts), np.uint8)
+    n = len(codes)
+    if n < k:
+        return np.empty(0, np.int64), np.empty(0, np.uint64)
+    t = np.arange(n)
+    p, q, odd = np.zeros(n + 1, np.uint64), np.zeros(n + 1, np.uint64), np.zeros(n + 1, np.int64)
+    forward, back = _OF[codes], _COMP[codes]
+    np.cumsum(forward == 0, out=odd[1:])
+    np.bitwise_xor.accumulate(rol(forward, -t % 64), out=p[1:])
+    np.bitwise_xor.accumulate(rol(back, t % 64), out=q[1:])
+    i = np.flatnonzero(odd[k:] == odd[:-k])  # windows without a byte that is no base
+    h = np.minimum(rol(p[i + k] ^ p[i], (i + k - 1) % 64), rol(q[i + k] ^ q[i], -i % 64))
+    ends = np.cumsum([len(x) + 1 for x in parts])
+    return np.searchsorted(ends, i, "right"), h

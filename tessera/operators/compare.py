@@ -7,6 +7,11 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.work import cut
+
+#: Matches in the first positions that make a pair a candidate.
+HEAD_MATCHES = 4
+
 
 def min_matches(threshold: float, s: int) -> int:
     return math.ceil(threshold * s) if threshold > 0 else 0
@@ -18,15 +23,31 @@ def first_positions(sk: DataFrame, s: int, n: int) -> tuple[DataFrame, int]:
 
 
 def classes(sk: DataFrame) -> DataFrame:
-    """(gid, rep): documents whose sketches are equal throughout share the least id. Copies then meet once, not pair by pair."""
-    cell = F.struct("pos", "fp")
-    whole = sk.groupBy("gid").agg(F.sha2(F.array_sort(F.collect_list(cell)).cast("string").cast("binary"), 256).alias("sig"))
-    return whole.join(whole.groupBy("sig").agg(F.min("gid").alias("rep")), "sig").select("gid", "rep")
+    """(gid, rep): documents whose sketches are equal throughout share the least id. Copies then meet once, not pair by pair.
+
+    A sketch's signature is made of sums over its cells that do not depend on their order: the number of cells and two XORs of 64-bit hashes.
+    """
+    signs = [F.bit_xor(F.xxhash64("pos", "fp", F.lit(seed))).alias(f"x{seed}") for seed in (1, 2)]
+    whole = sk.groupBy("gid").agg(F.count("*").alias("cells"), *signs)
+    key = ["cells", "x1", "x2"]
+    return whole.join(whole.groupBy(*key).agg(F.min("gid").alias("rep")), key).select("gid", "rep")
 
 
-def _counts(q: DataFrame, r: DataFrame) -> DataFrame:
+def _counts(q: DataFrame, r: DataFrame, half: bool = False) -> DataFrame:
+    """half: pairs of one table, each once."""
     a, b = q.select("pos", "fp", F.col("gid").alias("qid")), r.select("pos", "fp", F.col("gid").alias("rid"))
-    return a.join(b, ["pos", "fp"]).groupBy("qid", "rid").agg(F.count("*").alias("matches"))
+    met = a.join(b, ["pos", "fp"])
+    return (met.where("qid <= rid") if half else met).groupBy("qid", "rid").agg(F.count("*").alias("matches"))
+
+
+def _reps(sk: DataFrame, c: DataFrame) -> DataFrame:
+    return sk.join(c.where("gid = rep").select("gid"), "gid", "left_semi")
+
+
+def _members(found: DataFrame, cq: DataFrame, cr: DataFrame) -> DataFrame:
+    """Pairs of representatives, spread over the members of their classes."""
+    out = found.join(cq.select(F.col("gid").alias("q"), F.col("rep").alias("qid")), "qid").join(cr.select(F.col("gid").alias("r"), F.col("rep").alias("rid")), "rid")
+    return out.select(F.col("q").alias("qid"), F.col("r").alias("rid"), "matches")
 
 
 def pair_counts(query: DataFrame, ref: DataFrame) -> DataFrame:
@@ -34,11 +55,8 @@ def pair_counts(query: DataFrame, ref: DataFrame) -> DataFrame:
 
     The join runs between class representatives; members are put in their places afterwards.
     """
-    cq, cr = classes(query), classes(ref)
-    reps = lambda sk, c: sk.join(c.where("gid = rep").select("gid"), "gid", "left_semi")
-    found = _counts(reps(query, cq), reps(ref, cr))
-    out = found.join(cq.select(F.col("gid").alias("q"), F.col("rep").alias("qid")), "qid").join(cr.select(F.col("gid").alias("r"), F.col("rep").alias("rid")), "rid")
-    return out.select(F.col("q").alias("qid"), F.col("r").alias("rid"), "matches")
+    cq, cr = (cut(classes(sk), "classes") for sk in (query, ref)) if query is not ref else [cut(classes(query), "classes")] * 2
+    return _members(_counts(_reps(query, cq), _reps(ref, cr)), cq, cr)
 
 
 def scored(pairs: DataFrame, s: int, threshold: float = 0.0) -> DataFrame:
@@ -47,27 +65,52 @@ def scored(pairs: DataFrame, s: int, threshold: float = 0.0) -> DataFrame:
 
 
 def compare(query: DataFrame, ref: DataFrame, s: int, threshold: float = 0.0) -> DataFrame:
-    """All against all; a document that is in both meets itself."""
+    """All against all; a document that is in both meets itself. A threshold above 0 counts few of the positions for most pairs."""
+    if min_matches(threshold, s) > 1:
+        return prefix_compare(query, ref, s, threshold)
     return scored(pair_counts(query, ref), s, threshold)
 
 
 def compare_self(sk: DataFrame, s: int, threshold: float = 0.0) -> DataFrame:
     """All against all of one table, both directions, without a document's hit on itself."""
-    return scored(pair_counts(sk, sk).where("qid <> rid"), s, threshold)
+    return compare(sk, sk, s, threshold).where("qid <> rid")
 
 
 def prefix_compare(query: DataFrame, ref: DataFrame, s: int, threshold: float) -> DataFrame:
-    """compare(), with candidates from the first s - m + 1 positions only: a pair with m matches has one there.
+    """compare(), for any threshold above 0, exactly: a pair with m matches has t of them in any s - m + t positions.
 
-    Exact for any threshold above 0. The rest is counted for candidates only.
+    Pairs are counted in the first s - m + t positions only; those with t matches there, t being large enough that chance
+    seldom makes it, are counted in the rest, cell by cell of the two documents.
     """
     m = max(1, min_matches(threshold, s))
-    head = lambda sk: sk.where(F.col("pos") <= s - m)
-    near = _counts(head(query), head(ref)).select("qid", "rid", F.col("matches").alias("early"))
-    tail = lambda sk, end: sk.where(F.col("pos") > s - m).groupBy("gid").agg(F.map_from_entries(F.collect_list(F.struct("pos", "fp"))).alias(f"m_{end}")).withColumnRenamed("gid", f"{end}id")
-    both = near.join(tail(query, "q"), "qid", "left").join(tail(ref, "r"), "rid", "left")
-    late = F.size(F.filter(F.map_keys("m_q"), lambda p: F.element_at("m_q", p) == F.try_element_at("m_r", p)))
-    return scored(both.withColumn("matches", (F.col("early") + F.when(F.col("m_q").isNull() | F.col("m_r").isNull(), 0).otherwise(late)).cast("long")).select("qid", "rid", "matches"), s, threshold)
+    if m > s:
+        return scored(_counts(query.limit(0), ref.limit(0)), s, threshold)
+    t = min(m, HEAD_MATCHES)
+    head = s - m + t
+    same = query is ref
+    cq = cut(classes(query), "classes")
+    cr = cq if same else cut(classes(ref), "classes")
+    q, r = _reps(query, cq), _reps(ref, cr)
+    first = _counts(q.where(F.col("pos") < head), r.where(F.col("pos") < head), same).where(F.col("matches") >= t)
+    near = cut(first.select("qid", "rid", F.col("matches").alias("early")), "candidates")
+    cell = F.shiftleft(F.col("pos").cast("long"), 32).bitwiseOR(F.col("fp"))
+    tail = lambda sk, end: sk.where(F.col("pos") >= head).join(near.select(F.col(f"{end}id").alias("gid")).distinct(), "gid", "left_semi").groupBy(F.col("gid").alias(f"{end}id")).agg(F.collect_list(cell).alias(f"{end}_cells"))
+    both = near.join(tail(q, "q"), "qid", "left").join(tail(r, "r"), "rid", "left")
+    late = F.coalesce(F.size(F.array_intersect("q_cells", "r_cells")), F.lit(0))
+    late = F.when(F.col("q_cells").isNull() | F.col("r_cells").isNull(), 0).otherwise(late)
+    found = both.select("qid", "rid", (F.col("early") + late).alias("matches")).where(F.col("matches") >= m)
+    if same:
+        found = found.unionByName(found.where("qid <> rid").select(F.col("rid").alias("qid"), F.col("qid").alias("rid"), "matches"))
+    return scored(_members(found, cq, cr), s, threshold)
+
+
+def totals(hits: DataFrame, queries: DataFrame, refs: DataFrame, threshold: float = 0.0) -> DataFrame:
+    """(mode, total): scores that a sparse report of the hits lists, and cells of a matrix that are at least the threshold: all of them if it is 0 or less."""
+    sparse = hits.agg(F.lit("sparse").alias("mode"), F.count("*").alias("total"))
+    if threshold > 0:
+        return sparse.unionByName(hits.where(F.col("score") >= threshold).agg(F.lit("matrix").alias("mode"), F.count("*").alias("total")))
+    ids = queries.select(F.col("gid").alias("q")).agg(F.countDistinct("q").alias("n")).crossJoin(refs.select(F.col("gid").alias("r")).agg(F.countDistinct("r").alias("m")))  # one row each
+    return sparse.unionByName(ids.select(F.lit("matrix").alias("mode"), (F.col("n") * F.col("m")).alias("total")))
 
 
 def decimals4(x: Column) -> Column:

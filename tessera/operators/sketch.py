@@ -10,8 +10,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.kmers import kmer_hashes
-from ..functions.u64 import np_fmix64, np_xorshift_star
+from ..functions.kmers import kmer_hashes, many_kmer_hashes
+from ..functions.u64 import np_fmix64, np_xorshift_star, unsigned_min
+
+#: Cells, and letters, that a task handles at once.
+CELLS, LETTERS = 1 << 18, 1 << 20
 
 
 @dataclass(frozen=True)
@@ -38,37 +41,51 @@ class SketchParams:
         return same and (self.mode != "perfect" or self.e == other.e)
 
 
-def bucket_minima(hashes: np.ndarray, ls: int) -> tuple[np.ndarray, np.ndarray]:
-    """(cells, filled): for each position the least raw hash of its bucket."""
-    cells, filled = np.full(1 << ls, np.uint64(0xFFFFFFFFFFFFFFFF)), np.zeros(1 << ls, bool)
+def bucket_minima(hashes: np.ndarray, ls: int, owner: np.ndarray | None = None, owners: int = 1) -> tuple[np.ndarray, np.ndarray]:
+    """(cells, filled): for each position the least raw hash of its bucket; with owners, one row each."""
+    cells = np.full(owners << ls, np.uint64(0xFFFFFFFFFFFFFFFF))
+    filled = np.zeros(owners << ls, bool)
     if len(hashes):
         at = (np_fmix64(hashes) >> np.uint64(64 - ls)).astype(np.int64) if ls else np.zeros(len(hashes), np.int64)
+        if owner is not None:
+            at += owner << ls
         np.minimum.at(cells, at, hashes)
         filled[at] = True
-    return cells, filled
+    return (cells, filled) if owner is None else (cells.reshape(owners, -1), filled.reshape(owners, -1))
 
 
 def densify(cells: np.ndarray, filled: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Fills holes from filled cells, in rounds; a round in which no cell points at a hole is the last."""
-    cells, filled, size = cells.copy(), filled.copy(), np.uint64(len(cells) - 1)
+    """Fills holes from filled cells, in rounds; a round in which no cell points at a hole is the last. Rows are sketches of their own."""
+    shape = cells.shape
+    cells, filled = cells.reshape(-1, shape[-1]).copy(), filled.reshape(-1, shape[-1]).copy()
+    size = shape[-1]
+    mask = np.uint64(size - 1)
+    going = np.flatnonzero(filled.any(1) & ~filled.all(1))
+    c, f = cells[going], filled[going]
+    # Where a cell points at in round t is (first + t * stride) modulo the size; copies point where their source does.
+    first, stride = (np_fmix64(c) & mask).astype(np.int32), (np_xorshift_star(c) & mask).astype(np.int32)
     step = 0
-    while filled.any() and not filled.all():
-        source = np.flatnonzero(filled)
-        v = cells[source]
-        target = ((np_fmix64(v) + np.uint64(step) * np_xorshift_star(v)) & size).astype(np.int64)
-        open_ = ~filled[target]
-        if not open_.any():
-            break
-        where, first = np.unique(target[open_], return_index=True)  # the lowest source wins
-        cells[where] = v[open_][first]
-        filled[where] = True
-        step += 1
-    return cells, filled
+    while len(going):
+        row, col = np.nonzero(f)
+        target = (first[row, col] + step * stride[row, col]) & np.int32(size - 1)
+        hole = ~f[row, target]
+        row, col, target = row[hole][::-1], col[hole][::-1], target[hole][::-1]  # of several, the lowest source is written last
+        grown = np.zeros(len(going), bool)
+        grown[row] = True
+        for x in (c, first, stride):
+            x[row, target] = x[row, col]
+        f[row, target] = True
+        done = ~grown | f.all(1)
+        if done.any():
+            cells[going[done]], filled[going[done]] = c[done], f[done]
+            c, f, first, stride, going = (x[~done] for x in (c, f, first, stride, going))
+        step = (step + 1) & (size - 1)
+    return cells.reshape(shape), filled.reshape(shape)
 
 
 def fingerprints(cells: np.ndarray, filled: np.ndarray, p: SketchParams) -> np.ndarray:
     """-1 for holes and for what does not fit into w bits."""
-    out = np.full(len(cells), -1, np.int64)
+    out = np.full(cells.shape, -1, np.int64)
     h = cells[filled]
     if p.mode == "default":
         out[filled] = (h & np.uint64((1 << p.w) - 1)).astype(np.int64)
@@ -79,50 +96,74 @@ def fingerprints(cells: np.ndarray, filled: np.ndarray, p: SketchParams) -> np.n
     return out
 
 
-def sketch(docs: DataFrame, p: SketchParams, id_col: str = "gid", seq_col: str = "seq") -> DataFrame:
+def _finished(ids: list[int], cells: np.ndarray, filled: np.ndarray, p: SketchParams) -> pa.RecordBatch:
+    """(gid, pos, h, fp): the filled cells of many sketches, densified."""
+    if p.densify:
+        cells, filled = densify(cells, filled)
+    fp = fingerprints(cells, filled, p)
+    row, pos = np.nonzero(fp >= 0)
+    return pa.RecordBatch.from_arrays([pa.array(np.array(ids, np.int64)[row]), pa.array(pos.astype(np.int32)), pa.array(cells[row, pos].view(np.int64)), pa.array(fp[row, pos])], ["gid", "pos", "h", "fp"])
+
+
+def _groups(batches: Iterator[pa.RecordBatch], p: SketchParams) -> Iterator[tuple[list[int], np.ndarray, np.ndarray]]:
+    """(ids, cells, filled) of rows (gid, seq), so many at once as fit into bounded arrays."""
+    most = max(1, CELLS >> p.ls)
+    for batch in batches:
+        ids, seqs, size = [], [], 0
+        rows = zip(batch.column(0).to_pylist(), batch.column(1), strict=True)
+        for gid, seq in rows:
+            ids.append(gid)
+            seqs.append(seq.as_py())
+            size += len(seqs[-1] or "")
+            if size >= LETTERS or len(ids) >= most:
+                owner, h = many_kmer_hashes(seqs, p.k)
+                yield ids, *bucket_minima(h, p.ls, owner, len(ids))
+                ids, seqs, size = [], [], 0
+        if ids:
+            owner, h = many_kmer_hashes(seqs, p.k)
+            yield ids, *bucket_minima(h, p.ls, owner, len(ids))
+
+
+def unique_ids(docs: DataFrame, id_col: str = "gid") -> bool:
+    return not docs.where(F.col(id_col).isNotNull()).groupBy(id_col).count().where("count > 1").take(1)
+
+
+def sketch(docs: DataFrame, p: SketchParams, id_col: str = "gid", seq_col: str = "seq", unique: bool | None = None) -> DataFrame:
     """(gid, pos, h, fp), one row a filled cell. Rows of one id are one document; k-mers do not span rows.
 
-    A null sequence, or one without a k-mer, gives no rows. Documents of one row are sketched whole in
-    a task; the partial minima of documents of several rows are merged before holes are filled.
+    A null sequence, or one without a k-mer, gives no rows. Where ids are unique (None: that is looked up), documents are sketched whole in
+    a task and nothing is shuffled; else the partial minima of documents of several rows are merged before holes are filled.
     """
+    rows = docs.select(F.col(id_col).cast("long").alias("gid"), F.col(seq_col).alias("seq")).where("gid IS NOT NULL")
+    unique = unique_ids(rows) if unique is None else unique
+    kind = "gid long, pos int, h long, fp long"
+
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for ids, cells, filled in _groups(batches, p):
+            yield _finished(ids, cells, filled, p)
+
+    if unique:
+        return rows.mapInArrow(whole, kind)
 
     def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            ids, pos, h = [], [], []
-            for gid, seq in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                cells, filled = bucket_minima(kmer_hashes(seq.as_py(), p.k), p.ls)
-                at = np.flatnonzero(filled)
-                if len(at):
-                    ids.append(gid)
-                    pos.append(at.astype(np.int32))
-                    h.append(cells[at].view(np.int64))
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(pos, pa.list_(pa.int32())), pa.array(h, pa.list_(pa.int64()))], ["gid", "pos", "h"])
+        for ids, cells, filled in _groups(batches, p):
+            row, pos = np.nonzero(filled)
+            yield pa.RecordBatch.from_arrays([pa.array(np.array(ids, np.int64)[row]), pa.array(pos.astype(np.int32)), pa.array(cells[row, pos].view(np.int64))], ["gid", "pos", "h"])
 
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        most = max(1, CELLS >> p.ls)
         for batch in batches:
-            ids, out_pos, out_h, out_fp = [], [], [], []
-            for gid, parts in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                cells, filled = np.full(p.s, np.uint64(0xFFFFFFFFFFFFFFFF)), np.zeros(p.s, bool)
-                for part in parts.as_py():
-                    at = np.array(part["pos"], np.int64)
-                    np.minimum.at(cells, at, np.array(part["h"], np.int64).view(np.uint64))
-                    filled[at] = True
-                if p.densify:
-                    cells, filled = densify(cells, filled)
-                fp = fingerprints(cells, filled, p)
-                at = np.flatnonzero(fp >= 0)
-                ids.append(gid)
-                out_pos.append(at.astype(np.int32))
-                out_h.append(cells[at].view(np.int64))
-                out_fp.append(fp[at])
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(ids, pa.int64()), pa.array(out_pos, pa.list_(pa.int32())), pa.array(out_h, pa.list_(pa.int64())), pa.array(out_fp, pa.list_(pa.int64()))], ["gid", "pos", "h", "fp"]
-            )
+            for lo in range(0, batch.num_rows, most):
+                part = batch.slice(lo, most)
+                cells, filled = np.zeros((part.num_rows, p.s), np.uint64), np.zeros((part.num_rows, p.s), bool)
+                for i, row in enumerate(part.column(1)):
+                    at = np.asarray(row.values.field("pos"))
+                    cells[i, at], filled[i, at] = np.asarray(row.values.field("h")).view(np.uint64), True
+                yield _finished(part.column(0).to_pylist(), cells, filled, p)
 
-    rows = docs.select(F.col(id_col).cast("long").alias("gid"), F.col(seq_col).alias("seq")).where("gid IS NOT NULL")
-    wide = rows.mapInArrow(partial, "gid long, pos array<int>, h array<long>").groupBy("gid").agg(F.collect_list(F.struct("pos", "h")).alias("parts"))
-    done = wide.mapInArrow(finish, "gid long, pos array<int>, h array<long>, fp array<long>")
-    return done.select("gid", F.explode(F.arrays_zip("pos", "h", "fp")).alias("c")).select("gid", "c.pos", "c.h", "c.fp")
+    # A document has at most s cells, however many rows it has.
+    least = rows.mapInArrow(partial, "gid long, pos int, h long").groupBy("gid", "pos").agg(unsigned_min(F.col("h")).alias("h"))
+    return least.groupBy("gid").agg(F.collect_list(F.struct("pos", "h")).alias("cells")).mapInArrow(finish, kind)
 
 
 def kmer_digest(docs: DataFrame, k: int, id_col: str = "gid", seq_col: str = "seq") -> DataFrame:
@@ -147,7 +188,11 @@ def empty_documents(docs: DataFrame, sk: DataFrame) -> DataFrame:
     return docs.select("gid").distinct().join(sk.select("gid").distinct(), "gid", "left_anti")
 
 
-def mean_size(docs: DataFrame, sample: int = 100, fallback: int = 5_000_000) -> DataFrame:
-    """(e): integer mean length of the first `sample` documents by id; the fallback if there is none."""
-    first = docs.select("gid", F.length("seq").alias("n")).orderBy("gid").limit(sample)
-    return first.agg(F.coalesce(F.expr("sum(n) div count(n)"), F.lit(fallback)).cast("long").alias("e"))
+def mean_size(docs: DataFrame, sample: int = 100, fallback: int = 5_000_000, drop_empty: bool = False) -> DataFrame:
+    """(e): integer mean size of the first `sample` documents by id, a document's rows added up; the fallback if there is none.
+
+    drop_empty: documents without a letter do not count, as in lists of files. Null ids are left out.
+    """
+    sizes = docs.where("gid IS NOT NULL").groupBy("gid").agg(F.sum(F.coalesce(F.length("seq"), F.lit(0))).alias("n"))
+    sizes = sizes.where("n > 0") if drop_empty else sizes
+    return sizes.orderBy("gid").limit(sample).agg(F.coalesce(F.expr("sum(n) div count(n)"), F.lit(fallback)).cast("long").alias("e"))
