@@ -8,11 +8,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.sketch import SketchParams
+from .work import numbered
+
+#: Ids of a stored posting list's chunk, and of a run that is summed up together.
+CHUNK, RUN = 4096, 64
 
 
 @dataclass
 class Index:
-    """postings (pos, fp, n, gids), the parameters, the number of documents and of those without a sketch."""
+    """postings (pos, fp, chunk, n, gids), the parameters, the number of documents and of those without a sketch."""
 
     postings: DataFrame
     params: SketchParams
@@ -44,35 +48,61 @@ def postings(sk: DataFrame) -> DataFrame:
     return sk.groupBy("pos", "fp").agg(F.array_sort(F.collect_list("gid")).alias("gids")).select("pos", "fp", F.size("gids").alias("n"), "gids")
 
 
+def chunked_postings(sk: DataFrame, size: int = CHUNK) -> DataFrame:
+    """(pos, fp, chunk, n, gids): postings in chunks of at most `size` ids, so that no row or task holds a list of any length.
+
+    Cells are range-sorted by position, fingerprint and id; long lists are spread over tasks. A chunk is a run of `size` cells of that order.
+    """
+    order = numbered(sk.select("pos", "fp", "gid"), "pos", "fp", "gid", name="at")
+    first = order.groupBy("pos", "fp").agg(F.min("at").alias("first"))
+    chunk = F.floor((F.col("at") - F.col("first")) / size).cast("int").alias("chunk")
+    cells = order.join(first, ["pos", "fp"]).select("pos", "fp", chunk, "gid")
+    return cells.groupBy("pos", "fp", "chunk").agg(F.array_sort(F.collect_list("gid")).alias("gids")).select("pos", "fp", "chunk", F.size("gids").alias("n"), "gids")
+
+
 def deltas(p: DataFrame) -> DataFrame:
     """Ids as the first one and then differences."""
     step = lambda x, i: F.when(i == 0, x).otherwise(x - F.get("gids", i - 1))
-    return p.select("pos", "fp", "n", F.transform("gids", step).alias("deltas"))
+    return p.select(*[c for c in p.columns if c != "gids"], F.transform("gids", step).alias("deltas"))
 
 
 def undeltas(p: DataFrame) -> DataFrame:
-    grow = lambda acc, d: F.concat(acc, F.array(d + F.coalesce(F.try_element_at(acc, F.lit(-1)), F.lit(0))))
-    return p.select("pos", "fp", "n", F.aggregate("deltas", F.array().cast("array<bigint>"), grow).alias("gids"))
+    """The ids of deltas(): running sums, in runs of RUN and then over the runs, so that a long list costs little more than its length."""
+    zero, none = F.lit(0).cast("long"), F.array().cast("array<bigint>")
+    grow = lambda acc, d: F.struct((acc["sum"] + d).alias("sum"), F.concat(acc["out"], F.array(acc["sum"] + d)).alias("out"))
+    empty = F.struct(zero.alias("sum"), none.alias("out"))
+    runs = F.transform(F.sequence(F.lit(0), F.floor((F.size("deltas") - 1) / RUN).cast("int")), lambda r: F.aggregate(F.slice("deltas", r * RUN + 1, F.lit(RUN)), empty, grow))
+    before = F.aggregate("runs", empty, lambda acc, r: F.struct((acc["sum"] + r["sum"]).alias("sum"), F.concat(acc["out"], F.array(acc["sum"])).alias("out")))["out"]
+    ids = F.flatten(F.zip_with("runs", "before", lambda r, b: F.transform(r["out"], lambda x: x + b)))
+    return p.withColumn("runs", runs).withColumn("before", before).select(*[c for c in p.columns if c != "deltas"], ids.alias("gids"))
 
 
 def build(docs: DataFrame, sk: DataFrame, params: SketchParams, n_ids: int | None = None) -> Index:
     n = docs.select("gid").distinct().count()
-    return Index(postings(sk), params, n, n - sk.select("gid").distinct().count(), n_ids=n_ids)
+    return Index(chunked_postings(sk), params, n, n - sk.select("gid").distinct().count(), n_ids=n_ids)
 
 
-def save(index: Index, path: str) -> None:
+def save(index: Index, path: str, codec: str = "zstd", level: int | None = None) -> None:
     """path/meta, path/postings (dealt and sorted by position, so that a filter on it skips row groups) and, if reordered, path/order."""
     spark = index.postings.sparkSession
-    meta = asdict(index.params) | {"n_docs": index.n_docs, "n_empty": index.n_empty, "n_ids": index.n_docs if index.n_ids is None else index.n_ids}
+    meta = asdict(index.params) | {"n_docs": index.n_docs, "n_empty": index.n_empty, "n_ids": index.n_docs if index.n_ids is None else index.n_ids, "has_order": index.order is not None}
     spark.createDataFrame([meta]).coalesce(1).write.json(f"{path}/meta")
-    index.postings.repartitionByRange("pos", "fp").sortWithinPartitions("pos", "fp").write.option("compression", "zstd").parquet(f"{path}/postings")
+    chunk = ["chunk"] if "chunk" in index.postings.columns else []
+    writer = index.postings.repartitionByRange("pos", "fp", *chunk).sortWithinPartitions("pos", "fp", *chunk).write.option("compression", codec)
+    writer = writer if level is None else writer.option("parquet.compression.codec.zstd.level", level)
+    writer.parquet(f"{path}/postings")
     if index.order is not None:
         index.order.write.parquet(f"{path}/order")
 
 
-def load(spark: SparkSession, path: str, has_order: bool = False) -> Index:
-    """An index as stored; its postings are read when they are used."""
+def load(spark: SparkSession, path: str) -> Index:
+    """An index as stored, with its order if it has one; its postings are read when they are used."""
     m = spark.read.json(f"{path}/meta").first().asDict()
     params = SketchParams(**{k: m[k] for k in ("k", "ls", "w", "e", "mode", "densify")})
-    order = spark.read.parquet(f"{path}/order") if has_order else None
+    order = spark.read.parquet(f"{path}/order") if m.get("has_order") else None
     return Index(spark.read.parquet(f"{path}/postings"), params, m["n_docs"], m["n_empty"], order, m.get("n_ids"))
+
+
+def read_positions(index: Index, first: int, last: int) -> DataFrame:
+    """The postings of positions first to last; of a stored index, only the row groups that hold them are read."""
+    return index.postings.where(F.col("pos").between(first, last))

@@ -1,19 +1,74 @@
-"""Result files: lines in query order, and the reader of sparse ones."""
+"""Result files: lines in query order, plain or as zstd streams, and the reader of sparse ones."""
 
 from __future__ import annotations
 
+import re
+import uuid
+from collections.abc import Iterator
+
+import pyarrow as pa
+import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .sequences import plain
+
+
+def write_lines(lines: DataFrame, path: str, level: int = 0) -> None:
+    """Writes (qid, line) as text in query order: the files, in name order, are the whole result. A level above 0 makes zstd streams of that level."""
+    ordered = lines.repartitionByRange(F.col("qid")).sortWithinPartitions("qid").select("line")
+    if level <= 0:
+        ordered.write.text(path)
+        return
+    spark = lines.sparkSession
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target = hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(hadoop).toString()
+    target = re.sub("^file:/+", "file:///", target)
+    store, at = pafs.FileSystem.from_uri(target)
+    if store.get_file_info(at).type != pafs.FileType.NotFound:
+        raise FileExistsError(path)
+    store.create_dir(at, recursive=True)
+
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import zstandard
+        from pyspark import TaskContext
+
+        # A name of this attempt: what a lost or repeated task leaves is no part of the result.
+        part, name = TaskContext.get().partitionId(), uuid.uuid4().hex
+        store, at = pafs.FileSystem.from_uri(target)
+        out = None
+        for batch in batches:
+            if batch.num_rows:
+                out = out or zstandard.ZstdCompressor(level=level).stream_writer(store.open_output_stream(f"{at}/_{name}"))
+                out.write("".join(f"{line}\n" for line in batch.column(0).to_pylist()).encode())
+        if out is not None:
+            out.close()
+            yield pa.RecordBatch.from_pylist([{"part": part, "name": name}])
+
+    made = ordered.mapInArrow(write, "part long, name string").collect()  # a row a part
+    for r in made:
+        store.move(f"{at}/_{r['name']}", f"{at}/part-{r['part']:08d}.txt.zst")
+    for left in store.get_file_info(pafs.FileSelector(at)):
+        if left.base_name.startswith("_"):
+            store.delete_file(left.path)
+
+
+def read_lines(spark: SparkSession, path: str) -> DataFrame:
+    """(value): the lines of result files, plain or compressed, in no order."""
+
+    def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for content in batch.column(0):
+                yield pa.RecordBatch.from_arrays([pa.array(plain(content.as_py()).decode().splitlines(), pa.string())], ["value"])
 
-def write_lines(lines: DataFrame, path: str, compression: str = "none") -> None:
-    """Writes (qid, line) as text in query order: the files, in name order, are the whole result."""
-    lines.repartitionByRange(F.col("qid")).sortWithinPartitions("qid").select("line").write.option("compression", compression).text(path)
+    if spark.read.format("binaryFile").option("pathGlobFilter", "*.zst").load(path).select("path").take(1):
+        return spark.read.format("binaryFile").load(path).select("content").mapInArrow(parse, "value string")
+    return spark.read.text(path)
 
 
 def read_sparse(spark: SparkSession, path: str) -> DataFrame:
     """(qid, rid, score) of sparse lines."""
     head = F.split("value", "\t")
-    rows = spark.read.text(path).select(F.regexp_extract(head[0], r"query_(\d+)", 1).cast("long").alias("qid"), F.explode(F.split(head[1], ",")).alias("hit")).where("hit <> ''")
+    rows = read_lines(spark, path).select(F.regexp_extract(head[0], r"query_(\d+)", 1).cast("long").alias("qid"), F.explode(F.split(head[1], ",")).alias("hit")).where("hit <> ''")
     part = F.split("hit", ":")
     return rows.select("qid", part[0].cast("long").alias("rid"), part[1].cast("double").alias("score"))

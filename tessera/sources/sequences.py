@@ -6,11 +6,14 @@ import gzip
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.kmers import runs
+from .work import cut
 
+#: Records that leave a task together.
+RECORDS = 1024
 # First bytes of the two compressed formats.
 GZIP, ZSTD = b"\x1f\x8b", b"\x28\xb5\x2f\xfd"
 
@@ -51,24 +54,40 @@ def records(content: bytes) -> Iterator[tuple[str, str]]:
             raise ValueError(f"no sequence record at line {at + 1}")
 
 
-def _files(spark: SparkSession, paths: list[str]) -> DataFrame:
-    return spark.read.format("binaryFile").load(paths).select("path", "content")
+def _files(spark: SparkSession, path: str | list[str]) -> DataFrame:
+    return spark.read.format("binaryFile").load(path).select("path", "content")
 
 
 def read_records(spark: SparkSession, path: str) -> DataFrame:
-    """(gid, name, seq): each record of a file is a document, in file order."""
+    """(gid, name, seq): each record is a document, in file order; a folder's or pattern's files come in order of their paths, one after the other.
+
+    A file is read by one task. Numbers go on from file to file: a file starts where those before it, counted first, end.
+    """
 
     def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for content in batch.column(0):
-                names, seqs = zip(*records(content.as_py()), strict=True) if (found := list(records(content.as_py()))) else ((), ())
-                yield pa.RecordBatch.from_arrays([pa.array(range(len(found)), pa.int64()), pa.array(names, pa.string()), pa.array(seqs, pa.string())], ["gid", "name", "seq"])
-
-    return _files(spark, [path]).select("content").mapInArrow(parse, "gid long, name string, seq string")
+            for file, content in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                n, names, seqs = 0, [], []
+                for name, seq in records(content.as_py()):
+                    names.append(name)
+                    seqs.append(seq)
+                    if len(names) == RECORDS:
+                        yield pa.RecordBatch.from_arrays([pa.array([file] * RECORDS), pa.array(range(n, n + RECORDS), pa.int64()), pa.array(names), pa.array(seqs)], ["path", "rec", "name", "seq"])
+                        n, names, seqs = n + RECORDS, [], []
+                yield pa.RecordBatch.from_arrays([pa.array([file] * len(names), pa.string()), pa.array(range(n, n + len(names)), pa.int64()), pa.array(names, pa.string()), pa.array(seqs, pa.string())], ["path", "rec", "name", "seq"])
+
+    found = _files(spark, path).mapInArrow(parse, "path string, rec long, name string, seq string")
+    if len(spark.read.format("binaryFile").load(path).select("path").take(2)) < 2:
+        return found.select(F.col("rec").alias("gid"), "name", "seq")
+    found = cut(found, "records")
+    before = F.coalesce(F.sum("n").over(Window.orderBy("p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))  # one row a file
+    bases = found.groupBy(F.col("path").alias("p")).agg(F.count("*").alias("n")).select("p", before.alias("base"))
+    return found.join(bases, F.col("path") == F.col("p")).select((F.col("base") + F.col("rec")).alias("gid"), "name", "seq")
 
 
 def _listed(spark: SparkSession, path: str) -> list[str]:
-    return plain(bytes(_files(spark, [path]).first()["content"])).decode().splitlines()
+    """The lines of a list of files; if the path has several files, of all of them, in order of their paths."""
+    return [line for r in _files(spark, path).orderBy("path").collect() for line in plain(bytes(r["content"])).decode().splitlines()]
 
 
 def count_listed(spark: SparkSession, path: str) -> int:
@@ -79,12 +98,13 @@ def count_listed(spark: SparkSession, path: str) -> int:
 def read_file_list(spark: SparkSession, path: str) -> DataFrame:
     """(gid, rec, seq): each line of a list names a file, which is one document; its records keep apart.
 
-    The list may be compressed. A blank line or a path that can't be read takes its id and has no rows.
+    The list may be compressed. A blank line or a path that can't be read takes its id and has no rows. The list's names are held by the
+    driver, which looks into each folder that they name once.
     """
-    listed = _listed(spark, path)
-    named = spark.createDataFrame([(i, p.strip()) for i, p in enumerate(listed)] or [(0, "")], "gid long, file string").where("file <> ''")
-    there = [r["file"] for r in named.collect() if _exists(spark, r["file"])]
-    if not there:
+    listed = [p.strip() for p in _listed(spark, path)]
+    real = _existing(spark, {p for p in listed if p})
+    named = [(i, real[p]) for i, p in enumerate(listed) if p in real]
+    if not named:
         return spark.createDataFrame([], "gid long, rec long, seq string")
 
     def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -98,14 +118,29 @@ def read_file_list(spark: SparkSession, path: str) -> DataFrame:
                     pass  # what stands before the broken record counts
                 yield pa.RecordBatch.from_arrays([pa.array([gid] * len(seqs), pa.int64()), pa.array(range(len(seqs)), pa.int64()), pa.array(seqs, pa.string())], ["gid", "rec", "seq"])
 
-    files = _files(spark, there).withColumn("bare", F.regexp_replace("path", "^[a-z]+:/*", "/"))
-    joined = named.withColumn("bare", F.regexp_replace("file", "^[a-z]+:/*", "/")).join(files, "bare")
+    bare = lambda c: F.regexp_replace(c, "^[a-z]+:/*", "/")
+    files = _files(spark, sorted(set(real.values()))).withColumn("bare", bare("path"))
+    joined = spark.createDataFrame(named, "gid long, file string").withColumn("bare", bare("file")).join(files, "bare")
     return joined.select("gid", "content").mapInArrow(parse, "gid long, rec long, seq string")
 
 
-def _exists(spark: SparkSession, path: str) -> bool:
-    p = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
+def _existing(spark: SparkSession, paths: set[str]) -> dict[str, str]:
+    """Those of the paths that are files, with the name that their file system gives them; each folder is listed once."""
+    hadoop, folders = spark._jvm.org.apache.hadoop.fs, {}
+    for p in paths:
+        path = hadoop.Path(p)
+        folders.setdefault(str(path.getParent()), []).append((p, path))
+    found = {}
+    for folder, inside in folders.items():
+        try:
+            there = inside[0][1].getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(hadoop.Path(folder))
+        except Exception as e:  # a folder that is missing or closed has no files
+            if "FileNotFound" not in str(e) and "Permission" not in str(e):
+                raise
+            continue
+        files = {s.getPath().getName(): str(s.getPath()) for s in there if s.isFile()}
+        found |= {p: files[path.getName()] for p, path in inside if path.getName() in files}
+    return found
 
 
 def run_table(docs: DataFrame) -> DataFrame:
