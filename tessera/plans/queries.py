@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -15,8 +12,10 @@ from ..operators.sketch import SketchParams, empty_cells, empty_documents, kmer_
 from ..sources import index as I  # noqa: E741
 from ..sources.results import read_sparse, write_lines
 from ..sources.sequences import read_file_list, read_records, run_table
+from ..sources.work import cut, fresh_path
 
 P = SketchParams(k=15, ls=6, w=12, densify=False)
+FILLED = SketchParams(k=15, ls=4, w=12)
 PERFECT = SketchParams(k=15, ls=6, w=12, e=2000, mode="perfect", densify=False)
 LETTERS, BASES = "abcdefghijklmnopqrstuvwxyz", "ACGTACGTACGTACGTACGTACGTAC"
 
@@ -33,18 +32,9 @@ def items(spark: SparkSession, d: str) -> DataFrame:
     return spark.read.parquet(f"{d}/benchmark.parquet").select(F.col("item_id").alias("gid"), dna(F.col("text")).alias("seq"))
 
 
-def _shared(spark: SparkSession) -> str:
-    """A fresh path in the folder that driver and executors share; a local session without that setting uses a temporary one."""
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not found:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-        found = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
-    return f"{found.rstrip('/')}/{uuid.uuid4().hex}"
-
-
 def _docs_sketch(spark: SparkSession, d: str, p: SketchParams = P) -> DataFrame:
-    return sketch(documents(spark, d), p)
+    """The documents' sketch, written once: what a query uses several times is made once."""
+    return cut(sketch(documents(spark, d), p), "sketch")
 
 
 def _gids(p: DataFrame, name: str) -> DataFrame:
@@ -61,28 +51,36 @@ def _edges(spark, d):
 
 def _roundtrip(spark, d):
     docs = documents(spark, d)
-    path = _shared(spark)
-    I.save(I.build(docs, sketch(docs, P), P), path)
-    return I.load(spark, path).postings.select("pos", "fp", "n")
+    path = fresh_path(spark, "query")
+    I.save(I.build(docs, _docs_sketch(spark, d), P), path)
+    return I.load(spark, path).postings.groupBy("pos", "fp").agg(F.sum("n").cast("int").alias("n"))
+
+
+def _positions(spark, d):
+    """Positions 8 to 11 of a stored index."""
+    docs = documents(spark, d)
+    path = fresh_path(spark, "query")
+    I.save(I.build(docs, _docs_sketch(spark, d), P), path)
+    return I.read_positions(I.load(spark, path), 8, 11).select("pos", "fp", F.explode("gids").alias("gid"))
 
 
 def _reparsed(spark, d):
-    path = _shared(spark)
+    path = fresh_path(spark, "query")
     write_lines(C.sparse_lines(C.compare_self(_docs_sketch(spark, d), P.s, 0.5), _ids(spark, d)), path)
     return read_sparse(spark, path)
 
 
 def _fastx(spark, d):
-    """Documents written as FASTA text and scanned again: records in file order, lengths as written."""
-    path = _shared(spark)
-    rows = documents(spark, d).orderBy("gid").select(F.concat(F.lit(">"), F.col("gid").cast("string"), F.lit("\n"), F.col("seq")))
-    rows.coalesce(1).write.option("compression", "gzip").text(path)
-    return read_records(spark, path).select(F.col("name").cast("long").alias("gid"), F.length("seq").alias("seq_len"))
+    """Documents written as FASTA files and scanned again: records in file order, lengths as written. The files are as many as the partitions, in id order."""
+    path = fresh_path(spark, "query")
+    rows = documents(spark, d).repartitionByRange("gid").sortWithinPartitions("gid").select(F.concat(F.lit(">"), F.col("gid").cast("string"), F.lit("\n"), F.col("seq")))
+    rows.write.option("compression", "gzip").text(path)
+    return read_records(spark, path).select("gid", F.col("name").cast("long").alias("name_id"), F.length("seq").alias("seq_len"))
 
 
 def _fof(spark, d):
     """Benchmark items, a FASTA file each, read through a list of files."""
-    path = _shared(spark)
+    path = fresh_path(spark, "query")
     rows = items(spark, d).select(F.col("gid"), F.concat(F.lit(">"), F.col("gid").cast("string"), F.lit("\n"), F.col("seq")).alias("value"))
     rows.repartition("gid").write.partitionBy("gid").text(f"{path}/files")
     names = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(f"{path}/files").select(F.regexp_extract("path", "gid=([0-9]+)", 1).cast("long").alias("g"), "path")
@@ -91,26 +89,31 @@ def _fof(spark, d):
 
 
 def _grid(spark, d):
+    # Probabilities outside 0 and 1 are brought back to the ends.
     ns, ks = F.array(*[F.lit(x) for x in (1, 10, 64, 1024)]), F.array(*[F.lit(x) for x in (0, 1, 5, 60)])
-    g = spark.range(1).select(F.explode(ns).alias("n")).select("n", F.explode(ks).alias("k")).select("n", "k", F.explode(F.array(F.lit(0.1), F.lit(0.5), F.lit(0.9))).alias("p"))
+    g = spark.range(1).select(F.explode(ns).alias("n")).select("n", F.explode(ks).alias("k")).select("n", "k", F.explode(F.array(*[F.lit(x) for x in (-0.5, 0.1, 0.5, 0.9, 1.5)])).alias("p"))
     return g.select("k", "n", "p", F.round(prune.log_mass(F.col("k"), F.col("n"), F.col("p")), 6).alias("log_mass"))
 
 
-def _totals(spark, d):
-    q, r = sketch(items(spark, d), P), _docs_sketch(spark, d)
-    hits = C.compare(q, r, P.s, 0.0)
-    cells = C.matrix(hits, items(spark, d), _ids(spark, d))
-    return hits.agg(F.lit("sparse").alias("mode"), F.count("*").alias("total")).unionByName(cells.agg(F.lit("matrix").alias("mode"), F.count("*").alias("total")))
+def _totals(threshold):
+    def run(spark, d):
+        q, r = cut(sketch(items(spark, d), P), "items"), _docs_sketch(spark, d)
+        return C.totals(cut(C.compare(q, r, P.s, threshold), "hits"), items(spark, d), _ids(spark, d), threshold)
+
+    return run
+
+
+def _turns(spark, d):
+    return spark.read.parquet(f"{d}/conversations.parquet").select(F.col("conv_id").alias("gid"), dna(F.col("text")).alias("seq"))
 
 
 def _conversation_digest(spark, d):
     """A conversation is a document, a turn one of its records."""
-    turns = spark.read.parquet(f"{d}/conversations.parquet").select(F.col("conv_id").alias("gid"), dna(F.col("text")).alias("seq"))
-    return kmer_digest(turns, P.k).groupBy("gid").agg(F.sum("n_kmers").alias("n_kmers"))
+    return kmer_digest(_turns(spark, d), P.k).groupBy("gid").agg(F.sum("n_kmers").alias("n_kmers"))
 
 
 def _order(spark, d):
-    return reorder.greedy_order(_ids(spark, d), _edges(spark, d))
+    return reorder.greedy_order(_ids(spark, d), cut(_edges(spark, d), "edges"))
 
 
 def _mixed(f):
@@ -126,6 +129,9 @@ QUERIES = {
     "s5_scan_docs": lambda s, d: documents(s, d).select("gid", F.length("seq").alias("seq_len")),
     "s6_mean_size": lambda s, d: mean_size(documents(s, d)),
     "s11_empty_docs": lambda s, d: empty_documents(documents(s, d), _docs_sketch(s, d)),
+    "s6_pooled_mean_size": lambda s, d: mean_size(_turns(s, d), drop_empty=True),
+    "s4_pooled_sketch": lambda s, d: sketch(_turns(s, d), P).select("gid", "pos", "h"),
+    "s8_read_positions": _positions,
     "f1_runs": lambda s, d: run_table(documents(s, d, "-")),
     "f3_kmer_counts": lambda s, d: kmer_digest(documents(s, d, "-"), 5).select("gid", "n_kmers"),
     "s4_pooled_records": _conversation_digest,
@@ -136,7 +142,8 @@ QUERIES = {
     "k3_bucket_ids": lambda s, d: _ids(s, d).groupBy(u64.bucket_of(F.col("gid"), 6).alias("bucket")).agg(F.count("*").alias("n")),
     "k4_bucket_min": lambda s, d: _docs_sketch(s, d).select("gid", "pos", "h"),
     "a7_empty_cells": lambda s, d: empty_cells(documents(s, d), _docs_sketch(s, d), P),
-    "k5_densified": lambda s, d: sketch(documents(s, d), SketchParams(k=15, ls=6, w=12)).select("gid", "pos", "h"),
+    "k5_densified": lambda s, d: sketch(documents(s, d), FILLED).select("gid", "pos", "h"),
+    "k9_whole_sketch": lambda s, d: sketch(documents(s, d), FILLED).select("gid", "pos", "fp"),
     "k6_fp_default": lambda s, d: _docs_sketch(s, d).select("gid", "pos", "fp"),
     "k7_fp_perfect": lambda s, d: _docs_sketch(s, d, PERFECT).select("gid", "pos", "fp"),
     "a4_postings": lambda s, d: _gids(I.postings(_docs_sketch(s, d)), "gids"),
@@ -144,7 +151,7 @@ QUERIES = {
     "n9_roundtrip": lambda s, d: _gids(I.undeltas(I.deltas(I.postings(_docs_sketch(s, d)))), "gids"),
     "a12_index_stats": lambda s, d: I.build(documents(s, d), _docs_sketch(s, d), P).stats(),
     "s9_index_roundtrip": _roundtrip,
-    "j1_pair_counts": lambda s, d: C.pair_counts(_docs_sketch(s, d), _docs_sketch(s, d)),
+    "j1_pair_counts": lambda s, d: C.pair_counts(*[_docs_sketch(s, d)] * 2),
     "j3_ref_vs_query": lambda s, d: C.compare(sketch(items(s, d), P), _docs_sketch(s, d), P.s),
     "j4_self_hits": lambda s, d: C.compare_self(_docs_sketch(s, d), P.s).select("qid", "rid", "score"),
     "f7_threshold": flagship,
@@ -152,16 +159,18 @@ QUERIES = {
     "n12_sparse_lines": lambda s, d: C.sparse_lines(C.compare_self(_docs_sketch(s, d), P.s, 0.25), _ids(s, d)).select("line"),
     "j6_matrix_long": lambda s, d: C.matrix(C.compare(sketch(items(s, d), P), _docs_sketch(s, d), P.s, 0.05), items(s, d), _ids(s, d), 0.05),
     "n12_matrix_lines": lambda s, d: C.matrix_lines(C.matrix(C.compare(sketch(items(s, d), P), _docs_sketch(s, d), P.s), items(s, d), _ids(s, d))).select("line"),
-    "a10_total_scores": _totals,
+    "a10_total_scores": _totals(0.0),
+    "a10_thresholded_totals": _totals(0.05),
     "n5_log_mass": _grid,
-    "n6_pruned_pairs": lambda s, d: prune.pruned_counts(prune.hit_positions(_docs_sketch(s, d), _docs_sketch(s, d)), P.s, 0.5),
-    "pigeonhole_pairs": lambda s, d: C.prefix_compare(_docs_sketch(s, d), _docs_sketch(s, d), P.s, 0.5).select("qid", "rid", "matches"),
+    "n6_pruned_pairs": lambda s, d: prune.pruned_counts(prune.hit_positions(*[_docs_sketch(s, d)] * 2), P.s, 0.5),
+    "pigeonhole_pairs": lambda s, d: C.prefix_compare(*[_docs_sketch(s, d)] * 2, P.s, 0.5).select("qid", "rid", "matches"),
     "u1_edges": _edges,
     "a9_node_weight": lambda s, d: reorder.node_weights(_ids(s, d), _edges(s, d)),
     "o7_start_node": lambda s, d: reorder.start_node(reorder.node_weights(_ids(s, d), _edges(s, d))),
     "o8_best_neighbour": lambda s, d: reorder.best_neighbours(_edges(s, d)),
+    "o6_order_preview": lambda s, d: reorder.preview(_order(s, d)),
     "o9_order": _order,
-    "o10_reordered_index": lambda s, d: I.postings(reorder.reordered(_docs_sketch(s, d), _order(s, d))).select("pos", "fp", "n"),
+    "o10_reordered_index": lambda s, d: _gids(I.postings(reorder.reordered(_docs_sketch(s, d), _order(s, d))), "gids"),
     "s1_fastx_scan": _fastx,
     "s3_fof_scan": _fof,
     "s12_sparse_reparse": _reparsed,
@@ -202,10 +211,38 @@ def _kmers_sql(table: str, id_col: str, k: int, tag: str) -> str:
 {tag}k AS (SELECT gid, least({_rol('f', 't')}, {_rol('r', f'(64 - (t - {k - 1}) % 64)')}) AS h FROM {tag}y WHERE t >= {k - 1})"""
 
 
-def _sketch_sql(table: str = "documents", id_col: str = "doc_id", tag: str = "") -> str:
+def _sketch_sql(table: str = "documents", id_col: str = "doc_id", tag: str = "", p: SketchParams = P) -> str:
     """CTE {tag}sk(gid, pos, u, h, fp)."""
-    return f"""{_kmers_sql(table, id_col, P.k, tag)}, {_steps(tag + 'b', tag + 'k', 'gid, h', 'h', 'fmix')},
-{tag}sk AS (SELECT gid, pos, u, {_signed('u')} AS h, CAST(u & {(1 << P.w) - 1} AS BIGINT) AS fp FROM (SELECT gid, CAST(m >> {64 - P.ls} AS INTEGER) AS pos, min(h) AS u FROM {tag}b GROUP BY ALL))"""
+    return f"""{_kmers_sql(table, id_col, p.k, tag)}, {_steps(tag + 'b', tag + 'k', 'gid, h', 'h', 'fmix')},
+{tag}sk AS (SELECT gid, pos, u, {_signed('u')} AS h, CAST(u & {(1 << p.w) - 1} AS BIGINT) AS fp FROM (SELECT gid, CAST(m >> {64 - p.ls} AS INTEGER) AS pos, min(h) AS u FROM {tag}b GROUP BY ALL))"""
+
+
+def _filled_sql() -> str:
+    """CTE fl(gid, pos, u): sketches of FILLED, densified round by round. A cell (u, f, x) points, in round t, at (f + t * x) modulo the size."""
+    size = FILLED.s
+    return f"""WITH RECURSIVE {_sketch_sql(p=FILLED)}, {_steps('ff', 'sk', 'gid, pos, u', 'u', 'fmix')}, {_steps('xx', 'sk', 'gid, pos, u', 'u', 'star')},
+ce AS (SELECT ff.gid, ff.pos, {{'u': ff.u, 'f': CAST(ff.m % {size} AS INTEGER), 'x': CAST(xx.m % {size} AS INTEGER)}} AS c FROM ff JOIN xx USING (gid, pos)),
+st AS (SELECT gid, list(pos) AS ps, list(c) AS cs FROM ce GROUP BY gid),
+de AS (
+  SELECT gid, 0 AS step, list_transform(range({size}), lambda p: list_extract(cs, list_position(ps, p))) AS v, len(ps) AS n FROM st
+  UNION ALL
+  SELECT gid, step + 1, w, len(list_filter(w, lambda c: c IS NOT NULL)) FROM (
+    SELECT gid, step, n, list_transform(range({size}), lambda p: coalesce(v[p + 1], list_filter(v, lambda c: c IS NOT NULL AND (c.f + step * c.x) % {size} = p)[1])) AS w FROM de WHERE n < {size})
+  WHERE len(list_filter(w, lambda c: c IS NOT NULL)) > n),
+la AS (SELECT gid, arg_max(v, step) AS v FROM de GROUP BY gid),
+fl AS (SELECT gid, pos, c.u AS u FROM (SELECT gid, CAST(unnest(range({size})) AS INTEGER) AS pos, unnest(v) AS c FROM la) WHERE c IS NOT NULL)"""
+
+
+def _walk_sql() -> str:
+    """CTE wk(new_gid, old_gid): the greedy walk, a step a row, with the ids not yet visited, heaviest first."""
+    return f"""{_WEIGHT.replace('WITH ', 'WITH RECURSIVE ', 1)},
+ad AS (SELECT src, list(dst ORDER BY sim4 DESC, dst) AS near FROM (SELECT DISTINCT src, dst, sim4 FROM e) GROUP BY src),
+hv AS (SELECT list(idx ORDER BY weight4 DESC, idx DESC) AS ids FROM nw),
+wk AS (
+  SELECT CAST(0 AS BIGINT) AS new_gid, ids[1] AS old_gid, ids[2:] AS rest FROM hv
+  UNION ALL
+  SELECT n, nx, list_filter(rest, lambda i: i <> nx) FROM (
+    SELECT new_gid + 1 AS n, rest, coalesce(list_filter(near, lambda i: list_contains(rest, i))[1], rest[1]) AS nx FROM wk LEFT JOIN ad ON src = old_gid WHERE len(rest) > 0))"""
 
 
 _SK = f"WITH {_sketch_sql()}"
@@ -216,12 +253,17 @@ _HITS = f"{_PAIRS}, hits AS (SELECT qid, rid, matches, matches / {_S} AS score F
 _POST = f"{_SK}, po AS (SELECT pos, fp, CAST(count(*) AS INTEGER) AS n, list_sort(list(gid)) AS gids FROM sk GROUP BY ALL)"
 _EDGE = f"{_HITS}, h4 AS (SELECT qid AS a, rid AS b, CAST(round_even(score * 10000, 0) AS BIGINT) AS sim4 FROM hits WHERE matches >= {P.s // 2}), e AS (SELECT a AS src, b AS dst, sim4 FROM h4 UNION ALL SELECT b, a, sim4 FROM h4)"
 _WEIGHT = f"{_EDGE}, nw AS (SELECT doc_id AS idx, CAST(coalesce(w, 0) AS BIGINT) AS weight4 FROM documents LEFT JOIN (SELECT src, sum(sim4) AS w FROM e GROUP BY src) ON src = doc_id)"
+_LOG = f"least(0.0::DOUBLE, (p + 1) * ln(2.0::DOUBLE) - ln(pi() * (p + 1) / 2) / 2 - 2 * (c + 1 - (p + 1) / 2.0::DOUBLE) * (c + 1 - (p + 1) / 2.0::DOUBLE) / (p + 1) + 23.0::DOUBLE / (18 * (p + 1)) + (c + 1) * ln(0.5::DOUBLE) + (p - c) * ln(0.5::DOUBLE))"
+_ALLOW = f"CASE WHEN c + 1 >= {P.s // 2} THEN true WHEN {P.s // 2} - c - 1 > {P.s} - p - 1 THEN false WHEN (c + 1) / (p + 1)::DOUBLE >= 0.5 THEN true ELSE {_LOG} >= ln(0.001::DOUBLE) END"
 _ONLY = "WITH d AS (SELECT doc_id AS gid FROM documents)"
 
 ORACLES = {
     "s5_scan_docs": f"SELECT doc_id AS gid, CAST(length({_DNA % ''}) AS INTEGER) AS seq_len FROM documents",
     "s6_mean_size": f"SELECT CAST(coalesce(sum(n) // count(n), 5000000) AS BIGINT) AS e FROM (SELECT length({_DNA % ''}) AS n FROM documents ORDER BY doc_id LIMIT 100)",
     "s11_empty_docs": f"SELECT doc_id AS gid FROM documents WHERE length({_DNA % ''}) < {P.k}",
+    "s6_pooled_mean_size": f"SELECT CAST(coalesce(sum(n) // count(n), 5000000) AS BIGINT) AS e FROM (SELECT sum(length({_DNA % ''})) AS n FROM conversations GROUP BY conv_id HAVING sum(length({_DNA % ''})) > 0 ORDER BY conv_id LIMIT 100)",
+    "s4_pooled_sketch": f"WITH turns AS (SELECT conv_id, text, conv_id * 100000 + turn AS turn_id FROM conversations), {_kmers_sql('turns', 'turn_id', P.k, '')}, {_steps('b', 'k', 'gid, h', 'h', 'fmix')}, m AS (SELECT gid // 100000 AS gid, CAST(m >> {64 - P.ls} AS INTEGER) AS pos, min(h) AS u FROM b GROUP BY ALL) SELECT gid, pos, {_signed('u')} AS h FROM m",
+    "s8_read_positions": f"{_SK} SELECT pos, fp, gid FROM sk WHERE pos BETWEEN 8 AND 11",
     "f1_runs": f"SELECT gid, CAST(unnest(range(0, len(r))) AS INTEGER) AS run_idx, CAST(length(unnest(r)) AS INTEGER) AS run_len FROM (SELECT doc_id AS gid, regexp_extract_all({_DNA % '-'}, '[ACGTacgt]+') AS r FROM documents)",
     "f3_kmer_counts": f"SELECT doc_id AS gid, CAST(list_sum(list_transform(regexp_extract_all({_DNA % '-'}, '[ACGT]+') || [''], lambda r: greatest(0, length(r) - 4))) AS BIGINT) AS n_kmers FROM documents",
     "s4_pooled_records": f"SELECT conv_id AS gid, CAST(sum(greatest(0, length({_DNA % ''}) - {P.k - 1})) AS BIGINT) AS n_kmers FROM conversations GROUP BY conv_id",
@@ -232,6 +274,8 @@ ORACLES = {
     "k3_bucket_ids": f"{_ONLY}, {_steps('a', 'd', 'gid', 'gid', 'fmix')} SELECT CAST(m >> 58 AS INTEGER) AS bucket, count(*) AS n FROM a GROUP BY ALL",
     "k4_bucket_min": f"{_SK} SELECT gid, pos, h FROM sk",
     "a7_empty_cells": f"{_SK} SELECT doc_id AS gid, CAST({P.s} - coalesce(n, 0) AS BIGINT) AS n_empty FROM documents LEFT JOIN (SELECT gid, count(*) AS n FROM sk GROUP BY gid) ON gid = doc_id",
+    "k5_densified": f"{_filled_sql()} SELECT gid, pos, {_signed('u')} AS h FROM fl",
+    "k9_whole_sketch": f"{_filled_sql()} SELECT gid, pos, CAST(u & {(1 << FILLED.w) - 1} AS BIGINT) AS fp FROM fl",
     "k6_fp_default": f"{_SK} SELECT gid, pos, fp FROM sk",
     "k7_fp_perfect": f"{_SK}, pf AS (SELECT gid, pos, pow((4294967296.0::DOUBLE - (u >> 32)::DOUBLE) / 4294967296.0::DOUBLE, {PERFECT.e / PERFECT.s}::DOUBLE) AS x FROM sk) SELECT gid, pos, CAST(least(floor(4096.0::DOUBLE - 4096.0::DOUBLE * x), 4095.0::DOUBLE) AS BIGINT) AS fp FROM pf WHERE x > pow(2.0::DOUBLE, -114)",
     "a4_postings": f"{_POST} SELECT pos, fp, n, array_to_string(gids, ',') AS gids FROM po",
@@ -248,13 +292,18 @@ ORACLES = {
     "j6_matrix_long": f"{_BENCH} SELECT item_id AS qid, doc_id AS rid, CASE WHEN coalesce(matches / {_S}, 0) >= 0.05 THEN matches / {_S} ELSE 0.0::DOUBLE END AS score FROM benchmark CROSS JOIN documents LEFT JOIN pr ON qid = item_id AND rid = doc_id",
     "n12_matrix_lines": f"{_BENCH} SELECT 'query_' || item_id || chr(9) || string_agg(printf('%.4f', coalesce(matches / {_S}, 0.0::DOUBLE)), ',' ORDER BY doc_id) AS line FROM benchmark CROSS JOIN documents LEFT JOIN pr ON qid = item_id AND rid = doc_id GROUP BY item_id",
     "a10_total_scores": f"{_BENCH} SELECT 'sparse' AS mode, count(*) AS total FROM pr UNION ALL SELECT 'matrix', (SELECT count(*) FROM benchmark) * (SELECT count(*) FROM documents)",
-    "n5_log_mass": "WITH g AS (SELECT * FROM (SELECT unnest([0, 1, 5, 60]) AS k), (SELECT unnest([1, 10, 64, 1024]) AS n), (SELECT unnest([0.1::DOUBLE, 0.5::DOUBLE, 0.9::DOUBLE]) AS p)), v AS (SELECT k, n, p, least(k, n)::DOUBLE AS c FROM g) SELECT k, n, p, round(least(0.0::DOUBLE, n * ln(2.0::DOUBLE) - ln(pi() * n / 2) / 2 - 2 * (c - n / 2.0::DOUBLE) * (c - n / 2.0::DOUBLE) / n + 23.0::DOUBLE / (18 * n) + c * ln(p) + (n - c) * ln(1 - p)), 6) AS log_mass FROM v",
+    "a10_thresholded_totals": f"{_BENCH}, t AS (SELECT count(*) AS n FROM pr WHERE matches >= ceil(0.05::DOUBLE * {P.s})) SELECT unnest(['sparse', 'matrix']) AS mode, n AS total FROM t",
+    "n6_pruned_pairs": f"{_SK}, ho AS (SELECT a.gid AS qid, b.gid AS rid, list(a.pos ORDER BY a.pos) AS ps FROM sk a JOIN sk b USING (pos, fp) GROUP BY ALL), fo AS (SELECT qid, rid, list_reduce(list_prepend(0, ps), lambda c, p: CASE WHEN {_ALLOW} THEN c + 1 ELSE 0 END) AS matches FROM ho) SELECT qid, rid, CAST(matches AS BIGINT) AS matches FROM fo WHERE matches >= {P.s // 2}",
+    "n5_log_mass": "WITH g AS (SELECT * FROM (SELECT unnest([0, 1, 5, 60]) AS k), (SELECT unnest([1, 10, 64, 1024]) AS n), (SELECT unnest([-0.5::DOUBLE, 0.1::DOUBLE, 0.5::DOUBLE, 0.9::DOUBLE, 1.5::DOUBLE]) AS p)), v AS (SELECT k, n, p, least(k, n)::DOUBLE AS c, greatest(1e-12::DOUBLE, least(1 - 1e-12::DOUBLE, p)) AS b FROM g) SELECT k, n, p, round(least(0.0::DOUBLE, n * ln(2.0::DOUBLE) - ln(pi() * n / 2) / 2 - 2 * (c - n / 2.0::DOUBLE) * (c - n / 2.0::DOUBLE) / n + 23.0::DOUBLE / (18 * n) + c * ln(b) + (n - c) * ln(1.0::DOUBLE - b)), 6) AS log_mass FROM v",
     "pigeonhole_pairs": f"{_PAIRS} SELECT qid, rid, matches FROM pr WHERE matches >= {P.s // 2}",
     "u1_edges": f"{_EDGE} SELECT src, dst, sim4 FROM e",
     "a9_node_weight": f"{_WEIGHT} SELECT idx, weight4 FROM nw",
     "o7_start_node": f"{_WEIGHT} SELECT idx, weight4 FROM nw ORDER BY weight4 DESC, idx DESC LIMIT 1",
     "o8_best_neighbour": f"{_EDGE} SELECT src AS idx, dst AS best, sim4 FROM e QUALIFY row_number() OVER (PARTITION BY src ORDER BY sim4 DESC, dst) = 1",
-    "s1_fastx_scan": f"SELECT doc_id AS gid, CAST(length({_DNA % ''}) AS INTEGER) AS seq_len FROM documents",
+    "o6_order_preview": f"{_walk_sql()} SELECT new_gid, old_gid FROM wk WHERE new_gid < 8",
+    "o9_order": f"{_walk_sql()} SELECT new_gid, old_gid FROM wk",
+    "o10_reordered_index": f"{_walk_sql()} SELECT pos, fp, CAST(count(*) AS INTEGER) AS n, string_agg(new_gid, ',' ORDER BY new_gid) AS gids FROM sk JOIN wk ON gid = old_gid GROUP BY pos, fp",
+    "s1_fastx_scan": f"SELECT row_number() OVER (ORDER BY doc_id) - 1 AS gid, doc_id AS name_id, CAST(length({_DNA % ''}) AS INTEGER) AS seq_len FROM documents",
     "s3_fof_scan": f"SELECT row_number() OVER (ORDER BY item_id) - 1 AS gid, 0::BIGINT AS rec, CAST(length({_DNA % ''}) AS INTEGER) AS seq_len FROM benchmark",
     "s12_sparse_reparse": f"{_HITS} SELECT qid, rid, printf('%.4f', score)::DOUBLE AS score FROM hits WHERE matches >= {P.s // 2}",
 }

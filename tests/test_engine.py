@@ -7,12 +7,15 @@ from pyspark.sql import functions as F
 
 from tessera import cli
 from tessera.functions import u64
+from tessera.functions.kmers import kmer_hashes, many_kmer_hashes
 from tessera.operators import compare as C
 from tessera.operators import prune, reorder
 from tessera.operators.sketch import SketchParams, bucket_minima, densify, empty_cells, empty_documents, fingerprints, mean_size, sketch
 from tessera.sources import index as I  # noqa: E741
-from tessera.sources.results import read_sparse, write_lines
+from tessera.operators.components import components
+from tessera.sources.results import read_lines, read_sparse, write_lines
 from tessera.sources.sequences import read_file_list, read_records
+from tessera.sources.work import numbered
 
 SEQS = [
     "GATTACAGATTACCAGTTGACCATGCAAGT", "ACTTGCATGGTCAACTGGTAATCTGTAATC", "gattacagattaccagttgaccatgcaagt", "GATTACAGATTACCANGTTGACCATGCAAGT",
@@ -179,14 +182,138 @@ def test_sequence_files(spark, tmp_path):
         assert [tuple(r) for r in read_records(spark, str(tmp_path / name)).orderBy("gid").collect()] == [(0, "a", "ACGTAC"), (1, "b", "GG")]
     assert [r["seq"] for r in read_records(spark, str(tmp_path / "c")).orderBy("gid").collect()] == ["ACGT", "TT"]
     assert read_records(spark, str(tmp_path / "e.fa")).count() == 0
+    (tmp_path / "many").mkdir()
+    for i, n in enumerate((2, 0, 1500)):
+        (tmp_path / "many" / f"{i}.fa").write_text("".join(f">{i}x{j}\nACGT\n" for j in range(n)))
+    got = [tuple(r) for r in read_records(spark, str(tmp_path / "many")).select("gid", "name").orderBy("gid").collect()]
+    assert got == list(enumerate([f"0x{j}" for j in range(2)] + [f"2x{j}" for j in range(1500)]))
     (tmp_path / "list").write_text(f"{tmp_path}/a.fa\n\n{tmp_path}/missing\n{tmp_path}/c\n")
     assert sorted(map(tuple, read_file_list(spark, str(tmp_path / "list")).collect())) == [(0, 0, "ACGTAC"), (0, 1, "GG"), (3, 0, "ACGT"), (3, 1, "TT")]
 
 
 def test_results_read_again(spark, docs, sk, tmp_path):
     hits = C.compare(sk, sk, 8)
-    write_lines(C.sparse_lines(hits, docs), str(tmp_path / "r"), "gzip")
-    assert sorted(map(tuple, read_sparse(spark, str(tmp_path / "r")).collect())) == sorted((r["qid"], r["rid"], round(r["score"], 4)) for r in hits.collect())
+    for level in (0, 1, 9):
+        write_lines(C.sparse_lines(hits, docs), str(tmp_path / f"r{level}"), level)
+        assert sorted(map(tuple, read_sparse(spark, str(tmp_path / f"r{level}")).collect())) == sorted((r["qid"], r["rid"], round(r["score"], 4)) for r in hits.collect())
+    with pytest.raises(FileExistsError):
+        write_lines(C.sparse_lines(hits, docs), str(tmp_path / "r1"), 1)
+
+
+def test_result_files_are_in_query_order(spark, tmp_path):
+    lines = spark.range(5000).select(F.col("id").alias("qid"), F.concat(F.lit("query_"), F.col("id")).alias("line")).orderBy(F.rand(1))
+    for level in (0, 3):
+        write_lines(lines, str(tmp_path / f"o{level}"), level)
+        parts = sorted(p for p in (tmp_path / f"o{level}").iterdir() if p.name.startswith("part-") and not p.name.endswith(".crc"))
+        import zstandard
+
+        read = lambda p: zstandard.ZstdDecompressor().stream_reader(p.read_bytes()).read().decode() if p.suffix == ".zst" else p.read_text()
+        assert "".join(map(read, parts)).split() == [f"query_{i}" for i in range(5000)]
+
+
+def test_lists_in_parts_and_mean_size(spark, tmp_path):
+    (tmp_path / "a.fa").write_text(">x\nACGTACGTAC\n>y\nACGTACGTAC\n")
+    (tmp_path / "empty.fa").write_text("")
+    (tmp_path / "lists").mkdir()
+    (tmp_path / "lists" / "1").write_text(f"{tmp_path}/a.fa\n{tmp_path}/empty.fa\n")
+    (tmp_path / "lists" / "2").write_text(f"{tmp_path}/a.fa\n/nowhere/x\n")
+    docs = read_file_list(spark, str(tmp_path / "lists"))
+    assert sorted((r["gid"], r["rec"]) for r in docs.collect()) == [(0, 0), (0, 1), (2, 0), (2, 1)]
+    assert mean_size(docs, drop_empty=True).first()["e"] == 20
+    rows = spark.createDataFrame([(0, "ACGT"), (1, ""), (2, None), (None, "ACGTACGT")], "gid long, seq string")
+    assert mean_size(rows).first()["e"] == 1 and mean_size(rows, drop_empty=True).first()["e"] == 4
+
+
+def test_default_command_line(spark, tmp_path):
+    (tmp_path / "x.fa").write_text("".join(f">{i}\n{s}\n" for i, s in enumerate(SEQS)))
+    said = []
+    cli.main(["sketch", "--input-fasta", str(tmp_path / "x.fa"), "-o", str(tmp_path / "i"), "-k", "5", "-s", "3", "-w", "8", "--reorder-similarity", "--no-compress", "--threads", "2"], spark, said.append)
+    assert any("1 documents have no sketch" in x for x in said) and any(x.startswith("first of the new order: ") for x in said)
+    back = I.load(spark, str(tmp_path / "i"))
+    order = {r["new_gid"]: r["old_gid"] for r in back.order.collect()}
+    assert sorted(order.values()) == [0, 1, 2, 3, 5, 6]
+    cli.main(["compare", "--ref-sketch", str(tmp_path / "i"), "-o", str(tmp_path / "o"), "--print-stats"], spark, said.append)
+    got = {r["value"].split("\t")[0]: r["value"].split("\t")[1] for r in read_lines(spark, str(tmp_path / "o")).collect()}
+    new = {old: n for n, old in order.items()}
+    assert {x.split(":")[0] for x in got[f"query_{new[0]}"].split(",")} == {str(new[i]) for i in (1, 2, 3, 5)}
+    assert any(x.startswith("ref: s 8") for x in said) and said[-1] == "20 scores"
+
+
+def test_pruning_flags(spark, tmp_path):
+    (tmp_path / "x.fa").write_text("".join(f">{i}\n{s}\n" for i, s in enumerate(SEQS)))
+    size = ["-k", "5", "-s", "3", "-w", "8", "--ref-fasta", str(tmp_path / "x.fa"), "--threshold", "0.6"]
+    for name, more in (("whole", []), ("pruned", ["--prob-threshold-heuristic"]), ("off", ["--prob-threshold-heuristic", "--prob-threshold-probability", "0"])):
+        cli.main(["compare", *size, *more, "-o", str(tmp_path / name)], spark, lambda x: None)
+    read = lambda name: {(r["qid"], r["rid"]): r["score"] for r in read_sparse(spark, str(tmp_path / name)).collect()}
+    assert read("whole") == read("off") and set(read("pruned")) <= set(read("whole")) and read("pruned")
+
+
+def test_totals(sk, docs):
+    hits = C.compare(sk, sk, 8, 0.6)
+    n = hits.count()
+    assert {r["mode"]: r["total"] for r in C.totals(hits, docs, docs, 0.6).collect()} == {"sparse": n, "matrix": n}
+    assert {r["mode"]: r["total"] for r in C.totals(C.compare(sk, sk, 8), docs, docs).collect()} == {"sparse": 26, "matrix": 49}
+
+
+def test_many_kmers_at_once():
+    seqs = [None, "", "ACG", *SEQS, "acgtNACGTTTAGC" * 9, "日本ACGTACGT"]
+    for k in (1, 3, 5, 31):
+        owner, h = many_kmer_hashes(seqs, k)
+        for i, s in enumerate(seqs):
+            assert (h[owner == i] == kmer_hashes(s, k)).all()
+
+
+def test_densify_many_at_once():
+    rng = np.random.default_rng(4)
+    rows = [bucket_minima(rng.integers(0, 1 << 63, n).astype(np.uint64), 6) for n in (0, 1, 3, 30, 500, 2)]
+    c, f = densify(np.array([x[0] for x in rows]), np.array([x[1] for x in rows]))
+    for i, row in enumerate(rows):
+        a, b = densify(*row)
+        assert (b == f[i]).all() and (a[b] == c[i][b]).all()
+
+
+def test_components(spark):
+    e = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(100, 101), (7, 7), (None, 3)], "a long, b long")
+    got = {r["node"]: r["component"] for r in components(e).collect()}
+    assert got == {i: 0 for i in range(41)} | {100: 100, 101: 100}
+    assert components(e.limit(0)).count() == 0
+
+
+def test_numbered(spark):
+    df = spark.range(1000).select((F.col("id") * 7 % 1000).alias("x"))
+    assert sorted(map(tuple, numbered(df, F.desc("x"), name="n").collect())) == [(i, 999 - i) for i in range(1000)]
+    assert numbered(df.limit(0), "x", name="n").count() == 0
+
+
+def test_walks_of_components_make_the_whole_walk(spark):
+    rng = np.random.default_rng(9)
+    n = 120
+    pairs = {tuple(sorted(map(int, rng.integers(0, n, 2)))): float(rng.integers(5, 10)) / 10 for _ in range(90)}
+    both = [(a, b, s) for (a, b), s in pairs.items() if a != b] + [(b, a, s) for (a, b), s in pairs.items() if a != b]
+    e = reorder.edges(spark.createDataFrame(both, "qid long, rid long, score double"), 0.1)
+    near, weight = {}, dict.fromkeys(range(n), 0)
+    for a, b, s in both:
+        near.setdefault(a, []).append((-s, b))
+        weight[a] += 2 * round(s * 10000)
+    seen, at, expected = set(), None, []
+    while len(expected) < n:
+        at = at if at is not None else max((w, i) for i, w in weight.items() if i not in seen)[1]
+        seen.add(at)
+        expected.append(at)
+        at = next((b for _, b in sorted(near.get(at, [])) if b not in seen), None)
+    docs = spark.range(n).withColumnRenamed("id", "gid")
+    assert [r["old_gid"] for r in reorder.greedy_order(docs, e).orderBy("new_gid").collect()] == expected
+
+
+def test_chunked_postings(spark, sk):
+    whole = I.postings(sk)
+    parts = I.chunked_postings(sk, 2)
+    assert parts.agg(F.max("n")).first()[0] == 2
+    glued = parts.groupBy("pos", "fp").agg(F.array_sort(F.flatten(F.collect_list("gids"))).alias("gids"))
+    assert sorted(map(str, glued.collect())) == sorted(map(str, whole.select("pos", "fp", "gids").collect()))
+    long = spark.createDataFrame([(0, 0, 1000, sorted(np.random.default_rng(1).choice(9999, 1000, False).tolist()))], "pos int, fp long, n int, gids array<long>")
+    assert I.undeltas(I.deltas(long)).collect() == long.collect()
+    assert {r["pos"] for r in I.read_positions(I.Index(whole, P, 7, 1), 2, 4).collect()} <= {2, 3, 4}
 
 
 def test_command_line(spark, tmp_path):

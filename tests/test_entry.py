@@ -11,7 +11,7 @@ def plain(rows):
     return sorted(repr(tuple(float(f"{v:.9g}") if isinstance(v, float) else v for v in r)) for r in rows)
 
 
-@pytest.mark.parametrize("name", ["f3_kmer_counts", "k4_bucket_min", "k7_fp_perfect", "j3_ref_vs_query", "n12_sparse_lines", "o8_best_neighbour", "s3_fof_scan"])
+@pytest.mark.parametrize("name", ["f3_kmer_counts", "k4_bucket_min", "k9_whole_sketch", "k7_fp_perfect", "j3_ref_vs_query", "f7_threshold", "n6_pruned_pairs", "n12_sparse_lines", "o8_best_neighbour", "o9_order", "s1_fastx_scan", "s3_fof_scan"])
 def test_query_equals_sql(spark, sf, name):
     con = duckdb.connect()
     for t in TABLES:
