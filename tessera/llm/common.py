@@ -1,75 +1,50 @@
-"""What the operators share: the shared work folder, written cuts of the lineage, and word patterns."""
+"""What the operators share: tables, names, bounded samples and word patterns; written cuts come from the library."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: A word: a run of anything but ASCII white space.
-WORD = r"[^\x20\x09-\x0D]+"
-
-
-def work_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, read from the session.
-
-    Where it is unset, a local master gets a fresh temporary folder, kept for the session; on a
-    cluster that would be a folder of one machine, so there the missing setting is an error.
-    """
-    key = "spark.checkpoint.dir"
-    found = spark.conf.get(key, None) or spark.sparkContext.getConf().get(key)
-    if found:
-        return found.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-    made = "file://" + tempfile.mkdtemp(prefix="spark-", dir="/tmp")
-    spark.conf.set(key, made)
-    return made
-
+from ..sources.work import cut, fresh_path
 
-def fresh_path(spark: SparkSession, name: str) -> str:
-    """A new path below the shared folder."""
-    return f"{work_folder(spark)}/{name}-{uuid.uuid4().hex}"
+__all__ = ["WORD", "bounded_sample", "col", "cut", "fresh_path", "held_out", "learned_from", "read_table"]
 
-
-def cut(df: DataFrame, name: str) -> DataFrame:
-    """df, written to the shared folder as Parquet and read again.
-
-    Later stages then start from files that outlive any executor. Two columns of one name are
-    not written; callers select what they need first.
-    """
-    path = fresh_path(df.sparkSession, name)
-    df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+#: A word: a run of anything but ASCII white space.
+WORD = r"[^\x20\x09-\x0D]+"
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def col(name: str) -> Column:
+    """The column of exactly this name, whatever stands in it."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
 def learned_from(id_col: str = "doc_id"):
     """True for rows that a model may learn from: crc32 of the id as text, modulo 3, is not 1.
 
     A null id has no such remainder; its row is not learned from and counts as not held out.
     """
-    return F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % 3 != 1, F.lit(False))
+    return F.coalesce(F.crc32(col(id_col).cast("string").cast("binary")) % 3 != 1, F.lit(False))
 
 
 def held_out(id_col: str = "doc_id"):
-    return F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % 3 == 1, F.lit(False))
+    return F.coalesce(F.crc32(col(id_col).cast("string").cast("binary")) % 3 == 1, F.lit(False))
 
 
-def bounded_sample(rows: DataFrame, key: str, per_key: int, id_col: str = "doc_id") -> DataFrame:
-    """About per_key rows for each value of `key`, chosen by a hash of the id: the same rows on every run.
+def bounded_sample(rows: DataFrame, key: str, per_key: int, id_col: str = "doc_id", most_keys: int = 1000) -> tuple[DataFrame, dict]:
+    """About per_key rows for each value of `key`, chosen by a hash of the id: the same rows on every run; and each value's number of rows.
 
-    `per_key` bounds what a fit collects; the counts come from the narrow columns alone. The number of
-    values of `key` has to be small (languages, two labels).
+    `per_key` bounds what a fit collects; the counts come from the narrow columns alone. More values of `key`
+    than most_keys (languages, labels) are an error.
     """
-    counts = {r[0]: r[1] for r in rows.groupBy(key).count().collect()}
+    counts = {r[0]: r[1] for r in rows.groupBy(key).count().limit(most_keys + 1).collect()}
+    if len(counts) > most_keys:
+        raise ValueError(f"{key} has more than {most_keys} values")
     share = F.lit(0.0)
     for value, n in counts.items():
         share = F.when(F.col(key) == F.lit(value), F.lit(min(1.0, per_key / max(n, 1)))).otherwise(share)
     spot = F.pmod(F.xxhash64(F.col(id_col), F.lit("sample")), F.lit(1_000_000)) / 1e6
-    return rows.where(spot < share)
+    return rows.where(spot < share), counts
