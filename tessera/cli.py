@@ -94,7 +94,7 @@ def main(args: list[str] | None = None, spark: SparkSession | None = None, say=p
     r = cut(ref.sketch(), "ref")
     q = r if query is ref else cut(query.sketch(), "query")
     if a.prob_threshold_heuristic and a.threshold > 0:
-        hits = C.scored(prune.pruned_counts(prune.hit_positions(q, r), s, a.threshold, a.prob_threshold_probability), s, a.threshold)
+        hits = prune.pruned_compare(q, r, s, a.threshold, a.prob_threshold_probability)
     else:
         hits = C.compare(q, r, s, a.threshold)
     hits = cut(hits.where("qid <> rid") if alone else hits, "hits")

@@ -40,12 +40,13 @@ def _counts(q: DataFrame, r: DataFrame, half: bool = False) -> DataFrame:
     return (met.where("qid <= rid") if half else met).groupBy("qid", "rid").agg(F.count("*").alias("matches"))
 
 
-def _reps(sk: DataFrame, c: DataFrame) -> DataFrame:
+def representatives(sk: DataFrame, c: DataFrame) -> DataFrame:
+    """The sketches of the classes' representatives."""
     return sk.join(c.where("gid = rep").select("gid"), "gid", "left_semi")
 
 
-def _members(found: DataFrame, cq: DataFrame, cr: DataFrame) -> DataFrame:
-    """Pairs of representatives, spread over the members of their classes."""
+def spread(found: DataFrame, cq: DataFrame, cr: DataFrame) -> DataFrame:
+    """Pairs (qid, rid, matches) of representatives, spread over the members of their classes."""
     out = found.join(cq.select(F.col("gid").alias("q"), F.col("rep").alias("qid")), "qid").join(cr.select(F.col("gid").alias("r"), F.col("rep").alias("rid")), "rid")
     return out.select(F.col("q").alias("qid"), F.col("r").alias("rid"), "matches")
 
@@ -56,7 +57,7 @@ def pair_counts(query: DataFrame, ref: DataFrame) -> DataFrame:
     The join runs between class representatives; members are put in their places afterwards.
     """
     cq, cr = (cut(classes(sk), "classes") for sk in (query, ref)) if query is not ref else [cut(classes(query), "classes")] * 2
-    return _members(_counts(_reps(query, cq), _reps(ref, cr)), cq, cr)
+    return spread(_counts(representatives(query, cq), representatives(ref, cr)), cq, cr)
 
 
 def scored(pairs: DataFrame, s: int, threshold: float = 0.0) -> DataFrame:
@@ -90,7 +91,7 @@ def prefix_compare(query: DataFrame, ref: DataFrame, s: int, threshold: float) -
     same = query is ref
     cq = cut(classes(query), "classes")
     cr = cq if same else cut(classes(ref), "classes")
-    q, r = _reps(query, cq), _reps(ref, cr)
+    q, r = representatives(query, cq), representatives(ref, cr)
     first = _counts(q.where(F.col("pos") < head), r.where(F.col("pos") < head), same).where(F.col("matches") >= t)
     near = cut(first.select("qid", "rid", F.col("matches").alias("early")), "candidates")
     cell = F.shiftleft(F.col("pos").cast("long"), 32).bitwiseOR(F.col("fp"))
@@ -101,7 +102,7 @@ def prefix_compare(query: DataFrame, ref: DataFrame, s: int, threshold: float) -
     found = both.select("qid", "rid", (F.col("early") + late).alias("matches")).where(F.col("matches") >= m)
     if same:
         found = found.unionByName(found.where("qid <> rid").select(F.col("rid").alias("qid"), F.col("qid").alias("rid"), "matches"))
-    return scored(_members(found, cq, cr), s, threshold)
+    return scored(spread(found, cq, cr), s, threshold)
 
 
 def totals(hits: DataFrame, queries: DataFrame, refs: DataFrame, threshold: float = 0.0) -> DataFrame:

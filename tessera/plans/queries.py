@@ -162,7 +162,7 @@ QUERIES = {
     "a10_total_scores": _totals(0.0),
     "a10_thresholded_totals": _totals(0.05),
     "n5_log_mass": _grid,
-    "n6_pruned_pairs": lambda s, d: prune.pruned_counts(prune.hit_positions(*[_docs_sketch(s, d)] * 2), P.s, 0.5),
+    "n6_pruned_pairs": lambda s, d: prune.pruned_compare(*[_docs_sketch(s, d)] * 2, P.s, 0.5).select("qid", "rid", "matches"),
     "pigeonhole_pairs": lambda s, d: C.prefix_compare(*[_docs_sketch(s, d)] * 2, P.s, 0.5).select("qid", "rid", "matches"),
     "u1_edges": _edges,
     "a9_node_weight": lambda s, d: reorder.node_weights(_ids(s, d), _edges(s, d)),
