@@ -1,15 +1,17 @@
 """Token ids as flat binary files.
 
 Documents are range-partitioned by id, so partition order is id order. A task encodes its documents
-and writes three flat little-endian files: the ids (unsigned 16 or 32 bits), the document offsets
+and streams three flat little-endian files: the ids (unsigned 16 or 32 bits), the document offsets
 (unsigned 64 bits, one more than documents) and the document ids (signed 64 bits). A manifest row
 for each part goes to Parquet; the part's base comes from the prefix sum of the parts before it.
-Files are written under a name of the attempt and moved into place, so a repeated task leaves one
-whole part. Readers map the files into memory.
+Files have a name of the attempt, which the manifest row holds: of a repeated task, the attempt that Spark
+commits is the one that is read. Readers map the files into memory.
 """
 
 from __future__ import annotations
 
+import json
+import math
 import os
 import sys
 import types
@@ -20,20 +22,25 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.fs as pafs
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import cut, fresh_path, read_table
+from .common import col, cut, fresh_path, read_table
 
 END_ID = 2
-#: Words whose ids a Python worker remembers before it starts afresh; bounds memory, not results.
-REMEMBERED = 600_000
-#: Texts that go to the library together.
-TOGETHER = 256
+#: Bytes of words and ids, with what Python adds for each, that a worker remembers before it starts afresh; longer words
+#: than LONG characters are never kept. Both bound memory, not results.
+REMEMBERED, EACH, LONG = 40 << 20, 200, 48
+#: Characters of text that go to the library together.
+TOGETHER = 1 << 19
+#: Bytes of text in a part: as many as give each core one part, within these limits.
+PART_BYTES = (4 << 20, 32 << 20)
 #: Marks at which a word is cut when they follow a letter.
 MARKS = ".,;:!?$&*%#"
 #: The key of a line end inside a word: no text, so no word or piece has it.
 LINE_END = None
+#: Parts whose prefix sums one task makes.
+BLOCK_PARTS = 4096
 MANIFEST = "part long, path string, docs long, ids long, bits long, null_docs long"
 
 
@@ -43,6 +50,16 @@ def vocabulary_path() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+def by_words(tokenizer) -> bool:
+    """True if a tokenizer is byte-level BPE with the usual pattern, without a normaliser, and its added tokens hold no white space or marks."""
+    told = json.loads(tokenizer.to_str())
+    cut, model = told["pre_tokenizer"] or {}, told["model"]
+    plain = told["normalizer"] is None and cut.get("type") == "ByteLevel" and cut.get("use_regex") and not cut.get("add_prefix_space")
+    plain = plain and model["type"] == "BPE" and not model["dropout"] and not model["continuing_subword_prefix"] and not model["end_of_word_suffix"]
+    added = [t["content"] for t in told["added_tokens"] if not (t["lstrip"] or t["rstrip"] or t["single_word"])]
+    return bool(plain) and len(added) == len(told["added_tokens"]) and not any(c.isspace() or c in MARKS for t in added for c in t)
+
+
 class WordwiseEncoder:
     """Encodes texts with a byte-level tokenizer of the tokenizers library, remembering words.
 
@@ -51,7 +68,8 @@ class WordwiseEncoder:
     anything with a single line end between visible characters: words are cut there too. Each distinct piece goes
     through the library once in a while instead of at each place, all new ones in one text; the bytes that each
     token stands for tell where pieces end. Text where white space meets white space is cut at the other spaces
-    only. The ids are the same as for whole texts (see the tests).
+    only. The ids are the same as for whole texts (see the tests). A tokenizer that is not of that kind, by its own
+    description, gets whole texts.
     """
 
     def __init__(self, vocabulary: str):
@@ -61,6 +79,9 @@ class WordwiseEncoder:
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks are the parallelism
         self.tokenizer = Tokenizer.from_file(vocabulary)
+        self.tokenizer.no_truncation()
+        self.tokenizer.no_padding()
+        self.wordwise = by_words(self.tokenizer)
         self.type = np.dtype("<u2") if self.tokenizer.get_vocab_size() <= 1 << 16 else np.dtype("<u4")
         self.single = re.compile(r"(?<=\S) (?=\S)").split
         self.parts = re.compile(rf"(?<=[^\W\d_])(?=[{MARKS}])|(?<=\S)(?=\n\S)|(?<=\S\n)(?=\S)").split
@@ -71,6 +92,7 @@ class WordwiseEncoder:
         for i, token in self.tokenizer.get_added_tokens_decoder().items():
             self.width[i] = len(token.content.encode())
         self.known: dict[str | None, bytes | None] = {}
+        self.held = 0
 
     def _each(self, pieces: list[str]) -> list[bytes]:
         """The packed ids of each piece, a call for each. A piece stands for itself after a space; with a space before it, without one."""
@@ -92,8 +114,8 @@ class WordwiseEncoder:
         packed, n = ids.tobytes(), self.type.itemsize
         return [packed[a:b] for a, b in zip((lo * n).tolist(), (hi * n).tolist(), strict=True)]
 
-    def _learn(self, words: set[str]) -> None:
-        """Takes up words; None stands for one that white space borders. A text's first word has a space before it."""
+    def _learn(self, words: set[str]) -> list[str]:
+        """Takes up words and returns what it took up; None stands for one that white space borders. A text's first word has a space before it."""
         known, parted, pieces = self.known, [], set(filter(str.isalpha, words))
         marked = []  # (word, its letters, the marks after them)
         for w in words - pieces:
@@ -122,6 +144,7 @@ class WordwiseEncoder:
         known.update(zip(new, self._streamed(new), strict=True))
         known.update((w, b"".join(map(known.__getitem__, keys))) for w, keys in parted)
         known.update((w, known[stem] + known[marks]) for w, stem, marks in marked)
+        return [*new, *(w for w in words if w not in pieces)]
 
     def _uneven(self, text: str) -> bytes:
         first, *rest = self.single(text)
@@ -132,18 +155,29 @@ class WordwiseEncoder:
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """The packed ids of each text. The library is called once for all pieces not met before."""
+        if not self.wordwise:
+            found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
+            return [np.asarray(e.ids, self.type).tobytes() for e in found]
         known, out = self.known, []
-        if len(known) > REMEMBERED:
+        if self.held > REMEMBERED:
             known.clear()
+            self.held = 0
         cut = [t.split(" ") for t in texts]
         for c in cut:
             c[0] = " " + c[0]
-        self._learn(set().union(*cut).difference(known))
+        taken = self._learn(set().union(*cut).difference(known))
         for t, c in zip(texts, cut, strict=True):
             try:
                 out.append(b"".join(map(known.__getitem__, c)))
             except TypeError:  # a None among them
                 out.append(self._uneven(t) if t else b"")
+        for w in taken:
+            if w is LINE_END:
+                continue
+            if len(w) > LONG:
+                known.pop(w, None)
+            else:
+                self.held += EACH + len(w) + len(known[w] or b"")
         return out
 
 
@@ -158,6 +192,7 @@ def worker_encoder(vocabulary: str, job: str) -> WordwiseEncoder:
     if held.get("job") != job:
         held["job"] = job
         held[vocabulary].known.clear()
+        held[vocabulary].held = 0
     return held[vocabulary]
 
 
@@ -165,15 +200,6 @@ def _store(path: str) -> tuple[pafs.FileSystem, str]:
     return pafs.FileSystem.from_uri(path)
 
 
-def _put(path: str, name: str, chunks: list[bytes]) -> None:
-    store, at = _store(path)
-    passing = f"{at}/{name}.{uuid.uuid4().hex}"
-    with store.open_output_stream(passing) as out:
-        for c in chunks:
-            out.write(c)
-    store.move(passing, f"{at}/{name}")
-
-
 def _mapped(path: str, kind: str) -> np.ndarray:
     store, at = _store(path)
     if isinstance(store, pafs.LocalFileSystem):
@@ -182,6 +208,18 @@ def _mapped(path: str, kind: str) -> np.ndarray:
         return np.frombuffer(f.read_buffer(), kind)
 
 
+def _groups(texts: list[str]) -> Iterator[list[str]]:
+    """Runs of texts of about TOGETHER characters."""
+    lo = size = 0
+    for i, t in enumerate(texts):
+        size += len(t)
+        if size >= TOGETHER:
+            yield texts[lo : i + 1]
+            lo, size = i + 1, 0
+    if lo < len(texts):
+        yield texts[lo:]
+
+
 def write_token_files(docs: DataFrame, path: str, vocabulary: str | None = None, parts: int | None = None, end_id: int = END_ID, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Writes the token files below path and returns their manifest, read back from path/manifest.
 
@@ -195,44 +233,54 @@ def write_token_files(docs: DataFrame, path: str, vocabulary: str | None = None,
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        part, encoder = TaskContext.get().partitionId(), None
-        ids, sizes, names, nulls = [], [], [], 0
-        for batch in batches:
-            encoder = encoder or worker_encoder(vocabulary, path)
-            end, width = np.asarray([end_id], encoder.type).tobytes(), encoder.type.itemsize
-            docs_here = batch.column(0).to_pylist()
-            nulls += docs_here.count(None)
-            names += [doc or 0 for doc in docs_here]
-            for lo in range(0, batch.num_rows, TOGETHER):
-                for packed in encoder.encode([t.as_py() or "" for t in batch.column(1).slice(lo, TOGETHER)]):
-                    ids.append(packed + end)
-                    sizes.append(len(ids[-1]) // width)
-        if encoder is None:
-            return
-        offsets = np.zeros(len(sizes) + 1, "<u8")
-        np.cumsum(sizes, out=offsets[1:])
-        stem = f"part-{part:08d}"
-        _put(path, f"{stem}.ids", ids)
-        _put(path, f"{stem}.offsets", [offsets.tobytes()])
-        _put(path, f"{stem}.docs", [np.asarray(names, "<i8").tobytes()])
-        made = {"part": part, "path": f"{path}/{stem}", "docs": len(sizes), "ids": int(offsets[-1]), "bits": encoder.type.itemsize * 8, "null_docs": nulls}
-        yield pa.RecordBatch.from_pylist([made])
-
-    ordered = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    n = parts or max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    dealt = ordered.repartitionByRange(n, F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "text")
+        part = TaskContext.get().partitionId()
+        store, at = _store(path)
+        stem, encoder, streams = f"part-{part:08d}-{uuid.uuid4().hex}", None, []
+        n = total = nulls = 0
+        try:
+            for batch in batches:
+                if not batch.num_rows:
+                    continue
+                if encoder is None:
+                    encoder = worker_encoder(vocabulary, path)
+                    streams = [store.open_output_stream(f"{at}/{stem}.{kind}") for kind in ("ids", "offsets", "docs")]
+                    streams[1].write(bytes(8))
+                end, width = np.asarray([end_id], encoder.type).tobytes(), encoder.type.itemsize
+                names = batch.column(0).to_pylist()
+                nulls += names.count(None)
+                streams[2].write(np.asarray([doc or 0 for doc in names], "<i8").tobytes())
+                for texts in _groups([t or "" for t in batch.column(1).to_pylist()]):
+                    packed = encoder.encode(texts)
+                    ends = total + np.cumsum([len(x) // width + 1 for x in packed])
+                    streams[0].write(end.join(packed) + end)
+                    streams[1].write(ends.astype("<u8").tobytes())
+                    n, total = n + len(texts), int(ends[-1])
+        finally:
+            for s in streams:
+                s.close()
+        if encoder is not None:
+            made = {"part": part, "path": f"{path}/{stem}", "docs": n, "ids": total, "bits": encoder.type.itemsize * 8, "null_docs": nulls}
+            yield pa.RecordBatch.from_pylist([made])
+
+    ordered = docs.select(col(id_col).cast("long").alias("doc_id"), col(text_col).alias("text"))
+    if parts is None:
+        size = ordered.agg(F.sum(F.octet_length("text") + 8)).first()[0] or 0
+        parts = max(1, math.ceil(size / min(max(size / spark.sparkContext.defaultParallelism, PART_BYTES[0]), PART_BYTES[1])))
+    dealt = ordered.repartitionByRange(parts, F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "text")
     dealt.mapInArrow(write, MANIFEST).write.parquet(f"{path}/manifest")
     return spark.read.schema(MANIFEST).parquet(f"{path}/manifest")
 
 
 def with_bases(manifest: DataFrame) -> DataFrame:
-    """The manifest with `base`, the ids of all parts before: a prefix sum over one number a part, made on the driver."""
-    base, rows = 0, []
-    for r in sorted(manifest.collect(), key=lambda r: r["part"]):
-        rows.append((*r, base))
-        base += r["ids"]
-    spark = manifest.sparkSession
-    return cut(spark.createDataFrame(rows, MANIFEST + ", base long").repartition(max(1, len(rows))), "token-bases")
+    """The manifest with `base`, the ids of all parts before: prefix sums inside blocks of parts and over the blocks."""
+    block = F.floor(F.col("part") / BLOCK_PARTS).alias("block")
+    rows = manifest.select("*", block)
+    totals = rows.groupBy(F.col("block").alias("b")).agg(F.sum("ids").alias("total"))
+    earlier = F.coalesce(F.sum("total").over(Window.orderBy("b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    within = F.coalesce(F.sum("ids").over(Window.partitionBy("block").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    based = rows.withColumn("within", within).join(totals.select("b", earlier.alias("earlier")), F.col("block") == F.col("b"))
+    based = based.select(*manifest.columns, (F.col("within") + F.col("earlier")).cast("long").alias("base"))
+    return cut(based.repartitionByRange(max(1, manifest.count()), "part"), "token-bases")
 
 
 def read_token_files(parts: DataFrame) -> DataFrame:
@@ -268,7 +316,10 @@ def token_ids(parts: DataFrame) -> DataFrame:
 
 
 def tokenized(docs: DataFrame, **options) -> DataFrame:
-    """Writes docs' token files to a new path in the shared folder and returns what reading them back gives."""
+    """Writes docs' token files to a new path in the shared folder and returns what reading them back gives.
+
+    Null texts and ids, repeated rows and empty tables are as for write_token_files(); other columns are not read.
+    """
     return read_token_files(with_bases(write_token_files(docs, fresh_path(docs.sparkSession, "tokens"), **options)))
 
 
