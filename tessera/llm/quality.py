@@ -1,9 +1,8 @@
 """Quality by compression.
 
-Two zstandard dictionaries are built, from text labelled good and from text labelled bad. A document is
-compressed in pieces with each and with none; by how much the good dictionary saves more than the bad one, over
-the plain size, is its raw score. A logistic curve, fitted on labelled rows that built no dictionary,
-makes that a probability.
+Two zstandard dictionaries are trained, on pieces of text labelled good and of text labelled bad. A document is
+compressed in pieces with each; by how many bytes a byte of text the good dictionary does better is its raw score. A
+logistic curve of that difference alone, fitted on labelled rows that trained no dictionary, makes it a probability.
 """
 
 from __future__ import annotations
@@ -16,105 +15,114 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bounded_sample, held_out, learned_from, read_table
+from .common import bounded_sample, col, held_out, learned_from, read_table
 
 #: Labelled documents of each class that a fit collects, about.
-PER_CLASS = 1500
-DICTIONARY = 64 << 10
+PER_CLASS = 2500
+#: Bytes of a dictionary; pieces of each labelled text that train it.
+DICTIONARY, SAMPLES = 112 << 10, 8
 #: Text is compressed in pieces of so many bytes: a longer one would teach the compressor its own text.
 PIECE = 1024
 LEVEL = 3
+#: Differences beyond this many standard deviations bend the curve no more.
+FAR = 4.0
 
 
 @dataclass
 class QualityModel:
+    """Dictionaries (empty: none) and the curve: bias + weight * clipped (difference - centre) / scale."""
+
     good: bytes
     bad: bytes
-    weights: np.ndarray
-    centre: np.ndarray
-    scale: np.ndarray
+    bias: float = 0.0
+    weight: float = 0.0
+    centre: float = 0.0
+    scale: float = 1.0
+
+    def probabilities(self, differences: np.ndarray) -> np.ndarray:
+        z = np.clip((np.asarray(differences, float) - self.centre) / self.scale, -FAR, FAR)
+        return 1 / (1 + np.exp(-(self.bias + self.weight * z)))
 
 
 class Measure:
-    """Compressed sizes of a text's pieces under a model's dictionaries."""
+    """Compressed sizes of a text's pieces under a model's two dictionaries."""
 
     def __init__(self, good: bytes, bad: bytes):
         import zstandard
 
-        def made(content: bytes | None):
+        def made(content: bytes):
             options = {"level": LEVEL, "write_content_size": False, "write_checksum": False, "write_dict_id": False}
-            if content is None:
+            if not content:
                 return zstandard.ZstdCompressor(**options)
-            d = zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+            d = zstandard.ZstdCompressionDict(content)
             d.precompute_compress(level=LEVEL)
             return zstandard.ZstdCompressor(dict_data=d, **options)
 
-        self.all = [made(c).compress for c in (good, bad, None)]
+        self.both = [made(c).compress for c in (good, bad)]
 
-    def features(self, text: str | None) -> tuple[float, float, float]:
-        """(saving difference over plain size, plain size over length, log of length); zeros for a text without bytes."""
+    def difference(self, text: str | None) -> float:
+        """(bytes under the bad dictionary - bytes under the good one) / bytes of the text; 0 for a text without bytes."""
         b = (text or "").encode("utf-8", "surrogatepass")
-        if not b:
-            return 0.0, 0.0, 0.0
-        good = bad = plain = 0
-        by_good, by_bad, by_none = self.all
+        by_good, by_bad = self.both
+        saved = 0
         for i in range(0, len(b), PIECE):
             piece = b[i : i + PIECE]
-            good += len(by_good(piece))
-            bad += len(by_bad(piece))
-            plain += len(by_none(piece))
-        return (bad - good) / plain, plain / len(b), float(np.log(len(b)))
-
+            saved += len(by_bad(piece)) - len(by_good(piece))
+        return saved / max(1, len(b))
 
-def _inputs(features: np.ndarray) -> np.ndarray:
-    """The curve's inputs: the difference, and, to calibrate it, the plain ratio, the length and their products with it."""
-    d, ratio, size = features.T
-    return np.column_stack([d, ratio, size, d * ratio, d * size, ratio * ratio])
 
+def _dictionary(texts: list[str], rng: np.random.Generator) -> bytes:
+    """A dictionary trained on random pieces of the texts; raw pieces if they are too few to train on, empty without text."""
+    import zstandard
 
-def _dictionary(texts: list[str]) -> bytes:
-    """Evenly spaced pieces of the texts, as dictionary content; the most typical text stands last, where offsets are short."""
-    share = max(64, DICTIONARY // max(1, len(texts)))
-    out, size = [], 0
+    pieces = []
     for t in texts:
         b = t.encode("utf-8", "surrogatepass")
-        lo = max(0, (len(b) - share) // 2)
-        out.append(b[lo : lo + share])
-        size += len(out[-1])
-        if size >= DICTIONARY:
-            break
-    return b"\n".join(out)[:DICTIONARY]
+        for _ in range(SAMPLES):
+            lo = int(rng.integers(0, max(1, len(b) - PIECE + 1)))
+            if len(b) >= 8:
+                pieces.append(b[lo : lo + PIECE])
+    try:
+        return zstandard.train_dictionary(min(DICTIONARY, max(1024, sum(map(len, pieces)) // 4)), pieces).as_bytes()
+    except zstandard.ZstdError:
+        return b"".join(pieces)[:DICTIONARY]
 
 
-def fit_quality(texts: list[str], labels: list[int], seed: int = 5) -> QualityModel:
-    """texts and their labels, 1 good and 0 bad: half build the dictionaries, half fit the curve."""
-    order = np.random.default_rng(seed).permutation(len(texts))
+def fit_quality(texts: list[str], labels: list[int], counts: dict[int, int] | None = None, seed: int = 5) -> QualityModel:
+    """texts and their labels, 1 good and 0 bad: half train the dictionaries, half fit the curve.
+
+    counts: how many rows each label has where the texts were sampled from; the curve is fitted to these shares. Without both
+    labels, all scores are the share of 1 among them (1/2 if there are none).
+    """
+    rng = np.random.default_rng(seed)
+    if len(set(labels)) < 2:
+        n, good = len(labels), sum(labels)
+        return QualityModel(b"", b"", bias=float(np.log((good + 1) / (n - good + 1))))
+    order = rng.permutation(len(texts))
     build, fit = order[: len(order) // 2], order[len(order) // 2 :]
-    if len(order) < 4:
+    if len(order) < 40:
         build = fit = order
-    good, bad = (_dictionary([texts[i] for i in build if labels[i] == c]) for c in (1, 0))
-    measure = Measure(good or b" " * 8, bad or b" " * 8)
-    x = _inputs(np.array([measure.features(texts[i]) for i in fit]).reshape(-1, 3))
-    y = np.array([labels[i] for i in fit], float)
-    centre, scale = (x.mean(0), x.std(0) + 1e-9) if len(x) else (np.zeros(6), np.ones(6))
-    x = np.column_stack([np.ones(len(x)), (x - centre) / scale])
-    w = np.zeros(x.shape[1])
-    ridge = np.eye(len(w)) * 1e-2
+    good, bad = (_dictionary([texts[i] for i in build if labels[i] == c], rng) for c in (1, 0))
+    measure = Measure(good, bad)
+    d, y = np.array([measure.difference(texts[i]) for i in fit]), np.array([labels[i] for i in fit], float)
+    model = QualityModel(good, bad, centre=float(np.median(d)), scale=float(d.std()) + 1e-9)
+    x = np.column_stack([np.ones(len(d)), np.clip((d - model.centre) / model.scale, -FAR, FAR)])
+    n = np.ones(len(y))
+    if counts:
+        n = np.where(y == 1, counts[1] / (y == 1).sum(), counts[0] / (y == 0).sum())
+        n *= len(y) / n.sum()
+    w, ridge = np.zeros(2), np.eye(2) * 1e-2
     for _ in range(30):  # Newton's method
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        w += np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + ridge, x.T @ (y - p) - ridge @ w)
-    return QualityModel(good or b" " * 8, bad or b" " * 8, w, centre, scale)
-
-
-def probabilities(model: QualityModel, features: np.ndarray) -> np.ndarray:
-    x = (_inputs(features) - model.centre) / model.scale
-    return 1 / (1 + np.exp(-np.clip(model.weights[0] + x @ model.weights[1:], -30, 30)))
+        w += np.linalg.solve((x * (n * p * (1 - p))[:, None]).T @ x + ridge, x.T @ (n * (y - p)) - ridge @ w)
+    model.bias, model.weight = map(float, w)
+    return model
 
 
 def score_quality(docs: DataFrame, model: QualityModel, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, held_out, score, predicted, saving): one row for each row of docs, from the whole text.
+    """(doc_id, held_out, score, predicted, saving): one row for each row of docs, from the whole text; saving is the raw difference.
 
-    A null text counts as empty and gets the curve's value for a text without bytes. Null ids and
+    A null text counts as empty; a text without bytes has a difference of 0. Null ids and
     repeated rows pass through; an empty table gives no rows; other columns are not read.
     """
 
@@ -123,39 +131,46 @@ def score_quality(docs: DataFrame, model: QualityModel, id_col: str = "doc_id",
         for batch in batches:
             if not batch.num_rows:
                 continue
-            f = np.array([measure.features(t.as_py()) for t in batch.column(2)])
-            p = probabilities(model, f)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(p), pa.array((p >= 0.5).astype(np.int32)), pa.array(f[:, 0])], ["doc_id", "held_out", "score", "predicted", "saving"])
+            d = np.array([measure.difference(t.as_py()) for t in batch.column(2)])
+            p = model.probabilities(d)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(p), pa.array((p >= 0.5).astype(np.int32)), pa.array(d)], ["doc_id", "held_out", "score", "predicted", "saving"])
 
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), held_out(id_col).alias("held_out"), F.col(text_col).alias("text"))
+    rows = docs.select(col(id_col).cast("long").alias("doc_id"), held_out(id_col).alias("held_out"), col(text_col).alias("text"))
     return rows.mapInArrow(predict, "doc_id long, held_out boolean, score double, predicted int, saving double")
 
 
 def learn_quality(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> QualityModel:
-    """A model from about per_class rows of each class, none held out.
+    """A model from about per_class rows of each class, none held out. An id with several labels counts as good if one of them is.
 
-    Labels are read first, and only the sampled ids' texts: the ids, twice per_class in number, are broadcast.
+    Labels are read first, and only the sampled ids' texts: the ids, twice per_class in number, are broadcast. Labels other
+    than 0 and 1, null ids and null texts are left out.
     """
-    known = labels.where(learned_from() & F.col("quality").isin(0, 1)).groupBy("doc_id").agg(F.max("quality").alias("quality"))
-    chosen = bounded_sample(known, "quality", per_class)
+    known = labels.where(learned_from() & F.col("quality").isin(0, 1)).groupBy("doc_id").agg(F.max("quality").cast("int").alias("quality"))
+    chosen, counts = bounded_sample(known, "quality", per_class)
     rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").where("text IS NOT NULL").collect()
     rows.sort(key=lambda r: (r["doc_id"], r["text"]))
-    return fit_quality([r["text"] for r in rows], [r["quality"] for r in rows])
+    return fit_quality([r["text"] for r in rows], [r["quality"] for r in rows], counts)
 
 
 def good_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The rows of docs that the classifier does not reject: predicted is 1. Columns as in docs; a null text is scored as empty."""
+    """The rows of docs that the classifier does not reject: predicted is 1. Columns as in docs, whatever their names.
+
+    A null text is scored as empty; repeated rows stay or go together; an id with several labels counts as good if one of them is;
+    an empty table gives no rows.
+    """
     model = learn_quality(docs, labels)
+    plain = [f"c{i}" for i in range(len(docs.columns))]
+    at = docs.columns.index("text")
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         measure = Measure(model.good, model.bad)
         for batch in batches:
             if batch.num_rows:
-                at = batch.schema.get_field_index("text")
-                f = np.array([measure.features(t.as_py()) for t in batch.column(at)])
-                yield batch.filter(pa.array(probabilities(model, f) >= 0.5))
+                d = [measure.difference(t.as_py()) for t in batch.column(at)]
+                yield batch.filter(pa.array(model.probabilities(np.array(d)) >= 0.5))
 
-    return docs.mapInArrow(keep, docs.schema)
+    renamed = docs.toDF(*plain)
+    return renamed.mapInArrow(keep, renamed.schema).toDF(*docs.columns)
 
 
 def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
