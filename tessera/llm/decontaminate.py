@@ -3,9 +3,10 @@
 A document's windows are as long, in words, as the benchmark items. A window that shares no shingle with an
 item of its length has similarity 0 to all, so windows are laid where a shingle of the document
 is a shingle of an item, and in line with it. Windows and items get 64-bit SimHash fingerprints of their
-words. Fingerprints are cut into one block more than the radius: two within the radius agree in a whole
-block, so joins on blocks find all of them. Some similar windows are further apart than the radius, so windows that
-hold one of an item's rarest shingles, of which a similar one can't lack all, are candidates too. The weighted similarity
+words. Fingerprints are cut into four blocks of 16 bits: two that differ in 15 bits at most differ in three at most
+in one block, so each item's blocks are posted with every change of up to three bits, and a join on block values finds all
+fingerprints within the radius. No radius follows from the similarity, so windows that hold one of an item's rarest
+shingles, of which a similar one can't lack all, are candidates too. The weighted similarity
 of the whole shingle sets decides.
 All of it is DataFrame code.
 """
@@ -15,14 +16,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, read_table
+from .common import col, cut, read_table
 
 #: Words of a shingle; the least similarity; a shingle's weight is how often it occurs.
 SHINGLE, THRESHOLD = 5, 80
-#: Bits by which fingerprints may differ. It proves nothing about similarity: what is further apart comes by rare shingles.
-RADIUS = 15
-BLOCK_BITS = 64 // (RADIUS + 1)
-#: Rows of benchmark shingles, or of ids, that are broadcast at most; a larger table is shuffled.
+#: Bits by which fingerprints may differ, blocks they are cut into, and bits by which one of the blocks differs at most.
+RADIUS, BLOCKS = 15, 4
+BLOCK_BITS, BLOCK_RADIUS = 64 // BLOCKS, RADIUS // BLOCKS
+#: Rows of benchmark shingles, items, or ids that are broadcast at most; a larger table is shuffled.
 BROADCAST_ROWS = 500_000
 
 
@@ -52,8 +53,23 @@ def fingerprint(hashes: Column) -> Column:
 
 def _blocks(f: str) -> Column:
     """(block number, its bits) of a fingerprint."""
-    mask = (1 << BLOCK_BITS) - 1
-    return F.explode(F.array(*[F.struct(F.lit(b).alias("block"), F.shiftrightunsigned(F.col(f), b * BLOCK_BITS).bitwiseAND(F.lit(mask).cast("long")).alias("bits")) for b in range(RADIUS + 1)])).alias("b")
+    mask = F.lit((1 << BLOCK_BITS) - 1).cast("long")
+    return F.array(*[F.struct(F.lit(b).alias("block"), F.shiftrightunsigned(F.col(f), b * BLOCK_BITS).bitwiseAND(mask).alias("bits")) for b in range(BLOCKS)])
+
+
+def _changes() -> Column:
+    """All masks of a block with at most BLOCK_RADIUS bits."""
+    return F.filter(F.sequence(F.lit(0).cast("long"), F.lit((1 << BLOCK_BITS) - 1).cast("long")), lambda m: F.bit_count(m) <= BLOCK_RADIUS)
+
+
+def within_radius(windows: DataFrame, items: DataFrame) -> DataFrame:
+    """windows (length, f, ..) with the items (item_id, length, fingerprint) of their length whose fingerprint differs in at most RADIUS bits: the multi-index join. An item has some 2,800 postings."""
+    left = windows.withColumn("b", F.explode(_blocks("f"))).select(*windows.columns, "b.block", "b.bits")
+    posted = items.select("item_id", "length", F.col("fingerprint").alias("g"), F.explode(_blocks("fingerprint")).alias("b"))
+    posted = posted.select("item_id", "length", "g", F.col("b.block").alias("block"), F.explode(F.transform(_changes(), lambda m: m.bitwiseXOR(F.col("b.bits")))).alias("bits"))
+    # Merged: the size of exploded rows is not estimated, so Spark would broadcast them whatever their number.
+    found = left.join(posted.hint("merge"), ["length", "block", "bits"])
+    return found.where(F.bit_count(F.col("f").bitwiseXOR(F.col("g"))) <= RADIUS).select(*windows.columns, "item_id").distinct()
 
 
 def shared_weight(a: Column, b: Column) -> Column:
@@ -71,7 +87,7 @@ def _shingles_of_item(k: Column, hashes: Column) -> Column:
 
 def benchmark_items(benchmark: DataFrame, id_col: str = "item_id", text_col: str = "text") -> DataFrame:
     """(item_id, length, shingles, fingerprint). An item of fewer than five words has one shingle, its whole sequence. Items without words are left out."""
-    h = benchmark.select(F.col(id_col).alias("item_id"), _hashed(words_of(F.col(text_col))).alias("hashes"))
+    h = benchmark.select(col(id_col).alias("item_id"), _hashed(words_of(col(text_col))).alias("hashes"))
     h = h.withColumn("length", F.size("hashes")).where("length > 0")
     return h.select("item_id", "length", _shingles_of_item(F.col("length"), F.col("hashes")).alias("shingles"), fingerprint(F.col("hashes")).alias("fingerprint"))
 
@@ -102,17 +118,17 @@ def contaminations(docs: DataFrame, benchmark: DataFrame, threshold: int = THRES
     items = cut(benchmark_items(benchmark, item_col), "items")
     seeds = items.select("length", F.posexplode("shingles").alias("offset", "h")).groupBy("h", "length", "offset").agg(F.lit(1).alias("one")).drop("one")
     seeds = cut(seeds, "item-shingles")
-    n_seeds = seeds.count()
+    n_seeds, n_items = seeds.count(), items.count()
     short = [r[0] for r in items.where(F.col("length") < SHINGLE).select("length").distinct().collect()]
 
-    base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(F.col(text_col)).alias("text_hash"), F.col(text_col).alias("text"))
+    base = docs.select(col(id_col).cast("long").alias("doc_id"), F.xxhash64(col(text_col)).alias("text_hash"), col(text_col).alias("text"))
     h = base.where("text IS NOT NULL").select("doc_id", "text_hash", _hashed(words_of(F.col("text"))).alias("hashes"))
     # Each shingle array stands in one Generate, so that it is made once for a document.
     parts = [h.select("doc_id", "text_hash", F.size("hashes").alias("n"), F.posexplode(_shingles(F.col("hashes"), k)).alias("pos", "h")) for k in (SHINGLE, *short)]
     all_shingles = parts[0]
     for p in parts[1:]:
         all_shingles = all_shingles.unionByName(p)
-    small = n_seeds <= BROADCAST_ROWS
+    small, few_items = n_seeds <= BROADCAST_ROWS, n_items <= BROADCAST_ROWS // 100
     hits = all_shingles.join(F.broadcast(seeds) if small else seeds, "h")
     start = F.greatest(F.lit(0), F.least(F.col("pos") - F.col("offset"), F.col("n") - F.col("length"))).alias("start")
     windows = cut(hits.select("doc_id", "text_hash", "length", start).distinct(), "windows")
@@ -127,18 +143,14 @@ def contaminations(docs: DataFrame, benchmark: DataFrame, threshold: int = THRES
     laid = laid.select("doc_id", "text_hash", "start", "length", _shingles_of_item(F.col("length"), F.col("hashes")).alias("w"), fingerprint(F.col("hashes")).alias("f"))
     laid = cut(laid, "fingerprints")
 
-    # Multi-index: windows and items of one length that agree in a block.
-    left = laid.select("doc_id", "text_hash", "start", "length", F.col("f"), _blocks("f")).select("*", "b.block", "b.bits").drop("b")
-    right = items.select("item_id", "length", F.col("fingerprint").alias("g"), _blocks("fingerprint")).select("*", "b.block", "b.bits").drop("b")
-    near = left.join(F.broadcast(right) if n_seeds <= BROADCAST_ROWS else right, ["length", "block", "bits"])
-    near = near.where(F.bit_count(F.col("f").bitwiseXOR(F.col("g"))) <= RADIUS).select("doc_id", "text_hash", "start", "length", "item_id")
+    near = within_radius(laid.select("doc_id", "text_hash", "start", "length", "f"), items).drop("f")
     held = laid.select("doc_id", "text_hash", "start", "length", F.explode(F.array_distinct("w")).alias("h"))
     rare = rare_shingles(items, threshold)
-    by_rare = held.join(F.broadcast(rare) if small else rare, ["length", "h"]).select("doc_id", "text_hash", "start", "length", "item_id")
+    by_rare = held.join(F.broadcast(rare) if small and few_items else rare, ["length", "h"]).select("doc_id", "text_hash", "start", "length", "item_id")
     near = near.unionByName(by_rare).distinct()
 
     weights = items.select(F.col("item_id").alias("i"), F.col("shingles").alias("v"))
-    pairs = near.join(F.broadcast(weights) if small else weights, F.col("item_id").eqNullSafe(F.col("i"))).alias("p")
+    pairs = near.join(F.broadcast(weights) if few_items else weights, F.col("item_id").eqNullSafe(F.col("i"))).alias("p")
     on = F.expr("p.doc_id <=> l.doc_id AND p.text_hash = l.text_hash AND p.start = l.start AND p.length = l.length")
     both = pairs.join(laid.alias("l"), on).select("p.doc_id", "p.text_hash", "p.item_id", "p.start", "p.length", "w", "v")
     both = both.withColumn("shared", shared_weight(F.col("w"), F.col("v"))).withColumn("all", F.size("w") + F.size("v") - F.col("shared"))
@@ -148,12 +160,18 @@ def contaminations(docs: DataFrame, benchmark: DataFrame, threshold: int = THRES
 
 
 def decontaminated(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
-    """The rows of docs that match no item. Columns as in docs."""
+    """The rows of docs that match no item. Columns as in docs, whatever their names.
+
+    Rows with a null or empty text match nothing and stay; repeated rows stay or go together; rows that repeat an id are judged each by its
+    own text, null ids too. Empty tables are as for contaminations().
+    """
     id_col, text_col = options.get("id_col", "doc_id"), options.get("text_col", "text")
-    found = cut(contaminations(docs, benchmark, **options).select(F.col("doc_id").alias("__d"), F.col("text_hash").alias("__t")).distinct(), "contaminated")
+    found = cut(contaminations(docs, benchmark, **options).select(F.col("doc_id").alias("d"), F.col("text_hash").alias("t")).distinct(), "contaminated")
     few = found.count() <= BROADCAST_ROWS
-    same = F.col(id_col).cast("long").eqNullSafe(F.col("__d")) & (F.xxhash64(F.col(text_col)) == F.col("__t"))
-    return docs.join(F.broadcast(found) if few else found, same, "left_anti")
+    kept = [f"c{i}" for i in range(len(docs.columns))]
+    doc, text = (F.col(kept[docs.columns.index(c)]) for c in (id_col, text_col))
+    rows = docs.toDF(*kept)
+    return rows.join(F.broadcast(found) if few else found, doc.cast("long").eqNullSafe(F.col("d")) & (F.xxhash64(text) == F.col("t")), "left_anti").toDF(*docs.columns)
 
 
 def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
