@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bounded_sample, held_out, learned_from, read_table
+from .common import bounded_sample, col, held_out, learned_from, read_table
 
 ORDERS = (2, 3, 4)
 BUCKET_BITS = 15
@@ -43,7 +43,7 @@ def _grams(data: np.ndarray, n: int) -> np.ndarray:
 
 @dataclass
 class LanguageModel:
-    """table: for each bucket, its embedding times the softmax weights."""
+    """table: for each bucket, its embedding times the softmax weights. A model without languages rejects everything."""
 
     languages: list[str]
     table: np.ndarray
@@ -71,9 +71,9 @@ class LanguageModel:
 
 
 def fit_language(texts: list[str], labels: list[str], dims: int = 16, epochs: int = 6, rate: float = 0.5, seed: int = 7) -> LanguageModel:
-    """Fits on whole texts and, so that short ones are known too, on two random windows of each. Needs one labelled text at least."""
+    """Fits on whole texts and, so that short ones are known too, on two random windows of each. Without texts, a model without languages."""
     if not texts:
-        raise ValueError("no labelled text to learn a language from")
+        return LanguageModel([], np.zeros((1 << BUCKET_BITS, 0), np.float32), np.zeros(0), 1.0, 1.0)
     rng = np.random.default_rng(seed)
     languages = sorted(set(labels))
     y = np.array([languages.index(x) for x in labels])
@@ -126,8 +126,8 @@ def fit_language(texts: list[str], labels: list[str], dims: int = 16, epochs: in
 def identify(docs: DataFrame, model: LanguageModel, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, held_out, lang_pred, score, rejected): one row for each row of docs, from the whole text.
 
-    A null text, or one without a letter, is `und` with score 0 and rejected. rejected: the calibrated
-    score is below the model's threshold. Null ids and repeated rows pass through; an empty table gives no
+    A null text, or one without a letter, is `und` with score 0 and rejected; so is everything under a model without
+    languages. rejected: the calibrated score is below the model's threshold. Null ids and repeated rows pass through; an empty table gives no
     rows; other columns are not read.
     """
 
@@ -139,22 +139,24 @@ def identify(docs: DataFrame, model: LanguageModel, id_col: str = "doc_id", text
                 while lo + len(texts) < batch.num_rows and (not texts or size < _WORK):
                     texts.append(_bytes(batch.column(3)[lo + len(texts)].as_py()))
                     size += len(texts[-1])
-                p, known = model.scores(texts), np.asarray(batch.column(2).slice(lo, len(texts)))
-                names = np.where(known, np.array(model.languages, object)[p.argmax(1)], "und")
-                top = np.where(known, p.max(1), 0.0)
+                known = np.asarray(batch.column(2).slice(lo, len(texts)))
+                names, top = np.full(len(texts), "und", object), np.zeros(len(texts))
+                if model.languages:
+                    p = model.scores(texts)
+                    names[known], top[known] = np.array(model.languages, object)[p.argmax(1)][known], p.max(1)[known]
                 here = batch.slice(lo, len(texts))
                 yield pa.RecordBatch.from_arrays([here.column(0), here.column(1), pa.array(names, pa.string()), pa.array(top), pa.array(top < model.least)], ["doc_id", "held_out", "lang_pred", "score", "rejected"])
                 lo += len(texts)
 
-    known = F.coalesce(F.col(text_col).rlike(r"\p{L}"), F.lit(False)).alias("known")
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), held_out(id_col).alias("held_out"), known, F.col(text_col).alias("text"))
+    known = F.coalesce(col(text_col).rlike(r"\p{L}"), F.lit(False)).alias("known")
+    rows = docs.select(col(id_col).cast("long").alias("doc_id"), held_out(id_col).alias("held_out"), known, col(text_col).alias("text"))
     return rows.mapInArrow(predict, "doc_id long, held_out boolean, lang_pred string, score double, rejected boolean")
 
 
 def learn_languages(docs: DataFrame, per_language: int = PER_LANGUAGE) -> LanguageModel:
-    """A model from about per_language rows of each language, none of them held out."""
+    """A model from about per_language rows of each language, none of them held out. Null ids, languages and texts, and texts without a letter, are left out; of an empty table, a model without languages."""
     rows = docs.where(learned_from() & F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}"))
-    sample = sorted(bounded_sample(rows.select("doc_id", "text", "lang"), "lang", per_language).collect(), key=lambda r: (r["doc_id"], r["text"]))
+    sample = sorted(bounded_sample(rows.select("doc_id", "text", "lang"), "lang", per_language)[0].collect(), key=lambda r: (r["doc_id"], r["text"]))
     return fit_language([r["text"] for r in sample], [r["lang"] for r in sample])
 
 
