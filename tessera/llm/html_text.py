@@ -12,6 +12,7 @@ import functools
 import html
 import math
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -27,8 +28,12 @@ BLOCKS = frozenset(
     "label li main menu nav ol option p pre search section select summary table tbody td tfoot th thead tr ul".split()
 )
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-#: Elements whose content is no text of the page.
-HIDDEN = frozenset("script style template noscript iframe svg math object head title textarea canvas audio video".split())
+#: Elements whose content is no markup, up to their end tag; without one, the first two take the rest of the page.
+RAW = frozenset("script style title textarea iframe".split())
+#: Elements whose content is markup, but no text of the page; without an end tag they are empty. The first two may end in themselves.
+HIDDEN = frozenset("svg math template noscript object canvas audio video".split())
+#: Inline elements that, like blocks, can't stand in svg or math: their start ends these.
+OUTSIDE = frozenset("b big center code em font i img nobr ruby s small span strong strike sub sup tt u var".split())
 #: What an element's start ends: the open elements of these names, up to a boundary.
 ENDS = {
     "li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",),
@@ -43,7 +48,8 @@ TAGS = "article main section div p h1 h2 h3 ul ol li nav header footer aside for
 #: Pages whose nodes go through the trees together.
 TOGETHER = 128
 
-_TAG = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*+>|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>", re.S)
+_START = re.compile(r"<(?:(/?)([a-zA-Z][^\s/>]*+)|[!?/])")
+_PLAIN = re.compile(r"[^>\"']*+")
 _ATTRIBUTES = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 _TOKENS = re.compile(r"[a-z]+")
 
@@ -62,12 +68,79 @@ class Node:
     kept: bool = False
 
 
+class Tags:
+    """The tags of a page, in time linear in its length: none is looked at twice, and what is missing is looked for once."""
+
+    def __init__(self, page: str):
+        self.page, self.quotes, self.last = page, {'"', "'"}, page.rfind(">")
+        self.lower = page.lower() if len(page.lower()) == len(page) else "".join(c.lower() if c.isascii() else c for c in page)
+        self.ends: dict[str, list[int]] = {}
+
+    def end_of(self, at: int) -> int:
+        """The place of the > that ends the tag whose name ends at `at`; -1 if there is none.
+
+        A > in quotes ends nothing. A quote that never ends, or that only ends in a later tag's quote, counts for nothing.
+        """
+        page, first = self.page, -1
+        if at > self.last:
+            return -1
+        while True:
+            at = _PLAIN.match(page, at).end()
+            if at >= len(page):
+                return first if first >= 0 else page.find(">")  # unbalanced
+            c = page[at]
+            if c == ">":
+                return at
+            if c not in self.quotes:
+                at += 1
+                continue
+            close = page.find(c, at + 1)
+            first = first if first >= 0 else page.find(">", at)
+            if close < 0:
+                self.quotes.discard(c)  # there is none behind it either
+                return first
+            follows = page[close + 1 : close + 2]
+            if first < close and follows and not follows.isspace() and follows not in "/>":
+                return first
+            if first < close:
+                first = -1
+            at = close + 1
+
+    def after_comment(self, at: int) -> int:
+        """Where the comment, declaration or the like that starts at `at` ends."""
+        page = self.page
+        if not page.startswith("<!--", at):
+            end = page.find(">", at)
+            return end + 1 if end >= 0 else len(page)
+        for short in ("<!-->", "<!--->"):
+            if page.startswith(short, at):
+                return at + len(short)
+        found = [end + len(x) for x in ("-->", "--!>") if (end := page.find(x, at + 4)) >= 0]
+        return min(found, default=len(page))
+
+    def ends_behind(self, tag: str, at: int) -> list[int]:
+        """Where the end tags of this name behind `at` start, last first."""
+        if tag not in self.ends:
+            found = [m.start() for m in re.finditer(rf"</{re.escape(tag)}(?![^\s/>])", self.lower)]
+            self.ends[tag] = found[::-1]
+        ends = self.ends[tag]
+        while ends and ends[-1] < at:
+            ends.pop()
+        return ends
+
+    def after(self, at: int) -> int:
+        end = self.page.find(">", at)
+        return end + 1 if end >= 0 else len(self.page)
+
+
 def parse(page: str) -> tuple[Node, list[tuple[Node, str]]]:
     """The tree of block elements, and the page's text blocks in order, each with the node it stands in."""
     root = Node("html", None)
     node, stack, links = root, [("html", root)], 0
+    hidden: list[int] = []  # places in the stack
     blocks: list[tuple[Node, str]] = []
     run: list[str] = []
+    tags = Tags(page)
 
     def close() -> None:
         if run:
@@ -77,7 +150,7 @@ def parse(page: str) -> tuple[Node, list[tuple[Node, str]]]:
             run.clear()
 
     def text(piece: str) -> None:
-        if piece:
+        if piece and not hidden:
             run.append(piece)
             n = len(piece.strip())
             node.own += n
@@ -92,33 +165,52 @@ def parse(page: str) -> tuple[Node, list[tuple[Node, str]]]:
             close()
         links -= sum(t == "a" for t, _ in gone)
         del stack[k:]
+        while hidden and hidden[-1] >= k:
+            hidden.pop()
         node = stack[-1][1]
 
     at, size = 0, len(page)
     while at < size:
-        m = _TAG.search(page, at)
+        m = _START.search(page, at)
         if not m:
             text(page[at:])
             break
         text(page[at : m.start()])
-        at = m.end()
-        tag = m[2] and m[2].lower()
-        if not tag:
+        if not m[2]:
+            at = tags.after_comment(m.start())
             continue
+        end = tags.end_of(m.end())
+        if end < m.end():
+            break  # the page ends inside a tag
+        at, tag = end + 1, m[2].lower()
+        inside = stack[hidden[-1]][0] if hidden else ""
         if m[1]:
             for k in range(len(stack) - 1, 0, -1):
                 if stack[k][0] == tag:
                     pop_to(k)
                     break
-                if tag not in BLOCKS and stack[k][0] in BLOCKS:
+                if tag not in BLOCKS and stack[k][0] in BLOCKS and not (tag in HIDDEN and hidden and k > hidden[0]):
                     break  # an inline end tag does not end a block
             continue
-        if tag in HIDDEN:
-            if tag == "head":
-                continue  # its own children are hidden or void
-            end = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(page, at)
-            at = end.end() if end else at if m[3].endswith("/") else size
+        if tag in RAW:
+            if ends := tags.ends_behind(tag, at):
+                at = tags.after(ends[-1])
+            elif tag in ("script", "style"):
+                at = size
+            continue
+        if inside in ("svg", "math") and (tag in BLOCKS or tag in OUTSIDE) and all(t != "foreignobject" for t, _ in stack[hidden[-1] :]):
+            pop_to(hidden[-1])
+        if tag in HIDDEN or hidden:
+            if tag in VOID or (tag in ("svg", "math") or inside in ("svg", "math")) and page[end - 1] == "/":
+                continue
+            if tag in HIDDEN:
+                if len(tags.ends_behind(tag, at)) <= sum(stack[k][0] == tag for k in hidden):
+                    continue  # nothing ends it: an empty element
+                hidden.append(len(stack))
+            stack.append((tag, node))
             continue
+        if tag == "head":
+            continue  # its own children are raw or void
         if tag == "br":
             run.append(" ")
             continue
@@ -138,7 +230,8 @@ def parse(page: str) -> tuple[Node, list[tuple[Node, str]]]:
             close()
             if tag in ("html", "body") and any(t == tag for t, _ in stack[1:]) or tag == "html":
                 continue
-            words = _TOKENS.findall(" ".join(a or b or c for a, b, c in _ATTRIBUTES.findall(m[3])).lower()) if m[3] else ()
+            written = page[m.end() : end]
+            words = _TOKENS.findall(" ".join(a or b or c for a, b, c in _ATTRIBUTES.findall(written)).lower()) if written else ()
             child = Node(tag, node, frozenset(words), node.depth + 1)
             node.children.append(child)
             node = child
@@ -154,8 +247,6 @@ def parse(page: str) -> tuple[Node, list[tuple[Node, str]]]:
 _BAD, _GOOD, _PLACE = frozenset(BAD_TOKENS), frozenset(GOOD_TOKENS), {t: float(i) for i, t in enumerate(TAGS)}
 _BAD_TAGS, _GOOD_TAGS = frozenset("nav header footer aside form button select menu dialog search".split()), frozenset(("article", "main"))
 _HEADINGS = frozenset(("h1", "h2", "h3", "h4", "h5", "h6"))
-#: Siblings that are looked at one by one; a wider node counts as wide.
-_WIDE = 50
 
 
 def features(root: Node) -> tuple[list[Node], list[int], list[tuple[float, ...]]]:
@@ -183,19 +274,17 @@ def features(root: Node) -> tuple[list[Node], list[int], list[tuple[float, ...]]
     rows = []
     sibling: dict[int, tuple[int, int, float]] = {}  # by node: its index, how many share its tag, the largest text
     for group in kids:
-        if len(group) < _WIDE:
-            group.reverse()
-            tags = [nodes[k].tag for k in group]
-            most = max((text[k] for k in group), default=0)
-            for at, k in enumerate(group):
-                sibling[k] = (at, tags.count(tags[at]), most)
+        if group:
+            alike, most = Counter(nodes[k].tag for k in group), max(text[k] for k in group)
+            for at, k in enumerate(reversed(group)):
+                sibling[k] = (at, alike[nodes[k].tag], most)
     for i, n in enumerate(nodes):
         p = parent[i]
         bad_tag, good_tag, bad, good = int(n.tag in _BAD_TAGS), int(n.tag in _GOOD_TAGS), own_bad[i], own_good[i]
         up = above[p] if p >= 0 else (0, 0, 0, 0)
         above.append((up[0] + bad_tag, up[1] + good_tag, up[2] + bad, up[3] + good))
         many = len(nodes[p].children) if p >= 0 else 1
-        at, alike, most = sibling.get(i, (many / 2, _WIDE, 0.0))
+        at, alike, most = sibling.get(i, (0, 1, 0))
         t, c = text[i], count[i]
         mean = text[p] / many if p >= 0 else t
         rows.append((
@@ -301,7 +390,7 @@ def made_page(rng: np.random.Generator) -> str:
 
     def main_text() -> str:
         out = [f"<h1>\x01{sentence(2, 12)}</h1>"] if chance(0.85) else []
-        for _ in range(int(rng.integers(1, 14))):
+        for _ in range(int(rng.integers(1, 14)) if chance(0.9) else int(rng.integers(30, 150))):
             kind = int(rng.integers(14))
             body = " ".join(sentence() for _ in range(int(rng.integers(1, 6))))
             if kind == 0:
