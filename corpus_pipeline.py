@@ -1,4 +1,7 @@
-"""A corpus pipeline from five of the operators. Each stage's result is written and read again by its runner."""
+"""A corpus pipeline from five of the operators. Each stage's result is written and read again by its runner.
+
+All stages take documents with columns of any names beside doc_id, text and source; an empty table gives no rows.
+"""
 
 from __future__ import annotations
 
@@ -13,27 +16,30 @@ from tessera.llm.tokens import tokenized
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality classifier does not reject stay."""
+    """Documents that the quality classifier does not reject stay. A null text is judged as an empty one; repeated rows stay or go together."""
     return good_documents(docs, read_table(spark, sf_dir, "labels"))
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates (five-word shingles, similarity 0.8 or more) stays: the one of least id."""
+    """One document of each group of near duplicates (five-word shingles, similarity 0.8 or more) stays: the one of least id.
+
+    Null, empty and blank texts are duplicates of nothing; rows without id stay; of rows that repeat an id, one stays.
+    """
     return deduplicated(docs, words=5)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold no passage of the benchmark stay."""
+    """Documents that hold no passage of the benchmark stay. Null and empty texts hold none; of rows that repeat an id, each is judged by its own text."""
     return decontaminated(docs, read_table(spark, sf_dir, "benchmark"))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as the mix takes them: a document taken twice has two rows."""
+    """Documents as often as the mix takes them: a document taken twice has two rows. Null texts have no words and go; a null source is one of its own; repeated rows are taken alike."""
     return mixed_documents(docs)
 
 
 def token_files(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token files of all that is left, and what reading them back gives."""
+    """Token files of all that is left, and what reading them back gives. A null text has the end id alone; rows without id come first; repeated rows are all written."""
     return tokenized(docs)
 
 
