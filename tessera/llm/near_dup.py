@@ -2,11 +2,13 @@
 
 A document's set of word shingles gets registers: truncated logarithms of minima, to a base near 1, so registers of a
 union are the larger ones and similar sets agree in many. Documents that agree in a whole band of
-registers share a bucket. Each bucket ties its members to its least one; ties whose joint
-likelihood estimate is far too low are cut. Members of a bucket that were cut form a bucket of their own, and what
-is left after some rounds meets block by block, so that all likely pairs of a bucket are tied, if by way of
-others. What is tied forms clusters. Inside a cluster, blocks of at most a few hundred documents meet block by block: registers rule most pairs out, the
-full shingle sets decide on the rest. Only links come out of a task, never pairs.
+registers share a bucket. Postings are shuffled once, by bucket; a bucket streams by in order of its members and ties each
+to its least one, so none is ever held. Ties whose joint likelihood estimate is far too low are cut. Members of a bucket
+that were cut form a bucket of their own, and what is left after some rounds meets block by block, so that all likely
+pairs of a bucket are tied, if by way of others. What is tied forms clusters. A cluster's documents are dealt into blocks of
+a few hundred, in which all meet each other and some heads of the cluster: registers rule most pairs out, the full
+shingle sets decide on the rest. Where that leaves a cluster in parts, only what is outside its largest part meets
+everything else, again in blocks. Only links come out of a task, never pairs.
 """
 
 from __future__ import annotations
@@ -16,11 +18,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, read_table
-from .components import components
+from ..operators.components import components
+from .common import col, cut, read_table
 
 #: 480 registers in 60 bands of 8. At a similarity of 0.8 a register agrees with probability 0.81:
 #: all bands differ for six pairs in a million. Unrelated documents, at 0.02, share a band once in 10^12 pairs.
@@ -29,15 +32,16 @@ REGISTERS = BANDS * ROWS
 #: SetSketch's base and rate, and its largest register value; sets of up to 1e9 members fit.
 BASE, RATE, TOP = 1.1, 20.0, 255
 #: A pair is ruled out if its estimate is this much below the threshold: five standard errors of 480 registers, or,
-#: for the ties of buckets, enough to cut chance meetings only.
-MARGIN, LOOSE = 0.10, 0.30
+#: for the ties of buckets, six of the first 64, enough to cut chance meetings only.
+MARGIN, LOOSE, JUDGED = 0.10, 0.30, 64
 #: Rounds of ties to the least member; what the last one cuts meets pair by pair.
 STARS = 2
-#: Documents of a cluster, or of a bucket, that meet at once.
-BLOCK = 256
-#: Ids that are broadcast at most (8 bytes each and some); beyond, the texts are shuffled to them.
-BROADCAST_IDS = 1_000_000
-_WORK = 1 << 21  # bytes of text that are hashed at once
+#: Documents of a cluster, or of a bucket, that meet at once, and heads of a cluster that meet all its blocks.
+BLOCK, HEADS = 256, 8
+#: Rows about ids, some hundred bytes each, that are broadcast at most; beyond, the texts are shuffled to them.
+BROADCAST_IDS = 500_000
+#: Bytes of text, and texts at most, that are hashed at once.
+_WORK, _ROWS = 1 << 19, 2048
 
 _P = np.uint64(0x9E3779B97F4A7C15 | 1)
 _MIX1, _MIX2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
@@ -99,10 +103,10 @@ class Hasher:
                 h = np.sort(gram[at[i] : at[i + 1] - k + 1])
                 out.append(h[np.concatenate(([True], h[1:] != h[:-1]))])
             elif m:
-                h = np.uint64(m)
-                for w in word[at[i] : at[i + 1]]:
-                    h = h * _P + w
-                out.append(_mixed(np.array([h ^ _MIX1])))
+                h = np.array([m], np.uint64)
+                for j in range(at[i], at[i + 1]):
+                    h = h * _P + word[j : j + 1]
+                out.append(_mixed(h ^ _MIX1))
             else:
                 out.append(np.empty(0, np.uint64))
         return out
@@ -153,25 +157,16 @@ def _norm(text: str | None) -> bytes:
     return b" ".join((text or "").encode("utf-8", "surrogatepass").lower().split())
 
 
-def _slices(norms: list[bytes]) -> Iterator[tuple[int, int]]:
-    lo = size = 0
-    for i, x in enumerate(norms):
-        if size and size + len(x) > _WORK:
-            yield lo, i
-            lo, size = i, 0
-        size += len(x) + 1
-    if lo < len(norms):
-        yield lo, len(norms)
-
-
-def _sets(batches: Iterator[pa.RecordBatch], hasher: Hasher) -> Iterator[tuple[list, list[bytes | None], list[np.ndarray]]]:
-    """(ids, keys, shingle hashes) for slices of (id, text) batches; key: a digest of the word sequence, None if it is empty."""
-    for batch in batches:
-        ids = batch.column(0).to_pylist()
-        norms = [_norm(t.as_py()) for t in batch.column(1)]
-        for lo, hi in _slices(norms):
-            keys = [hashlib.blake2b(x, digest_size=16).digest() if x else None for x in norms[lo:hi]]
-            yield ids[lo:hi], keys, hasher.shingles(norms[lo:hi])
+def _sets(texts: pa.Array, hasher: Hasher) -> Iterator[tuple[int, int, list[bytes | None], list[np.ndarray]]]:
+    """(from, to, keys, shingle hashes) for slices of texts of some bytes; key: a digest of the word sequence, None if it is empty."""
+    sizes = pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False)
+    lo = 0
+    while lo < len(sizes):
+        hi = lo + max(1, int(np.searchsorted(np.cumsum(sizes[lo : lo + _ROWS]) + 0, _WORK)))
+        norms = [_norm(t.as_py()) for t in texts.slice(lo, hi - lo)]
+        keys = [hashlib.blake2b(x, digest_size=16).digest() if x else None for x in norms]
+        yield lo, lo + len(norms), keys, hasher.shingles(norms)
+        lo += len(norms)
 
 
 def signatures(docs: DataFrame, words: int, id_col: str, text_col: str) -> DataFrame:
@@ -179,11 +174,12 @@ def signatures(docs: DataFrame, words: int, id_col: str, text_col: str) -> DataF
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher = Hasher(words)
-        for ids, keys, sets in _sets(batches, hasher):
-            regs = [hasher.registers(s).tobytes() if len(s) else None for s in sets]
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(keys, pa.binary()), pa.array([len(s) for s in sets], pa.int64()), pa.array(regs, pa.binary())], ["doc_id", "key", "n", "registers"])
+        for batch in batches:
+            for lo, hi, keys, sets in _sets(batch.column(1), hasher):
+                regs = [hasher.registers(s).tobytes() if len(s) else None for s in sets]
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array(keys, pa.binary()), pa.array([len(s) for s in sets], pa.int64()), pa.array(regs, pa.binary())], ["doc_id", "key", "n", "registers"])
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(make, "doc_id long, key binary, n long, registers binary")
+    return docs.select(col(id_col).cast("long").alias("doc_id"), col(text_col).alias("text")).mapInArrow(make, "doc_id long, key binary, n long, registers binary")
 
 
 def _judged(ties: DataFrame, least: float) -> DataFrame:
@@ -195,33 +191,56 @@ def _judged(ties: DataFrame, least: float) -> DataFrame:
                 continue
             r = [np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(batch.num_rows, -1) for c in (5, 6)]
             n = [np.asarray(batch.column(c)) for c in (3, 4)]
-            ok = estimate((r[0] == r[1]).sum(1), (r[0] > r[1]).sum(1), *n) >= least
+            ok = estimate((r[0] == r[1]).sum(1), (r[0] > r[1]).sum(1), *n, registers=JUDGED) >= least
             yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(ok)], ["a", "b", "bands", "ok"])
 
     return ties.select("a", "b", "bands", "n_a", "n_b", "r_a", "r_b").mapInArrow(judge, "a long, b long, bands long, ok boolean")
 
 
-def _ties(reps: DataFrame, threshold: int) -> DataFrame:
-    """(a, b): ties between rows of reps (node, n, registers). Two that share a band and may be similar are tied, if by way of others.
+def _stars(posts: DataFrame) -> DataFrame:
+    """(a, b, band) for each posting (bucket, node, band) but the first of its bucket: a is the bucket's least node.
 
-    A bucket's least node names it, with the band: of a band, a node has one value.
+    The postings are shuffled once and stream by in order of bucket and node, so that a bucket of any size is held nowhere. A bucket
+    has at most one row a document, of one band: even if all documents are in it, it is a sixtieth of the postings.
     """
-    side = lambda end: reps.select(F.col("node").alias(end), F.col("n").alias(f"n_{end}"), F.col("registers").alias(f"r_{end}"))
-    bands = F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda i: F.substring(F.col("registers"), i * ROWS + 1, F.lit(ROWS)))
-    posts, keys, kept = reps.select("node", F.posexplode(bands).alias("band", "value")), ["band", "value"], None
+
+    def tie(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, least = None, None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            bucket, node = np.asarray(batch.column(0)), np.asarray(batch.column(1))
+            begins = np.concatenate(([last is None or bucket[0] != last], bucket[1:] != bucket[:-1]))
+            at = np.maximum.accumulate(np.where(begins, np.arange(len(bucket)), -1))
+            a = np.where(at >= 0, node[at], least if least is not None else node[0])
+            last, least = bucket[-1], a[-1]
+            mask = pa.array(node != a)
+            yield pa.RecordBatch.from_arrays([pa.array(a), batch.column(1), batch.column(2)], ["a", "b", "band"]).filter(mask)
+
+    parts = int(posts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = posts.select("bucket", "node", "band").repartition(parts, "bucket").sortWithinPartitions("bucket", "node")
+    return dealt.mapInArrow(tie, "a long, b long, band int")
+
+
+def _ties(reps: DataFrame, threshold: int) -> DataFrame:
+    """(a, b): ties between rows of reps (node, n, registers). Two that share a band and may be similar are tied, if by way of others."""
+    side = lambda end: reps.select(F.col("node").alias(end), F.col("n").alias(f"n_{end}"), F.substring("registers", 1, JUDGED).alias(f"r_{end}"))
+    bands = F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda i: F.xxhash64(i, F.substring(F.col("registers"), i * ROWS + 1, F.lit(ROWS))))
+    posts, kept = reps.select("node", F.posexplode(bands).alias("band", "bucket")), None
     for _ in range(STARS):
-        buckets = posts.groupBy(*keys).agg(F.min("node").alias("a"), F.max("node").alias("z")).where("a <> z").drop("z")
-        ties = posts.join(buckets, keys).where("node <> a").groupBy("a", F.col("node").alias("b")).agg(F.expr("bit_or(shiftleft(1L, band))").alias("bands"))
+        ties = _stars(posts).groupBy("a", "b").agg(F.expr("bit_or(shiftleft(1L, band))").alias("bands"))
         judged = cut(_judged(cut(ties, "ties").join(side("a"), "a").join(side("b"), "b"), threshold / 100 - LOOSE), "judged")
         found = judged.where("ok").select("a", "b")
         kept = found if kept is None else kept.unionByName(found)
         at = F.explode(F.filter(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda i: F.col("bands").bitwiseAND(F.call_function("shiftleft", F.lit(1).cast("long"), i)) != 0))
         # Those that a bucket's least member does not hold are a bucket of their own.
-        posts = judged.where("NOT ok").select(F.col("a").alias("value"), at.alias("band"), F.col("b").alias("node"))
-    left = posts.join(posts.groupBy(*keys).agg(F.count("*").alias("many")).where("many > 1"), keys)
-    left = cut(left.select("band", "value", "node", F.ceil(F.col("many") / BLOCK).cast("int").alias("chunks")), "cut")
-    blocks = _dealt(left.join(reps.select("node", "n", "registers"), "node"), "node", keys).withColumnRenamed("node", "rep")
-    return kept.unionByName(_block_links(blocks, threshold, keys))
+        posts = judged.where("NOT ok").select("a", at.alias("band"), F.col("b").alias("node")).withColumn("bucket", F.xxhash64("a", "band"))
+    left = posts.join(posts.groupBy("bucket").agg(F.count("*").alias("many")).where("many > 1"), "bucket")
+    left = cut(left.select("bucket", "node", F.ceil(F.col("many") / BLOCK).cast("int").alias("chunks")), "cut")
+    if not left.take(1):
+        return kept
+    blocks = _dealt(left.join(reps.select("node", "n", "registers"), "node"))
+    return kept.unionByName(_block_links(blocks, threshold, "bucket"))
 
 
 def _similar(a: np.ndarray, b: np.ndarray, threshold: int) -> bool:
@@ -233,14 +252,14 @@ def _similar(a: np.ndarray, b: np.ndarray, threshold: int) -> bool:
     return 100 * both >= threshold * (len(a) + len(b) - both)
 
 
-def _links_in_block(rep: np.ndarray, side: np.ndarray, n: np.ndarray, regs: np.ndarray, sets: list[np.ndarray] | None, threshold: int, alone: bool) -> list[tuple[int, int]]:
+def _links_in_block(rep: np.ndarray, side: np.ndarray, group: np.ndarray, n: np.ndarray, regs: np.ndarray, sets: list[np.ndarray] | None, threshold: int, alone: bool) -> list[tuple[int, int]]:
     """Links that join what is similar in a block. alone: members meet each other; else side 0 meets side 1.
 
-    Rows that links already join are not compared again, so the links are enough for the
+    Rows of one group are joined already; what links join is not compared again, so the links are enough for the
     components, no more. 100 * intersection >= threshold * union decides, on whole sets; without sets,
     all that registers do not rule out is linked.
     """
-    group, links = np.arange(len(rep)), []
+    group, links = np.unique(group, return_inverse=True)[1], []
     regs16 = regs.astype(np.int16)
     for i in range(len(rep)):
         other = group != group[i]
@@ -268,8 +287,8 @@ def _links_in_block(rep: np.ndarray, side: np.ndarray, n: np.ndarray, regs: np.n
     return links
 
 
-def _block_links(blocks: DataFrame, threshold: int, group: list[str]) -> DataFrame:
-    """(a, b): the links of every block of a group. Rows come in order of block; a block's rows are held, no more. Without hashes, registers decide."""
+def _block_links(blocks: DataFrame, threshold: int, name: str) -> DataFrame:
+    """(a, b): the links of every block (name, i, j); i = j: its members meet each other. A block's rows come together and are held, no more. Without hashes, registers decide."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: pa.Table | None = None
@@ -277,14 +296,13 @@ def _block_links(blocks: DataFrame, threshold: int, group: list[str]) -> DataFra
         def solve(t: pa.Table) -> list[tuple[int, int]]:
             regs = np.frombuffer(b"".join(t["registers"].to_pylist()), np.uint8).reshape(t.num_rows, -1)
             sets = [np.frombuffer(x, np.uint64) for x in t["hashes"].to_pylist()] if "hashes" in t.column_names else None
-            chunk = np.asarray(t["chunk"])
-            return _links_in_block(np.asarray(t["rep"]), (chunk != chunk.min()).astype(np.int8), np.asarray(t["n"]), regs, sets, threshold, t["i"][0].as_py() == t["j"][0].as_py())
+            return _links_in_block(*(np.asarray(t[c]) for c in ("node", "side", "joined", "n")), regs, sets, threshold, t["i"][0].as_py() == t["j"][0].as_py())
 
         def out(found: list[tuple[int, int]]) -> pa.RecordBatch:
             return pa.RecordBatch.from_arrays([pa.array([x[0] for x in found], pa.int64()), pa.array([x[1] for x in found], pa.int64())], ["a", "b"])
 
         def split(t: pa.Table) -> list[int]:
-            keys = [np.asarray(t[c]) for c in (*group, "i", "j")]
+            keys = [np.asarray(t[c]) for c in (name, "i", "j")]
             return [0, *(np.flatnonzero(np.any([k[1:] != k[:-1] for k in keys], axis=0)) + 1).tolist(), t.num_rows]
 
         for batch in batches:
@@ -300,7 +318,17 @@ def _block_links(blocks: DataFrame, threshold: int, group: list[str]) -> DataFra
         if held is not None and held.num_rows and (found := solve(held)):
             yield out(found)
 
-    return blocks.mapInArrow(run, "a long, b long")
+    parts = int(blocks.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = blocks.repartition(parts, name, "i", "j").sortWithinPartitions(name, "i", "j", "node")
+    return dealt.mapInArrow(run, "a long, b long")
+
+
+def _dealt(rows: DataFrame) -> DataFrame:
+    """rows (bucket, node, chunks, n, registers), dealt into pairs (i, j) of their bucket's chunks; each goes to as many pairs as there are chunks."""
+    dealt = rows.withColumn("chunk", F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int"))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
+    dealt = dealt.withColumn("i", F.least("chunk", "other")).withColumn("j", F.greatest("chunk", "other"))
+    return dealt.select("bucket", "i", "j", (F.col("chunk") != F.col("i")).cast("int").alias("side"), "node", F.col("node").alias("joined"), "n", "registers")
 
 
 def linked(docs: DataFrame, words: int = 2, threshold: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -317,17 +345,17 @@ def linked(docs: DataFrame, words: int = 2, threshold: int = 80, id_col: str = "
     # Equal word sequences are one class; its least id stands for it.
     classes = named.groupBy("key").agg(F.min("doc_id").alias("rep"))
     reps = named.groupBy("key").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("registers").alias("registers"))
-    reps = reps.groupBy("rep", "key").agg(F.first("n").alias("n"), F.first("registers").alias("registers"))
     # An id may stand for several texts; each has a number of its own.
     reps = cut(reps.withColumn("node", F.monotonically_increasing_id()), "representatives")
-    clusters = components(_ties(reps, threshold), "clusters").withColumnRenamed("node", "member")
-
-    clusters = cut(clusters.join(reps, F.col("member") == F.col("node")).select("rep", "key", "n", "registers", F.col("component").alias("cluster")), "clustered")
-    links = _block_links(_blocks(docs, clusters, words, id_col, text_col), threshold, ["cluster"])
+    clusters = cut(components(_ties(reps, threshold), "clusters"), "clusters")
+    few = F.broadcast(clusters) if clusters.count() <= BROADCAST_IDS else clusters
+    members = reps.select("node", "rep", "key").join(few.withColumnRenamed("node", "member"), F.col("member") == F.col("node"))
+    members = cut(members.select("rep", "key", F.col("component").alias("cluster")), "members")
+    repeated = cut(named.groupBy("doc_id").agg(F.count("*").alias("rows"), F.min("key").alias("k"), F.max("key").alias("z")).where("rows > 1"), "repeated")
+    links = _cluster_links(docs, members, words, threshold, id_col, text_col, bool(repeated.take(1)))
 
     # Texts of one id are one document too.
-    twice = named.groupBy("doc_id").agg(F.min("key").alias("k"), F.max("key").alias("z")).where("k <> z")
-    twice = named.join(twice.select("doc_id"), "doc_id").join(classes, "key").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
+    twice = named.join(repeated.where("k <> z").select("doc_id"), "doc_id").join(classes, "key").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
     reached = components(links.unionByName(twice), "links")
 
     classes = classes.join(reached, F.col("rep") == F.col("node"), "left").select(F.col("key").alias("k"), F.coalesce("component", "rep").alias("component"))
@@ -336,47 +364,107 @@ def linked(docs: DataFrame, words: int = 2, threshold: int = 80, id_col: str = "
     return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"), "key")
 
 
-def _blocks(docs: DataFrame, clusters: DataFrame, words: int, id_col: str, text_col: str) -> DataFrame:
-    """The clusters' documents with their shingle hashes, dealt into pairs of blocks and sorted by them.
+def _cluster_links(docs: DataFrame, members: DataFrame, words: int, threshold: int, id_col: str, text_col: str, repeats: bool) -> DataFrame:
+    """(a, b): links enough to join what is similar in each cluster of members (rep, key, cluster).
 
-    A cluster of c blocks sends each document to c pairs; nothing else about its size is held anywhere.
+    First every member meets its block and the heads of its cluster. Then members outside the largest part of what that joined
+    meet all members in blocks: none do if one part is left, as in a family of copies.
     """
-    need = clusters.select(F.col("rep").alias("need")).distinct()
-    need = F.broadcast(need) if need.count() <= BROADCAST_IDS else need
-    wanted = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).join(need, F.col("doc_id") == F.col("need"), "left_semi")
+    sizes = members.groupBy("cluster").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("chunks"), *[F.min(F.struct(F.xxhash64("rep", F.lit(h)).alias("h"), "rep", "key")).alias(f"h{h}") for h in range(HEADS)])
+    sizes = cut(sizes.select(F.col("cluster").alias("c"), "chunks", F.array(*[f"h{h}" for h in range(HEADS)]).alias("heads")), "sizes")
+    few = F.broadcast(sizes) if sizes.count() <= BROADCAST_IDS // 10 else sizes
+    chunk = F.pmod(F.xxhash64("rep", "key"), F.col("chunks")).cast("int")
+    head = F.exists("heads", lambda h: (h["rep"] == F.col("rep")) & (h["key"] == F.col("key")))
+    dealt = members.join(few, F.col("cluster") == F.col("c")).select("rep", "key", "cluster", "chunks", chunk.alias("chunk"), head.alias("head"))
+    dealt = cut(dealt, "dealt")
+    at = F.when(F.col("head"), F.sequence(F.lit(0), F.col("chunks") - 1)).otherwise(F.array("chunk"))
+    own = F.transform(at, lambda x: F.struct(x.alias("i"), x.alias("j"), F.lit(0).alias("side")))
+    first = cut(_block_links(_hashed(docs, dealt.select("rep", "key", "cluster", F.col("rep").alias("joined"), own.alias("blocks")), words, id_col, text_col, repeats), threshold, "cluster"), "links")
+
+    large = dealt.where("chunks > 1")
+    if not large.take(1):
+        return first
+    joined = components(first, "parts")
+    large = cut(large.join(joined, F.col("rep") == F.col("node"), "left").select("rep", "key", "cluster", "chunks", "chunk", F.coalesce("component", "rep").alias("joined")), "large")
+    most = large.groupBy("cluster", "joined").agg(F.count("*").alias("n")).groupBy("cluster").agg(F.max(F.struct("n", "joined")).alias("m"), F.sum("n").alias("all"))
+    most = cut(most.select(F.col("cluster").alias("c"), F.col("m.joined").alias("largest"), F.ceil((F.col("all") - F.col("m.n")) / BLOCK).cast("int").alias("left")).where("left > 0"), "largest")
+    if not most.take(1):
+        return first
+    rest = large.join(most, F.col("cluster") == F.col("c"))
+    block = lambda i, c, side: F.struct(i.alias("i"), (F.col("left") + c).alias("j"), F.lit(side).alias("side"))
+    lefts = F.sequence(F.lit(0), F.col("left") - 1)
+    all_of = F.transform(lefts, lambda i: block(i, F.col("chunk"), 1))
+    own = F.pmod(F.xxhash64("key", "rep"), F.col("left")).cast("int")
+    outside = F.transform(F.sequence(F.lit(0), F.col("chunks") - 1), lambda c: block(own, c, 0))
+    blocks = F.concat(all_of, F.when(F.col("joined") != F.col("largest"), outside).otherwise(F.array().cast("array<struct<i:int,j:int,side:int>>")))
+    second = _hashed(docs, cut(rest.select("rep", "key", "cluster", "joined", blocks.alias("blocks")), "rest"), words, id_col, text_col, repeats)
+    return first.unionByName(_block_links(second, threshold, "cluster"))
+
+
+def _hashed(docs: DataFrame, assigned: DataFrame, words: int, id_col: str, text_col: str, repeats: bool) -> DataFrame:
+    """(cluster, joined, i, j, side, node, n, registers, hashes): the assigned (rep, key, cluster, joined, blocks) texts' shingles, once for each of their blocks.
+
+    repeats: rows of docs may repeat an id; of equal ones, one is taken.
+    """
+    assigned = F.broadcast(assigned) if assigned.count() <= BROADCAST_IDS else assigned
+    wanted = docs.select(col(id_col).cast("long").alias("doc_id"), col(text_col).alias("text")).join(assigned, F.col("doc_id") == F.col("rep"))
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for ids, keys, sets in _sets(batches, Hasher(words)):
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(keys, pa.binary()), pa.array([s.tobytes() for s in sets], pa.binary())], ["doc_id", "key", "hashes"])
-
-    hashes = wanted.mapInArrow(make, "doc_id long, key binary, hashes binary")
-    full = clusters.join(hashes.withColumnRenamed("key", "k"), (F.col("rep") == F.col("doc_id")) & (F.col("key") == F.col("k"))).dropDuplicates(["rep", "key"])
-    sizes = clusters.groupBy("cluster").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("chunks")).withColumnRenamed("cluster", "c")
-    dealt = _dealt(full.join(sizes, F.col("cluster") == F.col("c")), "rep", ["cluster"])
-    return dealt.select("cluster", "i", "j", "chunk", "rep", "n", "registers", "hashes")
-
+        hasher = Hasher(words)
+        for batch in batches:
+            for lo, hi, keys, sets in _sets(batch.column(0), hasher):
+                here = batch.slice(lo, hi - lo)
+                made = [pa.array([len(s) for s in sets], pa.int64()), pa.array([hasher.registers(s).tobytes() if len(s) else None for s in sets], pa.binary()), pa.array([s.tobytes() for s in sets], pa.binary())]
+                same = pa.array([k == x for k, x in zip(keys, here.column(2).to_pylist(), strict=True)], pa.bool_())
+                yield pa.RecordBatch.from_arrays([*here.columns[1:], *made], ["rep", "key", "cluster", "joined", "blocks", "n", "registers", "hashes"]).filter(same)
 
-def _dealt(rows: DataFrame, member: str, group: list[str]) -> DataFrame:
-    """rows, dealt into pairs (i, j) of their group's chunks and sorted by them; each goes to as many pairs as there are chunks."""
-    dealt = rows.withColumn("chunk", F.pmod(F.xxhash64(member), F.col("chunks")).cast("int"))
-    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
-    dealt = dealt.withColumn("i", F.least("chunk", "other")).withColumn("j", F.greatest("chunk", "other"))
-    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return dealt.repartition(parts, *group, "i", "j").sortWithinPartitions(*group, "i", "j", member)
+    made = wanted.select("text", "rep", "key", "cluster", "joined", "blocks").mapInArrow(make, "rep long, key binary, cluster long, joined long, blocks array<struct<i:int,j:int,side:int>>, n long, registers binary, hashes binary")
+    made = made.dropDuplicates(["rep", "key"]) if repeats else made
+    return made.select("cluster", "joined", F.explode("blocks").alias("b"), F.col("rep").alias("node"), "n", "registers", "hashes").select("cluster", "joined", "b.*", "node", "n", "registers", "hashes")
 
 
 def deduplicated(docs: DataFrame, words: int = 2, threshold: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of docs that stand for their component: the one of least id. Of rows that repeat that id, one stays.
 
-    Rows without id stay. Columns as in docs.
+    Rows without id stay; null, empty and blank texts are linked with nothing, so the first row of such an id stays. Columns as in docs,
+    whatever their names. An empty table gives no rows.
     """
-    found = linked(docs, words, threshold, id_col, text_col).where("doc_id IS NOT NULL")
-    kept = cut(found.where("kept").groupBy(F.col("doc_id").alias("__id")).agg(F.count("*").alias("__n")), "kept")
-    rows = docs.join(kept, F.col(id_col) == F.col("__id"))
-    once = rows.where("__n = 1").select(*docs.columns)
-    again = rows.where("__n > 1").select(*docs.columns).dropDuplicates([id_col])
-    return once.unionByName(again).unionByName(docs.where(F.col(id_col).isNull()))
+    found = cut(linked(docs, words, threshold, id_col, text_col).where("doc_id IS NOT NULL").select("doc_id", "kept"), "kept")
+    names = [f"c{i}" for i in range(len(docs.columns))]
+    rows, own = docs.toDF(*names), names[docs.columns.index(id_col)]
+    same = F.col(own).cast("long") == F.col("i")
+
+    def few(ids: DataFrame) -> DataFrame:
+        ids = cut(ids.select(F.col("doc_id").alias("i")).distinct(), "ids")
+        return F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
+
+    kept = rows.join(few(found.where("NOT kept")), same, "left_anti")
+    again = found.where("kept").groupBy("doc_id").agg(F.count("*").alias("rows")).where("rows > 1")
+    if again.take(1):
+        again = few(again)
+        kept = kept.join(again, same, "left_anti").unionByName(kept.join(again, same, "left_semi").dropDuplicates([own]))
+    return kept.toDF(*docs.columns)
 
 
 def op2_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linked(read_table(spark, sf_dir, "documents")).drop("key")
+
+
+#: DuckDB SQL for op2_near_dup: classes of equal sets, candidates that share one of their rarest shingles (two similar sets can't lack all), whole sets compared.
+ORACLE = r"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (SELECT doc_id, CASE WHEN len(w) >= 2 THEN list_sort(list_distinct(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]))) ELSE w END AS g FROM d),
+cl AS (SELECT g, min(doc_id) AS rep, len(g) AS n FROM s WHERE len(g) > 0 GROUP BY g),
+e AS (SELECT rep, n, unnest(g) AS x FROM cl),
+f AS (SELECT x, count(*) AS c FROM e GROUP BY x),
+r AS (SELECT rep, n, x, row_number() OVER (PARTITION BY rep ORDER BY c, x) AS k FROM e JOIN f USING (x)),
+p AS (SELECT rep, n, x FROM r WHERE k <= n - (80 * n + 99) // 100 + 1),
+ca AS (SELECT DISTINCT a.rep AS a, b.rep AS b, a.n AS na, b.n AS nb FROM p a JOIN p b ON a.x = b.x AND a.rep < b.rep AND 100 * least(a.n, b.n) >= 80 * greatest(a.n, b.n)),
+l AS (SELECT a, b FROM ca JOIN e ea ON ea.rep = a JOIN e eb ON eb.rep = b AND eb.x = ea.x GROUP BY a, b, na, nb HAVING 100 * count(*) >= 80 * (na + nb - count(*))),
+bo AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
+re AS (SELECT rep AS node, rep AS root FROM cl UNION SELECT bo.b, re.root FROM re JOIN bo ON bo.a = re.node),
+co AS (SELECT node, min(root) AS component FROM re GROUP BY node)
+SELECT doc_id, CAST(len(s.g) AS BIGINT) AS n_shingles, coalesce(component, doc_id) AS component_id, doc_id = coalesce(component, doc_id) AS kept
+FROM s LEFT JOIN cl ON s.g = cl.g LEFT JOIN co ON cl.rep = co.node
+"""
