@@ -30,9 +30,9 @@ from .common import col, cut, fresh_path, read_table
 END_ID = 2
 #: Bytes of words and ids, with what Python adds for each, that a worker remembers before it starts afresh; longer words
 #: than LONG characters are never kept. Both bound memory, not results.
-REMEMBERED, EACH, LONG = 40 << 20, 200, 48
+REMEMBERED, EACH, LONG = 110 << 20, 200, 48
 #: Characters of text that go to the library together.
-TOGETHER = 1 << 19
+TOGETHER = 1 << 20
 #: Bytes of text in a part: as many as give each core one part, within these limits.
 PART_BYTES = (4 << 20, 32 << 20)
 #: Marks at which a word is cut when they follow a letter.
