@@ -12,10 +12,12 @@ from .html_text import op5_html_text
 from .language import op3_language
 from .mixing import ORACLE as MIXING_SQL
 from .mixing import op10_mixing
+from .near_dup import ORACLE as NEAR_DUP_SQL
 from .near_dup import op2_near_dup
 from .neighbours import op4_neighbours
 from .pii import op9_personal_data
 from .quality import op6_quality
+from .sharding import ORACLE as SHARDING_SQL
 from .sharding import op1_sharding
 from .tokens import op8_token_files
 
@@ -31,4 +33,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_personal_data": op9_personal_data,
     "op10_mixing": op10_mixing,
 }
-ORACLES: dict[str, str] = {"op7_decontamination": DECONTAMINATION_SQL, "op10_mixing": MIXING_SQL}
+ORACLES: dict[str, str] = {"op1_sharding": SHARDING_SQL, "op2_near_dup": NEAR_DUP_SQL, "op7_decontamination": DECONTAMINATION_SQL, "op10_mixing": MIXING_SQL}

@@ -12,13 +12,17 @@ from __future__ import annotations
 import heapq
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import cut, fresh_path, read_table
+from .common import col, cut, fresh_path, read_table
 
 SLOTS = 6144
 SHARDS = 24
+#: Equal rows (id and text) of which there are more share no slot: each COPIES of them, about, have one.
+COPIES = 1000
+#: Such rows that are broadcast at most; more are shuffled.
+BROADCAST_ROWS = 100_000
 
 
 @dataclass
@@ -50,12 +54,12 @@ def first_map(totals: list[tuple[int, int]], shards: int) -> SlotMap:
     """Slots in order of falling bytes, each to the shard with the fewest bytes so far; ties to the lower number."""
     if shards < 1:
         raise ValueError("shards must be at least 1")
-    heap = [(0, 0, shard) for shard in range(shards)]
+    heap = [(0, shard) for shard in range(shards)]
     shard_of = [0] * len(totals)
     for slot in sorted(range(len(totals)), key=lambda s: (-totals[s][0], s)):
-        size, held, shard = heapq.heappop(heap)
+        size, shard = heapq.heappop(heap)
         shard_of[slot] = shard
-        heapq.heappush(heap, (size + totals[slot][0], held + 1, shard))
+        heapq.heappush(heap, (size + totals[slot][0], shard))
     return SlotMap(shards, shard_of, list(totals))
 
 
@@ -107,11 +111,32 @@ def load_map(spark: SparkSession, path: str, version: int, shards: int) -> SlotM
     return SlotMap(shards, [r["shard"] for r in rows], [(r["slot_bytes"], r["slot_rows"]) for r in rows], version)
 
 
-def slotted(docs: DataFrame, slots: int = SLOTS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, size, text_crc32, virtual_slot): size is UTF-8 bytes plus 8; a null text has no bytes and crc32 0."""
-    text = F.coalesce(F.col(text_col).cast("binary"), F.lit(b""))
-    narrow = docs.select(F.col(id_col).alias("doc_id"), (F.octet_length(text).cast("long") + 8).alias("size"), F.crc32(text).alias("text_crc32"))
-    return narrow.withColumn("virtual_slot", F.pmod(F.xxhash64("doc_id", "text_crc32"), F.lit(slots)).cast("int"))
+def _narrow(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    text = F.coalesce(col(text_col).cast("binary"), F.lit(b""))
+    return docs.select(col(id_col).alias("doc_id"), (F.octet_length(text).cast("long") + 8).alias("size"), F.crc32(text).alias("text_crc32"))
+
+
+def _slot(slots: int, *cols: Column) -> Column:
+    """A slot from 48 bits of the md5 of the columns' text."""
+    text = F.concat_ws("|", *[F.coalesce(c.cast("string"), F.lit("-")) for c in cols])
+    return F.pmod(F.conv(F.substring(F.md5(text.cast("binary")), 1, 12), 16, 10).cast("long"), F.lit(slots)).cast("int")
+
+
+def slotted(docs: DataFrame, slots: int = SLOTS, id_col: str = "doc_id", text_col: str = "text", copies: int = COPIES) -> DataFrame:
+    """(doc_id, size, text_crc32, virtual_slot): size is UTF-8 bytes plus 8; a null text has no bytes and crc32 0.
+
+    The slot is a hash of id and text, so equal texts of different ids are spread over the slots. Rows equal in both share a slot,
+    unless there are more than `copies` of them: then they are dealt over as many slots as hold that many each.
+    """
+    narrow = cut(_narrow(docs, id_col, text_col).withColumn("virtual_slot", _slot(slots, F.col("doc_id"), F.col("text_crc32"))), "slotted")
+    hot = narrow.groupBy(F.col("doc_id").alias("d"), F.col("text_crc32").alias("c")).agg(F.count("*").alias("n")).where(F.col("n") > copies)
+    hot = cut(hot.select("d", "c", F.ceil(F.col("n") / copies).alias("parts")), "hot-rows")
+    if not (n := hot.count()):
+        return narrow
+    rows = narrow.join(F.broadcast(hot) if n <= BROADCAST_ROWS else hot, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("text_crc32") == F.col("c")), "left")
+    dealt = _slot(slots, F.col("doc_id"), F.col("text_crc32"), F.pmod(F.monotonically_increasing_id(), F.col("parts")))
+    slot = F.when(F.col("parts").isNull(), F.col("virtual_slot")).otherwise(dealt)
+    return cut(rows.select("doc_id", "size", "text_crc32", slot.alias("virtual_slot")), "slotted")
 
 
 def slot_totals(narrow: DataFrame, slots: int = SLOTS) -> list[tuple[int, int]]:
@@ -126,12 +151,13 @@ def assign_shards(docs: DataFrame, shards: int = SHARDS, slots: int = SLOTS, id_
     """Every row of docs with its shard and its place there, by the `bytes` law: shard sizes come out near equal.
 
     Returns doc_id, size, text_crc32, law, shard, slot (the row's place in its shard, from 0 without
-    gaps), grown_shard (null: the law is not `key`), virtual_slot, map_version. Repeated rows are kept,
+    gaps), grown_shard (null: the law is not `key`), virtual_slot, map_version. Equal texts of different ids are no group here: they are
+    spread like any others, so a text that many rows share fills no shard. Repeated rows are kept,
     each with its own place. A null id hashes like any other value, so its text decides its slot. An empty
     table gives no rows. Columns other than the two named ones are neither read nor returned.
     """
     spark = docs.sparkSession
-    narrow = cut(slotted(docs, slots, id_col, text_col), "slotted")
+    narrow = slotted(docs, slots, id_col, text_col)
     held = save_map(spark, first_map(slot_totals(narrow, slots), shards), map_path or fresh_path(spark, "slot-map"))
     place = F.row_number().over(Window.partitionBy("virtual_slot").orderBy("doc_id", "text_crc32", "size"))
     return (
@@ -145,11 +171,46 @@ def assign_shards(docs: DataFrame, shards: int = SHARDS, slots: int = SLOTS, id_
 
 
 def write_shards(docs: DataFrame, slot_map: DataFrame, path: str, slots: int = SLOTS, id_col: str = "doc_id", text_col: str = "text") -> None:
-    """Writes whole records below path/shard=N by a stored map. Work is dealt by virtual slot, so no task holds a shard."""
-    text = F.coalesce(F.col(text_col).cast("binary"), F.lit(b""))
-    keyed = docs.withColumn("virtual_slot", F.pmod(F.xxhash64(F.col(id_col), F.crc32(text)), F.lit(slots)).cast("int"))
-    keyed.join(F.broadcast(slot_map.select("virtual_slot", "shard")), "virtual_slot").repartition("virtual_slot").write.partitionBy("shard").parquet(path)
+    """Writes whole records below path/shard=N by a stored map. Work is dealt by virtual slot, so no task holds a shard.
+
+    Columns of docs keep their names, but for one called shard, which the folder's number replaces. Of equal rows all go to their first slot.
+    """
+    text = F.coalesce(col(text_col).cast("binary"), F.lit(b""))
+    names = [f"c{i}" for i in range(len(docs.columns))]
+    keyed = docs.select(*[col(c).alias(n) for c, n in zip(docs.columns, names, strict=True) if c.lower() != "shard"], _slot(slots, col(id_col), F.crc32(text)).alias("virtual_slot"))
+    placed = keyed.join(F.broadcast(slot_map.select("virtual_slot", "shard")), "virtual_slot").repartition("virtual_slot")  # `slots` rows, by construction
+    placed.select(*[F.col(n).alias(c) for c, n in zip(docs.columns, names, strict=True) if c.lower() != "shard"], "shard").write.partitionBy("shard").parquet(path)
 
 
 def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return assign_shards(read_table(spark, sf_dir, "documents"))
+
+
+def _crc_table() -> list[int]:
+    out = []
+    for c in range(256):
+        for _ in range(8):
+            c = c >> 1 ^ (0xEDB88320 if c & 1 else 0)
+        out.append(c)
+    return out
+
+
+#: DuckDB SQL for op1_sharding, with crc32 byte by byte and the first map slot by slot: the largest to the shard that holds least.
+ORACLE = f"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, octet_length(encode(coalesce(text, ''))) + 8 AS size,
+         xor(list_reduce([4294967295::BIGINT] || list_transform(regexp_extract_all(hex(encode(coalesce(text, ''))), '..'), lambda x: CAST('0x' || x AS BIGINT)),
+             lambda c, x: xor(c >> 8, list_extract({_crc_table()}::BIGINT[], (xor(c, x) & 255) + 1))), 4294967295::BIGINT) AS text_crc32
+  FROM documents),
+v AS (SELECT *, CAST(CAST('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), '-') || '|' || text_crc32), 1, 12) AS BIGINT) % {SLOTS} AS INTEGER) AS virtual_slot FROM d),
+o AS (SELECT virtual_slot, sum(size)::BIGINT AS b, row_number() OVER (ORDER BY sum(size) DESC, virtual_slot) AS k FROM v GROUP BY virtual_slot),
+g AS (
+  SELECT CAST(0 AS BIGINT) AS k, list_transform(range({SHARDS}), lambda i: 0::BIGINT) AS loads, -1 AS virtual_slot, 0 AS shard
+  UNION ALL
+  SELECT k, list_transform(range({SHARDS}), lambda i: loads[i + 1] + CASE WHEN i = least_one THEN b ELSE 0 END), virtual_slot, CAST(least_one AS INTEGER)
+  FROM (SELECT o.k, o.b, o.virtual_slot, loads, list_position(loads, list_min(loads)) - 1 AS least_one FROM g JOIN o ON o.k = g.k + 1))
+SELECT doc_id, CAST(size AS BIGINT) AS size, text_crc32, 'bytes' AS law, shard,
+       row_number() OVER (PARTITION BY shard ORDER BY virtual_slot, doc_id, text_crc32, size) - 1 AS slot,
+       CAST(NULL AS INTEGER) AS grown_shard, virtual_slot, 1 AS map_version
+FROM v JOIN g USING (virtual_slot)
+"""
