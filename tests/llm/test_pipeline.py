@@ -1,23 +1,58 @@
-"""The pipeline's stages, each held against a plain version on its own input."""
+"""The pipeline's stages on their own inputs: near_dedup, mix_sources and token_files against plain versions, the others by what they may keep."""
+
+import collections
+import zlib
 
 import corpus_pipeline
+import numpy as np
+from pyspark.sql import functions as F
+from tessera.llm import mixing, quality, tokens
 from tessera.llm.common import cut
+from tessera.llm.decontaminate import contaminations
 
 
 def test_stages(spark, sf):
     from test_operators import brute_components
+    from tokenizers import Tokenizer
 
     assert [n for n, _ in corpus_pipeline.STAGES] == ["quality", "near_dedup", "decontaminate", "mix_sources", "token_files"]
     docs = spark.read.parquet(f"{sf}/documents.parquet")
     columns = docs.columns
     for name, stage in corpus_pipeline.STAGES:
         before = docs.select("doc_id", "text").collect()
-        docs = cut(stage(spark, docs, sf), f"test-{name}")
+        texts = {r["doc_id"]: r["text"] for r in before}
+        given, docs = docs, cut(stage(spark, docs, sf), f"test-{name}")
         if name == "token_files":
-            assert docs.count() == len(before)
+            plain, ids = Tokenizer.from_file(tokens.vocabulary_path()), {}
+            for d, t in texts.items():
+                ids[d] = [*plain.encode(t or "", add_special_tokens=False).ids, tokens.END_ID]
+            start = 0
+            for r, d in zip(docs.orderBy("start").collect(), sorted(r["doc_id"] for r in before), strict=True):
+                assert (r["doc_id"], r["start"], r["n_tokens"], r["ids_crc32"]) == (d, start, len(ids[d]), zlib.crc32(np.array(ids[d], "<u4").tobytes()))
+                start += len(ids[d])
             break
         assert docs.columns == columns
         after = [r["doc_id"] for r in docs.select("doc_id").collect()]
-        assert set(after) <= {r["doc_id"] for r in before} and after
+        assert set(after) <= set(texts) and after
+        if name == "quality":
+            scored = quality.score_quality(given, quality.learn_quality(given, spark.read.parquet(f"{sf}/labels.parquet")))
+            assert sorted(after) == sorted(r["doc_id"] for r in scored.where("predicted = 1").collect())
         if name == "near_dedup":
-            assert sorted(after) == sorted(set(brute_components([(r["doc_id"], r["text"]) for r in before], 5).values()))
+            assert sorted(after) == sorted(set(brute_components(list(texts.items()), 5).values()))
+        if name == "decontaminate":
+            found = {r["doc_id"] for r in contaminations(given, spark.read.parquet(f"{sf}/benchmark.parquet")).collect()}
+            assert set(after) == set(texts) - found
+        if name == "mix_sources":
+            assert collections.Counter(after) == {r["doc_id"]: r["copies"] for r in mixing.mix(given).where("copies > 0").collect()}
+
+
+def test_stages_on_empty_tables_and_clashing_columns(spark, sf):
+    from test_operators import CLASHES
+
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select("*", *[F.lit(i).alias(n) for i, n in enumerate(CLASHES)])
+    odd = docs.limit(3).select(F.lit(None).cast("long").alias("doc_id"), F.lit(None).cast("string").alias("text"), *[F.col(f"`{c}`") for c in docs.columns[2:]])
+    docs = docs.unionByName(odd)
+    for name, stage in corpus_pipeline.STAGES:
+        assert stage(spark, docs.limit(0), sf).count() == 0, name
+        docs = cut(stage(spark, docs, sf), f"test-{name}")
+        assert docs.count() > 0 and (name == "token_files" or docs.columns[5:] == CLASHES), name
