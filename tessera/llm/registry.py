@@ -1,4 +1,4 @@
-"""The queries of the ten operators and of the pipeline, and the SQL that gives the same rows."""
+"""The queries of the operators and of the pipeline, and the SQL that gives the same rows."""
 
 from __future__ import annotations
 
@@ -10,6 +10,8 @@ from .decontaminate import ORACLE as DECONTAMINATION_SQL
 from .decontaminate import op7_decontamination
 from .html_text import op5_html_text
 from .language import op3_language
+from .merkle import ORACLE as MERKLE_SQL
+from .merkle import op12_merkle_manifest
 from .mixing import ORACLE as MIXING_SQL
 from .mixing import op10_mixing
 from .near_dup import ORACLE as NEAR_DUP_SQL
@@ -32,5 +34,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_token_files": op8_token_files,
     "op9_personal_data": op9_personal_data,
     "op10_mixing": op10_mixing,
+    "op12_merkle_manifest": op12_merkle_manifest,
 }
-ORACLES: dict[str, str] = {"op1_sharding": SHARDING_SQL, "op2_near_dup": NEAR_DUP_SQL, "op7_decontamination": DECONTAMINATION_SQL, "op10_mixing": MIXING_SQL}
+ORACLES: dict[str, str] = {"op1_sharding": SHARDING_SQL, "op2_near_dup": NEAR_DUP_SQL, "op7_decontamination": DECONTAMINATION_SQL, "op10_mixing": MIXING_SQL, "op12_merkle_manifest": MERKLE_SQL}

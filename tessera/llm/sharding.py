@@ -15,7 +15,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import col, cut, fresh_path, read_table
+from .common import col, crc_table, cut, fresh_path, read_table
 
 SLOTS = 6144
 SHARDS = 24
@@ -186,21 +186,12 @@ def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return assign_shards(read_table(spark, sf_dir, "documents"))
 
 
-def _crc_table() -> list[int]:
-    out = []
-    for c in range(256):
-        for _ in range(8):
-            c = c >> 1 ^ (0xEDB88320 if c & 1 else 0)
-        out.append(c)
-    return out
-
-
 #: DuckDB SQL for op1_sharding, with crc32 byte by byte and the first map slot by slot: the largest to the shard that holds least.
 ORACLE = f"""
 WITH RECURSIVE d AS (
   SELECT doc_id, octet_length(encode(coalesce(text, ''))) + 8 AS size,
          xor(list_reduce([4294967295::BIGINT] || list_transform(regexp_extract_all(hex(encode(coalesce(text, ''))), '..'), lambda x: CAST('0x' || x AS BIGINT)),
-             lambda c, x: xor(c >> 8, list_extract({_crc_table()}::BIGINT[], (xor(c, x) & 255) + 1))), 4294967295::BIGINT) AS text_crc32
+             lambda c, x: xor(c >> 8, list_extract({crc_table()}::BIGINT[], (xor(c, x) & 255) + 1))), 4294967295::BIGINT) AS text_crc32
   FROM documents),
 v AS (SELECT *, CAST(CAST('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), '-') || '|' || text_crc32), 1, 12) AS BIGINT) % {SLOTS} AS INTEGER) AS virtual_slot FROM d),
 o AS (SELECT virtual_slot, sum(size)::BIGINT AS b, row_number() OVER (ORDER BY sum(size) DESC, virtual_slot) AS k FROM v GROUP BY virtual_slot),
