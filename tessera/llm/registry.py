@@ -17,6 +17,7 @@ from .mixing import op10_mixing
 from .near_dup import ORACLE as NEAR_DUP_SQL
 from .near_dup import op2_near_dup
 from .neighbours import op4_neighbours
+from .packing import op13_packing
 from .pii import op9_personal_data
 from .quality import op6_quality
 from .sharding import ORACLE as SHARDING_SQL
@@ -35,5 +36,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_personal_data": op9_personal_data,
     "op10_mixing": op10_mixing,
     "op12_merkle_manifest": op12_merkle_manifest,
+    "op13_packing": op13_packing,
 }
 ORACLES: dict[str, str] = {"op1_sharding": SHARDING_SQL, "op2_near_dup": NEAR_DUP_SQL, "op7_decontamination": DECONTAMINATION_SQL, "op10_mixing": MIXING_SQL, "op12_merkle_manifest": MERKLE_SQL}
