@@ -19,6 +19,8 @@ from .near_dup import op2_near_dup
 from .neighbours import op4_neighbours
 from .packing import op13_packing
 from .pii import op9_personal_data
+from .prefix_trie import ORACLE as TRIE_SQL
+from .prefix_trie import op11_prefix_trie
 from .quality import op6_quality
 from .sharding import ORACLE as SHARDING_SQL
 from .sharding import op1_sharding
@@ -35,7 +37,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_token_files": op8_token_files,
     "op9_personal_data": op9_personal_data,
     "op10_mixing": op10_mixing,
+    "op11_prefix_trie": op11_prefix_trie,
     "op12_merkle_manifest": op12_merkle_manifest,
     "op13_packing": op13_packing,
 }
-ORACLES: dict[str, str] = {"op1_sharding": SHARDING_SQL, "op2_near_dup": NEAR_DUP_SQL, "op7_decontamination": DECONTAMINATION_SQL, "op10_mixing": MIXING_SQL, "op12_merkle_manifest": MERKLE_SQL}
+ORACLES: dict[str, str] = {"op1_sharding": SHARDING_SQL, "op2_near_dup": NEAR_DUP_SQL, "op7_decontamination": DECONTAMINATION_SQL, "op10_mixing": MIXING_SQL, "op11_prefix_trie": TRIE_SQL, "op12_merkle_manifest": MERKLE_SQL}
