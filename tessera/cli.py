@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .operators import compare as C
 from .operators import prune
-from .operators.reorder import edges, greedy_order, preview, reordered
+from .operators.reorder import class_order, preview, reordered
 from .operators.sketch import SketchParams, mean_size, sketch
 from .sources import index as I  # noqa: E741
 from .sources.results import write_lines
@@ -55,7 +55,7 @@ def _index(spark: SparkSession, a: argparse.Namespace, fof: str | None, fasta: s
     docs = cut(read_file_list(spark, fof) if fof else read_records(spark, fasta), "documents")
     e = a.e_size or (mean_size(docs, drop_empty=bool(fof)).first()["e"] if a.sketch_mode == "perfect" else 5_000_000)
     params = SketchParams(a.k_size, a.s_size, a.w_size, e, a.sketch_mode)
-    sk = cut(sketch(docs, params, unique=not fof), "sketch")
+    sk = cut(sketch(docs, params, unique=not fof, rows=True), "sketch")
     found = I.build(docs, sk, params, count_listed(spark, fof) if fof else None)
     if found.n_empty:
         say(f"warning: {found.n_empty} documents have no sketch; they keep their ids")
@@ -72,17 +72,19 @@ def main(args: list[str] | None = None, spark: SparkSession | None = None, say=p
         if a.reorder_similarity:
             cells, s = C.first_positions(sk, found.params.s, a.reorder_sample)
             least = max(0.0, min(1.0, a.reorder_threshold))
-            docs = sk.select("gid").distinct()
-            order = cut(greedy_order(docs, edges(C.compare_self(cells, s, least), least)), "order")
+            cells = cut(cells, "first-positions")
+            kinds = cut(C.classes(cells), "classes")
+            hits = C.compare_self(cut(C.representatives(cells, kinds), "representatives"), s, least)
+            order = cut(class_order(sk.select("gid"), kinds, hits, s, least), "order")
             say("first of the new order: " + " ".join(str(r["old_gid"]) for r in preview(order).collect()))
-            found = I.Index(I.chunked_postings(reordered(sk, order)), found.params, found.n_docs, found.n_empty, order, found.n_ids)
+            found = I.dealt_index(reordered(sk, order), found.params, found.n_docs, found.n_empty, order, found.n_ids)
         I.save(found, a.output, "uncompressed" if a.no_compress else "zstd", None if a.no_compress else max(1, a.zstd_level))
         return
-    sides = {}
+    sides, made = {}, {}
     for side in ("ref", "query"):
         stored, fof, fasta = (getattr(a, f"{side}_{k}") for k in ("sketch", "fof", "fasta"))
         if stored or fof or fasta:
-            sides[side] = I.load(spark, stored) if stored else _index(spark, a, fof, fasta, say)[0]
+            sides[side], made[side] = (I.load(spark, stored), None) if stored else _index(spark, a, fof, fasta, say)
     if "ref" not in sides:
         raise SystemExit("a reference is needed")
     ref, query = sides["ref"], sides.get("query", sides["ref"])
@@ -91,12 +93,13 @@ def main(args: list[str] | None = None, spark: SparkSession | None = None, say=p
         for side, index in sides.items():
             say(f"{side}: " + ", ".join(f"{k} {v}" for k, v in index.stats().first().asDict().items()))
     s, alone = ref.params.s, not a.matrix and "query" not in sides
-    r = cut(ref.sketch(), "ref")
-    q = r if query is ref else cut(query.sketch(), "query")
-    if a.prob_threshold_heuristic and a.threshold > 0:
-        hits = prune.pruned_compare(q, r, s, a.threshold, a.prob_threshold_probability)
+    pruned = a.prob_threshold_heuristic and a.threshold > 0
+    if not pruned and a.ref_sketch and (query is ref or a.query_sketch):
+        hits = I.compare_stored(query, ref, a.threshold)
     else:
-        hits = C.compare(q, r, s, a.threshold)
+        r = cut(ref.sketch(), "ref") if a.ref_sketch else made["ref"]
+        q = r if query is ref else cut(query.sketch(), "query") if a.query_sketch else made["query"]
+        hits = prune.pruned_compare(q, r, s, a.threshold, a.prob_threshold_probability) if pruned else C.compare(q, r, s, a.threshold)
     hits = cut(hits.where("qid <> rid") if alone else hits, "hits")
     lines = C.matrix_lines(C.matrix(hits, query.ids(), ref.ids(), a.threshold)) if a.matrix else C.sparse_lines(hits, query.ids())
     write_lines(lines, a.output, a.zstd_level)

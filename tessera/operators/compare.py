@@ -1,43 +1,80 @@
-"""Comparison of sketches: an equi-join on position and fingerprint, counted for each pair."""
+"""Comparison of sketches: an equi-join on position and fingerprint, counted for each pair.
+
+A sketch is a table of cells (gid, pos, fp) or of rows (gid, cells), see sketch(). Everything here takes both.
+"""
 
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..sources.work import cut
 
-#: Matches in the first positions that make a pair a candidate.
-HEAD_MATCHES = 4
+#: Documents that tell which cells are frequent, at least this number and this share, and cells that are remembered as such, at most. They order cells and split
+#: work, and change no result.
+SAMPLE, SHARE, FREQUENT = 1000, 1 / 1024, 1 << 16
+#: Of the s - m positions that two documents may differ in, the part that is added to a prefix: pairs need as many matches there to be looked at.
+HEAD_PART = 8
+#: Documents of a cell that meet in one task, about.
+MEETING = 1 << 14
 
 
 def min_matches(threshold: float, s: int) -> int:
     return math.ceil(threshold * s) if threshold > 0 else 0
 
 
+def is_rows(sk: DataFrame) -> bool:
+    return "cells" in sk.columns
+
+
+def as_cells(sk: DataFrame) -> DataFrame:
+    """(gid, cell), one row a cell."""
+    if is_rows(sk):
+        return sk.select("gid", F.explode("cells").alias("cell"))
+    return sk.select("gid", F.shiftleft(F.col("pos").cast("long"), 32).bitwiseOR(F.col("fp")).alias("cell"))
+
+
+def as_positions(sk: DataFrame) -> DataFrame:
+    """(gid, pos, fp), one row a cell."""
+    if not is_rows(sk):
+        return sk.select("gid", "pos", "fp")
+    return as_cells(sk).select("gid", F.shiftright("cell", 32).cast("int").alias("pos"), F.col("cell").bitwiseAND((1 << 32) - 1).alias("fp"))
+
+
+def as_rows(sk: DataFrame) -> DataFrame:
+    """(gid, cells), one row a document; cells ascend."""
+    if is_rows(sk):
+        return sk.select("gid", "cells")
+    return as_cells(sk).groupBy("gid").agg(F.array_sort(F.collect_list("cell")).alias("cells"))
+
+
 def first_positions(sk: DataFrame, s: int, n: int) -> tuple[DataFrame, int]:
     """The sketch cut to its first n positions, and the number of positions it then has; 0 or too many: all."""
-    return (sk.where(F.col("pos") < n), n) if 0 < n < s else (sk, s)
+    if not 0 < n < s:
+        return sk, s
+    if is_rows(sk):
+        few = sk.select("gid", F.filter("cells", lambda c: c < n << 32).alias("cells"))
+        return few.where(F.size("cells") > 0), n
+    return sk.where(F.col("pos") < n), n
 
 
 def classes(sk: DataFrame) -> DataFrame:
-    """(gid, rep): documents whose sketches are equal throughout share the least id. Copies then meet once, not pair by pair.
+    """(gid, rep, n_cells): documents whose sketches are equal throughout share the least id. Copies then meet once, not pair by pair.
 
-    A sketch's signature is made of sums over its cells that do not depend on their order: the number of cells and two XORs of 64-bit hashes.
+    A sketch's signature is the number of its cells and two 64-bit values: of a table of cells XORs of hashes, which do not depend on the cells' order, else hashes of the row.
     """
-    signs = [F.bit_xor(F.xxhash64("pos", "fp", F.lit(seed))).alias(f"x{seed}") for seed in (1, 2)]
-    whole = sk.groupBy("gid").agg(F.count("*").alias("cells"), *signs)
-    key = ["cells", "x1", "x2"]
-    return whole.join(whole.groupBy(*key).agg(F.min("gid").alias("rep")), key).select("gid", "rep")
-
-
-def _counts(q: DataFrame, r: DataFrame, half: bool = False) -> DataFrame:
-    """half: pairs of one table, each once."""
-    a, b = q.select("pos", "fp", F.col("gid").alias("qid")), r.select("pos", "fp", F.col("gid").alias("rid"))
-    met = a.join(b, ["pos", "fp"])
-    return (met.where("qid <= rid") if half else met).groupBy("qid", "rid").agg(F.count("*").alias("matches"))
+    key = ["n_cells", "x1", "x2"]
+    if is_rows(sk):
+        whole = sk.select("gid", F.size("cells").cast("long").alias("n_cells"), *[F.xxhash64(F.lit(seed), "cells").alias(f"x{seed}") for seed in (1, 2)])
+    else:
+        signs = [F.bit_xor(F.xxhash64(F.lit(seed), "pos", "fp")).alias(f"x{seed}") for seed in (1, 2)]
+        whole = sk.groupBy("gid").agg(F.count("*").alias("n_cells"), *signs)
+    return whole.join(whole.groupBy(*key).agg(F.min("gid").alias("rep")), key).select("gid", "rep", "n_cells")
 
 
 def representatives(sk: DataFrame, c: DataFrame) -> DataFrame:
@@ -51,13 +88,49 @@ def spread(found: DataFrame, cq: DataFrame, cr: DataFrame) -> DataFrame:
     return out.select(F.col("q").alias("qid"), F.col("r").alias("rid"), "matches")
 
 
+def frequent_cells(*sketches: DataFrame) -> list[tuple[int, int]]:
+    """(cell, documents) of the cells that several documents of a small sample hold, most frequent first, scaled up to all documents.
+
+    The sample is chosen by a hash of the id. At most FREQUENT cells come to the driver.
+    """
+    found: dict[int, float] = {}
+    for sk in sketches:
+        n = sk.count() if is_rows(sk) else sk.agg(F.approx_count_distinct("gid")).first()[0]
+        share = min(1.0, max(SHARE, SAMPLE / max(n, 1)))
+        some = as_cells(sk.where(F.pmod(F.xxhash64(F.col("gid"), F.lit("frequent")), F.lit(1_000_000)) < share * 1_000_000))
+        for r in some.groupBy("cell").count().where("count > 1").orderBy(F.desc("count"), "cell").limit(FREQUENT).collect():
+            found[r[0]] = found.get(r[0], 0) + r[1] / share
+    return [(cell, int(n)) for cell, n in sorted(found.items(), key=lambda x: (-x[1], x[0]))]
+
+
+def meetings(a: DataFrame, b: DataFrame, frequent: list[tuple[int, int]], most: int = MEETING) -> DataFrame:
+    """a (cell, qid, ...) joined with b (cell, rid, ...) on the cell.
+
+    A cell of more than about `most` documents is dealt: a's and b's documents are each split in parts, and each pair of parts meets in a key of its own. A
+    pair of documents meets once, and no task has all pairs of a cell.
+    """
+    hot = [(cell, -(-n // most)) for cell, n in frequent if n > most]
+    if not hot:
+        return a.join(b, "cell")
+    parts = F.broadcast(a.sparkSession.createDataFrame(hot, "cell long, parts long"))  # FREQUENT rows at most
+    others = lambda: F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1))
+    part = lambda gid: F.pmod(F.xxhash64(gid), F.col("parts"))
+    left = a.join(parts, "cell").select(*a.columns, part("qid").alias("i"), others().alias("j"))
+    right = b.join(parts, "cell").select(*b.columns, part("rid").alias("j"), others().alias("i"))
+    dealt = left.join(right, ["cell", "i", "j"]).drop("i", "j")
+    cold = a.join(parts, "cell", "left_anti").join(b.join(parts, "cell", "left_anti"), "cell")
+    return cold.unionByName(dealt)
+
+
 def pair_counts(query: DataFrame, ref: DataFrame) -> DataFrame:
     """(qid, rid, matches): number of positions in which both have the same fingerprint, for all pairs that have any.
 
     The join runs between class representatives; members are put in their places afterwards.
     """
     cq, cr = (cut(classes(sk), "classes") for sk in (query, ref)) if query is not ref else [cut(classes(query), "classes")] * 2
-    return spread(_counts(representatives(query, cq), representatives(ref, cr)), cq, cr)
+    q, r = representatives(query, cq), representatives(ref, cr)
+    met = meetings(as_cells(q).withColumnRenamed("gid", "qid"), as_cells(r).withColumnRenamed("gid", "rid"), frequent_cells(q) if query is ref else frequent_cells(q, r))
+    return spread(met.groupBy("qid", "rid").agg(F.count("*").alias("matches")), cq, cr)
 
 
 def scored(pairs: DataFrame, s: int, threshold: float = 0.0) -> DataFrame:
@@ -66,7 +139,7 @@ def scored(pairs: DataFrame, s: int, threshold: float = 0.0) -> DataFrame:
 
 
 def compare(query: DataFrame, ref: DataFrame, s: int, threshold: float = 0.0) -> DataFrame:
-    """All against all; a document that is in both meets itself. A threshold above 0 counts few of the positions for most pairs."""
+    """All against all; a document that is in both meets itself. A threshold above 0 counts few of the cells of most documents."""
     if min_matches(threshold, s) > 1:
         return prefix_compare(query, ref, s, threshold)
     return scored(pair_counts(query, ref), s, threshold)
@@ -77,31 +150,66 @@ def compare_self(sk: DataFrame, s: int, threshold: float = 0.0) -> DataFrame:
     return compare(sk, sk, s, threshold).where("qid <> rid")
 
 
+def _rarest(m: int, extra: int, frequent: list[tuple[int, int]]):
+    """Rows (gid, cells) to rows (gid, cell, rest): of c cells the c - m + extra rarest, and how many of the document's cells come after each.
+
+    Cells are ordered by frequency, then by a product of their bits that is their own: one order for all documents. A task handles a document at a time.
+    """
+    known = np.array(sorted(frequent), np.int64).reshape(-1, 2)
+    known[:, 1] = np.minimum(known[:, 1], 2047) << 52
+    bits = np.int64((1 << 52) - 1)  # a position has 20 bits, a fingerprint 32
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            gids, cells, rest = [], [], []
+            for gid, row in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                values = np.asarray(row.values)
+                place = (values * np.int64(0x5851F42D4C957F2D)) & bits  # odd: no two cells have one place
+                if len(known):
+                    at = np.minimum(np.searchsorted(known[:, 0], values), len(known) - 1)
+                    place |= np.where(known[at, 0] == values, known[at, 1], 0)
+                n, c = len(values) - m + extra, len(values)
+                first = np.argpartition(place, n - 1)[:n] if n < c else np.arange(c)
+                first = first[np.argsort(place[first])]
+                gids.append(np.full(len(first), gid))
+                cells.append(values[first])
+                rest.append(c - 1 - np.arange(len(first)))
+            made = [np.concatenate(x) if x else np.empty(0, np.int64) for x in (gids, cells, rest)]
+            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in made], ["gid", "cell", "rest"])
+
+    return run
+
+
 def prefix_compare(query: DataFrame, ref: DataFrame, s: int, threshold: float) -> DataFrame:
-    """compare(), for any threshold above 0, exactly: a pair with m matches has t of them in any s - m + t positions.
+    """compare(), for any threshold above 0, exactly: documents of a and b cells with m in common have t of them among their a - m + t and b - m + t rarest ones.
 
-    Pairs are counted in the first s - m + t positions only; those with t matches there, t being large enough that chance
-    seldom makes it, are counted in the rest, cell by cell of the two documents.
+    Only these prefixes meet. A pair is looked at if it has t matches there and its matches so far, with what comes behind the last one in either document,
+    can still make m. The whole rows of the two decide.
     """
     m = max(1, min_matches(threshold, s))
-    if m > s:
-        return scored(_counts(query.limit(0), ref.limit(0)), s, threshold)
-    t = min(m, HEAD_MATCHES)
-    head = s - m + t
     same = query is ref
-    cq = cut(classes(query), "classes")
-    cr = cq if same else cut(classes(ref), "classes")
-    q, r = representatives(query, cq), representatives(ref, cr)
-    first = _counts(q.where(F.col("pos") < head), r.where(F.col("pos") < head), same).where(F.col("matches") >= t)
-    near = cut(first.select("qid", "rid", F.col("matches").alias("early")), "candidates")
-    cell = F.shiftleft(F.col("pos").cast("long"), 32).bitwiseOR(F.col("fp"))
-    tail = lambda sk, end: sk.where(F.col("pos") >= head).join(near.select(F.col(f"{end}id").alias("gid")).distinct(), "gid", "left_semi").groupBy(F.col("gid").alias(f"{end}id")).agg(F.collect_list(cell).alias(f"{end}_cells"))
-    both = near.join(tail(q, "q"), "qid", "left").join(tail(r, "r"), "rid", "left")
-    late = F.coalesce(F.size(F.array_intersect("q_cells", "r_cells")), F.lit(0))
-    late = F.when(F.col("q_cells").isNull() | F.col("r_cells").isNull(), 0).otherwise(late)
-    found = both.select("qid", "rid", (F.col("early") + late).alias("matches")).where(F.col("matches") >= m)
+    written = lambda sk: sk if is_rows(sk) else cut(as_rows(sk), "rows")
+    q = written(query)
+    r = q if same else written(ref)
+    cq = cut(classes(q), "classes")
+    cr = cq if same else cut(classes(r), "classes")
+    q, r = (representatives(x.where(F.size("cells") >= m), c) for x, c in ((q, cq), (r, cr)))
+    t = max(1, min(m, (s - m) // HEAD_PART))
+    frequent = frequent_cells(q) if same else frequent_cells(q, r)
+    heads = lambda x, end: x.mapInArrow(_rarest(m, t, frequent), "gid long, cell long, rest long").select("cell", F.col("gid").alias(f"{end}id"), F.col("rest").alias(f"{end}rest"))
+    a = cut(heads(q, "q"), "prefixes")
+    b = a.select("cell", F.col("qid").alias("rid"), F.col("qrest").alias("rrest")) if same else cut(heads(r, "r"), "prefixes")
+    met = meetings(a, b, frequent)
+    met = met.where("qid < rid") if same else met
+    rest = F.least(F.min("qrest"), F.min("rrest"))
+    near = met.groupBy("qid", "rid").agg(F.count("*").alias("early"), rest.alias("rest")).where((F.col("early") >= t) & (F.col("early") + F.col("rest") >= m))
+    near = cut(near.select("qid", "rid"), "candidates")
+    both = near.join(q.select(F.col("gid").alias("qid"), F.col("cells").alias("q_cells")), "qid").join(r.select(F.col("gid").alias("rid"), F.col("cells").alias("r_cells")), "rid")
+    found = both.select("qid", "rid", F.size(F.array_intersect("q_cells", "r_cells")).cast("long").alias("matches")).where(F.col("matches") >= m)
     if same:
-        found = found.unionByName(found.where("qid <> rid").select(F.col("rid").alias("qid"), F.col("qid").alias("rid"), "matches"))
+        found = cut(found, "found")
+        own = q.select(F.col("gid").alias("qid"), F.col("gid").alias("rid"), F.size("cells").cast("long").alias("matches"))
+        found = found.unionByName(found.select(F.col("rid").alias("qid"), F.col("qid").alias("rid"), "matches")).unionByName(own)
     return scored(spread(found, cq, cr), s, threshold)
 
 

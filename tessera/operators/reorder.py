@@ -1,13 +1,19 @@
-"""Greedy order of documents by similarity: edges, node weights, start node, chain, and the reordered index."""
+"""Greedy order of documents by similarity: edges, node weights, start node, chain, and the reordered index.
+
+Documents of equal sketches are one node of the walk, with its members in id order: the edges among them are never made.
+"""
 
 from __future__ import annotations
 
+import heapq
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..sources.work import cut, numbered
+from .compare import min_matches
 from .components import components
 
 #: Edges of one component, whose walk is one task's, at most.
@@ -38,46 +44,114 @@ def best_neighbours(e: DataFrame) -> DataFrame:
     return m.select("idx", F.col("m.dst").alias("best"), (-F.col("m.s")).alias("sim4"))
 
 
-def _walk(src: np.ndarray, dst: np.ndarray, sim: np.ndarray, idx: np.ndarray, weight: np.ndarray) -> pd.DataFrame:
-    """(weight4, start, place, node): the walk of one component, cut into segments at its jumps; a segment has its start's weight."""
-    by = np.lexsort((dst, -sim, src))
-    src, dst = src[by], dst[by]
-    names, first = np.unique(src, return_index=True)
-    span = dict(zip(names.tolist(), zip(first.tolist(), [*first[1:].tolist(), len(src)], strict=True), strict=True))
-    near, heavy = dst.tolist(), idx[np.lexsort((idx, weight))[::-1]].tolist()
-    weigh, seen, out = dict(zip(idx.tolist(), weight.tolist(), strict=True)), set(), []
-    for start in heavy:
-        at, place = start if start not in seen else None, 0
-        while at is not None:
-            seen.add(at)
-            out.append((weigh[start], start, place, at))
+def class_weights(members: DataFrame, e: DataFrame) -> DataFrame:
+    """(rep, n, weight4): what node_weights() gives each member of a class, from edges e (src, dst, sim4) between representatives, both directions, each once.
+
+    members: (gid, rep, own4), own4 the similarity of two members, 0 if that makes no edge. Hits come from both sides, so an edge counts twice.
+    """
+    sizes = members.groupBy("rep").agg(F.count("*").alias("n"), F.max("own4").alias("own4"))
+    outer = e.join(sizes.select(F.col("rep").alias("dst"), "n"), "dst").groupBy(F.col("src").alias("rep")).agg(F.sum(F.col("sim4") * F.col("n")).alias("outer"))
+    return sizes.join(outer, "rep", "left").select("rep", "n", (2 * ((F.col("n") - 1) * F.col("own4") + F.coalesce("outer", F.lit(0)))).cast("long").alias("weight4"))
+
+
+def _walk(edges: pd.DataFrame, nodes: pd.DataFrame) -> pd.DataFrame:
+    """(weight4, start, place, node): the walk of one component, cut into segments at its jumps; a segment has its start's weight.
+
+    edges (src, dst, sim4) between representatives; nodes (gid, rep, own4, weight4) all members. Neighbours are visited lowest id first and jumps go to the
+    highest id, so what is left of a class is always a run of its members.
+    """
+    nodes = nodes.sort_values(["rep", "gid"])
+    rep, gid = nodes["rep"].to_numpy(), nodes["gid"].to_numpy()
+    reps, first = np.unique(rep, return_index=True)
+    low, high = first.tolist(), [*first[1:].tolist(), len(rep)]  # members low to high are unvisited
+    ids, of = gid.tolist(), np.searchsorted(reps, rep).tolist()
+    n, own, weigh = np.diff([*first, len(rep)]), nodes["own4"].to_numpy()[first], nodes["weight4"].to_numpy()
+    inner = np.flatnonzero((n > 1) & (own > 0))
+    src = np.concatenate([np.searchsorted(reps, edges["src"].to_numpy()), inner]).astype(np.int64)
+    dst = np.concatenate([np.searchsorted(reps, edges["dst"].to_numpy()), inner]).astype(np.int64)
+    sim = np.concatenate([edges["sim4"].to_numpy(), own[inner]])
+    by = np.lexsort((-sim, src))
+    src, dst, sim = src[by], dst[by].tolist(), sim[by]
+    begin, end = np.searchsorted(src, np.arange(len(reps))).tolist(), np.searchsorted(src, np.arange(len(reps)), "right").tolist()
+    sim = sim.tolist()
+    ties: list[list[tuple[int, int]]] = [[] for _ in reps]  # of the similarity a class is at, its neighbours by their next member's id
+
+    def nearest(c: int) -> int | None:
+        """The class whose next member is visited after a member of c."""
+        heap = ties[c]
+        while True:
+            while heap:
+                at, k = heap[0]
+                if low[k] == high[k]:
+                    heapq.heappop(heap)
+                elif ids[low[k]] != at:
+                    heapq.heapreplace(heap, (ids[low[k]], k))
+                else:
+                    return k
+            if begin[c] == end[c]:
+                return None
+            level = sim[begin[c]]
+            while begin[c] < end[c] and sim[begin[c]] == level:
+                k = dst[begin[c]]
+                if low[k] < high[k]:
+                    heap.append((ids[low[k]], k))
+                begin[c] += 1
+            heapq.heapify(heap)
+
+    out: list[tuple[int, int, int, int]] = []
+    for at in np.lexsort((gid, weigh))[::-1].tolist():
+        c = of[at]
+        if not low[c] <= at < high[c]:
+            continue
+        high[c] -= 1  # a jump goes to the highest id that is left
+        start, w, place = ids[at], int(weigh[at]), 0
+        out.append((w, start, place, start))
+        while (k := nearest(c)) is not None:
             place += 1
-            lo, hi = span.get(at, (0, 0))
-            at = next((near[k] for k in range(lo, hi) if near[k] not in seen), None)
+            out.append((w, start, place, ids[low[k]]))
+            low[k] += 1
+            c = k
     return pd.DataFrame(out, columns=["weight4", "start", "place", "node"])
 
 
 def greedy_order(docs: DataFrame, e: DataFrame, most_edges: int = MOST_EDGES) -> DataFrame:
     """(new_gid, old_gid): start at the heaviest document, go to the best unvisited neighbour, else jump to the heaviest unvisited one.
 
+    e: edges() of hits in both directions. class_order() does the same without edges among copies.
+    """
+    alone = docs.select("gid", F.col("gid").alias("rep"), F.lit(0).cast("long").alias("own4")).distinct()
+    return _ordered(alone, cut(e.groupBy("src", "dst").agg(F.max("sim4").alias("sim4")), "edges"), node_weights(docs, e).select(F.col("idx").alias("rep"), F.lit(1).cast("long").alias("n"), "weight4"), most_edges)
+
+
+def class_order(docs: DataFrame, c: DataFrame, hits: DataFrame, s: int, least: float, most_edges: int = MOST_EDGES) -> DataFrame:
+    """greedy_order() of all documents from classes c (gid, rep, n_cells) and hits between their representatives, in both directions.
+
+    Members of a class are as similar as their cells are many. Documents without a cell are in no class.
+    """
+    own = F.bround(F.col("n_cells") / F.lit(float(s)) * 10000, 0).cast("long")
+    members = c.select("gid", "rep", F.when((own >= least * 10000) & (F.col("n_cells") >= min_matches(least, s)), own).otherwise(F.lit(0).cast("long")).alias("own4"))
+    rest = docs.select("gid").distinct().join(members.select("gid"), "gid", "left_anti").select("gid", F.col("gid").alias("rep"), F.lit(0).cast("long").alias("own4"))
+    members = cut(members.unionByName(rest), "members")
+    e = cut(edges(hits, least).groupBy("src", "dst").agg(F.max("sim4").alias("sim4")), "edges")
+    return _ordered(members, e, class_weights(members, e), most_edges)
+
+
+def _ordered(members: DataFrame, e: DataFrame, weights: DataFrame, most_edges: int) -> DataFrame:
+    """The order of members (gid, rep, own4), from edges e (src, dst, sim4) between representatives, both directions, and weights (rep, n, weight4).
+
     A walk only jumps out of a component, and what it does in one depends on no other. So each component is walked in a task of its own, and the
-    segments between jumps, sorted by their start's weight and id, highest first, are the whole walk. A component of more than most_edges
-    edges is an error, not a cut.
+    segments between jumps, sorted by their start's weight and id, highest first, are the whole walk. A component of more than most_edges edges or
+    members is an error, not a cut.
     """
-    best = cut(e.groupBy("src", "dst").agg(F.max("sim4").alias("sim4")), "edges")
-    part = cut(components(best.select(F.col("src").alias("a"), F.col("dst").alias("b")), "parts"), "parts")
-    weights = cut(node_weights(docs, e).join(part, F.col("idx") == F.col("node"), "left").select("idx", "weight4", "component"), "weights")
-    owned = best.join(part, F.col("src") == F.col("node")).select("component", "src", "dst", "sim4")
-    largest = owned.groupBy("component").count().agg(F.max("count")).first()[0] or 0
-    if largest > most_edges:
-        raise ValueError(f"a component has {largest} edges, {most_edges} at most can be walked; raise the least similarity")
-
-    def walk(x: pd.DataFrame, w: pd.DataFrame) -> pd.DataFrame:
-        return _walk(x["src"].to_numpy(), x["dst"].to_numpy(), x["sim4"].to_numpy(), w["idx"].to_numpy(), w["weight4"].to_numpy())
-
-    inside = weights.where("component IS NOT NULL")
-    walked = owned.groupBy("component").cogroup(inside.groupBy("component")).applyInPandas(walk, "weight4 long, start long, place long, node long")
-    alone = weights.where("component IS NULL").select("weight4", F.col("idx").alias("start"), F.lit(0).cast("long").alias("place"), F.col("idx").alias("node"))
+    part = cut(components(e.select(F.col("src").alias("a"), F.col("dst").alias("b")), "parts").select(F.col("node").alias("rep"), "component"), "parts")
+    nodes = cut(members.join(weights, "rep").join(part, "rep", "left").select("gid", "rep", "own4", "weight4", "component", "n"), "nodes")
+    alone = nodes.where("component IS NULL AND n = 1").select("weight4", F.col("gid").alias("start"), F.lit(0).cast("long").alias("place"), F.col("gid").alias("node"))
+    nodes = nodes.where("component IS NOT NULL OR n > 1").select("gid", "rep", "own4", "weight4", F.coalesce("component", "rep").alias("component"))
+    owned = e.join(part, F.col("src") == F.col("rep")).select("component", "src", "dst", "sim4")
+    size = owned.select("component").unionByName(nodes.select("component")).groupBy("component").count().agg(F.max("count")).first()[0] or 0
+    if size > most_edges:
+        raise ValueError(f"a component has {size} edges and documents, {most_edges} at most can be walked; raise the least similarity")
+    walked = owned.groupBy("component").cogroup(nodes.groupBy("component")).applyInPandas(_walk, "weight4 long, start long, place long, node long")
     return numbered(walked.unionByName(alone), F.desc("weight4"), F.desc("start"), "place", name="new_gid").select("new_gid", F.col("node").alias("old_gid"))
 
 
@@ -88,4 +162,5 @@ def preview(order: DataFrame, n: int = 8) -> DataFrame:
 
 def reordered(sk: DataFrame, order: DataFrame) -> DataFrame:
     """The sketch with new ids."""
-    return sk.join(order, sk["gid"] == order["old_gid"]).select(F.col("new_gid").alias("gid"), "pos", "h", "fp")
+    rest = [c for c in sk.columns if c != "gid"]
+    return sk.join(order, sk["gid"] == order["old_gid"]).select(F.col("new_gid").alias("gid"), *rest)

@@ -96,12 +96,16 @@ def fingerprints(cells: np.ndarray, filled: np.ndarray, p: SketchParams) -> np.n
     return out
 
 
-def _finished(ids: list[int], cells: np.ndarray, filled: np.ndarray, p: SketchParams) -> pa.RecordBatch:
-    """(gid, pos, h, fp): the filled cells of many sketches, densified."""
+def _finished(ids: list[int], cells: np.ndarray, filled: np.ndarray, p: SketchParams, rows: bool = False) -> pa.RecordBatch:
+    """(gid, pos, h, fp): the filled cells of many sketches, densified. rows: (gid, cells), see sketch()."""
     if p.densify:
         cells, filled = densify(cells, filled)
     fp = fingerprints(cells, filled, p)
     row, pos = np.nonzero(fp >= 0)
+    if rows:
+        owner, first = np.unique(row, return_index=True)
+        values = pa.array(pos.astype(np.int64) << 32 | fp[row, pos])
+        return pa.RecordBatch.from_arrays([pa.array(np.array(ids, np.int64)[owner]), pa.ListArray.from_arrays(pa.array([*first, len(row)], pa.int32()), values)], ["gid", "cells"])
     return pa.RecordBatch.from_arrays([pa.array(np.array(ids, np.int64)[row]), pa.array(pos.astype(np.int32)), pa.array(cells[row, pos].view(np.int64)), pa.array(fp[row, pos])], ["gid", "pos", "h", "fp"])
 
 
@@ -128,22 +132,24 @@ def unique_ids(docs: DataFrame, id_col: str = "gid") -> bool:
     return not docs.where(F.col(id_col).isNotNull()).groupBy(id_col).count().where("count > 1").take(1)
 
 
-def sketch(docs: DataFrame, p: SketchParams, id_col: str = "gid", seq_col: str = "seq", unique: bool | None = None) -> DataFrame:
+def sketch(docs: DataFrame, p: SketchParams, id_col: str = "gid", seq_col: str = "seq", unique: bool | None = None, rows: bool = False) -> DataFrame:
     """(gid, pos, h, fp), one row a filled cell. Rows of one id are one document; k-mers do not span rows.
 
+    rows: instead (gid, cells), one row a document with any cell; a cell is its position, shifted left by 32 bits, and its fingerprint. Cells ascend.
+
     A null sequence, or one without a k-mer, gives no rows. Where ids are unique (None: that is looked up), documents are sketched whole in
     a task and nothing is shuffled; else the partial minima of documents of several rows are merged before holes are filled.
     """
-    rows = docs.select(F.col(id_col).cast("long").alias("gid"), F.col(seq_col).alias("seq")).where("gid IS NOT NULL")
-    unique = unique_ids(rows) if unique is None else unique
-    kind = "gid long, pos int, h long, fp long"
+    seqs = docs.select(F.col(id_col).cast("long").alias("gid"), F.col(seq_col).alias("seq")).where("gid IS NOT NULL")
+    unique = unique_ids(seqs) if unique is None else unique
+    kind = "gid long, cells array<long>" if rows else "gid long, pos int, h long, fp long"
 
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for ids, cells, filled in _groups(batches, p):
-            yield _finished(ids, cells, filled, p)
+            yield _finished(ids, cells, filled, p, rows)
 
     if unique:
-        return rows.mapInArrow(whole, kind)
+        return seqs.mapInArrow(whole, kind)
 
     def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for ids, cells, filled in _groups(batches, p):
@@ -159,10 +165,10 @@ def sketch(docs: DataFrame, p: SketchParams, id_col: str = "gid", seq_col: str =
                 for i, row in enumerate(part.column(1)):
                     at = np.asarray(row.values.field("pos"))
                     cells[i, at], filled[i, at] = np.asarray(row.values.field("h")).view(np.uint64), True
-                yield _finished(part.column(0).to_pylist(), cells, filled, p)
+                yield _finished(part.column(0).to_pylist(), cells, filled, p, rows)
 
     # A document has at most s cells, however many rows it has.
-    least = rows.mapInArrow(partial, "gid long, pos int, h long").groupBy("gid", "pos").agg(unsigned_min(F.col("h")).alias("h"))
+    least = seqs.mapInArrow(partial, "gid long, pos int, h long").groupBy("gid", "pos").agg(unsigned_min(F.col("h")).alias("h"))
     return least.groupBy("gid").agg(F.collect_list(F.struct("pos", "h")).alias("cells")).mapInArrow(finish, kind)
 
 

@@ -88,11 +88,27 @@ def _fof(spark, d):
     return read_file_list(spark, f"{path}/list/part-*").select("gid", "rec", F.length("seq").alias("seq_len"))
 
 
-def _grid(spark, d):
-    # Probabilities outside 0 and 1 are brought back to the ends.
-    ns, ks = F.array(*[F.lit(x) for x in (1, 10, 64, 1024)]), F.array(*[F.lit(x) for x in (0, 1, 5, 60)])
-    g = spark.range(1).select(F.explode(ns).alias("n")).select("n", F.explode(ks).alias("k")).select("n", "k", F.explode(F.array(*[F.lit(x) for x in (-0.5, 0.1, 0.5, 0.9, 1.5)])).alias("p"))
-    return g.select("k", "n", "p", F.round(prune.log_mass(F.col("k"), F.col("n"), F.col("p")), 6).alias("log_mass"))
+def _masses(spark, d):
+    """The mass bound at each pair's number of matches. Probabilities outside 0 and 1 are brought back to the ends."""
+    p = F.explode(F.array(*[F.lit(x) for x in (-0.5, 0.1, 0.5, 0.9, 1.5)])).alias("p")
+    g = C.pair_counts(*[_docs_sketch(spark, d)] * 2).where("qid <= rid").select("qid", "rid", "matches", p)
+    return g.select("qid", "rid", "p", *[F.round(prune.log_mass(F.col("matches"), F.lit(n), F.col("p")), 6).alias(f"log_mass_{n}") for n in (10, 64)])
+
+
+def _stored(spark, docs):
+    path = fresh_path(spark, "query")
+    I.save(I.build(docs, cut(sketch(docs, P), "sketch"), P), path)
+    return I.load(spark, path)
+
+
+def _stored_self(threshold):
+    """Stored posting lists compared with themselves, list by list."""
+
+    def run(spark, d):
+        index = _stored(spark, documents(spark, d))
+        return I.compare_stored(index, index, threshold).select("qid", "rid", "matches")
+
+    return run
 
 
 def _totals(threshold):
@@ -113,7 +129,11 @@ def _conversation_digest(spark, d):
 
 
 def _order(spark, d):
-    return reorder.greedy_order(_ids(spark, d), cut(_edges(spark, d), "edges"))
+    """Copies are one node of the walk; hits are made between representatives only."""
+    rows = cut(sketch(documents(spark, d), P, rows=True), "rows")
+    c = cut(C.classes(rows), "classes")
+    hits = C.compare_self(cut(C.representatives(rows, c), "representatives"), P.s, 0.5)
+    return reorder.class_order(_ids(spark, d), c, hits, P.s, 0.5)
 
 
 def _mixed(f):
@@ -122,7 +142,7 @@ def _mixed(f):
 
 def flagship(spark: SparkSession, d: str) -> DataFrame:
     """Pairs of documents with half of their positions or more in common."""
-    return C.compare_self(_docs_sketch(spark, d), P.s, 0.5).select("qid", "rid", "matches", "score")
+    return C.compare_self(cut(sketch(documents(spark, d), P, rows=True), "rows"), P.s, 0.5).select("qid", "rid", "matches", "score")
 
 
 QUERIES = {
@@ -161,7 +181,10 @@ QUERIES = {
     "n12_matrix_lines": lambda s, d: C.matrix_lines(C.matrix(C.compare(sketch(items(s, d), P), _docs_sketch(s, d), P.s), items(s, d), _ids(s, d))).select("line"),
     "a10_total_scores": _totals(0.0),
     "a10_thresholded_totals": _totals(0.05),
-    "n5_log_mass": _grid,
+    "n5_log_mass": _masses,
+    "j1_stored_lists": _stored_self(0.0),
+    "f7_stored_lists": _stored_self(0.5),
+    "j3_stored_lists": lambda s, d: I.compare_stored(_stored(s, items(s, d)), _stored(s, documents(s, d))),
     "n6_pruned_pairs": lambda s, d: prune.pruned_compare(*[_docs_sketch(s, d)] * 2, P.s, 0.5).select("qid", "rid", "matches"),
     "pigeonhole_pairs": lambda s, d: C.prefix_compare(*[_docs_sketch(s, d)] * 2, P.s, 0.5).select("qid", "rid", "matches"),
     "u1_edges": _edges,
@@ -245,6 +268,11 @@ wk AS (
     SELECT new_gid + 1 AS n, rest, coalesce(list_filter(near, lambda i: list_contains(rest, i))[1], rest[1]) AS nx FROM wk LEFT JOIN ad ON src = old_gid WHERE len(rest) > 0))"""
 
 
+def _mass(n: int) -> str:
+    c = f"least(matches, {n})::DOUBLE"
+    return f"round(least(0.0::DOUBLE, {n} * ln(2.0::DOUBLE) - ln(pi() * {n} / 2) / 2 - 2 * ({c} - {n / 2}::DOUBLE) * ({c} - {n / 2}::DOUBLE) / {n} + 23.0::DOUBLE / {18 * n} + {c} * ln(b) + ({n} - {c}) * ln(1.0::DOUBLE - b)), 6)"
+
+
 _SK = f"WITH {_sketch_sql()}"
 _PAIRS = f"{_SK}, pr AS (SELECT a.gid AS qid, b.gid AS rid, count(*) AS matches FROM sk a JOIN sk b USING (pos, fp) GROUP BY ALL)"
 _BENCH = f"WITH {_sketch_sql()}, {_sketch_sql('benchmark', 'item_id', 'i')}, pr AS (SELECT a.gid AS qid, b.gid AS rid, count(*) AS matches FROM isk a JOIN sk b USING (pos, fp) GROUP BY ALL)"
@@ -294,7 +322,10 @@ ORACLES = {
     "a10_total_scores": f"{_BENCH} SELECT 'sparse' AS mode, count(*) AS total FROM pr UNION ALL SELECT 'matrix', (SELECT count(*) FROM benchmark) * (SELECT count(*) FROM documents)",
     "a10_thresholded_totals": f"{_BENCH}, t AS (SELECT count(*) AS n FROM pr WHERE matches >= ceil(0.05::DOUBLE * {P.s})) SELECT unnest(['sparse', 'matrix']) AS mode, n AS total FROM t",
     "n6_pruned_pairs": f"{_SK}, ho AS (SELECT a.gid AS qid, b.gid AS rid, list(a.pos ORDER BY a.pos) AS ps FROM sk a JOIN sk b USING (pos, fp) GROUP BY ALL), fo AS (SELECT qid, rid, list_reduce(list_prepend(0, ps), lambda c, p: CASE WHEN {_ALLOW} THEN c + 1 ELSE 0 END) AS matches FROM ho) SELECT qid, rid, CAST(matches AS BIGINT) AS matches FROM fo WHERE matches >= {P.s // 2}",
-    "n5_log_mass": "WITH g AS (SELECT * FROM (SELECT unnest([0, 1, 5, 60]) AS k), (SELECT unnest([1, 10, 64, 1024]) AS n), (SELECT unnest([-0.5::DOUBLE, 0.1::DOUBLE, 0.5::DOUBLE, 0.9::DOUBLE, 1.5::DOUBLE]) AS p)), v AS (SELECT k, n, p, least(k, n)::DOUBLE AS c, greatest(1e-12::DOUBLE, least(1 - 1e-12::DOUBLE, p)) AS b FROM g) SELECT k, n, p, round(least(0.0::DOUBLE, n * ln(2.0::DOUBLE) - ln(pi() * n / 2) / 2 - 2 * (c - n / 2.0::DOUBLE) * (c - n / 2.0::DOUBLE) / n + 23.0::DOUBLE / (18 * n) + c * ln(b) + (n - c) * ln(1.0::DOUBLE - b)), 6) AS log_mass FROM v",
+    "n5_log_mass": f"{_PAIRS}, g AS (SELECT qid, rid, matches, unnest([-0.5::DOUBLE, 0.1::DOUBLE, 0.5::DOUBLE, 0.9::DOUBLE, 1.5::DOUBLE]) AS p FROM pr WHERE qid <= rid), v AS (SELECT *, greatest(1e-12::DOUBLE, least(1 - 1e-12::DOUBLE, p)) AS b FROM g) SELECT qid, rid, p, {_mass(10)} AS log_mass_10, {_mass(64)} AS log_mass_64 FROM v",
+    "j1_stored_lists": f"{_PAIRS} SELECT qid, rid, matches FROM pr",
+    "f7_stored_lists": f"{_PAIRS} SELECT qid, rid, matches FROM pr WHERE matches >= {P.s // 2}",
+    "j3_stored_lists": f"{_BENCH} SELECT qid, rid, matches, matches / {_S} AS score FROM pr",
     "pigeonhole_pairs": f"{_PAIRS} SELECT qid, rid, matches FROM pr WHERE matches >= {P.s // 2}",
     "u1_edges": f"{_EDGE} SELECT src, dst, sim4 FROM e",
     "a9_node_weight": f"{_WEIGHT} SELECT idx, weight4 FROM nw",

@@ -316,6 +316,100 @@ def test_chunked_postings(spark, sk):
     assert {r["pos"] for r in I.read_positions(I.Index(whole, P, 7, 1), 2, 4).collect()} <= {2, 3, 4}
 
 
+def test_chunks_are_cut_over_batches(spark):
+    import pyarrow as pa
+
+    rng = np.random.default_rng(4)
+    rows = sorted({(int(p), int(f), int(g)) for p, f, g in rng.integers(0, [3, 2, 400], (900, 3))})
+    for width in (1, 7, 64, 900):
+        cols = lambda part: [pa.array([r[i] for r in part], k) for i, k in enumerate((pa.int32(), pa.int64(), pa.int64()))]
+        batches = [pa.RecordBatch.from_arrays(cols(rows[lo : lo + width]), ["pos", "fp", "gid"]) for lo in range(0, len(rows), width)]
+        got = [r for b in I._chunks(16)(iter(batches)) for r in b.to_pylist()]
+        assert [(r["pos"], r["fp"], g) for r in got for g in r["gids"]] == rows and all(r["n"] == len(r["gids"]) <= 16 for r in got)
+        for key in {r[:2] for r in rows}:
+            mine = [r for r in got if (r["pos"], r["fp"]) == key]
+            assert [r["chunk"] for r in mine] == list(range(len(mine))) and all(r["n"] == 16 for r in mine[:-1])
+    assert list(I._chunks(16)(iter([]))) == []
+
+
+def made_sketch(spark, n=80, s=64, seed=3):
+    """Sketches that are noisy copies of a few, some shorter, with one cell that all documents hold."""
+    rng = np.random.default_rng(seed)
+    base, rows = rng.integers(1, 9, (4, s)), []
+    for gid in range(n):
+        fp = np.where(rng.random(s) < rng.choice([0, 0.1, 0.3, 0.6]), rng.integers(1, 9, s), base[gid % 4])
+        fp[5] = 0
+        rows += [(gid, pos, int(x)) for pos, x in enumerate(fp) if pos == 5 or rng.random() < (0.5 if gid % 7 == 0 else 1)]
+    return spark.createDataFrame(rows, "gid long, pos int, fp long"), rows
+
+
+def plain_counts(rows):
+    cells = {}
+    for gid, pos, fp in rows:
+        cells.setdefault(gid, set()).add((pos, fp))
+    return {(a, b): n for a in cells for b in cells if (n := len(cells[a] & cells[b]))}
+
+
+def test_comparisons_agree_with_plain_counts(spark, tmp_path):
+    sk, rows = made_sketch(spark)
+    want = plain_counts(rows)
+    stored = {}
+    for size in (4096, 16):  # with chunks of 16 every list is hot
+        I.save(I.Index(I.chunked_postings(sk, size), P, 80, 0), str(tmp_path / f"i{size}"))
+        stored[size] = I.load(spark, str(tmp_path / f"i{size}"))
+        stored[size].params = SketchParams(5, 6, 8)
+    got = lambda df: {(r["qid"], r["rid"]): r["matches"] for r in df.collect()}
+    for threshold in (0.0, 0.3, 0.8, 1.0):
+        least = C.min_matches(threshold, 64)
+        expected = {k: n for k, n in want.items() if n >= least}
+        assert got(C.compare(C.as_rows(sk), C.as_rows(sk), 64, threshold)) == expected
+        assert got(C.compare(sk, sk, 64, threshold)) == expected
+        for index in stored.values():
+            found = I.compare_stored(index, index, threshold).collect()
+            assert {(r["qid"], r["rid"]): r["matches"] for r in found} == expected and len(found) == len(expected)
+
+
+def test_stored_lists_meet_without_a_shuffle(spark, tmp_path):
+    sk, _ = made_sketch(spark, 30)
+    I.save(I.Index(I.chunked_postings(sk), P, 30, 0), str(tmp_path / "i"))
+    index = I.load(spark, str(tmp_path / "i"))
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # as for large tables
+    plan = I.list_hits(index.postings, index.postings)._jdf.queryExecution().executedPlan().toString()
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert "Exchange" not in plan and "SortMergeJoin" in plan and "Bucketed: true" in plan
+
+
+def test_a_cell_of_all_documents_is_dealt(spark):
+    n, most = 4000, 250
+    a = spark.range(n).select(F.lit(7).cast("long").alias("cell"), F.col("id").alias("qid"))
+    b = a.select("cell", F.col("qid").alias("rid"))
+    met = C.meetings(a, b, [(7, n)], most)
+    assert met.count() == n * n and met.select("qid", "rid").distinct().count() == n * n
+    sizes = sorted(r["count"] for r in met.groupBy(F.pmod(F.xxhash64("qid"), F.lit(16)), F.pmod(F.xxhash64("rid"), F.lit(16))).count().collect())
+    assert len(sizes) == 256 and sizes[-1] <= 3 * sizes[128]
+    # A sample tells which cells those are.
+    rows = spark.range(n).select(F.col("id").alias("gid"), F.array(F.lit(7).cast("long"), F.col("id") + 100).alias("cells"))
+    cell, about = C.frequent_cells(rows)[0]
+    assert cell == 7 and n * 0.8 < about < n * 1.2
+
+
+def test_walk_on_classes(spark):
+    sk, rows = made_sketch(spark, 60, 32, 8)
+    copies = [(100 + 7 * k + gid, pos, fp) for gid, pos, fp in rows if gid < 6 for k in range(gid + 1)]
+    sk = sk.unionByName(spark.createDataFrame(copies, "gid long, pos int, fp long"))
+    docs = spark.range(160).withColumnRenamed("id", "gid")
+    order = lambda df: [r["old_gid"] for r in df.orderBy("new_gid").collect()]
+    for least in (0.3, 0.7):
+        whole = order(reorder.greedy_order(docs, reorder.edges(C.compare_self(sk, 32, least), least)))
+        c = C.classes(sk)
+        hits = C.compare_self(C.as_rows(C.representatives(sk, c)), 32, least)
+        assert order(reorder.class_order(docs, c, hits, 32, least)) == whole and sorted(whole) == list(range(160))
+    many = spark.range(20_000).select(F.col("id").alias("gid"), F.array(F.lit(3).cast("long"), F.lit(9).cast("long")).alias("cells"))
+    got = order(reorder.class_order(many, C.classes(many), spark.createDataFrame([], "qid long, rid long, score double"), 2, 0.5))
+    assert got == [19_999, *range(19_999)]
+
+
 def test_command_line(spark, tmp_path):
     (tmp_path / "x.fa").write_text("".join(f">{i}\n{s}\n" for i, s in enumerate(SEQS)))
     cli.main(["sketch", "--input-fasta", str(tmp_path / "x.fa"), "-o", str(tmp_path / "i"), "-k", "5", "-s", "3", "-w", "8"], spark)
