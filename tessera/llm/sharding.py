@@ -12,17 +12,13 @@ from __future__ import annotations
 import heapq
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import col, crc_table, cut, fresh_path, read_table
+from .common import col, crc_table, cut, fresh_path, placed, read_table
 
 SLOTS = 6144
 SHARDS = 24
-#: Equal rows (id and text) of which there are more share no slot: each COPIES of them, about, have one.
-COPIES = 1000
-#: Such rows that are broadcast at most; more are shuffled.
-BROADCAST_ROWS = 100_000
 
 
 @dataclass
@@ -122,21 +118,13 @@ def _slot(slots: int, *cols: Column) -> Column:
     return F.pmod(F.conv(F.substring(F.md5(text.cast("binary")), 1, 12), 16, 10).cast("long"), F.lit(slots)).cast("int")
 
 
-def slotted(docs: DataFrame, slots: int = SLOTS, id_col: str = "doc_id", text_col: str = "text", copies: int = COPIES) -> DataFrame:
+def slotted(docs: DataFrame, slots: int = SLOTS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, size, text_crc32, virtual_slot): size is UTF-8 bytes plus 8; a null text has no bytes and crc32 0.
 
-    The slot is a hash of id and text, so equal texts of different ids are spread over the slots. Rows equal in both share a slot,
-    unless there are more than `copies` of them: then they are dealt over as many slots as hold that many each.
+    The slot is a hash of id and text, so equal texts of different ids are spread over the slots. Rows equal in both share a slot, however many they are: no row's
+    slot depends on other rows.
     """
-    narrow = cut(_narrow(docs, id_col, text_col).withColumn("virtual_slot", _slot(slots, F.col("doc_id"), F.col("text_crc32"))), "slotted")
-    hot = narrow.groupBy(F.col("doc_id").alias("d"), F.col("text_crc32").alias("c")).agg(F.count("*").alias("n")).where(F.col("n") > copies)
-    hot = cut(hot.select("d", "c", F.ceil(F.col("n") / copies).alias("parts")), "hot-rows")
-    if not (n := hot.count()):
-        return narrow
-    rows = narrow.join(F.broadcast(hot) if n <= BROADCAST_ROWS else hot, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("text_crc32") == F.col("c")), "left")
-    dealt = _slot(slots, F.col("doc_id"), F.col("text_crc32"), F.pmod(F.monotonically_increasing_id(), F.col("parts")))
-    slot = F.when(F.col("parts").isNull(), F.col("virtual_slot")).otherwise(dealt)
-    return cut(rows.select("doc_id", "size", "text_crc32", slot.alias("virtual_slot")), "slotted")
+    return cut(_narrow(docs, id_col, text_col).withColumn("virtual_slot", _slot(slots, F.col("doc_id"), F.col("text_crc32"))), "slotted")
 
 
 def slot_totals(narrow: DataFrame, slots: int = SLOTS) -> list[tuple[int, int]]:
@@ -152,20 +140,20 @@ def assign_shards(docs: DataFrame, shards: int = SHARDS, slots: int = SLOTS, id_
 
     Returns doc_id, size, text_crc32, law, shard, slot (the row's place in its shard, from 0 without
     gaps), grown_shard (null: the law is not `key`), virtual_slot, map_version. Equal texts of different ids are no group here: they are
-    spread like any others, so a text that many rows share fills no shard. Repeated rows are kept,
-    each with its own place. A null id hashes like any other value, so its text decides its slot. An empty
+    spread like any others, so a text that many rows share fills no shard. Repeated rows (id and text) are kept in one shard,
+    each with its own place; places are counted by a range sort, so a slot of any size is many tasks' work. A null id hashes like any other value, so its text decides its slot. An empty
     table gives no rows. Columns other than the two named ones are neither read nor returned.
     """
     spark = docs.sparkSession
     narrow = slotted(docs, slots, id_col, text_col)
     held = save_map(spark, first_map(slot_totals(narrow, slots), shards), map_path or fresh_path(spark, "slot-map"))
-    place = F.row_number().over(Window.partitionBy("virtual_slot").orderBy("doc_id", "text_crc32", "size"))
+    counted = narrow.withColumn("row", F.monotonically_increasing_id())
     return (
-        narrow.withColumn("place", place)
+        placed(counted, "virtual_slot", "doc_id", "text_crc32", "size", "row", index="place", total="of")
         .join(F.broadcast(held), "virtual_slot")  # `slots` rows, by construction
         .select(
             "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard",
-            (F.col("base") + F.col("place") - 1).alias("slot"), F.lit(None).cast("int").alias("grown_shard"), "virtual_slot", "map_version",
+            (F.col("base") + F.col("place")).alias("slot"), F.lit(None).cast("int").alias("grown_shard"), "virtual_slot", "map_version",
         )
     )
 
@@ -173,7 +161,7 @@ def assign_shards(docs: DataFrame, shards: int = SHARDS, slots: int = SLOTS, id_
 def write_shards(docs: DataFrame, slot_map: DataFrame, path: str, slots: int = SLOTS, id_col: str = "doc_id", text_col: str = "text") -> None:
     """Writes whole records below path/shard=N by a stored map. Work is dealt by virtual slot, so no task holds a shard.
 
-    Columns of docs keep their names, but for one called shard, which the folder's number replaces. Of equal rows all go to their first slot.
+    Columns of docs keep their names, but for one called shard, which the folder's number replaces.
     """
     text = F.coalesce(col(text_col).cast("binary"), F.lit(b""))
     names = [f"c{i}" for i in range(len(docs.columns))]
@@ -201,7 +189,7 @@ g AS (
   SELECT k, list_transform(range({SHARDS}), lambda i: loads[i + 1] + CASE WHEN i = least_one THEN b ELSE 0 END), virtual_slot, CAST(least_one AS INTEGER)
   FROM (SELECT o.k, o.b, o.virtual_slot, loads, list_position(loads, list_min(loads)) - 1 AS least_one FROM g JOIN o ON o.k = g.k + 1))
 SELECT doc_id, CAST(size AS BIGINT) AS size, text_crc32, 'bytes' AS law, shard,
-       row_number() OVER (PARTITION BY shard ORDER BY virtual_slot, doc_id, text_crc32, size) - 1 AS slot,
+       row_number() OVER (PARTITION BY shard ORDER BY virtual_slot, doc_id NULLS FIRST, text_crc32, size) - 1 AS slot,
        CAST(NULL AS INTEGER) AS grown_shard, virtual_slot, 1 AS map_version
 FROM v JOIN g USING (virtual_slot)
 """

@@ -71,10 +71,23 @@ def test_sharding_against_a_plain_version(spark, sf):
 def test_sharding_spreads_equal_texts_and_rows(spark, tmp_path):
     same = spark.range(400).select(F.col("id").alias("doc_id"), F.lit("one text").alias("text"))
     assert same.count() == 400 and len({r["shard"] for r in sharding.assign_shards(same, 4, 64).collect()}) == 4
-    repeated = spark.range(900).select(F.lit(7).cast("long").alias("doc_id"), F.lit("one row").alias("text"))
-    slots = sharding.slotted(repeated, 64, copies=100).groupBy("virtual_slot").count().collect()
-    assert 5 <= len(slots) and sum(r["count"] for r in slots) == 900
-    assert sharding.slotted(repeated, 64).select("virtual_slot").distinct().count() == 1
+
+
+def test_sharding_rules_agree_and_growth_moves_nothing(spark, tmp_path):
+    rows = lambda n: spark.range(n + 500).select(F.when(F.col("id") < n, 7).otherwise(F.col("id")).cast("long").alias("doc_id"), F.when(F.col("id") < n, F.lit("one row")).otherwise(F.col("id").cast("string")).alias("text"))
+    held = {}
+    for n in (3000, 3001):
+        narrow = sharding.slotted(rows(n), 64)
+        got = {(r["doc_id"], r["virtual_slot"]) for r in narrow.select("doc_id", "virtual_slot").distinct().collect()}
+        assert len(got) == 501 + (3500 - 3001 - 499)
+        held[n] = dict(got)
+    assert all(held[3001][k] == v for k, v in held[3000].items() if k in held[3001])
+    shards = sharding.assign_shards(rows(3000), 4, 64, map_path=str(tmp_path / "map")).collect()
+    for shard in range(4):
+        assert sorted(r["slot"] for r in shards if r["shard"] == shard) == list(range(sum(r["shard"] == shard for r in shards)))
+    sharding.write_shards(rows(3000), spark.read.parquet(str(tmp_path / "map/version=1")), str(tmp_path / "out"), 64)
+    written = collections.Counter((r["doc_id"], r["shard"]) for r in spark.read.parquet(str(tmp_path / "out")).collect())
+    assert written == collections.Counter((r["doc_id"], r["shard"]) for r in shards)
 
 
 def test_stored_maps_and_written_shards(spark, docs, tmp_path):
