@@ -573,3 +573,18 @@ def test_every_query_beside_clashing_columns(spark, sf, tmp_path):
         df.select("*", *[F.lit(i).alias(n) for i, n in enumerate(CLASHES)]).write.parquet(f"{tmp_path}/{t}.parquet")
     for name, query in QUERIES.items():
         assert sorted(map(str, query(spark, str(tmp_path)).collect())) == sorted(map(str, query(spark, sf).collect())), name
+
+
+PROSE = "<p>" + "The county kept its records in a stone house, and they were read often. " * 3 + "</p>"
+
+
+def test_html_article_headers_and_innocent_names():
+    keep = lambda page: html_text.main_text(f"<html><body>{page}</body></html>").split("\n")
+    line = PROSE[3:-4].strip()
+    assert keep(f"<article><header><h1>Title here</h1></header>{PROSE}{PROSE}</article>") == ["Title here", line, line]
+    menu = "<nav class=menu><ul><li><a href=/a>Home</a></li><li><a href=/b>News</a></li></ul></nav>"
+    assert keep(f"<article><header><h1>Title</h1>{menu}</header>{PROSE}{PROSE}</article>") == ["Title", line, line]
+    assert keep(f"<header><h1>Site</h1>{menu}</header><article><h1>Title</h1>{PROSE}{PROSE}</article>") == ["Title", line, line]
+    for bad in ("social", "nav", "share", "comment", "form", "family"):
+        section = f'<section class="{bad}-history"><h2>Social history</h2>{PROSE}{PROSE}</section>'
+        assert keep(f"{menu}<article><h1>Title</h1>{PROSE}{section}{PROSE}</article><footer>&copy; x</footer>") == ["Title", line, "Social history", line, line, line]
