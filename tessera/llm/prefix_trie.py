@@ -177,9 +177,9 @@ def prefix_trie(turns: DataFrame, convs: DataFrame) -> DataFrame:
         below = spark.read.parquet(f"{folds}/{d}")
     tops = spark.read.parquet(*[f"{folds}/{d}" for d in range(last + 1)])
     heads = cut(tops.select(F.col("node").alias("class"), F.col("conv_id").alias("parent_conv_id")), "heads")
-    ended = F.coalesce("ends_sha256", F.lit(NOTHING)).alias("ends_sha256")
     upper = looked_up(tops.where("depth > 0"), heads, ["class"]).unionByName(tops.where("depth = 0").withColumn("parent_conv_id", F.lit(None).cast("long")))
-    upper = upper.join(ends.withColumnRenamed("rep", "ender"), "ender", "left").select(*COLUMNS[:-1], ended)
+    at_end = upper.where("ender IS NOT NULL").join(ends.withColumnRenamed("rep", "ender"), "ender").select(*COLUMNS)
+    upper = at_end.unionByName(upper.where("ender IS NULL").select(*COLUMNS[:-1], F.lit(NOTHING).alias("ends_sha256")))
     parents = looked_up(begun.select("class", "conv"), heads, ["class"]).select("conv", "parent_conv_id")
     one = F.lit(1).cast("long")
     row = lambda parent, ends_at, children: [F.col("conv").alias("conv_id"), F.col("place").alias("depth"), parent.alias("parent_conv_id"), F.col("n").alias("n_convs"), children.cast("long").alias("n_children"), one.alias("n_leaves"), F.col("saved").alias("saved_tokens"), ends_at]
