@@ -101,7 +101,7 @@ def main(args: list[str] | None = None, spark: SparkSession | None = None, say=p
         q = r if query is ref else cut(query.sketch(), "query") if a.query_sketch else made["query"]
         hits = prune.pruned_compare(q, r, s, a.threshold, a.prob_threshold_probability) if pruned else C.compare(q, r, s, a.threshold)
     hits = cut(hits.where("qid <> rid") if alone else hits, "hits")
-    lines = C.matrix_lines(C.matrix(hits, query.ids(), ref.ids(), a.threshold)) if a.matrix else C.sparse_lines(hits, query.ids())
+    lines = C.matrix_lines(hits, query.ids(), ref.ids(), a.threshold) if a.matrix else C.sparse_lines(hits, query.ids())
     write_lines(lines, a.output, a.zstd_level)
     total = {x["mode"]: x["total"] for x in C.totals(hits, query.ids(), ref.ids(), a.threshold).collect()}
     say(f"{total['matrix' if a.matrix else 'sparse']} scores")

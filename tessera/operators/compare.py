@@ -13,13 +13,15 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..sources.work import cut
+from ..sources.work import cut, numbered
 
 #: Documents that tell which cells are frequent, at least this number and this share, and cells that are remembered as such, at most. They order cells and split
 #: work, and change no result.
 SAMPLE, SHARE, FREQUENT = 1000, 1 / 1024, 1 << 16
 #: Of the s - m positions that two documents may differ in, the part that is added to a prefix: pairs need as many matches there to be looked at.
 HEAD_PART = 8
+#: References of a block of a matrix, and blocks whose lists of ids are broadcast at most.
+COLUMNS, COLUMN_BLOCKS = 4096, 1024
 #: Documents of a cell that meet in one task, about.
 MEETING = 1 << 14
 
@@ -234,14 +236,31 @@ def sparse_lines(hits: DataFrame, queries: DataFrame) -> DataFrame:
     return queries.select(F.col("gid").alias("qid")).distinct().join(listed, "qid", "left").select("qid", F.concat(F.lit("query_"), F.col("qid").cast("string"), F.lit("\t"), F.coalesce(text, F.lit(""))).alias("line"))
 
 
+def _grid(hits: DataFrame, queries: DataFrame, refs: DataFrame, threshold: float) -> DataFrame:
+    """(qid, block, rids, scores): every query's row of the matrix in blocks of COLUMNS references, by id; scores (place in the block -> score) of its hits.
+
+    References are numbered; a block's list goes to the queries' blocks, whose hits, a map each, are put in their places. No row or list is as long as the references are many.
+    """
+    block = F.floor(F.col("place") / COLUMNS).alias("block")
+    places = numbered(refs.select(F.col("gid").alias("rid")).distinct(), "rid", name="place")
+    places = cut(places, "references")
+    lists = cut(places.groupBy(block).agg(F.array_sort(F.collect_list("rid")).alias("rids")), "columns")
+    n = lists.count()
+    scored = hits.where(F.col("score") >= threshold).select("qid", "rid", "score").join(places, "rid")
+    maps = scored.groupBy("qid", block).agg(F.map_from_entries(F.collect_list(F.struct((F.col("place") % COLUMNS).cast("int").alias("at"), "score"))).alias("scores"))
+    rows = queries.select(F.col("gid").alias("qid")).distinct().select("qid", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long"))).alias("block")) if n else queries.limit(0).select(F.col("gid").alias("qid"), F.lit(0).cast("long").alias("block"))
+    lists = F.broadcast(lists) if n <= COLUMN_BLOCKS else lists
+    return rows.join(maps, ["qid", "block"], "left").join(lists, "block")
+
+
 def matrix(hits: DataFrame, queries: DataFrame, refs: DataFrame, threshold: float = 0.0) -> DataFrame:
     """(qid, rid, score) for every query and reference; below the threshold 0. As large as the product: that is the report."""
-    grid = queries.select(F.col("gid").alias("qid")).distinct().crossJoin(refs.select(F.col("gid").alias("rid")).distinct())
-    score = F.coalesce("score", F.lit(0.0))
-    return grid.join(hits.select("qid", "rid", "score"), ["qid", "rid"], "left").select("qid", "rid", F.when(score >= threshold, score).otherwise(0.0).alias("score"))
+    cells = _grid(hits, queries, refs, threshold).select("qid", "scores", F.posexplode("rids").alias("at", "rid"))
+    return cells.select("qid", "rid", F.coalesce(F.element_at("scores", F.col("at")), F.lit(0.0)).alias("score"))
 
 
-def matrix_lines(cells: DataFrame) -> DataFrame:
-    """(qid, line) of a matrix, references in id order."""
-    row = F.array_sort(F.collect_list(F.struct("rid", decimals4(F.col("score")).alias("t"))))
-    return cells.groupBy("qid").agg(row.alias("l")).select("qid", F.concat(F.lit("query_"), F.col("qid").cast("string"), F.lit("\t"), F.concat_ws(",", F.transform("l", lambda c: c["t"]))).alias("line"))
+def matrix_lines(hits: DataFrame, queries: DataFrame, refs: DataFrame, threshold: float = 0.0) -> DataFrame:
+    """(qid, line) of a matrix, references in id order. Blocks are written first; a line is put together from its blocks' texts."""
+    text = F.array_join(F.transform("rids", lambda _, i: F.coalesce(decimals4(F.element_at("scores", i)), F.lit("0.0000"))), ",")
+    parts = _grid(hits, queries, refs, threshold).select("qid", F.struct("block", text.alias("text")).alias("part")).groupBy("qid").agg(F.array_sort(F.collect_list("part")).alias("parts"))
+    return parts.select("qid", F.concat(F.lit("query_"), F.col("qid").cast("string"), F.lit("\t"), F.array_join(F.transform("parts", lambda p: p["text"]), ",")).alias("line"))

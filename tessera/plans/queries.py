@@ -78,6 +78,14 @@ def _fastx(spark, d):
     return read_records(spark, path).select("gid", F.col("name").cast("long").alias("name_id"), F.length("seq").alias("seq_len"))
 
 
+def _one_file(spark, d):
+    """Documents written as one plain FASTA file and scanned by several tasks, each a range of its bytes."""
+    path = fresh_path(spark, "query")
+    rows = documents(spark, d).coalesce(1).sortWithinPartitions("gid").select(F.concat(F.lit(">"), F.col("gid").cast("string"), F.lit("\n"), F.col("seq")))
+    rows.write.text(path)
+    return read_records(spark, path, 1 << 16).select("gid", F.col("name").cast("long").alias("name_id"), F.length("seq").alias("seq_len"))
+
+
 def _fof(spark, d):
     """Benchmark items, a FASTA file each, read through a list of files."""
     path = fresh_path(spark, "query")
@@ -178,7 +186,7 @@ QUERIES = {
     "f12_partition_limit": lambda s, d: C.compare_self(*C.first_positions(_docs_sketch(s, d), P.s, 20), 0.5),
     "n12_sparse_lines": lambda s, d: C.sparse_lines(C.compare_self(_docs_sketch(s, d), P.s, 0.25), _ids(s, d)).select("line"),
     "j6_matrix_long": lambda s, d: C.matrix(C.compare(sketch(items(s, d), P), _docs_sketch(s, d), P.s, 0.05), items(s, d), _ids(s, d), 0.05),
-    "n12_matrix_lines": lambda s, d: C.matrix_lines(C.matrix(C.compare(sketch(items(s, d), P), _docs_sketch(s, d), P.s), items(s, d), _ids(s, d))).select("line"),
+    "n12_matrix_lines": lambda s, d: C.matrix_lines(cut(C.compare(sketch(items(s, d), P), _docs_sketch(s, d), P.s), "hits"), items(s, d), _ids(s, d)).select("line"),
     "a10_total_scores": _totals(0.0),
     "a10_thresholded_totals": _totals(0.05),
     "n5_log_mass": _masses,
@@ -195,6 +203,7 @@ QUERIES = {
     "o9_order": _order,
     "o10_reordered_index": lambda s, d: _gids(I.postings(reorder.reordered(_docs_sketch(s, d), _order(s, d))), "gids"),
     "s1_fastx_scan": _fastx,
+    "s2_one_file_scan": _one_file,
     "s3_fof_scan": _fof,
     "s12_sparse_reparse": _reparsed,
 }
@@ -335,6 +344,7 @@ ORACLES = {
     "o9_order": f"{_walk_sql()} SELECT new_gid, old_gid FROM wk",
     "o10_reordered_index": f"{_walk_sql()} SELECT pos, fp, CAST(count(*) AS INTEGER) AS n, string_agg(new_gid, ',' ORDER BY new_gid) AS gids FROM sk JOIN wk ON gid = old_gid GROUP BY pos, fp",
     "s1_fastx_scan": f"SELECT row_number() OVER (ORDER BY doc_id) - 1 AS gid, doc_id AS name_id, CAST(length({_DNA % ''}) AS INTEGER) AS seq_len FROM documents",
+    "s2_one_file_scan": f"SELECT row_number() OVER (ORDER BY doc_id) - 1 AS gid, doc_id AS name_id, CAST(length({_DNA % ''}) AS INTEGER) AS seq_len FROM documents",
     "s3_fof_scan": f"SELECT row_number() OVER (ORDER BY item_id) - 1 AS gid, 0::BIGINT AS rec, CAST(length({_DNA % ''}) AS INTEGER) AS seq_len FROM benchmark",
     "s12_sparse_reparse": f"{_HITS} SELECT qid, rid, printf('%.4f', score)::DOUBLE AS score FROM hits WHERE matches >= {P.s // 2}",
 }

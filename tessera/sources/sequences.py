@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import gzip
+import io
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -10,79 +10,40 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.kmers import runs
+from . import fastx
 from .work import cut
 
-#: Records that leave a task together.
-RECORDS = 1024
-# First bytes of the two compressed formats.
-GZIP, ZSTD = b"\x1f\x8b", b"\x28\xb5\x2f\xfd"
-
 
 def plain(content: bytes) -> bytes:
     """Content, decompressed if its first bytes say so; every gzip member and zstd frame is read."""
-    if content[:2] == GZIP:
-        return gzip.decompress(content)
-    if content[:4] == ZSTD:
-        import io
-
-        import zstandard
-
-        return zstandard.ZstdDecompressor().stream_reader(io.BytesIO(content), read_across_frames=True).read()
-    return content
-
-
-def records(content: bytes) -> Iterator[tuple[str, str]]:
-    """(name, sequence) of each record. A first byte that starts neither format is an error; an empty file has none."""
-    lines = plain(content).decode("latin-1").splitlines()
-    at = 0
-    while at < len(lines):
-        line = lines[at]
-        if not line.strip():
-            at += 1
-        elif line[0] == ">":
-            end = at + 1
-            while end < len(lines) and not lines[end].startswith(">"):
-                end += 1
-            yield line[1:].split(" ")[0], "".join(x.strip() for x in lines[at + 1 : end])
-            at = end
-        elif line[0] == "@":
-            if at + 3 >= len(lines) or not lines[at + 2].startswith("+"):
-                raise ValueError(f"broken FASTQ record at line {at + 1}")
-            yield line[1:].split(" ")[0], lines[at + 1].strip()
-            at += 4
-        else:
-            raise ValueError(f"no sequence record at line {at + 1}")
+    return b"".join(data for data, _, _ in fastx.blocks(io.BytesIO(content), fastx.kind_of(content[:18])))
 
 
 def _files(spark: SparkSession, path: str | list[str]) -> DataFrame:
     return spark.read.format("binaryFile").load(path).select("path", "content")
 
 
-def read_records(spark: SparkSession, path: str) -> DataFrame:
+def read_records(spark: SparkSession, path: str, range_bytes: int = fastx.RANGE) -> DataFrame:
     """(gid, name, seq): each record is a document, in file order; a folder's or pattern's files come in order of their paths, one after the other.
 
-    A file is read by one task. Numbers go on from file to file: a file starts where those before it, counted first, end.
+    Files are read by the source "fastx": plain and block-gzip ones in ranges of range_bytes, a task each. Numbers go on from range to range and from
+    file to file: a range starts where those before it, counted first, end. In a store that only Spark's readers open, a file is one task's, 2 GB at most.
     """
 
     def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for file, content in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                n, names, seqs = 0, [], []
-                for name, seq in records(content.as_py()):
-                    names.append(name)
-                    seqs.append(seq)
-                    if len(names) == RECORDS:
-                        yield pa.RecordBatch.from_arrays([pa.array([file] * RECORDS), pa.array(range(n, n + RECORDS), pa.int64()), pa.array(names), pa.array(seqs)], ["path", "rec", "name", "seq"])
-                        n, names, seqs = n + RECORDS, [], []
-                yield pa.RecordBatch.from_arrays([pa.array([file] * len(names), pa.string()), pa.array(range(n, n + len(names)), pa.int64()), pa.array(names, pa.string()), pa.array(seqs, pa.string())], ["path", "rec", "name", "seq"])
-
-    found = _files(spark, path).mapInArrow(parse, "path string, rec long, name string, seq string")
-    if len(spark.read.format("binaryFile").load(path).select("path").take(2)) < 2:
-        return found.select(F.col("rec").alias("gid"), "name", "seq")
+                yield fastx.as_batch(file, 0, 0, list(fastx.content_records(content.as_py())))
+
+    if fastx.opens(path):
+        fastx.register(spark)
+        found = spark.read.format("fastx").option("rangebytes", range_bytes).load(path)
+    else:
+        found = _files(spark, path).mapInArrow(parse, fastx.SCHEMA)
     found = cut(found, "records")
-    before = F.coalesce(F.sum("n").over(Window.orderBy("p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))  # one row a file
-    bases = found.groupBy(F.col("path").alias("p")).agg(F.count("*").alias("n")).select("p", before.alias("base"))
-    return found.join(bases, F.col("path") == F.col("p")).select((F.col("base") + F.col("rec")).alias("gid"), "name", "seq")
+    before = F.coalesce(F.sum("n").over(Window.orderBy("p", "s").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))  # one row a range
+    bases = found.groupBy(F.col("path").alias("p"), F.col("start").alias("s")).agg(F.count("*").alias("n")).select("p", "s", before.alias("base"))
+    return found.join(bases, (F.col("path") == F.col("p")) & (F.col("start") == F.col("s"))).select((F.col("base") + F.col("rec")).alias("gid"), "name", "seq")
 
 
 def _listed(spark: SparkSession, path: str) -> list[str]:
@@ -112,7 +73,7 @@ def read_file_list(spark: SparkSession, path: str) -> DataFrame:
             for gid, content in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 seqs = []
                 try:
-                    for _, s in records(content.as_py()):
+                    for _, s in fastx.content_records(content.as_py()):
                         seqs.append(s)
                 except (ValueError, OSError, EOFError):
                     pass  # what stands before the broken record counts

@@ -11,6 +11,7 @@ from tessera.functions.kmers import kmer_hashes, many_kmer_hashes
 from tessera.operators import compare as C
 from tessera.operators import prune, reorder
 from tessera.operators.sketch import SketchParams, bucket_minima, densify, empty_cells, empty_documents, fingerprints, mean_size, sketch
+from tessera.sources import fastx
 from tessera.sources import index as I  # noqa: E741
 from tessera.operators.components import components
 from tessera.sources.results import read_lines, read_sparse, write_lines
@@ -57,7 +58,7 @@ def test_fixture_lines(docs, sk):
     assert lines(C.sparse_lines(C.compare(sk, sk, 8), docs)) == LINES
     high = lines(C.sparse_lines(C.compare(sk, sk, 8, 0.9), docs))
     assert high[0] == "query_0\t0:1.0000,1:1.0000,2:1.0000" and high[3] == "query_3\t3:1.0000" and high[4] == "query_4\t" and high[6] == "query_6\t"
-    m = lines(C.matrix_lines(C.matrix(C.compare(sk, sk, 8), docs, docs)))
+    m = lines(C.matrix_lines(C.compare(sk, sk, 8), docs, docs))
     assert m[6] == "query_6\t" + ",".join(["0.0000"] * 6 + ["0.1250"])
     assert C.compare(sk, sk, 8).count() == 26
 
@@ -191,6 +192,58 @@ def test_sequence_files(spark, tmp_path):
     assert sorted(map(tuple, read_file_list(spark, str(tmp_path / "list")).collect())) == [(0, 0, "ACGTAC"), (0, 1, "GG"), (3, 0, "ACGT"), (3, 1, "TT")]
 
 
+def blocked(data, size):
+    """Block-gzip: members with their size in an extra field."""
+    import struct
+    import zlib
+
+    out = b""
+    for lo in range(0, len(data), size):
+        deflate = zlib.compressobj(6, zlib.DEFLATED, -15)
+        body = deflate.compress(data[lo : lo + size]) + deflate.flush()
+        head = b"\x1f\x8b\x08\x04" + bytes(6) + struct.pack("<H", 6) + b"BC\x02\x00" + struct.pack("<H", len(body) + 25)
+        out += head + body + struct.pack("<II", zlib.crc32(data[lo : lo + size]), len(data[lo : lo + size]))
+    return out
+
+
+def test_ranges_of_one_file(spark, tmp_path):
+    import zstandard
+
+    rng = np.random.default_rng(12)
+    fasta = [(f"r{i}", "".join(rng.choice(list("ACGT>@+"[:4]), int(rng.integers(0, 300))))) for i in range(400)]
+    wrapped = "".join(f">{n} more\n" + "".join(q[lo : lo + 60] + "\n" for lo in range(0, len(q), 60)) for n, q in fasta).encode()
+    reads = [(n, q or "A") for n, q in fasta]
+    fastq = "".join(f"@{n} x\r\n{q}\r\n+\r\n{''.join(rng.choice(list('@+>I'), len(q)))}\r\n" for n, q in reads).encode()
+    for name, data, want in (("a", wrapped, fasta), ("q", fastq, reads)):
+        for kind, content in (("plain", data), ("gz", gzip.compress(data[:999]) + gzip.compress(data[999:])), ("zst", zstandard.compress(data)), ("bgz", blocked(data, 700))):
+            path = tmp_path / f"{name}.{kind}"
+            path.write_bytes(content)
+            for step in (37, 1000, 1 << 26):
+                parts = fastx.FastxReader({"path": str(path), "rangebytes": step}).partitions()
+                assert (len(parts) > 1) == (kind in ("plain", "bgz") and step < len(content))
+                got = [r for p in parts[:: 1 if step > 37 else 1] for b in fastx.FastxReader({"path": str(path)}).read(p) for r in zip(b.column(3).to_pylist(), b.column(4).to_pylist(), strict=True)]
+                assert got == want, (name, kind, step)
+            assert list(fastx.content_records(content)) == want
+    got = [(r["name"], r["seq"]) for r in read_records(spark, str(tmp_path / "a.plain"), 5000).orderBy("gid").collect()]
+    assert got == fasta
+    for broken in (b"ACGT\n", b"@r\nACGT\nACGT\n", gzip.compress(b">a\nACGT\n")[:-9]):
+        with pytest.raises((ValueError, EOFError)):
+            list(fastx.content_records(broken))
+
+
+def test_long_streams_are_read_in_blocks(tmp_path):
+    import tracemalloc
+
+    with gzip.open(tmp_path / "long.gz", "wb", 1) as f:
+        for i in range(400):
+            f.write(b">r%d\n" % i + b"ACGTTGCA" * 25_000 + b"\n")
+    (part,) = fastx.FastxReader({"path": str(tmp_path / "long.gz")}).partitions()
+    tracemalloc.start()
+    assert sum(b.num_rows for b in fastx.FastxReader({"path": part.path}).read(part)) == 400
+    assert tracemalloc.get_traced_memory()[1] < 30 << 20  # of 80 MB
+    tracemalloc.stop()
+
+
 def test_results_read_again(spark, docs, sk, tmp_path):
     hits = C.compare(sk, sk, 8)
     for level in (0, 1, 9):
@@ -200,6 +253,31 @@ def test_results_read_again(spark, docs, sk, tmp_path):
         write_lines(C.sparse_lines(hits, docs), str(tmp_path / "r1"), 1)
 
 
+def test_a_failed_result_leaves_nothing(spark, tmp_path):
+    from tessera.sources.results import COMMITTED
+
+    rows = spark.range(0, 400, 1, 4).select(F.col("id").alias("qid"), F.col("id").cast("string").alias("line"))
+    with pytest.raises(Exception, match="no such row"):
+        write_lines(rows.withColumn("line", F.when(F.col("qid") == 399, F.raise_error(F.lit("no such row"))).otherwise(F.col("line"))), str(tmp_path / "bad"), 3)
+    assert not (tmp_path / "bad").exists() or not list((tmp_path / "bad").iterdir())
+    write_lines(rows, str(tmp_path / "good"), 3)
+    names = (tmp_path / "good" / COMMITTED).read_text().split()
+    assert sorted(x.name for x in (tmp_path / "good").iterdir() if not x.name.startswith("_") and x.suffix != ".crc") == names
+    assert sorted(int(r["value"]) for r in read_lines(spark, str(tmp_path / "good")).collect()) == list(range(400))
+
+
+def test_matrix_in_blocks(spark, monkeypatch):
+    monkeypatch.setattr(C, "COLUMNS", 3)
+    ids = spark.range(10).select((F.col("id") * 5).alias("gid"))
+    hits = spark.createDataFrame([(0, 45, 9, 0.9), (0, 5, 2, 0.2), (10, 10, 1, 0.10005)], "qid long, rid long, matches long, score double")
+    got = {(r["qid"], r["rid"]): r["score"] for r in C.matrix(hits, ids, ids, 0.15).collect()}
+    assert len(got) == 100 and {k: v for k, v in got.items() if v} == {(0, 45): 0.9, (0, 5): 0.2}
+    table = lines(C.matrix_lines(hits, ids, ids))
+    assert len(table) == 10 and table[0] == "query_0\t0.0000,0.2000,0.0000,0.0000,0.0000,0.0000,0.0000,0.0000,0.0000,0.9000" and table[2].startswith("query_10\t0.0000,0.0000,0.1000,")
+    assert "CartesianProduct" not in (plan := C.matrix(hits, ids, ids)._jdf.queryExecution().executedPlan().toString()) and "BroadcastNestedLoopJoin" not in plan
+    assert C.matrix(hits.limit(0), ids, ids.limit(0)).count() == 0
+
+
 def test_result_files_are_in_query_order(spark, tmp_path):
     lines = spark.range(5000).select(F.col("id").alias("qid"), F.concat(F.lit("query_"), F.col("id")).alias("line")).orderBy(F.rand(1))
     for level in (0, 3):
