@@ -143,6 +143,10 @@ def test_pruning_fold(spark):
     hits = spark.createDataFrame([(0, i, p) for i, (at, _) in enumerate(cases) for p in at], "qid long, rid long, pos int")
     got = {r["rid"]: r["matches"] for r in prune.pruned_counts(hits, 64, 0.5).collect()}
     assert got == {i: n for i, (_, n) in enumerate(cases) if n}
+    rng = np.random.default_rng(5)
+    many = {i: sorted(rng.choice(300, int(n), False).tolist()) for i, n in enumerate(rng.integers(1, 299, 40))}
+    hits = spark.createDataFrame([(0, i, p) for i, at in many.items() for p in at], "qid long, rid long, pos int")
+    assert {r["rid"]: r["matches"] for r in prune.pruned_counts(hits, 300, 0.1, 0.0).collect()} == {i: len(at) for i, at in many.items() if len(at) >= 30}
 
 
 @pytest.mark.parametrize(("n", "pairs", "expected"), [(6, [(0, 1, 0.9), (1, 2, 0.6), (3, 4, 0.9)], [1, 0, 4, 3, 2, 5]), (4, [], [3, 2, 1, 0]), (5, [(0, 2, 0.8), (0, 1, 0.8), (2, 3, 0.5)], [0, 1, 2, 3, 4])])
