@@ -23,6 +23,8 @@ BUCKET_BITS = 15
 #: Labelled documents of each language that a fit collects, about.
 PER_LANGUAGE = 700
 _WORK = 1 << 20
+#: Bytes of a text whose n-grams are looked up together; longer texts are worked through in slices, which add up.
+SLICE = 1 << 20
 
 #: ASCII bytes that are no letters become spaces; capitals become small; bytes of longer characters stay.
 _PLAIN = np.array([b if b >= 128 or 97 <= b <= 122 else b + 32 if 65 <= b <= 90 else 32 for b in range(256)], np.uint8)
@@ -51,12 +53,26 @@ class LanguageModel:
     temperature: float
     least: float
 
+    def _sliced(self, text: bytes) -> tuple[np.ndarray, int]:
+        """The sum of a long text's n-gram rows, and their number."""
+        raw, total, count = np.frombuffer(text, np.uint8), np.zeros(len(self.languages)), 0
+        for lo in range(0, len(raw), SLICE):
+            for n in ORDERS:
+                ids = _grams(_PLAIN[raw[lo : lo + SLICE + n - 1]], n)
+                total += self.table[ids].sum(0, dtype=np.float64)
+                count += len(ids)
+        return total, count
+
     def scores(self, texts: list[bytes]) -> np.ndarray:
         """Calibrated probabilities, one row a text. A text shorter than an n-gram has the bias alone for it."""
-        data = _PLAIN[np.frombuffer(b"".join(texts), np.uint8)]
-        ends = np.cumsum([len(t) for t in texts])
-        starts = ends - [len(t) for t in texts]
         total, count = np.zeros((len(texts), len(self.languages))), np.zeros(len(texts))
+        for i, t in enumerate(texts):
+            if len(t) > SLICE:
+                total[i], count[i] = self._sliced(t)
+        size = np.array([len(t) if len(t) <= SLICE else 0 for t in texts], np.int64)
+        data = _PLAIN[np.frombuffer(b"".join(t for t in texts if len(t) <= SLICE), np.uint8)]
+        ends = np.cumsum(size)
+        starts = ends - size
         for n in ORDERS:
             some = np.flatnonzero(ends - starts >= n)
             if not len(some):

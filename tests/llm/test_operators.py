@@ -588,3 +588,20 @@ def test_html_article_headers_and_innocent_names():
     for bad in ("social", "nav", "share", "comment", "form", "family"):
         section = f'<section class="{bad}-history"><h2>Social history</h2>{PROSE}{PROSE}</section>'
         assert keep(f"{menu}<article><h1>Title</h1>{PROSE}{section}{PROSE}</article><footer>&copy; x</footer>") == ["Title", line, "Social history", line, line, line]
+
+
+def test_language_of_long_texts_in_slices(monkeypatch):
+    import tracemalloc
+
+    rng = np.random.default_rng(3)
+    model = language.LanguageModel(["x", "y", "z"], rng.standard_normal((1 << language.BUCKET_BITS, 3)).astype(np.float32), rng.standard_normal(3), 0.7, 0.0)
+    texts = [bytes(rng.integers(60, 200, int(n), np.uint8)) for n in (0, 1, 3, 900, 4000, 4001, 12_345)]
+    whole = model.scores(texts)
+    monkeypatch.setattr(language, "SLICE", 400)
+    assert np.allclose(model.scores(texts), whole, rtol=1e-9)
+    monkeypatch.undo()
+    long = "Der Text ist lang, und das Wort ist kurz. " * ((64 << 20) // 42)
+    tracemalloc.start()
+    model.scores([language._bytes(long)])
+    assert tracemalloc.get_traced_memory()[1] < 500 << 20
+    tracemalloc.stop()
