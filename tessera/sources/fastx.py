@@ -51,7 +51,10 @@ def _gzip(f) -> Blocks:
     while more or (more := f.read(BLOCK)):
         if member is None:
             member = zlib.decompressobj(31)
-        data = member.decompress(more, BLOCK)
+        try:
+            data = member.decompress(more, BLOCK)
+        except zlib.error as e:
+            raise ValueError(f"no gzip member: {e}") from e
         more = member.unconsumed_tail
         if data:
             yield data, 0, True
@@ -66,7 +69,13 @@ def _zstd(f) -> Blocks:
     import zstandard
 
     with zstandard.ZstdDecompressor().stream_reader(f, read_across_frames=True, closefd=False) as stream:
-        while data := stream.read(BLOCK):
+        while True:
+            try:
+                data = stream.read(BLOCK)
+            except zstandard.ZstdError as e:
+                raise ValueError(f"no zstd frame: {e}") from e
+            if not data:
+                return
             yield data, 0, True
 
 
@@ -153,6 +162,15 @@ def records(found: Iterator[tuple[int, str]], end: float = float("inf"), resume:
             raise ValueError(f"no sequence record: {line[:80]!r}")
 
 
+def file_records(uri: str) -> Iterator[tuple[str, str]]:
+    """The records of one file, read as a stream."""
+    store, at = pafs.FileSystem.from_uri(uri)
+    with store.open_input_file(at) as f:
+        kind = kind_of(f.read(18))
+        f.seek(0)
+        yield from records(lines(blocks(f, kind), True))
+
+
 def content_records(content: bytes) -> Iterator[tuple[str, str]]:
     """The records of a file that is at hand whole, decoded block by block."""
     return records(lines(blocks(io.BytesIO(content), kind_of(content[:18])), True))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import io
+import os
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -13,6 +14,9 @@ from ..functions.kmers import runs
 from . import fastx
 from .work import cut
 
+#: Lines or records that leave a task together.
+RECORDS = 1024
+
 
 def plain(content: bytes) -> bytes:
     """Content, decompressed if its first bytes say so; every gzip member and zstd frame is read."""
@@ -46,38 +50,76 @@ def read_records(spark: SparkSession, path: str, range_bytes: int = fastx.RANGE)
     return found.join(bases, (F.col("path") == F.col("p")) & (F.col("start") == F.col("s"))).select((F.col("base") + F.col("rec")).alias("gid"), "name", "seq")
 
 
-def _listed(spark: SparkSession, path: str) -> list[str]:
-    """The lines of a list of files; if the path has several files, of all of them, in order of their paths."""
-    return [line for r in _files(spark, path).orderBy("path").collect() for line in plain(bytes(r["content"])).decode().splitlines()]
+def _listed(spark: SparkSession, path: str) -> DataFrame:
+    """(gid, file): the lines of a list of files, numbered; if the path has several files, of all of them, in order of their paths. The list may be compressed."""
+
+    def cut_lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for file, content in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                names = [x.strip() for x in plain(content.as_py()).decode().splitlines()]
+                for lo in range(0, max(1, len(names)), RECORDS):
+                    part = names[lo : lo + RECORDS]
+                    yield pa.RecordBatch.from_arrays([pa.array([file] * len(part), pa.string()), pa.array(range(lo, lo + len(part)), pa.int64()), pa.array(part, pa.string())], ["path", "at", "file"])
+
+    found = cut(_files(spark, path).mapInArrow(cut_lines, "path string, at long, file string"), "listed")
+    before = F.coalesce(F.sum("n").over(Window.orderBy("p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))  # one row a file of the list
+    bases = found.groupBy(F.col("path").alias("p")).agg(F.count("*").alias("n")).select("p", before.alias("base"))
+    return found.join(F.broadcast(bases), F.col("path") == F.col("p")).select((F.col("base") + F.col("at")).cast("long").alias("gid"), "file")
 
 
 def count_listed(spark: SparkSession, path: str) -> int:
     """Lines of a list of files; each takes an id."""
-    return len(_listed(spark, path))
+    return _listed(spark, path).count()
+
+
+def _rows(gid: int, first: int, seqs: list[str]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([gid] * len(seqs), pa.int64()), pa.array(range(first, first + len(seqs)), pa.int64()), pa.array(seqs, pa.string())], ["gid", "rec", "seq"])
+
+
+def _kept(gid: int, found: Iterator[tuple[str, str]]) -> Iterator[pa.RecordBatch]:
+    """A file's records, as far as they can be read."""
+    seqs, n, letters = [], 0, 0
+    try:
+        for _, seq in found:
+            seqs.append(seq)
+            letters += len(seq)
+            if len(seqs) == RECORDS or letters > fastx.LETTERS:
+                yield _rows(gid, n, seqs)
+                seqs, n, letters = [], n + len(seqs), 0
+    except (ValueError, OSError, EOFError):
+        pass  # what stands before the broken record counts
+    yield _rows(gid, n, seqs)
 
 
 def read_file_list(spark: SparkSession, path: str) -> DataFrame:
     """(gid, rec, seq): each line of a list names a file, which is one document; its records keep apart.
 
-    The list may be compressed. A blank line or a path that can't be read takes its id and has no rows. The list's names are held by the
-    driver, which looks into each folder that they name once.
+    A blank line or a path that can't be read takes its id and has no rows. The list stays a table; tasks open the files that it names and read them as
+    streams. In a store that only Spark's readers open, the list's names are held by the driver, which looks into each folder that they name once.
     """
-    listed = [p.strip() for p in _listed(spark, path)]
-    real = _existing(spark, {p for p in listed if p})
-    named = [(i, real[p]) for i, p in enumerate(listed) if p in real]
+    names = _listed(spark, path).where("file <> ''")
+    if fastx.opens(path):
+        home, here = spark._jsc.hadoopConfiguration().get("fs.defaultFS").rstrip("/"), os.getcwd()
+
+        def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for gid, file in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                    uri = file if "://" in file or file.startswith("file:") else (home or "file://") + os.path.join(here, file)
+                    fastx.pafs.FileSystem.from_uri(uri)  # an unknown store is an error; a missing file is none
+                    yield from _kept(gid, fastx.file_records(uri))
+
+        tasks = max(1, min(names.count(), 4 * spark.sparkContext.defaultParallelism))
+        return names.repartition(tasks, "gid").mapInArrow(read, "gid long, rec long, seq string")
+    listed = [tuple(r) for r in names.collect()]
+    real = _existing(spark, {p for _, p in listed})
+    named = [(i, real[p]) for i, p in listed if p in real]
     if not named:
         return spark.createDataFrame([], "gid long, rec long, seq string")
 
     def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for gid, content in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                seqs = []
-                try:
-                    for _, s in fastx.content_records(content.as_py()):
-                        seqs.append(s)
-                except (ValueError, OSError, EOFError):
-                    pass  # what stands before the broken record counts
-                yield pa.RecordBatch.from_arrays([pa.array([gid] * len(seqs), pa.int64()), pa.array(range(len(seqs)), pa.int64()), pa.array(seqs, pa.string())], ["gid", "rec", "seq"])
+                yield from _kept(gid, fastx.content_records(content.as_py()))
 
     bare = lambda c: F.regexp_replace(c, "^[a-z]+:/*", "/")
     files = _files(spark, sorted(set(real.values()))).withColumn("bare", bare("path"))
