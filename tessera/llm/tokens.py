@@ -303,7 +303,10 @@ def read_token_files(parts: DataFrame) -> DataFrame:
 
 
 def token_ids(parts: DataFrame) -> DataFrame:
-    """(doc_id, ids) from the files: the documents' token ids, the end id included."""
+    """(doc_id, ids) from the files that `parts` (with_bases()) lists: the documents' token ids, the end id included, in the files' order.
+
+    A document whose text was null or empty has the end id alone; a null id comes back as null; repeated rows come back each; without parts there are no rows.
+    """
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

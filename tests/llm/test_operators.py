@@ -605,3 +605,13 @@ def test_language_of_long_texts_in_slices(monkeypatch):
     model.scores([language._bytes(long)])
     assert tracemalloc.get_traced_memory()[1] < 500 << 20
     tracemalloc.stop()
+
+
+def test_token_ids_come_back(spark, docs, none, tmp_path):
+    from tokenizers import Tokenizer
+
+    plain = Tokenizer.from_file(tokens.vocabulary_path())
+    parts = tokens.with_bases(tokens.write_token_files(docs, f"file://{tmp_path}/a", parts=3))
+    got = collections.Counter((r["doc_id"], tuple(r["ids"])) for r in tokens.token_ids(parts).collect())
+    assert got == collections.Counter((d, (*plain.encode(t or "", add_special_tokens=False).ids, tokens.END_ID)) for d, t, *_ in ROWS)
+    assert tokens.token_ids(tokens.with_bases(tokens.write_token_files(none, f"file://{tmp_path}/b"))).count() == 0

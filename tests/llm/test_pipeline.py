@@ -1,17 +1,29 @@
-"""The pipeline's stages on their own inputs: near_dedup, mix_sources and token_files against plain versions, the others by what they may keep."""
+"""The pipeline's stages on their own inputs: near_dedup and token_files against plain versions, decontaminate and mix_sources against the operators' SQL, quality against the scores of its operator."""
 
 import collections
 import zlib
 
 import corpus_pipeline
+import duckdb
 import numpy as np
 from pyspark.sql import functions as F
-from tessera.llm import mixing, quality, tokens
+from tessera.llm import quality, tokens
 from tessera.llm.common import cut
-from tessera.llm.decontaminate import contaminations
+from tessera.llm.registry import ORACLES
 
 
-def test_stages(spark, sf):
+def sql_rows(query, given, sf, folder, columns):
+    """The named columns of an operator's SQL over a stage's input."""
+    given.toPandas().to_parquet(folder / "documents.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{folder}/documents.parquet'")
+    con.execute(f"CREATE VIEW benchmark AS SELECT * FROM '{sf}/benchmark.parquet'")
+    found = con.execute(ORACLES[query])
+    names = [d[0] for d in found.description]
+    return [tuple(r[names.index(c)] for c in columns) for r in found.fetchall()]
+
+
+def test_stages(spark, sf, tmp_path):
     from test_operators import brute_components
     from tokenizers import Tokenizer
 
@@ -40,10 +52,9 @@ def test_stages(spark, sf):
         if name == "near_dedup":
             assert sorted(after) == sorted(set(brute_components(list(texts.items()), 5).values()))
         if name == "decontaminate":
-            found = {r["doc_id"] for r in contaminations(given, spark.read.parquet(f"{sf}/benchmark.parquet")).collect()}
-            assert set(after) == set(texts) - found
+            assert set(after) == set(texts) - {d for (d,) in sql_rows("op7_decontamination", given, sf, tmp_path, ["doc_id"])}
         if name == "mix_sources":
-            assert collections.Counter(after) == {r["doc_id"]: r["copies"] for r in mixing.mix(given).where("copies > 0").collect()}
+            assert collections.Counter(after) == {d: n for d, n in sql_rows("op10_mixing", given, sf, tmp_path, ["doc_id", "copies"]) if n}
 
 
 def test_stages_on_empty_tables_and_clashing_columns(spark, sf):
