@@ -66,7 +66,7 @@ def looked_up(rows: DataFrame, few: DataFrame, keys: list[str], how: str = "inne
 
 
 def placed(df: DataFrame, group: str, *order: str, index: str = "idx", total: str = "n") -> DataFrame:
-    """df with each row's place in its group, from 0 without gaps in the given order, and the group's number of rows; null groups and values come first.
+    """df with each row's place in its group, from 0 without gaps in the given order, and the group's number of rows. Null values come first; groups are never null.
 
     The table is range-sorted by group and order, so a group of any size is spread over partitions; a table of (partition, group) counts tells where
     each partition's share of a group begins. Rows equal in group and order get places of their own.
