@@ -13,13 +13,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.u64 import np_fmix64
 from ..sources.work import cut, numbered
 
-#: Documents that tell which cells are frequent, at least this number and this share, and cells that are remembered as such, at most. They order cells and split
+#: Documents that tell which cells are frequent, at least this number and this share, and cells that are remembered as such, at most. They split
 #: work, and change no result.
 SAMPLE, SHARE, FREQUENT = 1000, 1 / 1024, 1 << 16
-#: Of the s - m positions that two documents may differ in, the part that is added to a prefix: pairs need as many matches there to be looked at.
-HEAD_PART = 8
 #: References of a block of a matrix, and blocks whose lists of ids are broadcast at most.
 COLUMNS, COLUMN_BLOCKS = 4096, 1024
 #: Documents of a cell that meet in one task, about.
@@ -38,6 +37,8 @@ def as_cells(sk: DataFrame) -> DataFrame:
     """(gid, cell), one row a cell."""
     if is_rows(sk):
         return sk.select("gid", F.explode("cells").alias("cell"))
+    if "cell" in sk.columns:
+        return sk.select("gid", "cell")
     return sk.select("gid", F.shiftleft(F.col("pos").cast("long"), 32).bitwiseOR(F.col("fp")).alias("cell"))
 
 
@@ -152,41 +153,34 @@ def compare_self(sk: DataFrame, s: int, threshold: float = 0.0) -> DataFrame:
     return compare(sk, sk, s, threshold).where("qid <> rid")
 
 
-def _rarest(m: int, extra: int, frequent: list[tuple[int, int]]):
-    """Rows (gid, cells) to rows (gid, cell, rest): of c cells the c - m + extra rarest, and how many of the document's cells come after each.
+def _groups(m: int, s: int):
+    """Rows (gid, cells) to rows (gid, cell): a key for each group of positions of which the document has all cells. The s positions are in s - m + 1 groups.
 
-    Cells are ordered by frequency, then by a product of their bits that is their own: one order for all documents. A task handles a document at a time.
+    A key is a 64-bit sum of mixed cells; where two differ in their cells and not in their sums, a pair is looked at in vain. A task handles a document at a time.
     """
-    known = np.array(sorted(frequent), np.int64).reshape(-1, 2)
-    known[:, 1] = np.minimum(known[:, 1], 2047) << 52
-    bits = np.int64((1 << 52) - 1)  # a position has 20 bits, a fingerprint 32
+    n = s - m + 1
+    whole = np.bincount(np.arange(s) * n // s, minlength=n)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            gids, cells, rest = [], [], []
+            gids, keys = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
             for gid, row in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 values = np.asarray(row.values)
-                place = (values * np.int64(0x5851F42D4C957F2D)) & bits  # odd: no two cells have one place
-                if len(known):
-                    at = np.minimum(np.searchsorted(known[:, 0], values), len(known) - 1)
-                    place |= np.where(known[at, 0] == values, known[at, 1], 0)
-                n, c = len(values) - m + extra, len(values)
-                first = np.argpartition(place, n - 1)[:n] if n < c else np.arange(c)
-                first = first[np.argsort(place[first])]
-                gids.append(np.full(len(first), gid))
-                cells.append(values[first])
-                rest.append(c - 1 - np.arange(len(first)))
-            made = [np.concatenate(x) if x else np.empty(0, np.int64) for x in (gids, cells, rest)]
-            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in made], ["gid", "cell", "rest"])
+                group = (values >> 32) * n // s
+                first = np.flatnonzero(np.r_[True, group[1:] != group[:-1]])
+                full = np.diff(np.r_[first, len(group)]) == whole[group[first]]
+                sums = np.add.reduceat(np_fmix64(values.view(np.uint64)), first)[full]
+                gids.append(np.full(len(sums), gid))
+                keys.append(sums.view(np.int64))
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x), pa.int64()) for x in (gids, keys)], ["gid", "cell"])
 
     return run
 
 
 def prefix_compare(query: DataFrame, ref: DataFrame, s: int, threshold: float) -> DataFrame:
-    """compare(), for any threshold above 0, exactly: documents of a and b cells with m in common have t of them among their a - m + t and b - m + t rarest ones.
+    """compare(), for any threshold above 0, exactly: two documents that match in m of s positions differ in s - m, so of s - m + 1 groups of positions they match in one wholly.
 
-    Only these prefixes meet. A pair is looked at if it has t matches there and its matches so far, with what comes behind the last one in either document,
-    can still make m. The whole rows of the two decide.
+    Only keys of whole groups meet, a few cells each, which chance seldom makes equal. The whole rows of two documents that share a key decide.
     """
     m = max(1, min_matches(threshold, s))
     same = query is ref
@@ -196,16 +190,15 @@ def prefix_compare(query: DataFrame, ref: DataFrame, s: int, threshold: float) -
     cq = cut(classes(q), "classes")
     cr = cq if same else cut(classes(r), "classes")
     q, r = (representatives(x.where(F.size("cells") >= m), c) for x, c in ((q, cq), (r, cr)))
-    t = max(1, min(m, (s - m) // HEAD_PART))
-    frequent = frequent_cells(q) if same else frequent_cells(q, r)
-    heads = lambda x, end: x.mapInArrow(_rarest(m, t, frequent), "gid long, cell long, rest long").select("cell", F.col("gid").alias(f"{end}id"), F.col("rest").alias(f"{end}rest"))
-    a = cut(heads(q, "q"), "prefixes")
-    b = a.select("cell", F.col("qid").alias("rid"), F.col("qrest").alias("rrest")) if same else cut(heads(r, "r"), "prefixes")
-    met = meetings(a, b, frequent)
+    if m > s:
+        keyed = lambda x: as_cells(x)  # noqa: E731  # no document is left
+    else:
+        keyed = lambda x: x.mapInArrow(_groups(m, s), "gid long, cell long")
+    a = cut(keyed(q), "keys")
+    b = a if same else cut(keyed(r), "keys")
+    met = meetings(a.withColumnRenamed("gid", "qid"), b.withColumnRenamed("gid", "rid"), frequent_cells(a) if same else frequent_cells(a, b))
     met = met.where("qid < rid") if same else met
-    rest = F.least(F.min("qrest"), F.min("rrest"))
-    near = met.groupBy("qid", "rid").agg(F.count("*").alias("early"), rest.alias("rest")).where((F.col("early") >= t) & (F.col("early") + F.col("rest") >= m))
-    near = cut(near.select("qid", "rid"), "candidates")
+    near = cut(met.select("qid", "rid").distinct(), "candidates")
     both = near.join(q.select(F.col("gid").alias("qid"), F.col("cells").alias("q_cells")), "qid").join(r.select(F.col("gid").alias("rid"), F.col("cells").alias("r_cells")), "rid")
     found = both.select("qid", "rid", F.size(F.array_intersect("q_cells", "r_cells")).cast("long").alias("matches")).where(F.col("matches") >= m)
     if same:
