@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators.compare import as_cells, as_positions, min_matches, scored
+from ..operators.compare import as_positions, as_rows, compare, min_matches, scored
 from ..operators.sketch import SketchParams
 from .work import cut
 
@@ -20,6 +20,8 @@ from .work import cut
 CHUNK, RUN = 4096, 64
 #: Buckets of an index at least, and lists of several chunks that are dealt at most.
 BUCKETS, HOT_LISTS = 8, 100_000
+#: Meetings of stored lists for each cell, above which documents' rows meet instead.
+WIDE = 8
 
 
 @dataclass
@@ -206,31 +208,24 @@ def list_hits(query: DataFrame, ref: DataFrame, half: bool = False, hot_lists: i
 def compare_stored(query: Index, ref: Index, threshold: float = 0.0) -> DataFrame:
     """(qid, rid, matches, score): compare() of two stored indexes, or of one with itself, from their posting lists.
 
-    With a threshold, lists of the first positions alone are read first: a pair with m of s matches has t of them in any s - m + t positions. Cells of the other
-    positions are then looked up for the documents of such pairs only.
+    Where lists are short, they meet where they lie, and the pairs of their ids are counted. With a threshold, or where those would be more than WIDE for each cell,
+    documents' rows are put together from the lists, one shuffle of their cells, and meet by keys or in blocks.
     """
     query.check(ref)
     s, same = ref.params.s, query is ref
-    m = max(1, min_matches(threshold, s))
-    t = max(1, (s - m) // 2)
-    head = s if m == 1 else min(s, s - m + t)
-    if m > s:
-        head, m = 0, s + 1
-    counted = lambda q, r: list_hits(q, r, same).groupBy("qid", "rid").agg(F.count("*").alias("matches"))
-    if head == s:
-        found = counted(query.postings, ref.postings).where(F.col("matches") >= m)
-    else:
-        near = counted(*[read_positions(x, 0, head - 1) for x in (query, ref)]).where(F.col("matches") >= min(t, m))
-        near = cut(near.select("qid", "rid", F.col("matches").alias("early")), "candidates")
-
-        def tail(index: Index, end: str) -> DataFrame:
-            rows = as_cells(read_positions(index, head, s - 1).select("pos", "fp", F.explode("gids").alias("gid")).join(near.select(F.col(f"{end}id").alias("gid")).distinct(), "gid", "left_semi"))
-            return rows.groupBy(F.col("gid").alias(f"{end}id")).agg(F.collect_list("cell").alias(f"{end}_cells"))  # at most s cells
-
-        both = near.join(tail(query, "q"), "qid", "left").join(tail(ref, "r"), "rid", "left")
-        late = F.when(F.col("q_cells").isNull() | F.col("r_cells").isNull(), 0).otherwise(F.size(F.array_intersect("q_cells", "r_cells")))
-        found = both.select("qid", "rid", (F.col("early") + late).alias("matches")).where(F.col("matches") >= m)
-    if same:
-        found = cut(found, "found")
-        found = found.unionByName(found.where("qid <> rid").select(F.col("rid").alias("qid"), F.col("qid").alias("rid"), "matches"))
-    return scored(found, s, threshold)
+    if min_matches(threshold, s) <= 1 and _meetings(query.postings, ref.postings, same) <= WIDE:
+        found = list_hits(query.postings, ref.postings, same).groupBy("qid", "rid").agg(F.count("*").alias("matches"))
+        if same:
+            found = cut(found, "found")
+            found = found.unionByName(found.where("qid <> rid").select(F.col("rid").alias("qid"), F.col("qid").alias("rid"), "matches"))
+        return scored(found, s, threshold)
+    q = cut(as_rows(query.sketch()), "rows")
+    return compare(q, q if same else cut(as_rows(ref.sketch()), "rows"), s, threshold)
+
+
+def _meetings(query: DataFrame, ref: DataFrame, half: bool) -> float:
+    """Meetings of two tables' posting lists for each of their cells; of one table each once."""
+    sizes = lambda p, name: p.groupBy("pos", "fp").agg(F.sum(F.col("n").cast("double")).alias(name))
+    n = sizes(query, "a").join(sizes(ref, "b"), ["pos", "fp"], "full")
+    met, cells = n.agg(F.sum(F.col("a") * F.col("b")), F.sum(F.coalesce("a", F.lit(0.0)) + (F.lit(0.0) if half else F.coalesce("b", F.lit(0.0))))).first()
+    return (met or 0.0) / (2 if half else 1) / max(cells or 0.0, 1.0)
