@@ -6,8 +6,12 @@ import itertools
 import numpy as np
 import pytest
 
-from tessera.operators import blocks
+from tessera.functions.kmers import kmer_hashes
+from tessera.operators import blocks, prune
 from tessera.operators import compare as C
+from tessera.operators.sketch import SketchParams, _digests
+from tessera.plans import queries as Q
+from tessera.sources import index as I  # noqa: E741
 from tessera.sources import work
 
 
@@ -80,18 +84,59 @@ def test_key_sets_lose_no_pair(m, s):
         assert min(map(len, sets)) >= 2  # no key of a single fingerprint for large tables
 
 
-@pytest.mark.parametrize("how", ["keys"])
+@pytest.mark.parametrize("how", ["keys", "pruned", "stored"])
 def test_strangers_are_no_candidates(spark, folder, how):
     rows, cells = strangers(spark, 2000)
     want = {k: n for k, n in counts(cells[:3]).items() if n >= 32} | {(i, i): 64 for i in range(3, 2000)}
     if how == "keys":
         found = got(C.prefix_compare(rows, rows, 64, 0.5))
+    elif how == "pruned":
+        found = got(prune.pruned_compare(rows, rows, 64, 0.5))
+    else:
+        p = SketchParams(15, 6, 12)
+        I.save(I.Index(I.chunked_postings(C.as_positions(rows)), p, 2000, 0), f"file://{folder}/index")
+        index = I.load(spark, f"file://{folder}/index")
+        found = got(I.compare_stored(index, index, 0.5))
     assert found == want
     assert written(spark, folder, "candidates") < 50
 
 
+def test_stored_lists_that_are_long_meet_in_blocks(spark, folder):
+    rows, cells = strangers(spark, 300, 16, 3)
+    I.save(I.Index(I.chunked_postings(C.as_positions(rows)), SketchParams(15, 4, 3), 300, 0), f"file://{folder}/index")
+    index = I.load(spark, f"file://{folder}/index")
+    assert got(I.compare_stored(index, index)) == counts(cells)
+    assert written(spark, folder, "found") is None  # no table of all pairs
+
+
 def test_few_queries_meet_in_blocks(spark, folder):
     rows, cells = strangers(spark, 3000)
     few = rows.where("gid < 5")
     assert got(C.compare(few, rows, 64, 0.05)) == {(a, b): n for a in range(5) for b in range(3000) if (n := int((cells[a] == cells[b]).sum())) >= 4}
     assert written(spark, folder, "keys") is None
+
+
+def test_pruning_equals_the_fold_over_all_hits(spark):
+    rows, cells = strangers(spark, 60, 64, 1)
+    hits = [(a, b, p) for a in range(60) for b in range(60) for p in np.flatnonzero(cells[a] == cells[b]).tolist()]
+    want = got(prune.pruned_counts(spark.createDataFrame(hits, "qid long, rid long, pos int"), 64, 0.5))
+    assert got(prune.pruned_compare(rows, rows, 64, 0.5)) == want
+
+
+def test_digests_in_pieces():
+    seqs = [None, "", "ACG", "ACGTNACGT--ACGGTTTAGC" * 9, "日本ACGTACGT", "T" * 40]
+    for k, letters in ((1, 1), (5, 10), (15, 7), (31, 64), (5, 1 << 17)):
+        n, xor = _digests(iter(seqs), k, len(seqs), letters)
+        for i, s in enumerate(seqs):
+            h = kmer_hashes(s, k)
+            assert n[i] == len(h) and xor[i] == (np.bitwise_xor.reduce(h).view(np.int64) if len(h) else 0)
+
+
+def test_sequence_files_are_written_by_several_tasks(spark, sf, folder):
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        rows = Q.QUERIES["s2_one_file_scan"](spark, sf).orderBy("gid").collect()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+    assert len(glob.glob(f"{folder}/query-*/part-*")) > 1
+    assert [r["gid"] for r in rows] == list(range(len(rows))) and [r["name_id"] for r in rows] == sorted(r["name_id"] for r in rows)
