@@ -101,6 +101,15 @@ def test_strangers_are_no_candidates(spark, folder, how):
     assert written(spark, folder, "candidates") < 50
 
 
+def test_documents_of_common_parts_are_no_candidates(spark, folder):
+    cells = np.random.default_rng(3).integers(0, 4096, (400, 64))
+    cells[:, :12] = 7  # all share a part, which is less than half
+    cells[1, :40] = cells[0, :40]
+    rows = spark.createDataFrame([(i, [p << 32 | int(x) for p, x in enumerate(r)]) for i, r in enumerate(cells)], "gid long, cells array<long>")
+    assert got(C.prefix_compare(rows, rows, 64, 0.5)) == {k: n for k, n in counts(cells).items() if n >= 32}
+    assert written(spark, folder, "candidates") < 400 * 399 / 2 / 10
+
+
 def test_stored_lists_that_are_long_meet_in_blocks(spark, folder):
     rows, cells = strangers(spark, 300, 16, 3)
     I.save(I.Index(I.chunked_postings(C.as_positions(rows)), SketchParams(15, 4, 3), 300, 0), f"file://{folder}/index")
