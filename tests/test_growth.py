@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 
 from tessera.functions.kmers import kmer_hashes
-from tessera.operators import blocks, prune
+from tessera.operators import blocks, groups, prune
 from tessera.operators import compare as C
 from tessera.operators.sketch import SketchParams, _digests
 from tessera.plans import queries as Q
@@ -149,3 +149,36 @@ def test_sequence_files_are_written_by_several_tasks(spark, sf, folder):
         spark.conf.unset("spark.sql.adaptive.enabled")
     assert len(glob.glob(f"{folder}/query-*/part-*")) > 1
     assert [r["gid"] for r in rows] == list(range(len(rows))) and [r["name_id"] for r in rows] == sorted(r["name_id"] for r in rows)
+
+
+def cluster(spark, n, share=0.8, seed=5):
+    """Near copies of one document, and as many strangers."""
+    rng = np.random.default_rng(seed)
+    cells = rng.integers(0, 4096, (2 * n, 64))
+    cells[:n] = np.where(rng.random((n, 64)) < share, cells[0], cells[:n])
+    rows = [(i, [int(p) << 32 | int(x) for p, x in enumerate(r)]) for i, r in enumerate(cells)]
+    return spark.createDataFrame(rows, "gid long, cells array<long>").repartition(4), cells
+
+
+def test_pairs_of_a_dense_cluster_do_not_move(spark, folder):
+    rows, cells = cluster(spark, 400)
+    want = {k: n for k, n in counts(cells).items() if n >= 32}
+    assert len(want) > 400 * 300
+    assert got(C.prefix_compare(rows, rows, 64, 0.5)) == want
+    assert written(spark, folder, "candidates") < 400 * 40  # documents and leaders; pairs were 400 * 399 / 2
+
+
+@pytest.mark.parametrize("small", [False, True])
+def test_groups_in_parts_lose_and_repeat_no_pair(spark, monkeypatch, small):
+    if small:
+        for name, value in (("KEY_ROWS", 500), ("HOT", 9), ("PART", 7), ("ROWS", 20), ("CELLS", 640), ("PAIRS", 11), ("SMALL", 5)):
+            monkeypatch.setattr(groups, name, value)
+    rows, cells = cluster(spark, 60, 0.75)
+    want = counts(cells)
+    near = C.near_pairs(rows, rows, 64, 32, True).collect()
+    assert sorted((r["qid"], r["rid"], r["matches"]) for r in near) == sorted((*k, n) for k, n in want.items() if n >= 32 and k[0] < k[1])
+    for r in near:
+        at = np.flatnonzero(cells[r["qid"]] == cells[r["rid"]])
+        assert r["both"] == [int(p) << 32 | int(cells[r["qid"], p]) for p in at]
+    some, others = rows.where("gid % 3 = 0"), rows.where("gid % 2 = 0")  # two tables that have ids in common
+    assert got(C.prefix_compare(some, others, 64, 0.5)) == {k: n for k, n in want.items() if n >= 32 and k[0] % 3 == 0 and k[1] % 2 == 0}
