@@ -7,8 +7,9 @@ import numpy as np
 import pytest
 
 from tessera.functions.kmers import kmer_hashes
-from tessera.operators import blocks, groups, prune
+from tessera.operators import blocks, groups, prune, reorder
 from tessera.operators import compare as C
+from tessera.operators.components import components
 from tessera.operators.sketch import SketchParams, _digests
 from tessera.plans import queries as Q
 from tessera.sources import index as I  # noqa: E741
@@ -182,3 +183,28 @@ def test_groups_in_parts_lose_and_repeat_no_pair(spark, monkeypatch, small):
         assert r["both"] == [int(p) << 32 | int(cells[r["qid"], p]) for p in at]
     some, others = rows.where("gid % 3 = 0"), rows.where("gid % 2 = 0")  # two tables that have ids in common
     assert got(C.prefix_compare(some, others, 64, 0.5)) == {k: n for k, n in want.items() if n >= 32 and k[0] % 3 == 0 and k[1] % 2 == 0}
+
+
+def test_a_dense_component_moves_no_pairs(spark, folder):
+    pairs = [(a, b) for a in range(300) for b in range(a)] + [(1000 + a, 1001 + a) for a in range(50)]
+    found = components(spark.createDataFrame(pairs, "a long, b long").repartition(4), "clique").collect()
+    assert {r["node"]: r["component"] for r in found} == {i: 0 for i in range(300)} | {1000 + i: 1000 for i in range(51)}
+    assert written(spark, folder, "clique") < 350 * 4 * 6  # some rounds; the pairs alone are 44,900
+
+
+@pytest.mark.parametrize("least", [0.5])
+def test_walks_by_cells_equal_walks_by_edges(spark, folder, monkeypatch, least):
+    rows, cells = cluster(spark, 60, 0.8)
+    copies = spark.createDataFrame([(500 + i, [int(p) << 32 | int(x) for p, x in enumerate(cells[i % 5])]) for i in range(20)], "gid long, cells array<long>")
+    rows = work.cut(rows.unionByName(copies), "all")
+    docs = rows.select("gid")
+    order = lambda df: [r["old_gid"] for r in df.orderBy("new_gid").collect()]
+    whole = order(reorder.greedy_order(docs, reorder.edges(C.compare_self(rows, 64, least), least)))
+    c = work.cut(C.classes(rows), "kinds")
+    reps = work.cut(C.representatives(rows, c), "reps")
+    hits = C.compare_self(reps, 64, least)
+    assert order(reorder.class_order(docs, c, hits, 64, least, most_edges=500, rows=reps)) == whole  # more edges than are walked in one task
+    monkeypatch.setattr(reorder, "DENSE", 100)
+    assert order(reorder.class_order(docs, c, hits, 64, least, rows=reps)) == whole and len(whole) == 140
+    with pytest.raises(ValueError, match="edges and documents"):
+        reorder.class_order(docs, c, hits, 64, least, most_edges=500)
