@@ -14,6 +14,7 @@ import json
 import math
 import os
 import sys
+import threading
 import types
 import uuid
 import zlib
@@ -25,14 +26,16 @@ import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import col, cut, fresh_path, read_table
+from .common import col, cut, fresh_path, give_back, read_table
 
 END_ID = 2
 #: Bytes of words and ids, with what Python adds for each, that a worker remembers before it starts afresh; longer words
 #: than LONG characters are never kept. Both bound memory, not results.
 REMEMBERED, EACH, LONG = 110 << 20, 200, 48
-#: Characters of text that go to the library together.
-TOGETHER = 1 << 20
+#: Seconds after a task for which a worker that gets no other keeps its encoder.
+KEPT_S = 5.0
+#: Characters of text that go to the library together, and documents that are taken from Arrow together.
+TOGETHER, ROWS = 1 << 20, 1024
 #: Bytes of text in a part: as many as give each core one part, within these limits.
 PART_BYTES = (4 << 20, 32 << 20)
 #: Marks at which a word is cut when they follow a letter.
@@ -181,19 +184,37 @@ class WordwiseEncoder:
         return out
 
 
-def worker_encoder(vocabulary: str, job: str) -> WordwiseEncoder:
-    """This Python worker's encoder. Spark gives a worker task after task: the vocabulary is read once, and a job's words stay known until another job.
+def _kept() -> dict:
+    """What this Python worker keeps between tasks. Functions that are sent by value get their module's names anew in each task, so a module of the worker's own holds it."""
+    return vars(sys.modules.setdefault("_token_encoders", types.ModuleType("_token_encoders")))
 
-    Functions that are sent by value get their module's names anew in each task, so a module of the worker's own holds it.
-    """
-    held = vars(sys.modules.setdefault("_token_encoders", types.ModuleType("_token_encoders")))
-    if vocabulary not in held:
-        held[vocabulary] = WordwiseEncoder(vocabulary)
+
+def worker_encoder(vocabulary: str, job: str) -> WordwiseEncoder:
+    """This Python worker's encoder. Spark gives a worker task after task: the vocabulary is read once, and a job's words stay known until another job, or until leave_encoder()'s time is over."""
+    held = _kept()
+    if "timer" in held:
+        held["timer"].cancel()
+    encoder = held.get(vocabulary) or WordwiseEncoder(vocabulary)
     if held.get("job") != job:
-        held["job"] = job
-        held[vocabulary].known.clear()
-        held[vocabulary].held = 0
-    return held[vocabulary]
+        encoder.known.clear()
+        encoder.held = 0
+    held.update({vocabulary: encoder, "job": job})
+    return encoder
+
+
+def leave_encoder() -> None:
+    """At a task's end: if no other follows in KEPT_S seconds, the encoder and its words go. Spark keeps idle workers for other queries, beside whose memory theirs would count."""
+
+    def forget() -> None:
+        held.clear()  # a task that just began has its encoder, and goes on with it
+        give_back()
+
+    held = _kept()
+    if "timer" in held:
+        held["timer"].cancel()
+    held["timer"] = threading.Timer(KEPT_S, forget)
+    held["timer"].daemon = True
+    held["timer"].start()
 
 
 def _store(path: str) -> tuple[pafs.FileSystem, str]:
@@ -238,9 +259,7 @@ def write_token_files(docs: DataFrame, path: str, vocabulary: str | None = None,
         stem, encoder, streams = f"part-{part:08d}-{uuid.uuid4().hex}", None, []
         n = total = nulls = 0
         try:
-            for batch in batches:
-                if not batch.num_rows:
-                    continue
+            for batch in (b.slice(lo, ROWS) for b in batches for lo in range(0, b.num_rows, ROWS)):
                 if encoder is None:
                     encoder = worker_encoder(vocabulary, path)
                     streams = [store.open_output_stream(f"{at}/{stem}.{kind}") for kind in ("ids", "offsets", "docs")]
@@ -258,6 +277,9 @@ def write_token_files(docs: DataFrame, path: str, vocabulary: str | None = None,
         finally:
             for s in streams:
                 s.close()
+            if encoder is not None:
+                leave_encoder()
+            pa.default_memory_pool().release_unused()
         if encoder is not None:
             made = {"part": part, "path": f"{path}/{stem}", "docs": n, "ids": total, "bits": encoder.type.itemsize * 8, "null_docs": nulls}
             yield pa.RecordBatch.from_pylist([made])

@@ -3,9 +3,12 @@
 import collections
 import hashlib
 import re
+import sys
+import time
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -214,6 +217,24 @@ def test_tokens(spark, docs, none):
         start += len(ids)
 
 
+def test_idle_workers_keep_no_words(spark, docs, monkeypatch):
+    """Python workers outlive a query: what they remember for it goes, and what they read next is the same."""
+    monkeypatch.setattr(tokens, "KEPT_S", 0.2, raising=False)
+
+    def look(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_pydict({"kept": pa.array([len(vars(sys.modules["_token_encoders"])) if "_token_encoders" in sys.modules else 0] * b.num_rows, pa.int64())})
+
+    first = sorted(map(str, tokens.tokenized(docs, parts=3).collect()))
+    for _ in range(20):
+        time.sleep(0.5)
+        kept = [r["kept"] for r in spark.range(32, numPartitions=16).mapInArrow(look, "kept long").collect()]
+        if not any(kept):
+            break
+    assert len(kept) == 32 and not any(kept)
+    assert sorted(map(str, tokens.tokenized(docs, parts=3).collect())) == first
+
+
 def test_mixing(spark, docs, none):
     got = mixing.mix(docs).collect()
     assert len(got) == len(ROWS) and mixing.mix(none).count() == 0
