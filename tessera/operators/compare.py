@@ -89,8 +89,11 @@ def classes(sk: DataFrame) -> DataFrame:
 
 
 def representatives(sk: DataFrame, c: DataFrame) -> DataFrame:
-    """The sketches of the classes' representatives."""
-    return sk.join(c.where("gid = rep").select("gid"), "gid", "left_semi")
+    """The sketches of the classes' representatives; c is written. Only ids of other members move, if they are BROADCAST at most; else the joined rows are written."""
+    others = c.where("gid <> rep").select("gid")
+    if others.count() <= BROADCAST:
+        return sk.where("gid IS NOT NULL").join(F.broadcast(others), "gid", "left_anti")
+    return cut(sk.join(c.where("gid = rep").select("gid"), "gid", "left_semi"), "representatives")
 
 
 def _several(c: DataFrame) -> DataFrame:
@@ -276,6 +279,17 @@ def prefix_compare(query: DataFrame, ref: DataFrame, s: int, threshold: float) -
     return scored(near_classes(query, ref, s, m), s, threshold)
 
 
+def class_pairs(sk: DataFrame, s: int, threshold: float) -> tuple[DataFrame, DataFrame]:
+    """Written classes (gid, rep, n_cells) of one table, and (qid, rid, matches) of the pairs of representatives with enough matches, one at least: each pair once, qid < rid.
+
+    What compare_self() lists, without the pairs among copies, and not written: who only counts or ranks a document's pairs moves none of them.
+    """
+    rows = _written(sk)
+    c = cut(classes(rows), "classes")
+    reps = representatives(rows, c)
+    return c, near_pairs(reps, reps, s, max(1, min_matches(threshold, s)))
+
+
 def near_classes(query: DataFrame, ref: DataFrame, s: int, m: int, value: Callable[[Column], Column] | None = None) -> DataFrame:
     """(qid, rid, matches) of all pairs that match in m or more of s positions. `value` makes other matches of the cells that both have; where it is null, the pair is left out."""
     same = query is ref

@@ -10,7 +10,7 @@ from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..sources.work import cut, numbered
@@ -64,6 +64,41 @@ def class_weights(members: DataFrame, e: DataFrame) -> DataFrame:
     return sizes.join(outer, "rep", "left").select("rep", "n", (2 * ((F.col("n") - 1) * F.col("own4") + F.coalesce("outer", F.lit(0)))).cast("long").alias("weight4"))
 
 
+def _sim4(n: Column, s: int) -> Column:
+    return F.bround(n / F.lit(float(s)) * 10000, 0).cast("long")
+
+
+def class_members(c: DataFrame, s: int, least: float) -> DataFrame:
+    """(gid, rep, own4) of classes (gid, rep, n_cells): own4 is the similarity of two members, as their cells are many, 0 if that makes no edge."""
+    own = _sim4(F.col("n_cells"), s)
+    return c.select("gid", "rep", F.when((own >= least * 10000) & (F.col("n_cells") >= min_matches(least, s)), own).otherwise(F.lit(0).cast("long")).alias("own4"))
+
+
+def class_edges(found: DataFrame, s: int, least: float) -> DataFrame:
+    """(src, dst, sim4) in both directions, each once, from pairs (qid, rid, matches) of representatives that come once. Made in one pass, beside the pairs."""
+    both = F.explode(F.array(F.struct(F.col("qid").alias("src"), F.col("rid").alias("dst")), F.struct(F.col("rid").alias("src"), F.col("qid").alias("dst"))))
+    return found.select(both.alias("e"), _sim4(F.col("matches"), s).alias("sim4")).where(F.col("sim4") >= least * 10000).select("e.src", "e.dst", "sim4")
+
+
+def class_node_weights(docs: DataFrame, members: DataFrame, e: DataFrame) -> DataFrame:
+    """node_weights() from written members (gid, rep, own4) and class_edges(). Edges are summed where they are made; a row for each representative of a task moves."""
+    w = members.join(class_weights(members, e), "rep").select(F.col("gid").alias("idx"), "weight4")
+    return docs.select(F.col("gid").alias("idx")).distinct().join(w, "idx", "left").select("idx", F.coalesce("weight4", F.lit(0)).cast("long").alias("weight4"))
+
+
+def class_best_neighbours(members: DataFrame, e: DataFrame) -> DataFrame:
+    """best_neighbours() from written members (gid, rep, own4) and class_edges(). A class's representative is its least id, so the nearest of other classes is one.
+
+    In its own class a member's best is the representative; the representative's is the next id.
+    """
+    outer = e.groupBy(F.col("src").alias("rep")).agg(F.min(F.struct((-F.col("sim4")).alias("s"), F.col("dst"))).alias("outer"))
+    second = members.where("gid <> rep AND own4 > 0").groupBy("rep").agg(F.min("gid").alias("second"))
+    second = _small(cut(second, "second"))  # most classes have one member
+    inner = F.when(F.col("second").isNotNull(), F.struct((-F.col("own4")).alias("s"), F.when(F.col("gid") == F.col("rep"), F.col("second")).otherwise(F.col("rep")).alias("dst")))
+    best = members.join(outer, "rep", "left").join(second, "rep", "left").select(F.col("gid").alias("idx"), F.least("outer", inner).alias("m"))
+    return best.where("m IS NOT NULL").select("idx", F.col("m.dst").alias("best"), (-F.col("m.s")).alias("sim4"))
+
+
 def _visit(nodes: pd.DataFrame, finder: Callable) -> pd.DataFrame:
     """(weight4, start, place, node): the walk of one component, cut into segments at its jumps; a segment has its start's weight.
 
@@ -191,15 +226,13 @@ def class_order(docs: DataFrame, c: DataFrame, hits: DataFrame, s: int, least: f
     Members of a class are as similar as their cells are many. Documents without a cell are in no class. rows: the representatives' written (gid, cells), by which
     components of many edges are walked.
     """
-    sim4 = lambda n: F.bround(n / F.lit(float(s)) * 10000, 0).cast("long")
-    own, m = sim4(F.col("n_cells")), min_matches(least, s)
-    members = c.select("gid", "rep", F.when((own >= least * 10000) & (F.col("n_cells") >= m), own).otherwise(F.lit(0).cast("long")).alias("own4"))
+    m, members = min_matches(least, s), class_members(c, s, least)
     rest = docs.select("gid").distinct().join(members.select("gid"), "gid", "left_anti").select("gid", F.col("gid").alias("rep"), F.lit(0).cast("long").alias("own4"))
     members = cut(members.unionByName(rest), "members")
     e = cut(hits.where("qid <> rid").select(F.col("qid").alias("src"), F.col("rid").alias("dst"), F.bround(F.col("score") * 10000, 0).cast("long").alias("sim4")).where(F.col("sim4") >= least * 10000), "edges")
     walk = None
     if rows is not None:
-        levels = docs.sparkSession.range(s + 1).select(F.col("id").alias("n"), sim4(F.col("id")).alias("sim")).orderBy("n").collect()  # s + 1 rows
+        levels = docs.sparkSession.range(s + 1).select(F.col("id").alias("n"), _sim4(F.col("id"), s).alias("sim")).orderBy("n").collect()  # s + 1 rows
         walk = _walk_rows(s, [x["sim"] if x["n"] >= max(1, m) and x["sim"] >= least * 10000 else -1 for x in levels])
     return _ordered(members, e, class_weights(members, e), most_edges, rows, walk)
 

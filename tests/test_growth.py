@@ -208,3 +208,38 @@ def test_walks_by_cells_equal_walks_by_edges(spark, folder, monkeypatch, least):
     assert order(reorder.class_order(docs, c, hits, 64, least, rows=reps)) == whole and len(whole) == 140
     with pytest.raises(ValueError, match="edges and documents"):
         reorder.class_order(docs, c, hits, 64, least, most_edges=500)
+
+
+def clusters(spark):
+    """Near copies and copies, as ids lie in any order; documents with few cells or none."""
+    rng = np.random.default_rng(8)
+    cells = np.repeat(rng.integers(0, 1 << 12, (3, 64)), 20, 0)
+    for i in range(60):
+        cells[i, rng.permutation(64)[: i % 5 * 8]] = rng.integers(0, 1 << 12, i % 5 * 8)
+    ids = rng.permutation(70)
+    rows = [(int(ids[i]), [int(p) << 32 | int(x) for p, x in enumerate(r)]) for i, r in enumerate(cells)]
+    rows += [(int(ids[60 + i]), [p << 32 | 5 for p in range(10)]) for i in range(4)]  # copies of too few cells for an edge
+    docs = spark.createDataFrame([(int(i),) for i in ids], "gid long")
+    return spark.createDataFrame(rows, "gid long, cells array<long>").repartition(4), docs
+
+
+def test_weights_by_classes(spark, folder):
+    rows, docs = clusters(spark)
+    want = reorder.node_weights(docs, reorder.edges(C.compare_self(rows, 64, 0.5), 0.5))
+    want, start = sorted(map(tuple, want.collect())), tuple(reorder.start_node(want).first())
+    before = written(spark, folder, "found")
+    assert before and len({w for _, w in want}) > 5
+    c, found = C.class_pairs(rows, 64, 0.5)
+    members = work.cut(reorder.class_members(c, 64, 0.5), "members")
+    made = reorder.class_node_weights(docs, members, reorder.class_edges(found, 64, 0.5))
+    assert sorted(map(tuple, made.collect())) == want and tuple(reorder.start_node(made).first()) == start
+    assert written(spark, folder, "found") == before  # pairs are not written again
+
+
+@pytest.mark.parametrize("most", (groups.BROADCAST, 0))
+def test_representatives_with_few_and_many_copies(spark, folder, monkeypatch, most):
+    monkeypatch.setattr(C, "BROADCAST", most)
+    rows, _ = clusters(spark)
+    c = work.cut(C.classes(rows), "classes")
+    kept = {r["gid"] for r in C.representatives(rows, c).collect()}
+    assert kept == {r["rep"] for r in c.collect()} and 0 < len(kept) < rows.count()
