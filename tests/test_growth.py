@@ -236,6 +236,17 @@ def test_weights_by_classes(spark, folder):
     assert written(spark, folder, "found") == before  # pairs are not written again
 
 
+def test_best_neighbours_by_classes(spark, folder):
+    rows, _ = clusters(spark)
+    want = sorted(map(tuple, reorder.best_neighbours(reorder.edges(C.compare_self(rows, 64, 0.5), 0.5)).collect()))
+    before = written(spark, folder, "found")
+    c, found = C.class_pairs(rows, 64, 0.5)
+    members = work.cut(reorder.class_members(c, 64, 0.5), "members")
+    made = reorder.class_best_neighbours(members, reorder.class_edges(found, 64, 0.5))
+    assert sorted(map(tuple, made.collect())) == want and len(want) > 20
+    assert written(spark, folder, "found") == before
+
+
 @pytest.mark.parametrize("most", (groups.BROADCAST, 0))
 def test_representatives_with_few_and_many_copies(spark, folder, monkeypatch, most):
     monkeypatch.setattr(C, "BROADCAST", most)
@@ -243,3 +254,9 @@ def test_representatives_with_few_and_many_copies(spark, folder, monkeypatch, mo
     c = work.cut(C.classes(rows), "classes")
     kept = {r["gid"] for r in C.representatives(rows, c).collect()}
     assert kept == {r["rep"] for r in c.collect()} and 0 < len(kept) < rows.count()
+
+
+def test_o7_and_o8_write_no_pairs(spark, sf, folder):
+    for name in ("o7_start_node", "o8_best_neighbour"):
+        assert Q.QUERIES[name](spark, sf).count() > 0
+    assert written(spark, folder, "found") is None
