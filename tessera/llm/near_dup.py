@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.components import components
-from .common import col, cut, read_table
+from .common import col, cut, giving_back, read_table
 
 #: 480 registers in 60 bands of 8. At a similarity of 0.8 a register agrees with probability 0.81:
 #: all bands differ for six pairs in a million. Unrelated documents, at 0.02, share a band once in 10^12 pairs.
@@ -179,7 +179,7 @@ def signatures(docs: DataFrame, words: int, id_col: str, text_col: str) -> DataF
                 regs = [hasher.registers(s).tobytes() if len(s) else None for s in sets]
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array(keys, pa.binary()), pa.array([len(s) for s in sets], pa.int64()), pa.array(regs, pa.binary())], ["doc_id", "key", "n", "registers"])
 
-    return docs.select(col(id_col).cast("long").alias("doc_id"), col(text_col).alias("text")).mapInArrow(make, "doc_id long, key binary, n long, registers binary")
+    return docs.select(col(id_col).cast("long").alias("doc_id"), col(text_col).alias("text")).mapInArrow(giving_back(make), "doc_id long, key binary, n long, registers binary")
 
 
 def _judged(ties: DataFrame, least: float) -> DataFrame:
@@ -194,7 +194,7 @@ def _judged(ties: DataFrame, least: float) -> DataFrame:
             ok = estimate((r[0] == r[1]).sum(1), (r[0] > r[1]).sum(1), *n, registers=JUDGED) >= least
             yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(ok)], ["a", "b", "bands", "ok"])
 
-    return ties.select("a", "b", "bands", "n_a", "n_b", "r_a", "r_b").mapInArrow(judge, "a long, b long, bands long, ok boolean")
+    return ties.select("a", "b", "bands", "n_a", "n_b", "r_a", "r_b").mapInArrow(giving_back(judge), "a long, b long, bands long, ok boolean")
 
 
 def _stars(posts: DataFrame) -> DataFrame:
@@ -219,7 +219,7 @@ def _stars(posts: DataFrame) -> DataFrame:
 
     parts = int(posts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     dealt = posts.select("bucket", "node", "band").repartition(parts, "bucket").sortWithinPartitions("bucket", "node")
-    return dealt.mapInArrow(tie, "a long, b long, band int")
+    return dealt.mapInArrow(giving_back(tie), "a long, b long, band int")
 
 
 def _ties(reps: DataFrame, threshold: int) -> DataFrame:
@@ -320,7 +320,7 @@ def _block_links(blocks: DataFrame, threshold: int, name: str) -> DataFrame:
 
     parts = int(blocks.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     dealt = blocks.repartition(parts, name, "i", "j").sortWithinPartitions(name, "i", "j", "node")
-    return dealt.mapInArrow(run, "a long, b long")
+    return dealt.mapInArrow(giving_back(run), "a long, b long")
 
 
 def _dealt(rows: DataFrame) -> DataFrame:
@@ -418,7 +418,7 @@ def _hashed(docs: DataFrame, assigned: DataFrame, words: int, id_col: str, text_
                 same = pa.array([k == x for k, x in zip(keys, here.column(2).to_pylist(), strict=True)], pa.bool_())
                 yield pa.RecordBatch.from_arrays([*here.columns[1:], *made], ["rep", "key", "cluster", "joined", "blocks", "n", "registers", "hashes"]).filter(same)
 
-    made = wanted.select("text", "rep", "key", "cluster", "joined", "blocks").mapInArrow(make, "rep long, key binary, cluster long, joined long, blocks array<struct<i:int,j:int,side:int>>, n long, registers binary, hashes binary")
+    made = wanted.select("text", "rep", "key", "cluster", "joined", "blocks").mapInArrow(giving_back(make), "rep long, key binary, cluster long, joined long, blocks array<struct<i:int,j:int,side:int>>, n long, registers binary, hashes binary")
     made = made.dropDuplicates(["rep", "key"]) if repeats else made
     return made.select("cluster", "joined", F.explode("blocks").alias("b"), F.col("rep").alias("node"), "n", "registers", "hashes").select("cluster", "joined", "b.*", "node", "n", "registers", "hashes")
 

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bounded_sample, col, held_out, learned_from, read_table
+from .common import bounded_sample, col, giving_back, held_out, learned_from, read_table
 
 #: Labelled documents of each class that a fit collects, about.
 PER_CLASS = 2500
@@ -136,7 +136,7 @@ def score_quality(docs: DataFrame, model: QualityModel, id_col: str = "doc_id",
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(p), pa.array((p >= 0.5).astype(np.int32)), pa.array(d)], ["doc_id", "held_out", "score", "predicted", "saving"])
 
     rows = docs.select(col(id_col).cast("long").alias("doc_id"), held_out(id_col).alias("held_out"), col(text_col).alias("text"))
-    return rows.mapInArrow(predict, "doc_id long, held_out boolean, score double, predicted int, saving double")
+    return rows.mapInArrow(giving_back(predict), "doc_id long, held_out boolean, score double, predicted int, saving double")
 
 
 def learn_quality(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> QualityModel:
@@ -170,7 +170,7 @@ def good_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
                 yield batch.filter(pa.array(model.probabilities(np.array(d)) >= 0.5))
 
     renamed = docs.toDF(*plain)
-    return renamed.mapInArrow(keep, renamed.schema).toDF(*docs.columns)
+    return renamed.mapInArrow(giving_back(keep), renamed.schema).toDF(*docs.columns)
 
 
 def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -12,7 +12,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from tessera.llm import decontaminate, html_text, language, mixing, near_dup, neighbours, pii, quality, sharding, tokens
+from tessera.llm import common, decontaminate, html_text, language, mixing, near_dup, neighbours, pii, quality, sharding, tokens
 from tessera.llm.decontaminate import contaminations, decontaminated
 from tessera.llm.registry import ORACLES, QUERIES
 
@@ -235,6 +235,12 @@ def test_idle_workers_keep_no_words(spark, docs, monkeypatch):
     assert sorted(map(str, tokens.tokenized(docs, parts=3).collect())) == first
 
 
+def test_tasks_give_back_at_their_end(monkeypatch):
+    told = []
+    monkeypatch.setattr(common, "give_back", lambda: told.append("given"))
+    assert list(common.giving_back(lambda batches: (b + 1 for b in batches))(iter([1, 2]))) == [2, 3] and told == ["given"]
+
+
 def test_mixing(spark, docs, none):
     got = mixing.mix(docs).collect()
     assert len(got) == len(ROWS) and mixing.mix(none).count() == 0
