@@ -217,6 +217,40 @@ def test_tokens(spark, docs, none):
         start += len(ids)
 
 
+def test_tokens_cost_a_word_once():
+    """A word with marks after it, after a line end or first in a text is no new word, and words of letters or marks never go to the library one by one."""
+    from tokenizers import Tokenizer
+
+    path = tokens.vocabulary_path()
+    plain, fast, alone = Tokenizer.from_file(path), tokens.WordwiseEncoder(path), []
+    each = fast._each
+    fast._each = lambda pieces: alone.extend(pieces) or each(pieces)
+    words = [f"{a}{b}{c}" for a in ("th", "Üb", "été", "жиз") for b in ("rown", "ñaqu", "tion", "ß", "ou") for c in ("ing", "er", "é", "нь", "x")]
+    texts = [f"{w} {w}{m} {w},{m}\n{w}{m}\n{v} {m} {w}" for w, v in zip(words, reversed(words), strict=True) for m in tokens.MARKS]
+    for texts in (texts, ["x1 " + texts[0]]):
+        for text, packed in zip(texts, fast.encode(texts), strict=True):
+            assert np.frombuffer(packed, fast.type).tolist() == plain.encode(text, add_special_tokens=False).ids, text
+    assert len(fast.known) <= 2 * len(words) + 3 * len(tokens.MARKS) + 2, len(fast.known)
+    assert all(any(c.isdigit() for c in w) for w in alone), alone
+
+
+def test_tokens_at_every_kind_of_character():
+    """Every character that may be white space, a letter or neither beside the places where words are cut, and texts that begin or end there."""
+    from tokenizers import Tokenizer
+
+    path = tokens.vocabulary_path()
+    plain, fast = Tokenizer.from_file(path), tokens.WordwiseEncoder(path)
+    chars = [chr(c) for c in (*range(1, 0x500), *range(0x1670, 0x1690), *range(0x1800, 0x1820), *range(0x2000, 0x2070), *range(0x2FF0, 0x3010), 0xFEFF, 0x1F600)]
+    forms = ["ab {} cd", "ab{}. cd", "ab\n{}x", "ab {}", "{}\nab,{}", "a{} b", ".{},b", "{}", "<|endoftext|>{} <|endoftext|>"]
+    texts = [f.replace("{}", c) for f in forms for c in chars]
+    for some in (texts, [""], ["", ""], ["", "a", ""], []):
+        arrow = pa.array([None, *some, "z"], pa.string()).slice(1, len(some))
+        for text, packed, again in zip(some, fast.encode(some), fast.encode(arrow), strict=True):
+            assert np.frombuffer(packed, fast.type).tolist() == plain.encode(text, add_special_tokens=False).ids and packed == again, repr(text)
+    whole = pa.array(["a b", None, "x" * 50, "", "c"] * 9, pa.string())
+    assert [w for g in tokens._groups(whole.slice(2, 40)) for w in g.to_pylist()] == whole.to_pylist()[2:42]
+
+
 def test_idle_workers_keep_no_words(spark, docs, monkeypatch):
     """Python workers outlive a query: what they remember for it goes, and what they read next is the same."""
     monkeypatch.setattr(tokens, "KEPT_S", 0.2, raising=False)
