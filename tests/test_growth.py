@@ -3,6 +3,7 @@
 import glob
 import itertools
 import re
+import zlib
 
 import numpy as np
 import pytest
@@ -72,6 +73,45 @@ def test_pairs_are_not_shuffled(spark):
     assert len(exchanges) == 1 and "hashpartitioning(i#" in exchanges[0]
 
 
+def packed(x):
+    return len(zlib.compress(np.asarray(x, np.int16).tobytes()))
+
+
+def test_pairs_leave_list_by_list(spark):
+    rows, cells = strangers(spark, 1000, 8, 5)
+    found = C.pair_counts(rows, rows).toPandas()
+    ordered = found.sort_values(["qid", "rid"])
+    assert len(found) == (cells[:, None, :] == cells[None, :, :]).any(2).sum()
+    assert packed(found["rid"]) < packed(ordered["rid"]) / 3  # a list's ids come again and again
+
+
+def test_groups_of_blocks_have_a_task_each(spark):
+    rows, _ = strangers(spark, 5000, 4, 6)
+    parts = C.pair_counts(rows, rows).groupBy(F.spark_partition_id().alias("part")).count().collect()
+    pq, pr = blocks.list_parts(5000, 5000, spark.sparkContext.defaultParallelism)
+    assert len(parts) == pq * pr > 2 and max(r["count"] for r in parts) < 2 * min(r["count"] for r in parts)
+
+
+@pytest.mark.parametrize(("s", "bits"), [(8, 3), (64, 2), (100, 4), (6, 17), (130, 4)])
+def test_lists_of_any_width(spark, monkeypatch, s, bits):
+    rng = np.random.default_rng(s)
+    cells = rng.integers(0, 1 << bits, (120, s))
+    cells[40:70] = cells[rng.integers(0, 5, 30)]
+    cells[70:, : s // 2] = cells[3, : s // 2]
+    held = rng.random((120, s)) < 0.9  # the others are holes
+    held[40:60] = held[40]
+    rows = spark.createDataFrame([(i, [p << 32 | int(x) for p, x in enumerate(r) if held[i, p]]) for i, r in enumerate(cells)], "gid long, cells array<long>")
+    n = ((cells[:, None, :] == cells[None, :, :]) & held[:, None, :] & held[None, :, :]).sum(2)
+    want = {(int(a), int(b)): int(n[a, b]) for a, b in zip(*np.nonzero(n), strict=True)}
+    for ids, hits in ((blocks.IDS, blocks.HITS), (50, 100)):
+        monkeypatch.setattr(blocks, "IDS", ids)
+        monkeypatch.setattr(blocks, "HITS", hits)
+        assert got(C.pair_counts(rows, rows)) == want
+        assert got(C.pair_counts(rows, rows, half=True)) == {k: v for k, v in want.items() if k[0] <= k[1]}
+        few = rows.where("gid % 3 = 0")
+        assert got(C.pair_counts(few, rows)) == {k: v for k, v in want.items() if k[0] % 3 == 0}
+
+
 @pytest.mark.parametrize(("m", "s"), [(32, 64), (16, 64), (10, 20), (52, 64), (4, 64), (1, 8), (8, 8), (3, 7)])
 def test_key_sets_lose_no_pair(m, s):
     rng = np.random.default_rng(0)
