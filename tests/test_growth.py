@@ -112,6 +112,14 @@ def test_lists_of_any_width(spark, monkeypatch, s, bits):
         assert got(C.pair_counts(few, rows)) == {k: v for k, v in want.items() if k[0] % 3 == 0}
 
 
+def test_masses_are_made_once_for_each_number_of_matches(spark, sf):
+    plan = Q.QUERIES["n5_log_mass"](spark, sf)._jdf.queryExecution().executedPlan().toString()
+    lines = plan.splitlines()
+    logs = [i for i, x in enumerate(lines) if "ln(" in x.lower() or "log(" in x.lower()]
+    joined = next(i for i, x in enumerate(lines) if "BroadcastHashJoin" in x)
+    assert logs and joined < min(logs) and not any("FlatMapGroupsInArrow" in x for x in lines[min(logs) :])
+
+
 @pytest.mark.parametrize(("m", "s"), [(32, 64), (16, 64), (10, 20), (52, 64), (4, 64), (1, 8), (8, 8), (3, 7)])
 def test_key_sets_lose_no_pair(m, s):
     rng = np.random.default_rng(0)
