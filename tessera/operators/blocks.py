@@ -16,6 +16,8 @@ CELLS, HITS, OUT, TABLE = 1 << 22, 1 << 21, 1 << 18, 1 << 24
 SMALL = 1024
 #: Positions of a sketch at most, and documents of a block then, whose pairs leave list by list: so many ids as two bytes number. Pairs whose rows are compared together.
 NARROW, IDS, ROWS = 128, 60_000, 1 << 13
+#: A document's most frequent cells, by which documents are ordered.
+MAIN = 8
 #: Groups at most that are given a partition each.
 PLACED = 1024
 
@@ -131,17 +133,29 @@ def _coded(rows: DataFrame, base: int, kind: str) -> DataFrame:
 
 
 class _Matrix:
-    """A block: its classes of equal documents, a row of fingerprints and one each, 0 for holes, with their members."""
+    """A block: its classes of equal documents, a row of fingerprints and one each, 0 for holes, with their members. Classes that share frequent cells lie together."""
 
     def __init__(self, gids: list[np.ndarray], rows: list[bytes], kind: np.dtype, s: int):
         found: dict[bytes, int] = {}
         of = np.fromiter((found.setdefault(x, len(found)) for x in rows), np.int64, len(rows))
+        cells = np.frombuffer(b"".join(found), kind).reshape(-1, s)
+        order = _together(cells)
+        of = np.argsort(order)[of]
         self.size = np.bincount(of, minlength=len(found))
         self.first = np.cumsum(self.size) - self.size
         self.gids = (np.concatenate(gids) if gids else np.empty(0, np.int64))[np.argsort(of, kind="stable")]
-        self.single = self.gids[self.first] if len(found) else self.gids
+        self.single = self.gids[self.first]
         self.cells = np.zeros((len(found), -(-s // 64) * 64), kind)
-        self.cells[:, :s] = np.frombuffer(b"".join(found), kind).reshape(-1, s)
+        self.cells[:, :s] = cells[order]
+
+
+def _together(cells: np.ndarray) -> np.ndarray:
+    """An order of rows by their most frequent cells: those that leave a list together, as an earlier one had them, are neighbours in it."""
+    codes = cells + (np.arange(cells.shape[1]) << 32)
+    _, of, n = np.unique(codes, return_inverse=True, return_counts=True)
+    rank = np.argsort(np.argsort(-n, kind="stable"))
+    ranks = np.sort(np.where(cells == 0, len(n), rank[of.reshape(cells.shape)]), 1)[:, :MAIN]
+    return np.lexsort(ranks.T[::-1])
 
 
 def _members(q: _Matrix, r: _Matrix, x: np.ndarray, y: np.ndarray, found: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
@@ -233,25 +247,26 @@ def _places(spark: SparkSession, groups: int) -> list[int]:
     return [dict(map(tuple, found)).get(j, 0) for j in range(groups)]
 
 
-def list_parts(nq: int, nr: int, tasks: int) -> tuple[int, int]:
-    """Blocks of the query and of the reference table for _listed()."""
-    pr = max(1, -(-nr // IDS))
-    return max(1, -(-nq // IDS), min(-(-nq // SMALL), -(-2 * tasks // pr))), pr
+def list_parts(n: int, tasks: int) -> tuple[int, int]:
+    """Blocks of a table of n documents as queries and as references for _listed()."""
+    pr = max(1, -(-n // IDS))
+    return max(pr, min(-(-n // SMALL), -(-2 * tasks // pr))), pr
 
 
-def _list_counts(query: DataFrame, ref: DataFrame, nq: int, nr: int, s: int, base: int, half: bool) -> DataFrame:
-    """block_counts() of narrow sketches, for any number of matches: blocks of both tables meet, those of one table in both directions."""
-    spark = query.sparkSession
+def _list_counts(rows: DataFrame, n: int, s: int, base: int, half: bool) -> DataFrame:
+    """block_counts() of one table of narrow sketches, for any number of matches: its blocks as queries meet its blocks as references."""
+    spark = rows.sparkSession
     kind = "uint16" if base < (1 << 16) - 1 else "uint32"
-    pq, pr = list_parts(nq, nr, spark.sparkContext.defaultParallelism)
+    pq, pr = list_parts(n, spark.sparkContext.defaultParallelism)
     block = lambda parts: F.pmod(F.xxhash64("gid", F.lit("block")), F.lit(parts)).cast("int")
     others = lambda parts: F.explode(F.sequence(F.lit(0), F.lit(parts - 1)))
-    left = _filled(query, kind, s).select(F.lit(0).alias("side"), "gid", "row", block(pq).alias("a"), others(pr).alias("b"))
-    right = _filled(ref, kind, s).select(F.lit(1).alias("side"), "gid", "row", others(pq).alias("a"), block(pr).alias("b"))
+    filled = _filled(rows, kind, s)
+    left = filled.select(F.lit(0).alias("side"), "gid", "row", block(pq).alias("a"), others(pr).alias("b"))
+    right = filled.select(F.lit(1).alias("side"), "gid", "row", others(pq).alias("a"), block(pr).alias("b"))
     j = F.col("a") * pr + F.col("b")
     i = F.get(F.lit(_places(spark, pq * pr)), j) if pq * pr <= PLACED else F.lit(0)
-    rows = left.unionByName(right).select(i.alias("i"), j.alias("j"), "side", "gid", "row")
-    return rows.repartition(pq * pr, "i", "j").groupBy("i", "j").applyInArrow(_lister(kind, s, half), "qid long, rid long, matches long")
+    dealt = left.unionByName(right).select(i.alias("i"), j.alias("j"), "side", "gid", "row")
+    return dealt.repartition(pq * pr, "i", "j").groupBy("i", "j").applyInArrow(_lister(kind, s, half), "qid long, rid long, matches long")
 
 
 def block_counts(query: DataFrame, ref: DataFrame, shapes: tuple[tuple[int, int, int], tuple[int, int, int]], least: int = 1, half: bool = False) -> DataFrame:
@@ -259,12 +274,12 @@ def block_counts(query: DataFrame, ref: DataFrame, shapes: tuple[tuple[int, int,
 
     shapes: documents, positions and fingerprints of both tables. Both are dealt to blocks of about CELLS cells; two blocks meet in a task, which has no more than
     both and a piece of their pairs at once, and whose pairs are whole. A document moves once for each block of the other table, in some 4 bytes a cell. Documents with
-    equal cells meet as one. half: only pairs with qid <= rid. Where all pairs of narrow sketches are wanted, they leave list by list, see _listed().
+    equal cells meet as one. half: only pairs with qid <= rid. Where all pairs of one table of narrow sketches are wanted, they leave list by list, see _listed().
     """
     (nq, sq, fq), (nr, sr, fr) = shapes
     same, s, base = query is ref, max(sq, sr), max(fq, fr, 1)
-    if least <= 1 and 0 < s <= NARROW:
-        return _list_counts(query, ref, nq, nr, s, base, half)
+    if same and least <= 1 and 0 < s <= NARROW:
+        return _list_counts(query, nq, s, base, half)
     kind = "int32" if s * base < 1 << 31 else "int64"
     pq, pr = block_parts(nq, nr, s, same, query.sparkSession.sparkContext.defaultParallelism)
     block = lambda parts: F.pmod(F.xxhash64("gid", F.lit("block")), F.lit(parts)).cast("int")

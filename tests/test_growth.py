@@ -88,7 +88,7 @@ def test_pairs_leave_list_by_list(spark):
 def test_groups_of_blocks_have_a_task_each(spark):
     rows, _ = strangers(spark, 5000, 4, 6)
     parts = C.pair_counts(rows, rows).groupBy(F.spark_partition_id().alias("part")).count().collect()
-    pq, pr = blocks.list_parts(5000, 5000, spark.sparkContext.defaultParallelism)
+    pq, pr = blocks.list_parts(5000, spark.sparkContext.defaultParallelism)
     assert len(parts) == pq * pr > 2 and max(r["count"] for r in parts) < 2 * min(r["count"] for r in parts)
 
 
